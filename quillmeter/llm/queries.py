@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, repeat_bytes, url_rules, warc_zstd
+from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, repeat_bytes, url_rules, vector_dedup, warc_zstd
 from quillmeter.llm._store import Store
 
 
@@ -33,6 +33,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -49,7 +53,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op7_warc, op9_repeats, op10_jaccard)
+    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op7_warc, op9_repeats, op10_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": r"""
