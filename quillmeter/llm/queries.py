@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, repeat_bytes, url_rules, vector_dedup, warc_zstd
+from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, repeat_bytes, toxicity, url_rules, vector_dedup, warc_zstd
 from quillmeter.llm._store import Store
 
 
@@ -44,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_bytes.remove_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -53,7 +57,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op7_warc, op9_repeats, op10_jaccard)
+    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op7_warc, op8_toxicity, op9_repeats, op10_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": r"""
