@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, repeat_bytes, toxicity, url_rules, vector_dedup, warc_zstd
+from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, pseudo_lm, repeat_bytes, toxicity, url_rules, vector_dedup, warc_zstd
 from quillmeter.llm._store import Store
 
 
@@ -37,6 +37,10 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score_documents(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -57,7 +61,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op7_warc, op8_toxicity, op9_repeats, op10_jaccard)
+    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_repeats, op10_jaccard)
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": r"""
