@@ -143,14 +143,54 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(best[away])], names=["x", "y"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidates of different components."""
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a tile that have a candidate in another component; with lists of smallest hashes, only if no other
+    tile is a better place for the pair, which is that of the smallest hash that both list."""
     for table in _whole_tiles(batches):
-        ids, group = table.column("id").to_numpy(), table.column("component").to_numpy()
+        tile, group = table.column("tile").to_numpy(), table.column("component").to_numpy()
+        lists = np.full((table.num_rows, SMALLEST), -1, np.int64) if "smallest" in table.column_names else None
+        for i, x in enumerate(table.column("smallest").to_pylist() if lists is not None else ()):
+            lists[i] = (x + x[:1] * SMALLEST)[:SMALLEST]
+        flags = np.zeros(table.num_rows, bool)
         for a, b in _candidates(table):
             apart = group[a] != group[b]
-            x, y = ids[a[apart]], ids[b[apart]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
+            a, b = a[apart], b[apart]
+            for i in range(0, len(a) if lists is not None else 0, 4096):
+                one, two = lists[a[i : i + 4096]], lists[b[i : i + 4096]]
+                common = (one[:, :, None] == two[:, None, :]).any(axis=2)
+                first = np.where(common, one, np.iinfo(np.int64).max).min(axis=1)
+                here = (first == tile[a[i : i + 4096]]) | ~(one == tile[a[i : i + 4096]][:, None]).any(axis=1)
+                flags[a[i : i + 4096][here]] = flags[b[i : i + 4096][here]] = True
+            if lists is None:
+                flags[a] = flags[b] = True
+        yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(flags)) for c in ("tile", "id", "component")], names=["tile", "id", "component"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the components of each tile (tile, id, component, text): every document is intersected with all
+    of other components in its size band; what is joined already needs no more pairs."""
+    for table in _whole_tiles(batches, 2_000):
+        tile, ids = table.column(0).to_numpy(), table.column("id").to_numpy()
+        sets = shingle_sets([t and t.encode() for t in table.column("text").to_pylist()])
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        found: tuple[list[int], list[int]] = [], []
+        for i in range(len(sets)):
+            last = int(np.searchsorted(tile, tile[i], side="right"))
+            other = np.arange(i + 1, last)
+            other = other[(group[other] != group[i]) & (100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i])) & (n[other] > 0)]
+            for part in np.array_split(other, max(1, n[other].sum() >> 20)):
+                if not len(part):
+                    continue
+                every = np.concatenate([sets[j] for j in part.tolist()])
+                at = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
+                both = np.add.reduceat(sets[i][at] == every, np.concatenate([[0], np.cumsum(n[part])[:-1]]), dtype=np.int64)
+                for j in part[100 * both >= PERCENT * (n[i] + n[part] - both)].tolist():
+                    if group[i] != group[j]:
+                        found[0].append(int(max(ids[i], ids[j])))
+                        found[1].append(int(min(ids[i], ids[j])))
+                        group[group == group[j]] = group[i]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["x", "y"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +231,20 @@ def _tiles(classes: DataFrame, store: Store) -> DataFrame:
     return cold
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, store: Store, name: str) -> DataFrame:
-    """The pairs (x, y) that are linked, by the whole texts of both."""
-    pairs = store.table(pairs.distinct(), f"{name}-pairs")
-    ids = store.table(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), f"{name}-ids")
+def _texts(docs: DataFrame, ids: DataFrame, store: Store, name: str) -> DataFrame:
+    """The rows of docs with the ids of a table, as a table; the ids are broadcast while they are few."""
+    ids = store.table(ids.distinct(), f"{name}-ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = store.table(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"{name}-texts")
+    return store.table(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"{name}-texts")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
+    """The pairs (x, y) that are linked, by the whole texts of both."""
+    pairs = store.table(pairs.distinct(), "pairs")
+    texts = _texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")), store, "star")
     with_x = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
     both = with_x.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
-    out = store.table(both.mapInArrow(_linked, "x long, y long").distinct(), f"{name}-links")
-    store.drop(f"{name}-ids", f"{name}-texts")
-    return out
+    return store.table(both.mapInArrow(_linked, "x long, y long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +256,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component_id. Other columns are ignored.
 
     First each class is checked against the smallest candidate of each of its tiles, which joins groups of copies
-    along stars; then every candidate pair that is not in one component by then is checked.
+    along stars. Then the classes with candidates in other components meet in their tiles with their whole sets, where
+    every pair that is not joined by then is intersected; no list of pairs is written.
     """
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
@@ -225,15 +269,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = store.table(classes, "classes")
     tiles = store.table(_tiles(classes, store).join(classes.select("id", "n", "bits"), "id").select("tile", "id", "n", "bits"), "tiles")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "n", "id")
-    links = _verify(dealt(tiles).mapInArrow(_stars, "x long, y long"), docs, store, "star")
+    links = _verify(dealt(tiles).mapInArrow(_stars, "x long, y long"), docs, store)
     joined = components(links, store, "star-components")
     labelled = tiles.join(joined, tiles["id"] == joined["node"], "left").select("tile", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
-    tried = spark.read.parquet(store.path("star-pairs"))
-    rest = dealt(labelled).mapInArrow(_across, "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
-    more = _verify(rest, docs, store, "rest")
+    flagged = store.table(dealt(labelled).mapInArrow(_flagged, "tile long, id long, component long"), "flagged")
+    flagged = flagged.join(classes.select("id", "n", "bits", "smallest"), "id").select("tile", "id", "n", "bits", "component", "smallest")
+    placed = store.table(dealt(flagged).mapInArrow(_flagged, "tile long, id long, component long").distinct(), "placed")
+    rest = placed.join(_texts(docs, placed.select("id"), store, "rest"), "id").select("tile", "id", "component", "text")
+    more = rest.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_settle, "x long, y long")
+    more = store.table(more.distinct(), "more")
     same = with_set.select("id", "cls").join(classes.select("cls", F.col("id").alias("rep")), "cls").where("id <> rep").select("id", "rep")
     smallest = components(links.union(more).union(same), store)
     out = sets.select("id", F.col("n").alias("n_shingles")).join(smallest, sets["id"] == smallest["node"], "left")
     out = store.table(out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id")), "result")
-    store.drop("sets", "classes", "shared", "hot", "tiles", "star-pairs", "star-links", "rest-pairs", "rest-links")
+    store.drop(*"sets classes shared hot tiles pairs star-ids star-texts links flagged placed rest-ids rest-texts more".split())
     return out
