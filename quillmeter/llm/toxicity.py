@@ -140,16 +140,15 @@ class Network:
         out = np.zeros(len(start), _F)
         for i in range(0, len(order), 4096):
             part = order[i : i + 4096]
-            x, active = _gather(vectors, number, start[part], length[part])
-            out[part] = self.forward(x, active)
+            at, active = _places(start[part], length[part], len(number))
+            out[part] = self.forward(vectors[number[at]], active)
         return out
 
 
-def _gather(vectors: np.ndarray, number: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """(inputs (step, window, DIM), active windows of each step) for windows sorted by falling length."""
+def _places(start: np.ndarray, length: np.ndarray, words: int) -> tuple[np.ndarray, list[int]]:
+    """(word places (step, window), active windows of each step) for windows sorted by falling length."""
     steps = np.arange(int(length[0]))[:, None]
-    at = np.minimum(start + steps, len(number) - 1)
-    return vectors[number[at]], [int((length > t).sum()) for t in range(len(steps))]
+    return np.minimum(start + steps, words - 1), [int((length > t).sum()) for t in range(len(steps))]
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network | None:
@@ -162,18 +161,25 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network |
     if not toxic.any() or toxic.all():
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
-    rows, number, first = words([(t or "").encode() for t in texts])
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    seen = np.unique(doc * np.int64(len(rows)) + number)
-    doc, word = seen // len(rows), seen % len(rows)
-    pairs = np.unique((doc[:, None] * ROWS + rows[word]).ravel())
-    where, row = pairs // ROWS, pairs % ROWS
-    bad, good = (np.bincount(row[toxic[where] == v], minlength=ROWS) for v in (True, False))
+    raw = [t and t.encode() for t in texts]
+    parts, bad, good = [], np.zeros(ROWS, np.int64), np.zeros(ROWS, np.int64)
+    for i, j in _text.chunks(raw, 1 << 20):
+        rows, number, first = words(raw[i:j])
+        doc = np.repeat(np.arange(j - i), np.diff(first))
+        seen = np.unique(doc * np.int64(len(rows)) + number)
+        pairs = np.unique(((seen // max(1, len(rows)))[:, None] * ROWS + rows[seen % max(1, len(rows))]).ravel())
+        for v, into in ((True, bad), (False, good)):
+            into += np.bincount(pairs[toxic[i + pairs // ROWS] == v] % ROWS, minlength=ROWS)
+        parts.append((rows, number + sum(len(p[0]) for p in parts), np.diff(first)))
+    rows, number, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = np.concatenate([[0], np.cumsum(sizes)])
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     odds *= (bad + good) / (bad + good + 3.0)
     odds[bad + good < LEAST_SEEN] = 0
     net.p["rows"][:, 0] = odds / 2
     text, start, length = windows(first)
+    if not toxic[text].any() or toxic[text].all():  # one class has no words
+        return net
     # A window's log-odds: its largest word.
     value = odds[rows].mean(axis=1)[number]
     best = np.array([value[s : s + n].max() for s, n in zip(start.tolist(), length.tolist(), strict=True)]) if len(start) else np.zeros(0)
@@ -198,10 +204,10 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network |
             part = mixed[i : i + BATCH]
             part = part[np.argsort(-length[chosen[part]], kind="stable")]
             w = chosen[part]
-            used, inverse = np.unique(np.concatenate([number[s : s + n] for s, n in zip(start[w].tolist(), length[w].tolist(), strict=True)]), return_inverse=True)
-            own = np.zeros(len(number) if len(number) < 1 else int(number.max()) + 1, np.int64)
-            own[used] = np.arange(len(used))
-            x, active = _gather(net.inputs(rows[used]), own[number], start[w], length[w])
+            at, active = _places(start[w], length[w], len(number))
+            used, inverse = np.unique(number[at], return_inverse=True)
+            inverse = inverse.reshape(at.shape)
+            x = net.inputs(rows[used])[inverse]
             grad, dx = net.gradients(x, active, y[part], weight[part])
             step += 1
             for k, g in grad.items():
@@ -209,9 +215,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network |
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(_F)
-            flat = np.concatenate([dx[: length[k], j] for j, k in enumerate(w.tolist())])
             of_word = np.zeros((len(used), DIM), _F)
-            np.add.at(of_word, inverse, flat)
+            np.add.at(of_word, inverse, dx)  # steps after a window's end have no gradient
             touched, back = np.unique(rows[used].ravel(), return_inverse=True)
             of_row = np.zeros((len(touched), DIM), _F)
             np.add.at(of_row, back, np.repeat(of_word, rows.shape[1], axis=0) / rows.shape[1])
