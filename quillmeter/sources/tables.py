@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def replaced(old: DataFrame, new: DataFrame, key: str | list[str] = "file_key") -> DataFrame:
-    """old without the rows whose keys new has, and all rows of new: a whole file's rows go and come together."""
-    keys = [key] if isinstance(key, str) else key
-    return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def replaced(old: DataFrame, new: DataFrame, files: DataFrame, key: str = "file_key") -> DataFrame:
+    """old without the rows of the given files, and all rows of new: a file's rows go and come together, also if it has
+    none any more."""
+    return old.join(files.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def projects(old: DataFrame | None, files: DataFrame) -> DataFrame:

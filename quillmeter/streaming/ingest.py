@@ -58,7 +58,7 @@ def update(spark: SparkSession, root: str, out: str, version: str = VERSION) ->
     old = {k: spark.read.parquet(p) for k, p in paths.items()}
     new = parse(to_do(listing, old.get("files"), version))
     number = str(int(paths["files"].rsplit("=", 1)[1]) + 1) if paths else "1"
-    merged = {k: tables.replaced(old[k], getattr(new, k)) if k in old else getattr(new, k) for k in ("files", "records", "tool_uses")}
+    merged = {k: tables.replaced(old[k], getattr(new, k), new.files) if k in old else getattr(new, k) for k in ("files", "records", "tool_uses")}
     kept = listing.select("file_key")
     rows = {k: tables.without_orphans(df.drop("is_canonical") if k == "records" else df, kept) for k, df in merged.items()}
     rows["records"] = canonical(rows["records"])
