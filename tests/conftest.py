@@ -13,7 +13,6 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 
 from quillmeter.session import session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
