@@ -34,8 +34,8 @@ def short_model(model: Column) -> Column:
 def human_number(x: Column) -> Column:
     """12.3B, 4.5M, 6.7K or the whole number."""
     size = F.abs(x)
-    unit = lambda n, s: F.concat(F.format_number(x / n, "0.0"), F.lit(s))
-    return F.when(size >= 1e9, unit(1e9, "B")).when(size >= 1e6, unit(1e6, "M")).when(size >= 1e3, unit(1e3, "K")).otherwise(F.format_number(x, "0"))
+    unit = lambda n, s: F.format_string(f"%.1f{s}", x / n)
+    return F.when(size >= 1e9, unit(1e9, "B")).when(size >= 1e6, unit(1e6, "M")).when(size >= 1e3, unit(1e3, "K")).otherwise(F.format_string("%.0f", x.cast("double")))
 
 
 def tool_preview(name: Column, argument: Column, length: int = 80) -> Column:

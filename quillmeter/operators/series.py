@@ -168,7 +168,7 @@ def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float) -> Data
     w = _ordered(by, [x])
     after, before = F.lead(y).over(w), F.lag(y).over(w)
     rows = df.select(*by, F.col(x), F.col(y), F.when(before.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(after, F.col(y))).alias("_a"), F.when(after.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(before, F.col(y))).alias("_b"))
-    points = F.filter(F.array(F.struct((F.col(x) - half).alias("x"), F.greatest(F.lit(0.0), F.col("_a")).alias("y")), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), F.struct((F.col(x) + half).alias("x"), F.greatest(F.lit(0.0), F.col("_b")).alias("y"))), lambda p: p["y"].isNotNull())
+    points = F.filter(F.array(F.struct((F.col(x) - half).alias("x"), F.when(F.col("_a").isNotNull(), F.greatest(F.lit(0.0), F.col("_a"))).alias("y")), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), F.struct((F.col(x) + half).alias("x"), F.when(F.col("_b").isNotNull(), F.greatest(F.lit(0.0), F.col("_b"))).alias("y"))), lambda p: p["y"].isNotNull())
     return rows.select(*by, F.explode(points).alias("p")).select(*by, F.col("p.x").alias(x), F.col("p.y").alias(y))
 
 
