@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch: batches hold whole texts, and two tasks' batches must fit beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 class Store:
     """A folder of its own for one run. Written tables cut the lineage and survive lost executors.
 
@@ -30,6 +38,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
@@ -38,6 +47,8 @@ class Store:
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(self.path(name))
+        # Shuffle files go when the driver's collector finds their plan unused, which may be long after: now is the time.
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

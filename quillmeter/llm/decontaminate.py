@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmeter.llm import _text
+from quillmeter.llm._store import small_batches
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -159,7 +160,7 @@ class Windows:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _scan(shared, text_at: int, keep: list[int], schema: pa.Schema):
+def _scan(shared, text_at: int, keep: list[int], schema: pa.Schema, shard_symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = shared.value
         held: list[pa.RecordBatch] = []
@@ -202,7 +203,7 @@ def _scan(shared, text_at: int, keep: list[int], schema: pa.Schema):
                 symbols += len(parts[-1][0])
             held.append(batch if text_at in keep else batch.set_column(text_at, "_", pa.nulls(batch.num_rows)))
             size += sum(map(len, texts))
-            if size >= SHARD_BYTES or symbols >= SHARD_SYMBOLS:
+            if size >= SHARD_BYTES or symbols >= shard_symbols:
                 yield from flush()
                 size = symbols = 0
         if held:
@@ -211,20 +212,20 @@ def _scan(shared, text_at: int, keep: list[int], schema: pa.Schema):
     return run
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
     """The test items in blocks of bounded size, read one partition at a time."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     for row in rows.toLocalIterator():
         block.append(tuple(row))
         size += len(row[1])
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield block
             block, size = [], 0
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """The kept columns of docs (default: all) with n_words, n_hit, items (ids, sorted as strings), spans (runs of hit
     words as start and end word numbers) and contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
@@ -233,23 +234,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     Repeated items and documents are treated alike. Columns of docs with the names added are replaced.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     own = ["n_words", "n_hit", "items", "spans", "contaminated"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    added = ", ".join(f"{c} {t.simpleString()}" for c, t in ADDED)
 
     def scan(df: DataFrame, kept: list[str], block: list[tuple[str, str]]) -> DataFrame:
         df = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
-        ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), added])
-        fields = [*(df.schema[c] for c in kept), *(T.StructField(c, t) for c, t in ADDED)]
-        schema = to_arrow_schema(T.StructType(fields))
-        return df.mapInArrow(_scan(sc.broadcast(Windows(block, window)), df.columns.index(text), [df.columns.index(c) for c in kept], schema), ddl)
+        schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, t) for c, t in ADDED)])
+        arrow = to_arrow_schema(schema)
+        return df.mapInArrow(_scan(sc.broadcast(Windows(block, window)), df.columns.index(text), [df.columns.index(c) for c in kept], arrow, shard_symbols), schema)
 
     def more(df: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
         df = df.withColumnsRenamed({"items": "_items", "spans": "_spans"}).drop("n_words", "n_hit")
         df = scan(df, [c for c in df.columns], block)
         return df.withColumns({"items": F.array_sort(F.array_union("items", "_items")), "spans": F.concat("_spans", "spans")}).drop("_items", "_spans")
 
-    blocks = _blocks(benchmark, item, item_text)
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
     first = next(blocks)
     rest = list(blocks)
     out = reduce(more, rest, scan(docs, keep if not rest else list(dict.fromkeys([*keep, text])), first))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillmeter.llm._store import small_batches
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe object svg math textarea title xmp noembed noframes".split())
 SKIP = RAW | set("head nav header footer aside form button select option datalist fieldset label dialog menu canvas audio video map".split())
@@ -36,10 +38,15 @@ NOT_ARTICLE = set(
     "foot footnav header masthead menu menus nav navbar navigation navi sidebar sidebars sidenav aside share sharing social related recommended recommendations promo promos promotion promoted popup modal overlay newsletter "
     "subscribe subscription signup login widget widgets sponsor sponsored sponsors pagination pager skip toolbar topbar discussion replies respond reactions complementary contentinfo search alert disclaimer".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+#: A comment, a declaration, or a tag, of which quoted values may hold >; where a quote isn't closed, the next > ends it.
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)({_ATTRS})>", re.S)
+_OPEN = re.compile(r"<[/A-Za-z!?]")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_ARTICLE = {"article", "post", "entry", "story"}
+_WRAPPER = {"has", "no", "with", "without", "layout"}
 
 
 class Node:
@@ -62,10 +69,9 @@ def _unwanted(tag: str, attrs: str) -> bool:
             return True
         if name in ("class", "id", "role"):
             for token in value.split():
-                parts = _WORD.findall(token)
-                if not NOT_ARTICLE.isdisjoint(parts) and not {"article", "post", "entry", "story"} >= set(parts) - NOT_ARTICLE > set():
-                    return True
-                if token in NOT_ARTICLE:
+                parts = set(_WORD.findall(token))
+                # article-header is a part of the article, and has-sidebar wraps it.
+                if parts & NOT_ARTICLE and not _ARTICLE >= parts - NOT_ARTICLE > set() and not parts & _WRAPPER:
                     return True
     return False
 
@@ -84,7 +90,8 @@ def parse(text: str) -> Node:
     while pos < n:
         m = _TAG.search(text, pos)
         if m is None:
-            at.kids.append(text[pos:])
+            cut = _OPEN.search(text, pos)  # a tag that the page's end leaves open
+            at.kids.append(text[pos : cut.start() if cut else n])
             break
         if m.start() > pos:
             at.kids.append(text[pos : m.start()])
@@ -266,5 +273,6 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
 
     Null and empty pages and pages without body text have an empty text. A column named text or n_chars is replaced.
     """
+    small_batches(pages.sparkSession)
     out = pages.withColumn("text", main_text(F.col(column)))
     return out.withColumn("n_chars", F.length("text").cast("long")).drop(column)

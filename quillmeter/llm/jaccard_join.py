@@ -219,7 +219,8 @@ def _tiles(classes: DataFrame, store: Store) -> DataFrame:
     """(tile, id): each class in the tiles of its smallest hashes that another class shares. A tile of over TILE classes
     is split: there, classes meet by that hash and a second one."""
     rows = classes.select("id", F.explode("smallest").alias("tile"))
-    counts = rows.groupBy("tile").count().where("count > 1")
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    counts = store.table(rows.groupBy("tile").count().where("count > 1"), "counts")
     shared = store.table(rows.join(counts, "tile"), "shared")
     cold = shared.where(F.col("count") <= TILE).select("tile", "id")
     if shared.where(F.col("count") > TILE).limit(1).count():
@@ -240,7 +241,7 @@ def _texts(docs: DataFrame, ids: DataFrame, store: Store, name: str) -> DataFram
 
 def _verify(pairs: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
     """The pairs (x, y) that are linked, by the whole texts of both."""
-    pairs = store.table(pairs.distinct(), "pairs")
+    pairs = store.table(pairs, "pairs")
     texts = _texts(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")), store, "star")
     with_x = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
     both = with_x.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
@@ -255,8 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows of equal keys count as one document with the links of all of them, and rows with a null key have a null
     component_id. Other columns are ignored.
 
-    First each class is checked against the smallest candidate of each of its tiles, which joins groups of copies
-    along stars. Then the classes with candidates in other components meet in their tiles with their whole sets, where
+    First each class is checked against the smallest of its candidates, which joins groups of copies along stars. Then the classes with candidates in other components meet in their tiles with their whole sets, where
     every pair that is not joined by then is intersected; no list of pairs is written.
     """
     spark = docs.sparkSession
@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = store.table(classes, "classes")
     tiles = store.table(_tiles(classes, store).join(classes.select("id", "n", "bits"), "id").select("tile", "id", "n", "bits"), "tiles")
     dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "n", "id")
-    links = _verify(dealt(tiles).mapInArrow(_stars, "x long, y long"), docs, store)
+    stars = dealt(tiles).mapInArrow(_stars, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    links = _verify(stars, docs, store)
     joined = components(links, store, "star-components")
     labelled = tiles.join(joined, tiles["id"] == joined["node"], "left").select("tile", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
     flagged = store.table(dealt(labelled).mapInArrow(_flagged, "tile long, id long, component long"), "flagged")
@@ -282,5 +283,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest = components(links.union(more).union(same), store)
     out = sets.select("id", F.col("n").alias("n_shingles")).join(smallest, sets["id"] == smallest["node"], "left")
     out = store.table(out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id")), "result")
-    store.drop(*"sets classes shared hot tiles pairs star-ids star-texts links flagged placed rest-ids rest-texts more".split())
+    store.drop(*"sets classes counts shared hot tiles pairs star-ids star-texts links flagged placed rest-ids rest-texts more".split())
     return out

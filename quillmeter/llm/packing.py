@@ -8,11 +8,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmeter.llm._store import small_batches
+
 #: Documents in a group on average: groups are packed alone, so their number grows with the input and their size doesn't.
 GROUP = 4096
 
@@ -101,19 +103,20 @@ def _tokenise(path: str, size: int, groups: int, with_ids: bool):
 
 
 def _pack(size: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["whole", "doc_tokens", "key", "copy", "start"], kind="stable", ignore_index=True)
-        tails = np.flatnonzero(pdf["length"].to_numpy() < size)
-        bins = np.empty(len(pdf), np.int64)
-        packed = first_fit_decreasing(pdf["length"].to_numpy()[tails], size)
-        bins[tails] = packed
-        opened = int(packed.max()) + 1 if len(packed) else 0
-        full = np.setdiff1d(np.arange(len(pdf)), tails)
-        bins[full] = opened + np.arange(len(full))
-        pdf = pdf.assign(sequence_id=bins).sort_values(["sequence_id", "length"], ascending=[True, False], kind="stable")
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        pdf["sequence_id"] += pdf["grp"] * (1 << 32)
-        return pdf.drop(columns=["grp", "whole", "copy"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("whole", "doc_tokens", "key", "copy", "start")]))
+        length = table.column("length").to_numpy()
+        bins, tails = np.empty(len(length), np.int64), length < size
+        bins[tails] = first_fit_decreasing(length[tails], size)
+        opened = int(bins[tails].max()) + 1 if tails.any() else 0
+        bins[~tails] = opened + np.arange((~tails).sum())
+        order = np.lexsort((-length, bins))
+        table, length, bins = table.take(pa.array(order)), length[order], bins[order]
+        before = np.cumsum(length) - length
+        offset = before - before[np.searchsorted(bins, bins)]
+        sequence = bins + (table.column("grp").to_numpy() << 32)
+        kept = table.select(["key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        return kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -127,10 +130,11 @@ def pack(docs: DataFrame, size: int = 1024, key: str = "doc_id", text: str = "te
     documents of their own. Other columns are ignored. Texts are tokenised where they are read; only pieces' lengths
     (and ids, if asked for) are shuffled.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group))
     rows = docs.select(F.col(key), F.col(text)).mapInArrow(
         _tokenise(ranks or default_ranks(), size, groups, with_ids), f"key {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, grp long, whole long, copy long, ids binary"
     )
-    out = rows.groupBy("grp").applyInPandas(_pack(size), f"key {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
+    out = rows.groupBy("grp").applyInArrow(_pack(size), f"key {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
     out = out.withColumnRenamed("key", key)
     return out if with_ids else out.drop("ids")

@@ -91,6 +91,35 @@ ORACLE_SQL: dict[str, str] = {
           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) as contaminated
         from documents d left join n using (doc_id) left join hit using (doc_id) left join it using (doc_id)
     """,
-    "op1_url_rules": None,
+    "op5_multi_index": r"""
+        with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+        g as (select * from v where list_sum(list_transform(e, lambda x: x * x)) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+        l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+        r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+        c as (select v.vec_id, least(v.vec_id, coalesce(min(r.b), v.vec_id)) as component_id from v left join r on r.a = v.vec_id group by v.vec_id)
+        select c.vec_id, cast(coalesce(k, 0) as bigint) as n_links, component_id, component_id = c.vec_id as kept from c left join (select a, count(*) as k from l group by a) on a = c.vec_id
+    """,
+    "op9_repeats": r"""
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+        w as (select doc_id, p, md5(substr(x, 2 * p + 1, 400)) as h from d, unnest(generate_series(0, cast(length(x) // 2 - 200 as bigint))) as t(p) where length(x) >= 400),
+        twice as (select h from w group by h having count(*) > 1),
+        s as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 200 or lag(p) over (partition by doc_id order by p) is null then 1 else 0 end as new from w where h in (select h from twice)),
+        g as (select *, sum(new) over (partition by doc_id order by p rows unbounded preceding) as no from s),
+        r as (select doc_id, no, min(p) as a, max(p) + 200 as b from g group by 1, 2),
+        k as (select doc_id, sum(b - a) as removed, count(*) as spans, list(a order by a) as la, list(b order by a) as lb from r group by 1)
+        select d.doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+          sha256(unhex(case when la is null then x else array_to_string(list_transform(range(0, len(la) + 1), lambda i: substr(x, 2 * (case when i = 0 then 0 else lb[i] end) + 1, 2 * ((case when i = len(la) then length(x) // 2 else la[i + 1] end) - (case when i = 0 then 0 else lb[i] end)))), '') end)) as kept_sha256
+        from d left join k using (doc_id)
+    """,
+    "op10_jaccard": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') as ws from documents),
+        sh as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as s from w, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as t(i) where len(ws) > 0),
+        n as (select doc_id, count(*) as n from sh group by 1),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * c >= 75 * (a.n + b.n - c)),
+        e as (select x as a, y as b from l union all select y, x from l),
+        r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+        select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+        from documents d left join n using (doc_id) left join (select a, min(b) as m from r group by a) on a = d.doc_id
+    """,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -32,6 +32,8 @@ PIECE = 1 << 19
 HOT, STEP = 5000, 8
 #: Rows up to which a table of ids is broadcast (under 60 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Begins the names of columns that stand beside those of an input for a while.
+_OWN = "__repeats_"
 _MASK = np.uint64((1 << 28) - 1)
 _TEXTS = pa.schema([("tid", pa.int64()), ("h", pa.binary()), ("text", pa.binary())])
 _ANCHORS = pa.schema([("hash", pa.int64()), ("tid", pa.int64()), ("at", pa.int64())])
@@ -86,57 +88,64 @@ def anchors(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[owner[new]].view(np.int64), owner[new], windows[new], windows[last]
 
 
-def _pieces(ids: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """(ids, offsets, parts) of about PIECE bytes; long texts come in parts that share all but one byte of a window."""
+def _pieces(ids: list[int], texts: list[bytes], piece: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(ids, offsets, parts) of about so many bytes; long texts come in parts that share all but one byte of a window."""
     out, size = ([], [], []), 0
     for k, t in zip(ids, texts, strict=True):
-        for a in range(0, len(t) - WINDOW + 1, PIECE):
-            part = t[a : a + PIECE + WINDOW - 1]
+        for a in range(0, len(t) - WINDOW + 1, piece):
+            part = t[a : a + piece + WINDOW - 1]
             for column, value in zip(out, (k, a, part), strict=True):
                 column.append(value)
             size += len(part)
-            if size >= PIECE:
+            if size >= piece:
                 yield out
                 out, size = ([], [], []), 0
     if out[0]:
         yield out
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, offsets, parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            buf, bounds = _text.join(parts)
-            h, p, a, b = anchors(buf, bounds)
-            k = np.searchsorted(bounds, p, side="right") - 1
-            place = p - bounds[k] + np.array(offsets, np.int64)[k]
-            at = (place << 16) | ((p - b) << 8) | (p - a)  # the anchor's place, and in its last and first window
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(ids, np.int64)[k]), pa.array(at)], schema=_ANCHORS)
+def _find_anchors(piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, offsets, parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), piece):
+                buf, bounds = _text.join(parts)
+                h, p, a, b = anchors(buf, bounds)
+                k = np.searchsorted(bounds, p, side="right") - 1
+                place = p - bounds[k] + np.array(offsets, np.int64)[k]
+                at = (place << 16) | ((p - b) << 8) | (p - a)  # the anchor's place, and in its last and first window
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(ids, np.int64)[k]), pa.array(at)], schema=_ANCHORS)
+
+    return run
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(hot: int):
     """The bytes that the windows of each shared anchor cover; a hot anchor's windows in steps, each dealt out by what
     all windows of the step have in common."""
-    for batch in batches:
-        rows: tuple[list, ...] = [], [], [], [], []
 
-        def put(digit: int, tid: int, start: int, first: int, cover: bytes) -> None:
-            for column, value in zip(rows, (digit, tid, start, first, cover), strict=True):
-                column.append(value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, ...] = [], [], [], [], []
+
+            def put(digit: int, tid: int, start: int, first: int, cover: bytes) -> None:
+                for column, value in zip(rows, (digit, tid, start, first, cover), strict=True):
+                    column.append(value)
+
+            for tid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for x in found:
+                    at, digit = x["at"], x["hash"]
+                    place, low, high = at >> 16, (at >> 8) & 255, at & 255
+                    if x["count"] <= hot:
+                        put(digit, tid, place - high, high, text[place - high : place - low + WINDOW])
+                    else:
+                        for step in range(low // STEP, high // STEP + 1):
+                            a, b = max(low, step * STEP), min(high, step * STEP + STEP - 1)
+                            core = text[place - step * STEP : place - step * STEP - STEP + 1 + WINDOW]
+                            fine = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=digit.to_bytes(8, "big", signed=True), salt=bytes([step])).digest(), "big", signed=True)
+                            put(fine, tid, place - b, b, text[place - b : place - a + WINDOW])
+            for i in range(0, len(rows[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 20_000], f.type) for r, f in zip(rows, _RECORDS, strict=True)], schema=_RECORDS)
 
-        for tid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for x in found:
-                at, digit = x["at"], x["hash"]
-                place, low, high = at >> 16, (at >> 8) & 255, at & 255
-                if x["count"] <= HOT:
-                    put(digit, tid, place - high, high, text[place - high : place - low + WINDOW])
-                else:
-                    for step in range(low // STEP, high // STEP + 1):
-                        a, b = max(low, step * STEP), min(high, step * STEP + STEP - 1)
-                        core = text[place - step * STEP : place - step * STEP - STEP + 1 + WINDOW]
-                        fine = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=digit.to_bytes(8, "big", signed=True), salt=bytes([step])).digest(), "big", signed=True)
-                        put(fine, tid, place - b, b, text[place - b : place - a + WINDOW])
-        for i in range(0, len(rows[0]), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 20_000], f.type) for r, f in zip(rows, _RECORDS, strict=True)], schema=_RECORDS)
+    return run
 
 
 def repeated_windows(group: np.ndarray, first: np.ndarray, covers: list[bytes]) -> np.ndarray:
@@ -237,7 +246,7 @@ def _cut_batch(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["h", "n_removed", "n_spans", "kept_sha256", "rest"])
 
 
-def _text_results(docs: DataFrame, store: Store, with_text: bool) -> DataFrame:
+def _text_results(docs: DataFrame, store: Store, with_text: bool, hot: int, piece: int) -> DataFrame:
     """(h, n_removed, n_spans, kept_sha256[, rest]) of the distinct texts that hold a repeated window of another text or
     of their own."""
     texts = store.table(docs.select("text").mapInArrow(_distinct, "tid long, h binary, text binary"), "texts")
@@ -246,12 +255,14 @@ def _text_results(docs: DataFrame, store: Store, with_text: bool) -> DataFrame:
     again = store.table(again.select("tid"), "again")
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = texts.join(F.broadcast(again) if few else again, "tid", "left_anti")
-    found = store.table(texts.select("tid", "text").mapInArrow(_find_anchors, "hash long, tid long, at long"), "anchors")
-    shared = found.join(found.groupBy("hash").count().where("count > 1"), "hash")
+    found = store.table(texts.select("tid", "text").mapInArrow(_find_anchors(piece), "hash long, tid long, at long"), "anchors")
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    counts = store.table(found.groupBy("hash").count().where("count > 1"), "counts")
+    shared = found.join(counts, "hash")
     shared = store.table(shared.select("tid", F.struct("at", "hash", "count").alias("x")), "shared")
-    store.drop("anchors")
+    store.drop("anchors", "counts")
     lists = shared.groupBy("tid").agg(F.collect_list("x").alias("found"))  # as long as the text at most
-    records = texts.select("tid", "text").join(lists, "tid").mapInArrow(_records, "digit long, tid long, start long, first int, bytes binary")
+    records = texts.select("tid", "text").join(lists, "tid").mapInArrow(_records(hot), "digit long, tid long, start long, first int, bytes binary")
     ranges = records.repartition("digit").sortWithinPartitions("digit").mapInArrow(_resolve, "tid long, start long, end long")
     ranges = store.table(ranges, "ranges")
     lists = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
@@ -261,7 +272,7 @@ def _text_results(docs: DataFrame, store: Store, with_text: bool) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """The kept columns of docs (default: all but the text) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked
     for, kept: the text without every byte that a 200-byte string covers which also starts anywhere else.
 
@@ -273,20 +284,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in own]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    cut = _text_results(docs.select(F.col(text).alias("text")), store, with_text)
-    light = docs.select(F.unhex(F.sha2(body, 256)).alias("_h"))
-    copies = light.groupBy("_h").count().where("count > 1").select("_h", F.lit(True).alias("_copied"))
-    known = copies.join(cut.withColumnRenamed("h", "_h"), "_h", "full")
-    rows = docs.select(*(f"`{c}`" for c in keep), *([F.col(text).alias("_text")] if with_text else []), F.unhex(F.sha2(body, 256)).alias("_h"), F.octet_length(body).cast("long").alias("n_bytes"))
-    out = rows.join(known, "_h", "left")
-    gone = F.col("_copied").isNotNull() & (F.col("n_bytes") >= WINDOW)
+    cut = _text_results(docs.select(F.col(text).alias("text")), store, with_text, hot, piece)
+    digest = F.unhex(F.sha2(body, 256))
+    copies = docs.groupBy(digest.alias("h")).count().where("count > 1").select("h", F.lit(True).alias("copied"))
+    known = store.table(copies.join(cut, "h", "full").select(F.struct("*").alias(_OWN), F.col("h").alias(_OWN + "h")), "known")
+    rows = docs.select(*(f"`{c}`" for c in keep), *([F.col(text).alias(_OWN + "text")] if with_text else []), digest.alias(_OWN + "h"), F.octet_length(body).cast("long").alias("n_bytes"))
+    out = rows.join(known, _OWN + "h", "left")
+    one = lambda c: F.col(f"{_OWN}.{c}")
+    gone = one("copied").isNotNull() & (F.col("n_bytes") >= WINDOW)
     columns = {
-        "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))),
-        "n_spans": F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"),
-        "kept_sha256": F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("_h")))),
+        "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(one("n_removed"), F.lit(0))),
+        "n_spans": F.when(gone, 1).otherwise(F.coalesce(one("n_spans"), F.lit(0))).cast("long"),
+        "kept_sha256": F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce(one("kept_sha256"), F.lower(F.hex(_OWN + "h")))),
     }
     if with_text:
-        columns["kept"] = F.when(gone, "").when(F.col("rest").isNotNull(), F.col("rest")).otherwise(F.col("_text"))
+        columns["kept"] = F.when(gone, "").when(one("rest").isNotNull(), one("rest")).otherwise(F.col(_OWN + "text"))
     out = out.select(*(f"`{c}`" for c in keep), "n_bytes", *(c.alias(k) for k, c in columns.items()))
     return out
 

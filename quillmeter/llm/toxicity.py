@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillmeter.llm import _text
+from quillmeter.llm._store import small_batches
 
 WINDOW, STRIDE = 64, 48
 ROWS, DIM, HIDDEN = 1 << 16, 8, 8
@@ -138,8 +140,8 @@ class Network:
     def window_logits(self, vectors: np.ndarray, number: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         order = np.argsort(-length, kind="stable")
         out = np.zeros(len(start), _F)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
+        for i in range(0, len(order), 2048):
+            part = order[i : i + 2048]
             at, active = _places(start[part], length[part], len(number))
             out[part] = self.forward(vectors[number[at]], active)
         return out
@@ -267,17 +269,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     not held out. Repeated rows score alike. Columns of docs with the names added are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = ["held_out", "score", "predicted"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     rows = training_rows(docs, labels.select(key, "toxic"), key, text, held_out).collect()
     shared = spark.sparkContext.broadcast(fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            scores = score_texts(shared.value, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pd.Series(score_texts(shared.value, batch.tolist()))
 
-    chosen = docs.select(*(f"`{c}`" for c in keep), F.col(text).alias("_text"))
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    out = chosen.mapInArrow(run, ddl).withColumn("held_out", held_out(F.col(key)) if key in keep else F.lit(False))
-    return out.select(*(f"`{c}`" for c in keep), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = docs.select(*(f"`{c}`" for c in keep), held_out(F.col(key)).alias("held_out"), score(F.col(text)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -146,7 +146,7 @@ def _assign(shared, dtype: str, query: bool):
     return run
 
 
-def _links(dtype: str, cosine: float):
+def _links(dtype: str, cosine: float, size: int):
     """(id, links, label) of the linked classes of each block: how many vectors they link with, and the smallest id that
     they reach there. Rows come by cell and block, first the block's own, then those that visit it."""
 
@@ -167,8 +167,8 @@ def _links(dtype: str, cosine: float):
             key = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)], axis=1)
             edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
-                for k in range(i, j, BLOCK):
-                    part = batch.slice(k, min(BLOCK, j - k))
+                for k in range(i, j, size):
+                    part = batch.slice(k, min(size, j - k))
                     ids, copies = part.column(3).to_numpy(), part.column(4).to_numpy()
                     d = int(key[i, 0]) >> 32
                     x = np.frombuffer(b"".join(part.column(5).to_pylist()), dtype).reshape(-1, d).astype(np.float64)
@@ -212,7 +212,7 @@ def _settle(close: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return one, two
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept), one row for each vector: how many others link with it directly (cosine of at
     least the threshold, in double precision), the smallest key reachable by links, and whether that is its own.
 
@@ -239,16 +239,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     ddl = "id long, copies long, vec binary, cell long"
     base = classes.select("id", "copies", "vec")
     own = store.table(base.mapInArrow(_assign(shared, dtype, False), ddl), "own")
-    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
-    placed = own.join(sizes, "cell").withColumn("block", block)
+    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    place = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
+    placed = own.join(sizes, "cell").withColumn("block", place)
     visiting = base.mapInArrow(_assign(shared, dtype, True), ddl).join(sizes, "cell")
     everywhere = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     later = placed.where("block < blocks - 1").withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
     columns = ["cell", "block", "kind", "id", "copies", "vec"]
     dealt = placed.withColumn("kind", F.lit(0)).select(columns).union(everywhere.union(later.select(everywhere.columns)).withColumn("kind", F.lit(1)).select(columns))
     dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
-    found = store.table(dealt.mapInArrow(_links(dtype, cosine), "id long, links long, label long"), "found")
+    found = store.table(dealt.mapInArrow(_links(dtype, cosine, block), "id long, links long, label long"), "found")
     joined = components(found.select("id", "label"), store)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     each = classes.select("id", "cls", "copies", "smallest").join(joined, F.col("id") == F.col("node"), "left").join(links, "id", "left")

@@ -94,23 +94,26 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         pos = end + 8 + n
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
+def _write(archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, made = TaskContext.get().partitionId(), [], 0, 0
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"archive": [f"pages-{part:06d}-{made:06d}.warc.zst"], "records": [len(held)], "content": [build_archive(held)]}, schema=_ARCHIVE)
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"archive": [f"pages-{part:06d}-{made:06d}.warc.zst"], "records": [len(held)], "content": [build_archive(held)]}, schema=_ARCHIVE)
 
-    for batch in batches:
-        for key, url, body, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            payload = (body or "").encode()
-            kind = "revisit" if first is not None and first != key else "response"
-            held.append(_record(kind, _quoted(key), url, digest, payload, _quoted(first)))
-            size += len(held[-1])
-            if size >= ARCHIVE_BYTES:
-                yield flush()
-                held, size, made = [], 0, made + 1
-    if held:
-        yield flush()
+        for batch in batches:
+            for key, url, body, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = (body or "").encode()
+                kind = "revisit" if first is not None and first != key else "response"
+                held.append(_record(kind, _quoted(key), url, digest, payload, _quoted(first)))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield flush()
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield flush()
+
+    return run
 
 
 def _quoted(key: str | None) -> str:
@@ -120,7 +123,7 @@ def _quoted(key: str | None) -> str:
 _ARCHIVE = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("content", pa.binary())])
 
 
-def write_archives(pages: DataFrame, store: Store, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, store: Store, key: str = "page_id", url: str = "url", body: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """The archives of all rows, as a written table (archive, records, content).
 
     Of rows with equal payloads of at least 100 bytes, those with the smallest key are responses, the others revisit
@@ -133,7 +136,7 @@ def write_archives(pages: DataFrame, store: Store, key: str = "page_id", url: st
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(body).alias("_body"), _digest(body).alias("digest"))
     rows = rows.join(F.broadcast(twice) if few else twice, "digest", "left")
     rows = rows.select(F.col("_key").cast("string"), "_url", "_body", "digest", F.col("first").cast("string"))
-    return store.table(rows.mapInArrow(_write, "archive string, records long, content binary"), "archives", "uncompressed")
+    return store.table(rows.mapInArrow(_write(archive_bytes), "archive string, records long, content binary"), "archives", "uncompressed")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
