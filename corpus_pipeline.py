@@ -24,8 +24,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of that id count as one document and all stay.
     """
-    joined = jaccard_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_anti").select(docs.columns)
+    gone = jaccard_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    few = gone.limit(jaccard_join.BROADCAST_ROWS + 1).count() <= jaccard_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

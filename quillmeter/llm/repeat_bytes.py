@@ -28,7 +28,7 @@ SPAN = WINDOW - ANCHOR + 1
 DIGIT = 50
 #: Bytes of a text handled at once, and of several short texts together.
 PIECE = 1 << 19
-#: Occurrences of an anchor above which its windows are dealt out by finer digits, of STEP windows each.
+#: Occurrences of an anchor above which its equal records are merged and dealt out by finer digits, of STEP windows each.
 HOT, STEP = 5000, 8
 #: Rows up to which a table of ids is broadcast (under 60 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -37,7 +37,7 @@ _OWN = "__repeats_"
 _MASK = np.uint64((1 << 28) - 1)
 _TEXTS = pa.schema([("tid", pa.int64()), ("h", pa.binary()), ("text", pa.binary())])
 _ANCHORS = pa.schema([("hash", pa.int64()), ("tid", pa.int64()), ("at", pa.int64())])
-_RECORDS = pa.schema([("digit", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary())])
+_RECORDS = pa.schema([("digit", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary()), ("rec", pa.int64())])
 _RANGES = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -119,41 +119,55 @@ def _find_anchors(piece: int):
 
 
 def _records(hot: int):
-    """The bytes that the windows of each shared anchor cover; a hot anchor's windows in steps, each dealt out by what
-    all windows of the step have in common."""
+    """The bytes that the windows of each shared anchor cover; rec is the hash of a hot anchor's record, null for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = [], [], [], [], []
-
-            def put(digit: int, tid: int, start: int, first: int, cover: bytes) -> None:
-                for column, value in zip(rows, (digit, tid, start, first, cover), strict=True):
-                    column.append(value)
-
+            rows: tuple[list, ...] = [], [], [], [], [], []
             for tid, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x in found:
                     at, digit = x["at"], x["hash"]
                     place, low, high = at >> 16, (at >> 8) & 255, at & 255
-                    if x["count"] <= hot:
-                        put(digit, tid, place - high, high, text[place - high : place - low + WINDOW])
-                    else:
-                        for step in range(low // STEP, high // STEP + 1):
-                            a, b = max(low, step * STEP), min(high, step * STEP + STEP - 1)
-                            core = text[place - step * STEP : place - step * STEP - STEP + 1 + WINDOW]
-                            fine = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=digit.to_bytes(8, "big", signed=True), salt=bytes([step])).digest(), "big", signed=True)
-                            put(fine, tid, place - b, b, text[place - b : place - a + WINDOW])
+                    cover = text[place - high : place - low + WINDOW]
+                    row = digit, tid, place - high, high, cover, _hash(cover, digit, high) if x["count"] > hot else None
+                    for column, value in zip(rows, row, strict=True):
+                        column.append(value)
             for i in range(0, len(rows[0]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 20_000], f.type) for r, f in zip(rows, _RECORDS, strict=True)], schema=_RECORDS)
 
     return run
 
 
-def repeated_windows(group: np.ndarray, first: np.ndarray, covers: list[bytes]) -> np.ndarray:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of hot anchors' records (rec, digit, first, bytes, n) in steps, each dealt out by what all windows of
+    the step have in common; part is the hash of a step's bytes, shift their place in the record."""
+    for batch in batches:
+        rows: tuple[list, ...] = [], [], [], [], [], [], []
+        for rec, digit, high, cover, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low = high - len(cover) + WINDOW
+            for step in range(low // STEP, high // STEP + 1):
+                a, b = max(low, step * STEP), min(high, step * STEP + STEP - 1)
+                core = high - step * STEP
+                fine = _hash(cover[core : core - STEP + 1 + WINDOW], digit, step)
+                own = cover[high - b : high - a + WINDOW]
+                for column, value in zip(rows, (fine, _hash(own, fine, b), rec, high - b, b, own, n), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _STEPS, strict=True)], schema=_STEPS)
+
+
+_STEPS = pa.schema([("digit", pa.int64()), ("part", pa.int64()), ("rec", pa.int64()), ("shift", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64())])
+
+
+def _hash(raw: bytes, key: int, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=key.to_bytes(8, "big", signed=True), salt=bytes([salt])).digest(), "big", signed=True)
+
+
+def repeated_windows(group: np.ndarray, first: np.ndarray, covers: list[bytes], n: np.ndarray) -> np.ndarray:
     """For records sorted by group, whether each of their windows (in order) has an equal one; first is the anchor's
-    place in a record's first window. Equal records count once in the radix passes."""
+    place in a record's first window, n how often a record occurs. Equal records count once in the radix passes."""
     known: dict[tuple[int, int, bytes], int] = {}
     cls = np.fromiter((known.setdefault(x, len(known)) for x in zip(group.tolist(), first.tolist(), covers, strict=True)), np.int64, len(covers))
-    times = np.bincount(cls, minlength=len(known))
+    times = np.bincount(cls, n, minlength=len(known))
     one = np.zeros(len(known), np.int64)
     one[cls[::-1]] = np.arange(len(cls))[::-1]
     sizes = np.fromiter((len(covers[i]) - WINDOW + 1 for i in one.tolist()), np.int64, len(one))
@@ -188,7 +202,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _whole_groups(batches):
         group, tid, start, first = (table.column(i).to_numpy() for i in range(4))
         covers = table.column(4).to_pylist()
-        flags = repeated_windows(group, first.astype(np.int64), covers)
+        flags = repeated_windows(group, first.astype(np.int64), covers, table.column(5).to_numpy())
         n = np.fromiter((len(x) - WINDOW + 1 for x in covers), np.int64, len(covers))
         rec = np.repeat(np.arange(len(n)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -217,38 +231,37 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> It
 
 
 def _cut(with_text: bool):
-    """(h, removed bytes, maximal runs, SHA-256 of the rest, the rest if asked for) of texts and their ranges."""
+    """(removed bytes, maximal runs, SHA-256 of the rest, the rest if asked for) of texts and their ranges; null without
+    ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _cut_batch(batch, with_text)
+    @F.arrow_udf("n_removed long, n_spans long, kept_sha256 string, rest string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ranges in batches:
+            yield pa.array([r and _cut_text(t, r, with_text) for t, r in zip(texts.to_pylist(), ranges.to_pylist(), strict=True)], _CUT)
 
-    return run
+    return cut
+
+
+_CUT = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("rest", pa.string())])
+
+
+def _cut_text(text: bytes, ranges: list[dict], with_text: bool) -> dict:
+    kept, at, removed, spans = [], 0, 0, 0
+    for a, b in sorted((x["start"] + p["a"], x["start"] + p["b"]) for x in ranges for p in x["parts"]):
+        if a > at or not spans:
+            kept.append(text[at:a])
+            spans += 1
+            removed += b - a
+            at = b
+        elif b > at:
+            removed += b - at
+            at = b
+    rest = b"".join([*kept, text[at:]])
+    return {"n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(rest).hexdigest(), "rest": rest.decode("utf-8", "ignore") if with_text else None}
 
 
-def _cut_batch(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    rows: tuple[list, ...] = [], [], [], [], []
-    for h, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        kept, at, removed, spans = [], 0, 0, 0
-        for a, b in sorted((x["start"], x["end"]) for x in found):
-            if a > at or not spans:
-                kept.append(text[at:a])
-                spans += 1
-                removed += b - a
-                at = b
-            elif b > at:
-                removed += b - at
-                at = b
-        rest = b"".join([*kept, text[at:]])
-        for column, value in zip(rows, (h, removed, spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None), strict=True):
-            column.append(value)
-    types = pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()
-    return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["h", "n_removed", "n_spans", "kept_sha256", "rest"])
-
-
-def _text_results(docs: DataFrame, store: Store, with_text: bool, hot: int, piece: int) -> DataFrame:
-    """(h, n_removed, n_spans, kept_sha256[, rest]) of the distinct texts that hold a repeated window of another text or
-    of their own."""
+def _text_ranges(docs: DataFrame, store: Store, hot: int, piece: int) -> DataFrame:
+    """(h, found): the ranges of repeated windows in each of the distinct texts that hold one."""
     texts = store.table(docs.select("text").mapInArrow(_distinct, "tid long, h binary, text binary"), "texts")
     firsts = texts.groupBy("h").agg(F.min("tid").alias("tid"), F.count("*").alias("n")).where("n > 1")
     again = texts.select("tid", "h").join(firsts.select("h", F.col("tid").alias("kept")), "h").where("tid <> kept")
@@ -262,16 +275,30 @@ def _text_results(docs: DataFrame, store: Store, with_text: bool, hot: int, piec
     shared = store.table(shared.select("tid", F.struct("at", "hash", "count").alias("x")), "shared")
     store.drop("anchors", "counts")
     lists = shared.groupBy("tid").agg(F.collect_list("x").alias("found"))  # as long as the text at most
-    records = texts.select("tid", "text").join(lists, "tid").mapInArrow(_records(hot), "digit long, tid long, start long, first int, bytes binary")
-    ranges = records.repartition("digit").sortWithinPartitions("digit").mapInArrow(_resolve, "tid long, start long, end long")
-    ranges = store.table(ranges, "ranges")
-    lists = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    out = texts.join(lists, "tid").select("h", "text", "found").mapInArrow(_cut(with_text), "h binary, n_removed long, n_spans long, kept_sha256 string, rest string")
-    out = store.table(out if with_text else out.drop("rest"), "cut")
-    store.drop("texts", "again", "shared", "ranges")
+    records = texts.select("tid", "text").join(lists, "tid").mapInArrow(_records(hot), "digit long, tid long, start long, first int, bytes binary, rec long")
+    records = store.table(records, "records")
+    store.drop("shared")
+    # A hot record is often the same: it is resolved once, and its ranges are joined to where it stands.
+    often, rare = records.where("rec is not null"), records.where("rec is null").drop("rec").withColumn("n", F.lit(1).cast("long"))
+    ranges = store.table(_resolved(rare), "ranges").select("tid", "start", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("end") - F.col("start")).alias("b"))).alias("parts"))
+    once = often.groupBy("rec", "digit", "first").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    steps = store.table(once.mapInArrow(_steps, "digit long, part long, rec long, shift long, first int, bytes binary, n long"), "steps")
+    parts = steps.groupBy("digit", "part", "first").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
+    parts = store.table(_resolved(parts.select("digit", F.col("part").alias("tid"), F.lit(0).cast("long").alias("start"), "first", "bytes", "n")), "parts")
+    parts = parts.select(F.col("tid").alias("part"), F.struct(F.col("start").alias("a"), F.col("end").alias("b")).alias("p")).join(steps.select("rec", "part", "shift"), "part")
+    parts = parts.groupBy("rec").agg(F.collect_list(F.struct((F.col("p.a") + F.col("shift")).alias("a"), (F.col("p.b") + F.col("shift")).alias("b"))).alias("parts"))
+    # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    more = often.select("rec", "tid", "start").join(store.table(parts, "hot"), "rec").select("tid", "start", "parts")
+    ranges = ranges.union(more).groupBy("tid").agg(F.collect_list(F.struct("start", "parts")).alias("found"))  # as long as the text at most
+    out = store.table(ranges.join(texts.select("tid", "h"), "tid").select("h", "found"), "found")
+    store.drop("texts", "again", "records", "ranges", "steps", "parts", "hot")
     return out
 
 
+def _resolved(records: DataFrame) -> DataFrame:
+    return records.repartition("digit").sortWithinPartitions("digit").mapInArrow(_resolve, "tid long, start long, end long")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """The kept columns of docs (default: all but the text) with n_bytes, n_removed, n_spans, kept_sha256 and, if asked
     for, kept: the text without every byte that a 200-byte string covers which also starts anywhere else.
@@ -284,14 +311,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in own]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    cut = _text_results(docs.select(F.col(text).alias("text")), store, with_text, hot, piece)
+    ranges = _text_ranges(docs.select(F.col(text).alias("text")), store, hot, piece)
     digest = F.unhex(F.sha2(body, 256))
     copies = docs.groupBy(digest.alias("h")).count().where("count > 1").select("h", F.lit(True).alias("copied"))
-    known = store.table(copies.join(cut, "h", "full").select(F.struct("*").alias(_OWN), F.col("h").alias(_OWN + "h")), "known")
-    rows = docs.select(*(f"`{c}`" for c in keep), *([F.col(text).alias(_OWN + "text")] if with_text else []), digest.alias(_OWN + "h"), F.octet_length(body).cast("long").alias("n_bytes"))
+    known = store.table(copies.join(ranges, "h", "full").select(F.struct("copied", "found").alias(_OWN), F.col("h").alias(_OWN + "h")), "known")
+    store.drop("found")
+    rows = docs.select(*(f"`{c}`" for c in keep), F.col(text).alias(_OWN + "text"), digest.alias(_OWN + "h"), F.octet_length(body).cast("long").alias("n_bytes"))
     out = rows.join(known, _OWN + "h", "left")
+    out = out.withColumn(_OWN + "gone", F.col(f"{_OWN}.copied").isNotNull() & (F.col("n_bytes") >= WINDOW))
+    # Only texts that lose a part go through Python.
+    ranges = F.when(~F.col(_OWN + "gone"), F.col(f"{_OWN}.found"))
+    out = out.withColumn(_OWN, _cut(with_text)(F.when(ranges.isNotNull(), F.col(_OWN + "text")).cast("binary"), ranges))
     one = lambda c: F.col(f"{_OWN}.{c}")
-    gone = one("copied").isNotNull() & (F.col("n_bytes") >= WINDOW)
+    gone = F.col(_OWN + "gone")
     columns = {
         "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(one("n_removed"), F.lit(0))),
         "n_spans": F.when(gone, 1).otherwise(F.coalesce(one("n_spans"), F.lit(0))).cast("long"),
@@ -299,6 +331,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     }
     if with_text:
         columns["kept"] = F.when(gone, "").when(one("rest").isNotNull(), one("rest")).otherwise(F.col(_OWN + "text"))
-    out = out.select(*(f"`{c}`" for c in keep), "n_bytes", *(c.alias(k) for k, c in columns.items()))
-    return out
-
+    return out.select(*(f"`{c}`" for c in keep), "n_bytes", *(c.alias(k) for k, c in columns.items()))

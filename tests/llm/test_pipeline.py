@@ -85,5 +85,6 @@ def test_sql(spark, name):
     got = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
-    as_text = lambda df: sorted(tuple(str(int(v)) if isinstance(v, float) and v == v else str(v) for v in r) for r in df[columns].itertuples(index=False))
+    want, got = (df.astype(object).where(df.notna(), None) for df in (want, got))
+    as_text = lambda df: sorted(tuple("null" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[columns].itertuples(index=False))
     assert as_text(got) == as_text(want)
