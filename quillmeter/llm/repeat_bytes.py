@@ -247,7 +247,7 @@ _CUT = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha
 
 def _cut_text(text: bytes, ranges: list[dict], with_text: bool) -> dict:
     kept, at, removed, spans = [], 0, 0, 0
-    for a, b in sorted((x["start"] + p["a"], x["start"] + p["b"]) for x in ranges for p in x["parts"]):
+    for a, b in sorted((s + p["a"], s + p["b"]) for x in ranges for s in x["starts"] for p in x["parts"]):
         if a > at or not spans:
             kept.append(text[at:a])
             spans += 1
@@ -280,7 +280,7 @@ def _text_ranges(docs: DataFrame, store: Store, hot: int, piece: int) -> DataFra
     store.drop("shared")
     # A hot record is often the same: it is resolved once, and its ranges are joined to where it stands.
     often, rare = records.where("rec is not null"), records.where("rec is null").drop("rec").withColumn("n", F.lit(1).cast("long"))
-    ranges = store.table(_resolved(rare), "ranges").select("tid", "start", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("end") - F.col("start")).alias("b"))).alias("parts"))
+    ranges = store.table(_resolved(rare), "ranges").select("tid", F.array("start").alias("starts"), F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("end") - F.col("start")).alias("b"))).alias("parts"))
     once = often.groupBy("rec", "digit", "first").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
     steps = store.table(once.mapInArrow(_steps, "digit long, part long, rec long, shift long, first int, bytes binary, n long"), "steps")
     parts = steps.groupBy("digit", "part", "first").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
@@ -288,10 +288,11 @@ def _text_ranges(docs: DataFrame, store: Store, hot: int, piece: int) -> DataFra
     parts = parts.select(F.col("tid").alias("part"), F.struct(F.col("start").alias("a"), F.col("end").alias("b")).alias("p")).join(steps.select("rec", "part", "shift"), "part")
     parts = parts.groupBy("rec").agg(F.collect_list(F.struct((F.col("p.a") + F.col("shift")).alias("a"), (F.col("p.b") + F.col("shift")).alias("b"))).alias("parts"))
     # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
-    more = often.select("rec", "tid", "start").join(store.table(parts, "hot"), "rec").select("tid", "start", "parts")
-    ranges = ranges.union(more).groupBy("tid").agg(F.collect_list(F.struct("start", "parts")).alias("found"))  # as long as the text at most
+    where = store.table(often.groupBy("rec", "tid").agg(F.collect_list("start").alias("starts")), "where")  # as long as the text at most
+    more = where.join(store.table(parts, "hot"), "rec").select("tid", "starts", "parts")
+    ranges = ranges.union(more).groupBy("tid").agg(F.collect_list(F.struct("starts", "parts")).alias("found"))
     out = store.table(ranges.join(texts.select("tid", "h"), "tid").select("h", "found"), "found")
-    store.drop("texts", "again", "records", "ranges", "steps", "parts", "hot")
+    store.drop("texts", "again", "records", "ranges", "steps", "parts", "where", "hot")
     return out
 
 
