@@ -153,9 +153,12 @@ def _places(start: np.ndarray, length: np.ndarray, words: int) -> tuple[np.ndarr
     return np.minimum(start + steps, words - 1), [int((length > t).sum()) for t in range(len(steps))]
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network | None:
+def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5, share: float | None = None) -> Network | None:
     """A network fitted to labelled documents; None if one of the classes is missing.
 
+    share: of toxic ones among all labelled documents that these were drawn from, to which scores are calibrated
+    (default: their own).
+
     The rows begin with the smoothed log-odds of their strings. Of each document the windows with the largest log-odds
     are learned from (of clean ones a random one as well), since toxic documents hold harmless windows too.
     """
@@ -194,7 +197,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Network |
     some = np.flatnonzero(~toxic[text])
     chosen = np.unique(np.concatenate([chosen[keep], rng.choice(some, min(len(some), int((~toxic).sum())), replace=False)]))
     y = toxic[text[chosen]].astype(_F)
-    share = toxic.mean()
+    share = toxic.mean() if share is None else share
     weight = np.where(y > 0, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6)).astype(_F)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k != "rows"}
     known = bad + good >= LEAST_SEEN
@@ -246,9 +249,20 @@ def score_texts(net: Network | None, texts: list[str | None]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _known(labels: DataFrame, key: str, held_out) -> DataFrame:
+    return labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
+
+
+def toxic_share(docs: DataFrame, labels: DataFrame, key: str, held_out) -> float | None:
+    """The share of toxic ones among all labelled documents that aren't held out; None if there are none."""
+    found = _known(labels, key, held_out).where("toxic in (0, 1)").join(docs.select(key), key, "left_semi")
+    counts = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
+    return counts.get(1, 0) / sum(counts.values()) if counts else None
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, held_out) -> DataFrame:
     """(text, toxic) of at most SAMPLE labelled documents of each class that aren't held out, chosen by hash of the id."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
+    known = _known(labels, key, held_out)
     by_hash = lambda v: known.where(F.col("toxic") == v).orderBy(F.xxhash64(key), key).limit(SAMPLE)
     few = by_hash(1).union(by_hash(0)).withColumnRenamed(key, "_k")
     found = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(few), "_k").select("_k", "text", "toxic")
@@ -264,7 +278,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """The kept columns of docs (default: all) with held_out, score (0 to 1) and predicted (1 if the score reaches the
     threshold, else 0), one row for each document; nothing is shuffled.
 
-    The network is fitted on the driver to a bounded sample of labelled rows, then scores every whole text. Null and
+    The network is fitted on the driver to a bounded sample of labelled rows, weighted by the classes' counts over all
+    labelled rows, then scores every whole text. Null and
     empty texts get the score of an empty window. Without toxic or without clean labels every score is 0. A null id is
     not held out. Repeated rows score alike. Columns of docs with the names added are replaced.
     """
@@ -272,8 +287,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     small_batches(spark)
     own = ["held_out", "score", "predicted"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    rows = training_rows(docs, labels.select(key, "toxic"), key, text, held_out).collect()
-    shared = spark.sparkContext.broadcast(fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool)))
+    labels = labels.select(key, "toxic")
+    rows = training_rows(docs, labels, key, text, held_out).collect()
+    share = toxic_share(docs, labels, key, held_out)
+    shared = spark.sparkContext.broadcast(fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), share=share))
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -372,6 +372,25 @@ def test_toxicity(spark):
     assert toxicity.held_out(F.col("x")) is not None
 
 
+def test_toxicity_keeps_the_share_beyond_the_cap(spark, monkeypatch):
+    """Where a class is capped, scores stand for the share among all labelled rows, as they do below the cap."""
+    rng, rows, labels = random.Random(10), [], []
+    for i in range(2400):
+        # One word in each document; "odd" is toxic in one of ten.
+        rows.append((i, "odd" if i % 2 else "plain"))
+        labels.append((i, int(i % 2 == 1 and rng.random() < 0.1)))
+    labels += [(100_000 + i, 1) for i in range(500)]  # of no document
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = [y for i, y in labels if i < 2400 and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert toxicity.toxic_share(docs, marks, "doc_id", toxicity.held_out) == pytest.approx(sum(known) / len(known))
+    marks = marks.where("doc_id < 100000")
+    score = lambda: {r["text"]: r["score"] for r in toxicity.score_documents(docs, marks).select("text", "score").distinct().collect()}
+    whole = score()
+    monkeypatch.setattr(toxicity, "SAMPLE", sum(known))
+    capped = score()
+    assert whole["odd"] < 0.3 and capped["odd"] < 0.3 and abs(capped["odd"] - whole["odd"]) < 0.1
+
+
 # 9: repeated bytes
 
 
