@@ -25,7 +25,7 @@ def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents"), special=True)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

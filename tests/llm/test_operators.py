@@ -171,6 +171,27 @@ def test_pack(spark, docs, corpus):
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_packed_ids_are_those_of_the_plain_call(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from quillmeter.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["large id <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n c", "<|endoftext |> <|EndOfText|>", "é <|endoftext|>" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op3_pack(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        rows = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out.collect()}
+        for doc, text in enumerate(texts):
+            ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+            for start in range(0, len(ids), 1024):
+                piece = np.array(ids[start : start + 1024], "<u4")
+                assert rows.pop((doc, start)) == (len(piece), zlib.crc32(piece.tobytes()), len(ids))
+        assert not rows
+
+
 # 4: decontamination
 
 
