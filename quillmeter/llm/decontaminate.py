@@ -2,7 +2,7 @@
 
 A shard's text is its documents' words as symbols of the test vocabulary. Words outside it end a run, and runs
 shorter than the shortest window are left out: no occurrence lies there, so the index holds all that can match and is
-small. Words are compared by 64-bit hash.
+small. Words are compared by 128-bit hash.
 """
 
 from __future__ import annotations
@@ -106,8 +106,14 @@ class Windows:
     """The distinct windows of test items, by length, over a vocabulary of word hashes. Symbols: 1 ends a run, words from 2."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        hashes, first = _text.hashed_words([t.encode() for _, t in items], _text.ALNUM)
-        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
+        texts = [t.encode() for _, t in items]
+        for seed in range(0, 256, 2):
+            self.seeds = seed, seed + 1
+            hashes, checks, first = _text.hashed_words(texts, _text.ALNUM, self.seeds)
+            self.vocabulary, at, symbols = np.unique(hashes, return_index=True, return_inverse=True)
+            self.checks = checks[at]
+            if (self.checks[symbols] == checks).all():  # no two different words share a hash
+                break
         self.owners: list[list[str]] = []
         self.patterns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         known: dict[bytes, int] = {}
@@ -128,10 +134,10 @@ class Windows:
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, document and word number of each symbol, words of each document): the runs that can hold a window."""
-        hashes, first = _text.hashed_words(texts, _text.ALNUM)
+        hashes, checks, first = _text.hashed_words(texts, _text.ALNUM, self.seeds)
         counts = np.diff(first)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
-        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        known = (self.vocabulary[at] == hashes) & (self.checks[at] == checks) if len(self.vocabulary) else np.zeros(len(hashes), bool)
         doc = np.repeat(np.arange(len(texts)), counts)
         spread = np.zeros(len(hashes) + len(texts) + 1, np.int64)  # a gap after each document ends its last run
         place = np.arange(len(hashes)) + doc
