@@ -1,8 +1,13 @@
 """Main-text extraction by composite text density over the DOM.
 
 For each node: characters and tags in its subtree, and those inside links. The composite density weighs characters
-per tag down where links prevail. A node's density sum adds its children's densities; the node of the largest sum,
-and its kin above the threshold found on its path to the body, hold the main text.
+per tag down where links prevail. A block's density sum adds its child blocks' densities; the block of the largest sum
+holds the main text. The sparsest block on its path to the body is the threshold: blocks beside that path which are
+denser and hold text of their own (headings, paragraphs, or several blocks with a sum that compares) belong to it too.
+
+Tags say what is never text (menus, forms, scripts, asides). Names in class, id or role are weaker: a few that leave no
+doubt (adverts, comments, cookie notices, sidebars) cut a block; all others only help to choose among blocks, and cut
+inside the chosen one where its density says the same.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +38,27 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that mark what is not the article.
-NOT_ARTICLE = set(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb breadcrumbs comment comments commentary disqus cookie cookies consent gdpr notice notices footer "
-    "foot footnav header masthead menu menus nav navbar navigation navi sidebar sidebars sidenav aside share sharing social related recommended recommendations promo promos promotion promoted popup modal overlay newsletter "
-    "subscribe subscription signup login widget widgets sponsor sponsored sponsors pagination pager skip toolbar topbar discussion replies respond reactions complementary contentinfo search alert disclaimer".split()
+#: Whole names in class, id or role that leave no doubt.
+CERTAIN = set(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot ad-banner banner-ad sponsor sponsored sponsors comment comments comment-list commentlist comments-area disqus disqus_thread respond "
+    "cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices site-header site-footer page-header page-footer masthead contentinfo navigation navbar nav breadcrumb breadcrumbs "
+    "sidebar sidebars sidenav complementary newsletter subscribe pagination pager share-buttons social-share skip-link".split()
+)
+#: Words in names that often mark what is not the article.
+DOUBTFUL = CERTAIN | set(
+    "banner banners commentary footer foot footnav header menu menus navi aside share sharing social related recommended recommendations promo promos promotion promoted popup modal overlay subscription signup "
+    "login widget widgets skip toolbar topbar discussion replies reactions search alert disclaimer".split()
 )
+#: Blocks that hold text, and those that hold blocks.
+TEXT = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl pre blockquote table figure address details".split())
+HEADINGS = set("h1 h2 h3 hgroup".split())
+#: The share of the chosen block's sum that other blocks of text need to stay with it, and that a block with the heading
+#: needs to be chosen instead of what is around it; how much larger a doubtful block's sum must be to be chosen.
+KIN, HEADED, OUTWEIGHS = 0.25, 0.1, 4.0
+#: Shares of the threshold that text beside the path needs, and below which a block of a doubtful name is cut.
+LOOSE, THIN = 0.5, 0.25
 #: A comment, a declaration, or a tag, of which quoted values may hold >; where a quote isn't closed, the next > ends it.
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+"""
+_ATTRS = r"""(?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+'){0,64}+(?=>)|[^>]*+"""
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)({_ATTRS})>", re.S)
 _OPEN = re.compile(r"<[/A-Za-z!?]")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -47,48 +66,73 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _ARTICLE = {"article", "post", "entry", "story"}
 _WRAPPER = {"has", "no", "with", "without", "layout"}
+#: Tags whose content is markup or other text up to their end tag.
+_VERBATIM = RAW - {"svg", "math", "object", "template", "noscript"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total", "keep")
-
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip, self.kids, self.keep = tag, parent, skip, [], False
-        self.chars = self.link_chars = self.link_tags = 0
-        self.tags, self.density, self.total = 1, 0.0, 0.0
-
-
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in SKIP:
-        return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        return False
-    for name, a, b, c in _MARK.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role"):
-            for token in value.split():
-                parts = set(_WORD.findall(token))
-                # article-header is a part of the article, and has-sidebar wraps it.
-                if parts & NOT_ARTICLE and not _ARTICLE >= parts - NOT_ARTICLE > set() and not parts & _WRAPPER:
-                    return True
-    return False
+    __slots__ = ("tag", "kids", "parent", "depth", "skip", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "texts", "headed", "holds_h1")
+
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, named: int = 0):
+        self.tag, self.parent, self.skip, self.named, self.kids = tag, parent, skip, named, []
+        self.depth, self.holds_h1 = parent.depth + 1 if parent else 0, False
+        self.clear()
+
+    def clear(self) -> None:
+        self.chars = self.link_chars = self.link_tags = self.texts = 0
+        self.tags, self.density, self.total, self.headed = 1, 0.0, 0.0, self.tag in HEADINGS
+
+
+def _marks(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether a tag is hidden, and how sure its names are that it isn't the article: 0, 1 (doubtful) or 2 (certain)."""
+    hidden, named = False, 0
+    if attrs and tag not in ("body", "html", "article", "main"):
+        for name, a, b, c in _MARK.findall(attrs):
+            name, value = name.lower(), (a or b or c).lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                hidden = True
+            elif name in ("class", "id", "role") and tag not in HEADINGS:
+                for token in value.split():
+                    parts = set(_WORD.findall(token))
+                    if token in CERTAIN:
+                        named = 2
+                    # article-header is a part of the article, and has-sidebar wraps it.
+                    elif parts & DOUBTFUL and not _ARTICLE >= parts - DOUBTFUL > set() and not parts & _WRAPPER:
+                        named = max(named, 1)
+    return hidden, named
+
+
+class _Stack:
+    """The open tags, with the places of each tag name and of blocks, so that no step walks the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        for kind in (node.tag, *(("",) if node.tag in BLOCK else ())):
+            self.places[kind].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the last open tag of these names, 0 without one; the empty name stands for all blocks."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, upto: int) -> None:
+        while len(self.nodes) > upto:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.places[""].pop()
 
 
 def parse(text: str) -> Node:
-    """The DOM of a page, tolerant of missing and stray end tags; children are nodes and strings in page order."""
+    """The DOM of a page, tolerant of missing and stray end tags; children are nodes and strings in page order. Takes
+    time in proportion to the page, however deep it is nested. The root's named has the bits of all names in it."""
     root = Node("html", None)
-    at, pos, stack = root, 0, [root]
-
-    def close(upto: int) -> None:
-        nonlocal at
-        del stack[upto:]
-        at = stack[-1]
-
-    n = len(text)
+    stack, pos, n, final = _Stack(root), 0, len(text), text.rfind(">")
     while pos < n:
-        m = _TAG.search(text, pos)
+        m = _TAG.search(text, pos) if pos <= final or text.startswith("<!--", pos) else None
+        at = stack.nodes[-1]
         if m is None:
             cut = _OPEN.search(text, pos)  # a tag that the page's end leaves open
             at.kids.append(text[pos : cut.start() if cut else n])
@@ -100,140 +144,187 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break
+            place = stack.last(tag)
+            # An inline end tag closes nothing outside its table cell.
+            if place and (tag in BLOCK or place > stack.last("td", "th", "table")):
+                stack.close(place)
             continue
         if tag == "html":
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in ENDS_P and (place := stack.last("p")) and place >= stack.last(""):
+            stack.close(place)
         if tag in ENDS:
             ends, stops = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close(k)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif stack[k].tag in stops:
-                    break
-        if tag == "body":
-            for k in range(1, len(stack)):
-                if stack[k].tag == "head":
-                    close(k)
+            while (place := stack.last(*ends)) and place > stack.last(*(stops - ends)):
+                stack.close(place)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
-        node = Node(tag, at, at.skip or _unwanted(tag, m[3]))
+        if tag == "body" and (place := stack.last("head")):
+            stack.close(place)
+        at = stack.nodes[-1]
+        hidden, named = _marks(tag, m[3])
+        own_header = tag == "header" and stack.last("article") > 0
+        node = Node(tag, at, at.skip or hidden or tag in SKIP and not own_header, named)
         at.kids.append(node)
+        root.named |= named
+        while tag == "h1" and at is not None and not at.holds_h1:
+            at.holds_h1, at = True, at.parent
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in _VERBATIM:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, pos)
-            if tag not in ("svg", "math", "object", "template", "noscript"):
-                node.kids.append(text[pos : end.start() if end else n])
-                pos = end.end() if end else n
-                continue
+            node.kids.append(text[pos : end.start() if end else n])
+            pos = end.end() if end else n
+            continue
         if not m[3].endswith("/") or tag not in ("svg", "math"):
-            stack.append(node)
-            at = node
+            stack.push(node)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Sets the counts of every node, bottom up without recursion; returns the nodes parents first."""
-    order, todo = [], [root]
+def _cut(x: Node, sure: int) -> bool:
+    """Whether a block's names are at least so sure; one that holds a page's heading wraps the article instead."""
+    return x.named >= sure and not x.holds_h1
+
+
+def measure(top: Node, sure: int = 3, ratio: float | None = None) -> tuple[list[Node], float]:
+    """Sets counts, densities and sums of every node, bottom up without recursion. Returns the nodes in page order, without
+    those that are cut, and the body's share of characters in links, if it isn't given."""
+    order, todo = [], [top]
     while todo:
         node = todo.pop()
+        node.clear()
         order.append(node)
-        todo += [k for k in node.kids if isinstance(k, Node) and not k.skip]
+        todo += reversed([k for k in node.kids if isinstance(k, Node) and not k.skip and not _cut(k, sure)])
     for node in reversed(order):
-        for k in node.kids:
-            if not isinstance(k, Node):
-                node.chars += len(_SPACE.sub("", k)) if k.strip() else 0
-            elif not k.skip:
-                node.chars += k.chars
-                node.tags += k.tags
-                node.link_chars += k.link_chars
-                node.link_tags += k.link_tags
+        node.chars += sum(len(_SPACE.sub("", k)) for k in node.kids if not isinstance(k, Node))
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
-    return order
+        if node.tag in BLOCK and node.chars and not node.texts:
+            node.texts = 1
+        if node is not top:
+            up = node.parent
+            up.chars += node.chars
+            up.tags += node.tags
+            up.link_chars += node.link_chars
+            up.link_tags += node.link_tags
+            up.texts += node.texts
+            up.headed |= node.headed and node.chars > 0
+    if ratio is None:
+        body = _body(order)
+        ratio = body.link_chars / max(1, body.chars)
+    for x in reversed(order):
+        if x.chars:
+            x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, ratio)
+        if x is not top:  # inline tags hand on what is in them
+            x.parent.total += x.density if x.tag in BLOCK else x.total
+    return order, ratio
 
 
-def extract(page: str | None) -> str:
-    """The main text; blocks joined by two line feeds, white space inside a block as one space. Null and no text: empty."""
-    if not page:
-        return ""
-    root = parse(page)
-    order = _measure(root)
-    body = next((x for x in order if x.tag == "body"), root)
-    if not body.chars:
-        return ""
-    ratio = body.link_chars / body.chars
-    for x in order:
-        if x.chars:
-            c, plain = x.chars, max(x.chars - x.link_chars, 1)
-            links, link_tags = max(x.link_chars, 1), max(x.link_tags, 1)
-            base = math.log(c / plain * links + ratio * c + math.e)
-            x.density = c / x.tags * math.log(max(c / links * x.tags / link_tags, 1.0) + 1e-9, base) if base > 0 else 0.0
-    for x in order:
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.skip) + 1e-6 * x.density
-    inside = _measured(body)
-    named = [x for x in inside if x.tag in ("article", "main")]
-    best = max(inside, key=lambda x: (x.total, -len(_path(x))))
-    #: The path to the body gives the threshold: nothing sparser than its sparsest node is article text.
-    threshold = min(x.density for x in _path(best, body))
-    top = best
-    for x in _path(best, body):
-        if x.tag in ("article", "main"):
-            top = x
-            break
-    else:
-        if named:
-            longest = max(named, key=lambda x: x.chars)
-            top = longest if 2 * longest.chars >= best.chars else best
-    while top.tag not in ("article", "main", "body") and top.parent is not None and top is not body:
-        # Kin of the chosen node: its parent is taken while what it adds is text of at least the threshold's density.
-        up = top.parent
-        extra = up.chars - top.chars
-        if up.tag in ("html",) or not extra and up.tag not in BLOCK:
-            break
-        rest = [k for k in up.kids if k is not top and isinstance(k, Node) and not k.skip and k.chars]
-        loose = any(not isinstance(k, Node) and k.strip() for k in up.kids)
-        if extra and not loose and any(k.density < threshold and 3 * k.link_chars > k.chars for k in rest):
-            break
-        top = up
-    for x in _measured(top):
-        # Link lists inside the chosen subtree are menus, not text.
-        if x is not top and x.tag in ("ul", "ol", "div", "section", "p", "table") and x.link_tags >= 3 and x.link_chars >= 0.8 * x.chars:
-            x.skip = True
-    return render(top)
+def _body(order: list[Node]) -> Node:
+    return next((x for x in order if x.tag == "body"), order[0])
 
 
-def _measured(top: Node) -> list[Node]:
-    out, todo = [], [top]
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Characters per tag, by a logarithm that falls with the share of links; ratio is the body's share of characters in
+    links."""
+    plain, links = max(chars - link_chars, 1), max(link_chars, 1)
+    base = math.log(chars / plain * links + ratio * chars + math.e)
+    return chars / tags * math.log(max(chars / links * tags / max(link_tags, 1), 1.0) + 1e-9, base)
+
+
+def _kids(x: Node, order: set[int]) -> list[Node]:
+    """The measured blocks right below a node, through inline tags, that hold text."""
+    out, todo = [], [k for k in x.kids if isinstance(k, Node)]
     while todo:
-        x = todo.pop()
-        out.append(x)
-        todo += [k for k in x.kids if isinstance(k, Node) and not k.skip]
+        k = todo.pop()
+        if id(k) in order and k.chars:
+            if k.tag in BLOCK:
+                out.append(k)
+            else:
+                todo += [y for y in k.kids if isinstance(y, Node)]
     return out
 
 
-def _path(x: Node, body: Node | None = None) -> list[Node]:
+def choose(order: list[Node]) -> tuple[Node, float]:
+    """(the block of the largest density sum, the smallest density on its path to the body).
+
+    Where all that stands around one block are bare boxes, and it alone holds the heading, that block is chosen instead:
+    in a very short article a single box of text may outweigh it.
+    """
+    known, body = set(map(id, order)), _body(order)
+    best = max((x for x in order if x.chars and (x.tag in BLOCK or x is body)), key=lambda x: (x.total, x.depth), default=body)
+    while True:
+        below = _kids(best, known)
+        inner = [k for k in below if k.tag not in TEXT and k.headed and k.total >= HEADED * best.total]
+        if len(inner) != 1 or any(k is not inner[0] and (k.tag in TEXT or k.headed) for k in below):
+            break
+        best = inner[0]
+    return best, min(x.density for x in _path(best, body))
+
+
+def _path(x: Node, body: Node) -> list[Node]:
     out = [x]
-    while x.parent is not None and x is not body:
+    while x is not body and x.parent is not None:
         x = x.parent
         out.append(x)
     return out
 
 
+def kin(order: list[Node], top: Node, threshold: float) -> list[Node]:
+    """The chosen block and the blocks beside its path to the body that belong to it, in page order."""
+    known, place = set(map(id, order)), {id(x): i for i, x in enumerate(order)}
+    path = _path(top, _body(order))
+    on_path, out = set(map(id, path)), [top]
+    for up in path[1:]:
+        if up.tag in BLOCK or up is path[-1]:
+            for k in _kids(up, known):
+                if k.tag in HEADINGS or k.tag == top.tag == "article":
+                    own = 2 * k.link_chars < k.chars
+                elif k.tag in TEXT:
+                    own = k.density >= LOOSE * threshold
+                else:
+                    own = k.texts >= 2 and k.density >= threshold and k.total >= KIN * top.total
+                if own and id(k) not in on_path:
+                    out.append(k)
+    return sorted(out, key=lambda x: place[id(x)])
+
+
+def extract(page: str | None) -> str:
+    """The main text; blocks joined by two line feeds, white space inside a block as one space. Null and no text: empty."""
+    if not page:
+        return ""
+    root = parse(page)
+    order, ratio = measure(root, 1)
+    top, threshold = choose(order)
+    if root.named & 1:
+        total = top.total
+        order, ratio = measure(root, 2)
+        top, threshold = choose(order)
+        if top.total <= OUTWEIGHS * total:
+            order, ratio = measure(root, 1)
+            top, threshold = choose(order)
+    if root.named and not root.chars:  # all that there is has such a name
+        order, ratio = measure(root)
+        top, threshold = choose(order)
+        return "\n\n".join(filter(None, map(render, kin(order, top, threshold))))
+    known = set(map(id, order))
+    parts = kin(order, top, threshold)
+    todo = list(parts)
+    while todo:
+        x = todo.pop()
+        if id(x) not in known and not x.skip:
+            if _cut(x, 2):
+                x.skip = True
+            else:  # a doubtful name stays unless its density says so too
+                measure(x, 2, ratio)
+                x.skip = 2 * x.link_chars >= x.chars or x.density < THIN * threshold
+            continue
+        if top.tag in ("body", "html") and x is not top and x.tag in BLOCK and x.link_tags >= 3 and x.link_chars >= 0.8 * x.chars and x.density < threshold:
+            x.skip = True  # a list of links beside loose paragraphs is a menu
+        todo += [k for k in x.kids if isinstance(k, Node) and not k.skip]
+    return "\n\n".join(filter(None, map(render, parts)))
+
+
 def render(top: Node) -> str:
     """The text below a node in page order."""
     blocks, line = [], []
@@ -271,7 +362,8 @@ def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without the html and with text and n_chars (code points); one row for each, nothing shuffled.
 
-    Null and empty pages and pages without body text have an empty text. A column named text or n_chars is replaced.
+    Null and empty pages and pages without body text have an empty text; repeated rows get the same text each. A column
+    named text or n_chars is replaced.
     """
     small_batches(pages.sparkSession)
     out = pages.withColumn("text", main_text(F.col(column)))

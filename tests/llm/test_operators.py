@@ -61,6 +61,32 @@ def test_word_hashes():
     assert _text.hashed_words([], _text.ALNUM)[0].size == 0
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t[:n], t[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 65, 512, 1024, 2048, 4096])
+def test_words_that_polynomials_confuse(n):
+    one, two = thue_morse(n)
+    h, k, first = _text.hashed_words([one.encode(), two.encode(), one.upper().encode()], _text.NON_SPACE, (0, 1))
+    assert h[0] == h[2] != h[1] and k[0] == k[2] != k[1] and h[0] != k[0] and first.tolist() == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_thue_morse_words(spark, n):
+    """As words, in shingles and in windows, by brute force."""
+    one, two = thue_morse(n)
+    rows = [(1, one), (2, two), (3, f"{one} b c d e f"), (4, f"{two} b c d e f"), (5, " ".join([one] * 13)), (6, " ".join([two] * 13)), (7, one), (8, f"x {' '.join([two] * 14)}")]
+    items = [(1, one), (2, " ".join([two] * 13)), (3, "b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == contamination(rows, items)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()} == jaccard(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 520)] + [(5, 5)]
@@ -117,6 +143,88 @@ def test_main_text(page):
     assert html_density.extract(page) == PAGES[page]
 
 
+def naive_density(node, ratio):
+    """(characters, tags, link characters, link tags, blocks' density sum, density) of a node, by plain recursion."""
+    chars = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
+    tags, links, link_tags, total = 1, 0, 0, 0.0
+    for k in node.kids:
+        if not isinstance(k, str) and not k.skip:
+            c, n, lc, lt, inner, own = naive_density(k, ratio)
+            chars, tags, links, link_tags = chars + c, tags + n, links + lc, link_tags + lt
+            total += own if k.tag in html_density.BLOCK else inner
+    if node.tag == "a":
+        links, link_tags = chars, tags
+    if not chars:
+        return chars, tags, links, link_tags, total, 0.0
+    base = np.log(chars / max(chars - links, 1) * max(links, 1) + ratio * chars + np.e)
+    return chars, tags, links, link_tags, total, chars / tags * np.log(max(chars / max(links, 1) * tags / max(link_tags, 1), 1.0) + 1e-9) / np.log(base)
+
+
+def made_up_page(rng):
+    def block(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{prose(rng, rng.randrange(1, 30))} <a href=x>{prose(rng, rng.randrange(3))}</a> <b>{prose(rng, 2)}</b></p>"
+        return f"<{(t := rng.choice(['div', 'section', 'ul']))}>{''.join(block(depth - 1) for _ in range(rng.randrange(1, 5)))}</{t}>"
+
+    return f"<body><nav>x</nav>{''.join(block(4) for _ in range(rng.randrange(1, 4)))}</body>"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_density_sums(seed):
+    root = html_density.parse(made_up_page(random.Random(seed)))
+    order, ratio = html_density.measure(root)
+    for x in order:
+        want = naive_density(x, ratio)
+        assert (x.chars, x.tags, x.link_chars, x.link_tags) == want[:4] and (x.total, x.density) == pytest.approx(want[4:])
+    blocks = [x for x in order if x.tag in html_density.BLOCK and x.chars]
+    best = max(blocks, key=lambda x: naive_density(x, ratio)[4])
+    top, threshold = html_density.choose(order)
+    assert top.total == pytest.approx(naive_density(best, ratio)[4])
+    path = [x for x in order if x is top or top.depth > x.depth and x.tag == "body" or any(y is x for y in ancestors(top))]
+    assert threshold == pytest.approx(min(naive_density(x, ratio)[5] for x in path if x.tag != "html"))
+
+
+def ancestors(x):
+    while x.parent is not None:
+        x = x.parent
+        yield x
+
+
+def test_names_do_not_decide():
+    """The same text without the article's tag and the advert's class, or with misleading names."""
+    rng = random.Random(8)
+    for words in (1, 4, 20, 300):
+        body = "".join(f"<p>{prose(rng, words)}</p>" for _ in range(3))
+        page = f'<body><nav><a href=1>Menu</a></nav><div class="ad">{prose(rng, 9)}</div><article><h1>{prose(rng, 5)}</h1>{body}</article><footer>x</footer></body>'
+        want = html_density.extract(page)
+        assert want.count("\n\n") == 3
+        for old, new in (("article", "div"), ('class="ad"', ""), ("<article", '<article class="widget-content"'), ("<article", '<article id="discussion search"')):
+            assert html_density.extract(page.replace(old, new)) == want
+        assert html_density.extract(page.replace("article", "div").replace('class="ad"', "")) == want
+
+
+def test_nothing_else_is_dropped():
+    two = "<article><h1>A</h1><p>First text is here, quite long as it is.</p></article><article><h1>B</h1><p>Second.</p></article>"
+    assert html_density.extract(f"<body>{two}</body>") == "A\n\nFirst text is here, quite long as it is.\n\nB\n\nSecond."
+    inside = '<section class="social history"><p>A history of society, in words.</p></section><div class="alert"><p>An alert that is part of it.</p></div><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul>'
+    got = html_density.extract(f'<body><div class="widget-content"><h2>T</h2><p>Some text of the article, first.</p>{inside}</div></body>')
+    assert got == "T\n\nSome text of the article, first.\n\nA history of society, in words.\n\nAn alert that is part of it.\n\none\n\ntwo\n\nthree"
+    ad = '<article><p>Some text of the article, first.</p><div class="ad">Buy it</div><div class="related"><a>Other</a></div><p>Some text of the article, second.</p></article>'
+    assert html_density.extract(ad) == "Some text of the article, first.\n\nSome text of the article, second."
+
+
+DEEP = ["<b>" * 200_000, "<b>" * 5_000 + "</i>" * 200_000, "<div>" * 100_000 + "x" + "</span>" * 100_000, "<div" * 200_000, '<a "' * 100_000, "<i><table><tr><td>" + "<b>" * 100_000 + "</i>" * 100_000, "<div class='widget'><p>x</p>" * 20_000]
+
+
+@pytest.mark.parametrize("page", DEEP, ids=range(len(DEEP)))
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    html_density.extract(page)
+    assert time.process_time() - begin < 8  # two seconds here when nothing else runs; quadratic time is minutes
+
+
 def test_extract_pages(spark):
     rows = [(i, "u", p) for i, p in enumerate(PAGES)] + [(None, None, None), (0, "u", next(iter(PAGES))), (99, "u", "<article>" + "<p>word &amp; more</p>" * 50_000 + "</article>")]
     out = html_density.extract_pages(clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
