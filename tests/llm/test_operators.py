@@ -127,6 +127,65 @@ def test_url_mining(spark):
     assert url_rules.filter_urls(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def naive_rules(rows, least, most, confidence, lift, accident, size=3):
+    """All rules by counting every set of up to three tokens of every row; tokens in equal rows are one."""
+    from itertools import combinations
+    from statistics import NormalDist
+
+    places = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            places.setdefault(t, set()).add(i)
+    groups = {}
+    for t, at in places.items():
+        if least <= len(at) <= most:
+            groups.setdefault(frozenset(at), []).append(t)
+    bad = {i for i, (_, b) in enumerate(rows) if b}
+    rate, counts = len(bad) / len(rows), {}
+    for m in range(1, size + 1):
+        for chosen in combinations(groups, m):
+            at = frozenset.intersection(*chosen)
+            if len(at) >= least:
+                counts[frozenset(chosen)] = at
+    z = NormalDist().inv_cdf(1 - accident / len(counts))
+    good = {c: len(at & bad) / len(at) for c, at in counts.items() if len(at & bad) >= max(confidence, lift * rate) * len(at) and len(at & bad) - len(at) * rate > z * (len(at) * rate * (1 - rate)) ** 0.5}
+    kept = {}
+    for c in sorted(good, key=len):
+        if all(kept[w] < good[c] for w in kept if w < c):
+            kept[c] = good[c]
+    return {(frozenset(t for g in c for t in groups[g]), round(p, 9), len(counts[c])) for c, p in kept.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_rules_by_counting(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        tokens = [f"a{rng.randrange(5)}", f"b{rng.randrange(4)}", *(["c", "c2"] if rng.random() < 0.3 else []), *(["d"] if rng.random() < 0.5 else []), "everywhere"]
+        risk = 0.1 + 0.4 * ("a1" in tokens and "b2" in tokens) + 0.3 * ("c" in tokens and "d" in tokens) + 0.3 * ("a0" in tokens)
+        rows.append((tokens, rng.random() < risk))
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_count=10, min_support=0.0, min_confidence=0.3)
+    want = naive_rules(rows, 10, 0.95 * 600, 0.3, url_rules.MIN_LIFT, url_rules.ACCIDENT)
+    assert {(k, round(c, 9), n) for k, c, n in got} == want and len(want) >= 2 and any(len(k) > 1 for k, _, _ in want)
+
+
+def test_many_shared_parameters(spark):
+    """Sets of tokens that always come together, and of many that mostly do, end in seconds."""
+    rng = random.Random(4)
+    names = [f"q:{i}" for i in range(40)]
+    same = [([*names, "h0:x"], i % 2 == 0) for i in range(300)] + [(["h0:y"], False) for _ in range(300)]
+    found = url_rules.mine(spark.createDataFrame(same, "tokens array<string>, blocked boolean"))
+    assert found == [(frozenset([*names, "h0:x"]), 0.5, 300)]
+    mostly = [([*rng.sample(names, 30), "h0:x"], i % 2 == 0) for i in range(300)] + [(["h0:y"], False) for _ in range(300)]
+    assert (frozenset(["h0:x"]), 0.5, 300) in url_rules.mine(spark.createDataFrame(mostly, "tokens array<string>, blocked boolean"))
+
+
+def test_listed_verdicts_teach(spark):
+    pages = [(i, f"http://{'a' if i % 3 else 'b'}.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(300)] + [(1000 + i, f"http://c.net/{'de' if i % 2 else 'fr'}/{i}") for i in range(10)]
+    out = url_rules.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), rules=url_rules.RULES)
+    assert {r["page_id"]: r["verdict"] for r in out.where("rule is null").collect()} == {1000 + i: "block" if i % 2 else "allow" for i in range(10)}
+
+
 # 2: text density
 
 PAGES = {
