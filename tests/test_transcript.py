@@ -118,6 +118,13 @@ def test_context_turns(spark, seed):
         ("python3 - <<'P'\ns = open('f').read()\nprint(s.replace('a', 'b'))\nP\n", (0, 0)), ("python3 - <<'P'\nold = 'a\\nb\\n'\nnew = 'x\\n'\np.write_text(s.replace(old, new))\nP\n", (1, 2)),
         ("python3 - <<'P'\nnew = 'a'\nnew = new + y\np.write_text(s.replace('old', new))\nP\n", (0, 0)), ("python3 -c 'p.write_text(s.replace(\"a\", \"b\\nc\"))'", (2, 1)), ("python3 - <<'P'\ndef (:\nP\n", (0, 0)),
         ("python - <<'P'\nimport re\nopen('f', 'w').write(re.sub('x', 'y\\nz', t))\nP\n", (2, 1)), ("python - <<'P'\nsys.stdout.write('a')\nP\n", (0, 0)),
+        # Several commands, pipelines, substitutions, quotes and comments.
+        ("cat > a <<'A'\n1\n2\nA\ncat >> b <<B\n3\nB\n", (3, 0)), ("cd x && cat >f <<E; echo done > log\na\nE\nls", (1, 0)), ("cat <<E | tee f\na\nb\nE\n", (2, 0)), ("sudo tee f >/dev/null <<E\na\nE\n", (1, 0)),
+        ("git commit -m \"$(cat <<'E'\nsubject\n\nbody\nE\n)\"\n", (0, 0)), ("psql db <<'Q'\nselect 1;\nQ\n", (0, 0)), ("node - <<'J'\nfs.write('a')\nJ\n", (0, 0)), ("cat <<E 2> err\na\nE\n", (0, 0)), ("cat <<E >&2\na\nE\n", (0, 0)),
+        ("echo \"cat > f <<E\"\n", (0, 0)), ("# don't: cat > f <<E\ncat > g <<E\na\nE\n", (1, 0)), ("cat > 'a b' <<\"E F\"\n1\nE F\n", (1, 0)), ("cat > f <<E\nit's\nE\ncat > g <<E\n\"x\nE\n", (2, 0)), ("x=$((1<<2)); cat > f <<E\na\nE\n", (1, 0)),
+        ("cat <<< word > f", (0, 0)), ("git apply --index <<'P'\n+a\nP\n", (1, 0)), ("cat > f <<E\nnever ends", (1, 0)), ("python3 -c \"p.write_text('a\\nb')\" && ls", (2, 0)), ("python3 -c 'open", (0, 0)), ("cat > f <<E\n\nE\n", (0, 0)),
+        ("python3.12 - <<'P'\np.write_text('a')\nP\n", (1, 0)), ("pythonx - <<'P'\np.write_text('a')\nP\n", (0, 0)), ("cat file | python3 - <<'P'\nfor new in ('a', 'b'):\n    s = s.replace('old', new)\np.write_text(s)\nP\n", (0, 0)),
+        ("echo $(cat > f <<E\na\nE\n) > g", (1, 0)), ("(cat > f <<E\na\nE\n)", (1, 0)), ("cat > f <<E && cat > g <<F\n1\nE\n2\nF\n", (2, 0)),
     ],
 )
 def test_shell_churn(command, want):
