@@ -16,7 +16,8 @@ _COUNTERS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "ca
 _CALL = "struct<" + ",".join(f"{c}:bigint" for c in _COUNTERS) + ",cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>"
 
 
-def _get(variant: str, path: str, kind: str = "string"):
+def field(variant: str, path: str, kind: str = "string"):
+    """A field of a variant column, null if it is missing or of another kind."""
     return F.expr(f"try_variant_get({variant}, '{path}', '{kind}')")
 
 
@@ -31,10 +32,10 @@ def events(lines: DataFrame) -> DataFrame:
     """
     parsed = lines.select("file_key", "line_num", F.expr("try_parse_json(value)").alias("v")).where(_is("v", "OBJECT"))
     out = parsed.select(
-        "file_key", "line_num", _get("v", "$.type").alias("type"), F.nullif(_get("v", "$.uuid"), F.lit("")).alias("uuid"),
-        F.coalesce(_get("v", "$.requestId"), F.lit("")).alias("request_id"), F.coalesce(_get("v", "$.timestamp"), F.lit("")).alias("ts_text"),
-        (_is("try_variant_get(v, '$.isApiErrorMessage', 'variant')", "BOOLEAN") & F.coalesce(_get("v", "$.isApiErrorMessage", "boolean"), F.lit(False)) & (F.coalesce(_get("v", "$.error"), F.lit("")) == "rate_limit")).alias("limited"),
-        F.coalesce(_get("v", "$.message.model"), F.lit("")).alias("model"), _get("v", "$.message.content", "variant").alias("content"), _get("v", "$.message.usage", "variant").alias("usage"),
+        "file_key", "line_num", field("v", "$.type").alias("type"), F.nullif(field("v", "$.uuid"), F.lit("")).alias("uuid"),
+        F.coalesce(field("v", "$.requestId"), F.lit("")).alias("request_id"), F.coalesce(field("v", "$.timestamp"), F.lit("")).alias("ts_text"),
+        (_is("try_variant_get(v, '$.isApiErrorMessage', 'variant')", "BOOLEAN") & F.coalesce(field("v", "$.isApiErrorMessage", "boolean"), F.lit(False)) & (F.coalesce(field("v", "$.error"), F.lit("")) == "rate_limit")).alias("limited"),
+        F.coalesce(field("v", "$.message.model"), F.lit("")).alias("model"), field("v", "$.message.content", "variant").alias("content"), field("v", "$.message.usage", "variant").alias("usage"),
     ).where(F.col("type").isin("user", "assistant"))
     blocks = F.when(_is("content", "ARRAY"), F.expr("try_cast(content as array<variant>)")).when(_is("content", "STRING"), F.expr("array(to_variant_object(named_struct('type', 'text', 'text', cast(content as string))))"))
     usable = (F.col("type") == "assistant") & ~F.col("limited") & _is("usage", "OBJECT<") & (F.expr("schema_of_variant(usage)") != "OBJECT<>") & (F.col("model") != "<synthetic>")
@@ -49,13 +50,13 @@ def _texts(blocks: str = "blocks"):
 def usage_columns(usage: str = "usage") -> dict:
     """Token counts of one line: over all calls if the line lists several, and the largest context of a single call."""
     calls = F.expr(f"from_json(to_json(try_variant_get({usage}, '$.iterations', 'variant')), 'array<{_CALL}>')")
-    top = {c: F.coalesce(_get(usage, f"$.{c}", "bigint"), F.lit(0)) for c in _COUNTERS}
+    top = {c: F.coalesce(field(usage, f"$.{c}", "bigint"), F.lit(0)) for c in _COUNTERS}
     several = F.size(F.coalesce(calls, F.array())) > 0
     total = lambda f: F.aggregate(calls, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(f(x), F.lit(0)))
     kept = {k: (lambda x, k=k: x["cache_creation"][f"ephemeral_{k}_input_tokens"]) for k in ("5m", "1h")}
     split = several & F.exists(calls, lambda x: x["cache_creation"].isNotNull())
     out = {c: F.when(several, total(lambda x, c=c: x[c])).otherwise(v) for c, v in top.items()}
-    out |= {f"eph{k}": F.when(split, total(f)).otherwise(F.coalesce(_get(usage, f"$.cache_creation.ephemeral_{k}_input_tokens", "bigint"), F.lit(0))) for k, f in kept.items()}
+    out |= {f"eph{k}": F.when(split, total(f)).otherwise(F.coalesce(field(usage, f"$.cache_creation.ephemeral_{k}_input_tokens", "bigint"), F.lit(0))) for k, f in kept.items()}
     context = lambda x: sum(F.coalesce(x[c], F.lit(0)) for c in _COUNTERS if c != "output_tokens")
     out["calls"] = F.when(calls.isNotNull(), F.size(calls))
     out["peak"] = F.when(F.size(calls) > 1, F.array_max(F.transform(calls, context)))
@@ -174,9 +175,9 @@ def browse(lines: DataFrame) -> DataFrame:
     """(file_key, line_num, kind, ts, text): every line as a reader sees it, one row for each block; lines that are no JSON
     are of kind parse_error."""
     v = lines.select("file_key", "line_num", F.expr("try_parse_json(value)").alias("v"), "value")
-    kind = F.coalesce(_get("v", "$.type"), F.lit("parse_error"))
-    content = _get("v", "$.message.content", "variant")
-    rows = v.select("file_key", "line_num", kind.alias("line_kind"), _get("v", "$.timestamp").alias("ts_text"), "value", content.alias("content"), F.coalesce(_get("v", "$.content"), F.lit("")).alias("note"))
+    kind = F.coalesce(field("v", "$.type"), F.lit("parse_error"))
+    content = field("v", "$.message.content", "variant")
+    rows = v.select("file_key", "line_num", kind.alias("line_kind"), field("v", "$.timestamp").alias("ts_text"), "value", content.alias("content"), F.coalesce(field("v", "$.content"), F.lit("")).alias("note"))
     one = F.expr("array(to_variant_object(named_struct('type', 'text', 'text', coalesce(try_cast(content as string), note))))")
     rows = rows.withColumn("b", F.explode(F.when(_is("content", "ARRAY"), F.expr("try_cast(content as array<variant>)")).otherwise(one)))
     block = F.expr("try_variant_get(b, '$.type', 'string')")

@@ -263,8 +263,9 @@ def session_context(t: Tables, session_id: str) -> DataFrame:
     return rows.select("session_id", F.col("ctx_turns").alias("turns"), F.size("ctx_turns").alias("total"), F.try_element_at("ctx_turns", F.lit(-1))["input"].alias("final"))
 
 
-def session_list(t: Tables, project: str | None = None, limit: int = 50, cursor: tuple[datetime, str] | None = None) -> DataFrame:
-    """Sessions, latest beginning first; pages are told apart by (beginning, session), so that ties lose nothing."""
+def session_list(t: Tables, project: str | None = None, limit: int = 50, cursor: tuple[datetime, str] | None = None, sort: str | None = None) -> DataFrame:
+    """Sessions, latest beginning first, or by falling values of another column; pages are told apart by (beginning,
+    session), so that ties lose nothing."""
     rows = t.records.where("is_canonical").join(t.files.select("file_key", "project_id", "session_id"), "file_key")
     rows = rows.where(F.col("project_id") == project) if project else rows
     tokens = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
@@ -276,7 +277,7 @@ def session_list(t: Tables, project: str | None = None, limit: int = 50, cursor:
     at = F.coalesce("first_event_at", F.lit(time.EPOCH))
     if cursor:
         out = out.where((at < F.lit(cursor[0])) | (at == F.lit(cursor[0])) & (F.col("session_id") > cursor[1]))
-    return out.orderBy(at.desc(), "session_id").limit(limit + 1)
+    return out.orderBy(F.desc_nulls_last(sort) if sort else at.desc(), "session_id").limit(limit + 1)
 
 
 def session_detail(t: Tables, session_id: str) -> DataFrame:

@@ -62,9 +62,9 @@ def slices(rows: DataFrame, minutes: int = 30, alpha: float = SLICE_ALPHA) -> Da
     return series.ema(out, ["one"], ["mid", "session_no", "slice"], "output_per_h", alpha, "output_ema").drop("one")
 
 
-def boundaries(rows: DataFrame, middle: bool = False) -> DataFrame:
+def boundaries(rows: DataFrame, middle: bool = False, gap_s: int = 18000) -> DataFrame:
     """Where pauses of five hours lie."""
-    return series.gap_boundaries(rows.withColumn("one", F.lit(0)), ["one"], "ts", middle=middle).drop("one")
+    return series.gap_boundaries(rows.withColumn("one", F.lit(0)), ["one"], "ts", gap_s, middle).drop("one")
 
 
 def limit_hits(t: Tables, start: datetime, end: datetime, apart_s: float = 60) -> DataFrame:

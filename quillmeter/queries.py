@@ -7,49 +7,17 @@ epoch seconds, sums of doubles rounded.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions import pricing, text, time
 from quillmeter.operators import buckets, dedup, series
 from quillmeter.plans.panels import folded
-from quillmeter.session import prepare
+from quillmeter.registry import ORACLE_SQL, QUERIES, center, query, r, sec
 from quillmeter.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-#: Bucket middle in epoch seconds, for SQL.
-_CENTER = "cast(floor(epoch_us({ts}) / 1000000.0 / {w}) * {w} + {h} as bigint)"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: tables.read(prepare(spark), sf_dir, name))
-
-        QUERIES[f.__name__] = run
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def center(width: int, ts: str = "ts") -> str:
-    return _CENTER.format(ts=ts, w=width, h=width // 2)
-
-
-def sec(c: Column | str) -> Column:
-    return F.unix_seconds(c)
-
-
-def r(c: Column | str, digits: int = 4) -> Column:
-    return F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), digits)
-
 
 def _percentiles(width: int):
     def f(t):
@@ -72,30 +40,6 @@ def bucket_usage(t):
     return out.select(sec("bucket").alias("bucket"), "event_type", "n", r("total").alias("total"))
 
 
-def _rollup(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("requests"), F.sum("value").alias("tokens"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-
-
-@query("""select user_id, epoch(date_trunc('hour', ts))::bigint as hour, event_type, count(*) as requests, round(sum(value), 4) as tokens,
-    epoch_us(min(ts)) // 1000000 as first_ts, epoch_us(max(ts)) // 1000000 as last_ts from events group by 1, 2, 3""")
-def usage_rollup(t):
-    """The usage rollup's grain."""
-    out = _rollup(t("events"))
-    return out.select("user_id", sec("hour").alias("hour"), "event_type", "requests", r("tokens").alias("tokens"), sec("first_ts").alias("first_ts"), sec("last_ts").alias("last_ts"))
-
-
-@query(f"""with h as (select date_trunc('hour', ts) as hour, event_type, count(*) as n, sum(value) as v from events group by 1, 2),
-    a as (select {center(21600, 'hour')} as bucket, event_type, sum(n)::bigint as rolled from h group by 1, 2),
-    b as (select {center(21600)} as bucket, event_type, count(*) as live from events group by 1, 2)
-    select bucket, event_type, rolled, live from a join b using (bucket, event_type)""")
-def rollup_vs_live(t):
-    """Buckets of an hour or more are the same from the rollup and from the rows."""
-    ev = t("events")
-    rolled = _rollup(ev).groupBy(time.bucket_center(F.col("hour"), 21600).alias("bucket"), "event_type").agg(F.sum("requests").alias("rolled"))
-    live = buckets.totals(ev, "ts", 21600, ["event_type"], {}).withColumnRenamed("n", "live")
-    return rolled.join(live, ["bucket", "event_type"]).select(sec("bucket").alias("bucket"), "event_type", "rolled", "live")
-
-
 @query(f"""with g as (select {center(21600)} as bucket, event_type, count(*) as n, count(distinct user_id) as s from events group by 1, 2)
     select bucket, event_type, n, case when row_number() over (partition by bucket order by event_type) = 1 then s else 0 end as session_count from g""")
 def hourly_first_row_attribution(t):
@@ -257,25 +201,6 @@ def error_rate_series(t):
     return series.error_rates(counts, "bucket", "event_type", "total", "errors", top=2).select("bucket", "series", "total", "errors", r("rate", 6).alias("rate"))
 
 
-@query("""with g as (select user_id, event_type, count(*) as n from events group by 1, 2), m as (select user_id, max(n) as n from g where event_type <> 'click' group by 1)
-    select g.user_id, min(event_type) as model from g join m on g.user_id = m.user_id and g.n = m.n where event_type <> 'click' group by 1""")
-def dominant_model(t):
-    """The most frequent key; the alphabetically first of several."""
-    return t("events").groupBy("user_id").agg(F.expr("mode() within group (order by case when event_type <> 'click' then event_type end)").alias("model"))
-
-
-@query("select user_id, array_to_string(list_sort(list(distinct event_type)), ',') as models from events where event_type <> 'click' group by 1")
-def models_used(t):
-    """Different keys of each session, as one text."""
-    return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("event_type") != "click", F.col("event_type")))), ",").alias("models")).where("models <> ''")
-
-
-@query("select event_type, sum(cast(json_extract(props, '$.k') as bigint))::bigint as k from events group by 1")
-def json_field_sum(t):
-    """A field of JSON texts, summed."""
-    return t("events").groupBy("event_type").agg(F.sum(F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')")).alias("k"))
-
-
 @query("select event_id % 7 as kind, count(*) as n from events where event_id % 7 <> 3 group by 1")
 def guarded_cast(t):
     """Times as text, some impossible: those are left out, and nothing fails."""
@@ -298,21 +223,6 @@ _TURNS = """with c as (select *, count(*) filter (where role = 'user') over (par
     y as (select conv_id, row_number() over w as idx, input, input - coalesce(lag(input) over w, 0) as delta from x where input > 0 window w as (partition by conv_id order by asked))"""
 
 
-@query(f"{_TURNS} select * from y")
-def turn_boundaries(t):
-    """Turns and how the context grew."""
-    return _turns(t)
-
-
-@query(f"""{_TURNS}, f as (select conv_id, max(idx) as n, arg_max(input, idx) as last from y group by 1)
-    select count(*) as n, trunc(avg(n))::bigint as mean, quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.9) as p90, max(last)::bigint as max from f""")
-def ctx_growth_stats(t):
-    """Turn counts and final inputs over all conversations."""
-    last = _turns(t).groupBy("conv_id").agg(F.max("idx").alias("n"), F.max_by("input", "idx").alias("last"))
-    p = lambda q: F.percentile(F.col("n").cast("double"), F.lit(q))
-    return last.agg(F.count("*").alias("n"), F.avg("n").cast("long").alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max("last").alias("max"))
-
-
 @query(f"{_TURNS}, s as (select idx, list(input order by input) as l from y group by 1) select idx, len(l)::bigint as n, l[least(len(l) - 1, floor(len(l) * 0.5)::bigint) + 1] as q50, l[least(len(l) - 1, floor(len(l) * 0.9)::bigint) + 1] as q90 from s")
 def per_turn_quantiles(t):
     """Percentiles as members of the sorted group."""
@@ -326,35 +236,12 @@ def prompt_classification(t):
     return t("conversations").groupBy("role", text.prompt_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""with x as (select conv_id, turn, role, lag(role) over w as p, lag(turn) over w as q from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn))
-    select conv_id, turn, turn - q as wait from x where role = 'assistant' and p = 'user'""")
-def reply_pairs(t):
-    """Answers with the text that they answer, if no other answer took it up."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t("conversations").where("role in ('user', 'assistant')").withColumns({"p": F.lag("role").over(w), "q": F.lag("turn").over(w)})
-    return rows.where("role = 'assistant' and p = 'user'").select("conv_id", "turn", (F.col("turn") - F.col("q")).alias("wait"))
-
-
 @query(r"select doc_id, (case when coalesce(text, '') = '' then 0 else length(text) - length(replace(text, E'\n', '')) + case when text like E'%\n' then 0 else 1 end end)::bigint as lines from documents")
 def line_counts(t):
     """Lines of texts."""
     return t("documents").select("doc_id", text.line_count(F.col("text")).alias("lines"))
 
 
-@query("select lang, count(*) as n, quantile_cont(length(text), 0.5) as p50, quantile_cont(length(text), 0.9) as p90 from documents where length(text) > 0 group by 1")
-def response_sizes_by_lang(t):
-    """Sizes of texts that aren't empty."""
-    p = lambda q: F.percentile(F.length("text").cast("double"), F.lit(q))
-    return t("documents").where(F.length("text") > 0).groupBy("lang").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"))
-
-
-@query("select lang, count(*) as n_total, count(toxic) as n_rated, count(*) filter (where toxic = 1) as n_error from documents left join labels using (doc_id) group by 1 having count(toxic) > 0")
-def tri_state_rate(t):
-    """Rates over what has a result; what has none counts in the total only."""
-    rows = t("documents").select("doc_id", "lang").join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("n_total"), F.count("toxic").alias("n_rated"), F.count_if(F.col("toxic") == 1).alias("n_error")).where("n_rated > 0")
-
-
 _MODELS = ["claude-opus-4-7", "anthropic/claude-sonnet-4.5", "us.claude-haiku-4-5-20251001", "claude-sonnet-9", "other-model"]
 _RATES = [(5.0, 25.0), (3.0, 15.0), (1.0, 5.0), (2.0, 10.0), (5.0, 25.0)]
 
@@ -374,11 +261,25 @@ def cost_by_model(t):
     return _priced(t).groupBy("model", F.col("rate.estimated").alias("estimated")).agg(r(F.sum(F.col("fresh_cost") + F.col("output_cost"))).alias("cost"))
 
 
-@query(f"select {_NAME} as model, round(sum(fresh_cost), 6) as fresh, round(sum(output_cost), 4) as output, round(sum(fresh_cost) + sum(output_cost) - sum(fresh_cost + output_cost), 6) + 0.0 as gap from {_PRICED} group by 1")
+_SPLIT = "(select *, l_suppkey % 5 as m, l_orderkey % 900 as fresh, l_partkey % 700 as made, l_partkey % 700 // 4 as five, l_partkey % 700 // 3 as hour, l_suppkey % 5000 as seen, l_linenumber * 7 as put from lineitem)"
+_PART_RATES = [(5.0, 6.25, 10.0, 0.5, 25.0), (3.0, 3.75, 6.0, 0.3, 15.0), (1.0, 1.25, 2.0, 0.1, 5.0), (2.0, 2.5, 4.0, 0.2, 10.0), (5.0, 6.25, 10.0, 0.5, 25.0)]
+
+
+def _rate(part: int) -> str:
+    return "case m " + " ".join(f"when {i} then {x[part]}" for i, x in enumerate(_PART_RATES)) + " end / 1e6"
+
+
+@query(f"""select {_NAME} as model, round(sum(fresh * {_rate(0)}), 6) as fresh, round(sum((five + greatest(0, made - five - hour)) * {_rate(1)}), 6) as create_5m, round(sum(hour * {_rate(2)}), 6) as create_1h, round(sum(seen * {_rate(3)}), 6) as read,
+    round(sum(put * {_rate(4)}), 6) as output, 0.0 as gap from {_SPLIT} group by m""")
 def cost_buckets(t):
-    """Parts of the cost add up to it."""
-    a, b = F.col("fresh_cost"), F.col("output_cost")
-    return _priced(t).groupBy("model").agg(r(F.sum(a), 6).alias("fresh"), r(F.sum(b)).alias("output"), (r(F.sum(a) + F.sum(b) - F.sum(a + b), 6) + 0.0).alias("gap"))
+    """Parts of the cost, cache writes of unknown duration included; they add up to the whole."""
+    made = (F.col("l_partkey") % 700).cast("long")
+    counts = F.col("l_orderkey") % 900, made, F.floor(made / 4), F.floor(made / 3), F.col("l_suppkey") % 5000, F.col("l_linenumber") * 7
+    rows = _priced(t)
+    parts = pricing.part_costs(F.col("rate.rates"), *counts)
+    rows = rows.withColumns({**parts, "whole": pricing.cost(F.col("rate.rates"), *counts)})
+    out = rows.groupBy("model").agg(*(F.sum(p).alias(p) for p in parts), F.sum("whole").alias("whole"))
+    return out.select("model", *(r(p, 6).alias(p) for p in parts), (r(sum(F.col(p) for p in parts) - F.col("whole"), 5) + 0.0).alias("gap"))
 
 
 @query("""with g as (select c_mktsegment || '-' || c_nationkey as k, sum(o_totalprice) as v from orders join customer on o_custkey = c_custkey group by 1), x as (select *, row_number() over (order by v desc, k) as rn, count(*) over () as n from g)
@@ -408,58 +309,29 @@ def dated_rates(t):
     return rows.select((F.col("epoch") > 0).alias("later"), "n", r(F.col("tokens") * rate["rates"]["fresh"], 2).alias("cost"))
 
 
-@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem where l_discount > 0 order by l_extendedprice desc, l_orderkey, l_linenumber limit 10")
-def topk_output(t):
-    """The largest rows, ties by key."""
-    return t("lineitem").where("l_discount > 0").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(10).select("l_orderkey", "l_linenumber", "l_extendedprice")
-
-
-@query("select o_orderkey, o_totalprice from orders where o_totalprice < 150000 or (o_totalprice = 150000 and o_orderkey > 7) order by o_totalprice desc, o_orderkey limit 25")
-def keyset_page(t):
-    """A page after a cursor of value and key."""
-    price, key = F.col("o_totalprice"), F.col("o_orderkey")
-    return t("orders").where((price < 150000) | ((price == 150000) & (key > 7))).orderBy(price.desc(), key).limit(25).select("o_orderkey", "o_totalprice")
-
-
-@query("select c_mktsegment, count(*) as n from customer where exists (select 1 from orders where o_custkey = c_custkey) group by 1")
-def files_with_records(t):
-    """Files that have records."""
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-
-
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_nationkey < 12)")
 def orphans(t):
-    """Files that have none."""
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Rows of files that are no longer listed go, those of listed ones stay."""
+    listed = t("customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.without_orphans(t("orders"), listed, "o_custkey").select("o_orderkey")
 
 
-@query("""with f as (select c_nationkey as p, count(distinct c_mktsegment) as sessions from customer group by 1), a as (select c_nationkey as p, sum(o_totalprice) as ever from orders join customer on o_custkey = c_custkey group by 1),
-    b as (select c_nationkey as p, sum(o_totalprice) as recent from orders join customer on o_custkey = c_custkey where o_orderdate >= timestamp '1997-01-01' group by 1)
-    select f.p::bigint as project, sessions, round(coalesce(recent, 0), 2) as cost from f join a using (p) left join b using (p) where ever <> 0""")
-def project_listing(t):
-    """Aggregates before they are joined, so that nothing is counted twice."""
-    own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    ever = own.groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("ever")).where("ever <> 0")
-    recent = own.where(F.col("o_orderdate") >= F.lit(datetime(1997, 1, 1, tzinfo=UTC))).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("recent"))
-    out = t("customer").groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("sessions")).join(ever, "c_nationkey").join(recent, "c_nationkey", "left")
-    return out.select(F.col("c_nationkey").cast("long").alias("project"), "sessions", r(F.coalesce("recent", F.lit(0.0)), 2).alias("cost"))
+@query("""select o_orderkey, case when o_custkey % 3 = 0 then 1 else 0 end::bigint as version from orders where o_custkey % 3 > 0 or o_orderkey % 2 = 0""")
+def replaced_rows(t):
+    """The rows of files that were read again go and come together."""
+    old = t("orders").withColumn("version", F.lit(0))
+    again = t("orders").where("o_custkey % 3 = 0")
+    new = again.where("o_orderkey % 2 = 0").withColumn("version", F.lit(1))
+    return tables.replaced(old, new, again, "o_custkey").select("o_orderkey", F.col("version").cast("long").alias("version"))
 
 
-@query("""select count(*) filter (where o_orderstatus = 'F') as main_w_usage, count(*) filter (where o_orderstatus <> 'F') as others, count(distinct o_custkey) filter (where o_orderstatus = 'O') as customers, count(distinct o_custkey) as all_customers from orders""")
-def file_counts(t):
-    """Filtered and distinct counts in one pass."""
-    status = F.col("o_orderstatus")
-    return t("orders").agg(F.count_if(status == "F").alias("main_w_usage"), F.count_if(status != "F").alias("others"), F.count_distinct(F.when(status == "O", F.col("o_custkey"))).alias("customers"), F.count_distinct("o_custkey").alias("all_customers"))
-
-
-@query("""with s as (select sum(l_quantity) as a, sum(l_discount) as b, sum(l_tax) as c from lineitem), u as (select 'quantity' as category, a as tokens from s union all select 'discount', b from s union all select 'tax', c from s)
-    select category, round(tokens, 2) as tokens, round(tokens / sum(tokens) over (), 6) as share from u""")
-def token_breakdown(t):
-    """Sums turned into rows, with shares."""
-    sums = t("lineitem").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_discount").alias("discount"), F.sum("l_tax").alias("tax"))
-    rows = sums.unpivot([], ["quantity", "discount", "tax"], "category", "tokens")
-    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # three rows
-    return rows.select("category", r("tokens", 2).alias("tokens"), r(F.col("tokens") / whole, 6).alias("share"))
+@query("select 'p' || c_nationkey % 7 as project_id, 'p' || c_nationkey % 7 as display_name, epoch_us(min(o_orderdate)) // 1000000 as first_seen, epoch_us(max(o_orderdate)) // 1000000 as last_seen from orders join customer on o_custkey = c_custkey group by 1")
+def projects_upsert(t):
+    """Projects keep the earliest and the latest time of what is stored and what is new."""
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("p"), F.col("c_nationkey") % 7).alias("project_id"), F.col("o_orderdate").alias("last_modified"), "o_orderkey")
+    stored = tables.projects(None, rows.where("o_orderkey % 2 = 0"))
+    out = tables.projects(stored, rows.where("o_orderkey % 2 = 1"))
+    return out.select("project_id", "display_name", sec("first_seen").alias("first_seen"), sec("last_seen").alias("last_seen"))
 
 
 _FROM, _TO = datetime(2024, 1, 5, 1, 30, tzinfo=UTC), datetime(2024, 1, 9, 12, 0, tzinfo=UTC)
@@ -473,17 +345,11 @@ def bounded_bins(t):
     return out.select("bin", "n", r("total").alias("total"))
 
 
-@query("""with g as (select user_id, event_type, sum(value) as v, count(*) as n from events group by 1, 2) select user_id, round(sum(v), 4) as total, sum(n)::bigint as requests,
-    arg_max(event_type, struct_pack(a := event_type <> 'click', b := n, c := event_type)) as model from g group by 1 order by sum(v) desc, user_id limit 50""")
-def sessions_by_cost(t):
-    """Sums by session and model, then by session; the dearest sessions."""
-    by_model = t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    out = by_model.groupBy("user_id").agg(F.sum("v").alias("total"), F.sum("n").alias("requests"), F.max_by("event_type", F.struct(F.col("event_type") != "click", "n", "event_type")).alias("model"))
-    return out.orderBy(F.desc("total"), "user_id").limit(50).select("user_id", r("total").alias("total"), "requests", "model")
-
-
 @query("""select regexp_replace(regexp_replace(regexp_replace(p_name, '^claude-', ''), '\\[[^\\]]*\\]', '', 'g'), '-\\d{8}$', '') as short, count(*) as n from (select case when p_size % 2 = 0 then 'claude-opus-4-7[1m]' else 'claude-sonnet-4-20250514' end as p_name from part) group by 1""".replace("\\\\", "\\"))
 def short_names(t):
     """Names regrouped without prefix, mode and date."""
     name = F.when(F.col("p_size") % 2 == 0, "claude-opus-4-7[1m]").otherwise("claude-sonnet-4-20250514")
     return t("part").groupBy(text.short_model(name).alias("short")).agg(F.count("*").alias("n"))
+
+
+from quillmeter import panel_queries, transcript_queries  # noqa: E402, F401  they add theirs
