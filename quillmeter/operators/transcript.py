@@ -47,9 +47,17 @@ def _texts(blocks: str = "blocks"):
     return F.expr(f"transform(filter({blocks}, b -> try_variant_get(b, '$.type', 'string') = 'text'), b -> coalesce(try_variant_get(b, '$.text', 'string'), ''))")
 
 
-def usage_columns(usage: str = "usage") -> dict:
-    """Token counts of one line: over all calls if the line lists several, and the largest context of a single call."""
-    calls = F.expr(f"from_json(to_json(try_variant_get({usage}, '$.iterations', 'variant')), 'array<{_CALL}>')")
+def _calls(usage: str = "usage"):
+    """The calls that a line's usage lists, null without a list."""
+    return F.expr(f"from_json(to_json(try_variant_get({usage}, '$.iterations', 'variant')), 'array<{_CALL}>')")
+
+
+def usage_columns(usage: str = "usage", listed: str = "_calls") -> dict:
+    """Token counts of one line: over all calls if the line lists several, and the largest context of a single call.
+
+    listed is a column with the calls, made beforehand, so that the list is parsed once for a line.
+    """
+    calls = F.col(listed)
     top = {c: F.coalesce(field(usage, f"$.{c}", "bigint"), F.lit(0)) for c in _COUNTERS}
     several = F.size(F.coalesce(calls, F.array())) > 0
     total = lambda f: F.aggregate(calls, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(f(x), F.lit(0)))
@@ -96,7 +104,7 @@ def records(ev: DataFrame, dated=pricing.DATED) -> DataFrame:
     """One row for each request: lines of one request id in a file are merged, counts by their maximum, identity from the
     first line. Priced with the rates of its time."""
     shown = F.aggregate(_texts(), F.lit(0).cast("long"), lambda a, t: a + F.length(t))
-    rows = ev.where("usable").select("file_key", "line_num", "uuid", "request_id", "ts", F.when(F.col("model") == "", "(unknown)").otherwise(F.col("model")).alias("model"), shown.alias("text_chars"), *(c.alias(k) for k, c in usage_columns().items()))
+    rows = ev.where("usable").withColumn("_calls", _calls()).select("file_key", "line_num", "uuid", "request_id", "ts", F.when(F.col("model") == "", "(unknown)").otherwise(F.col("model")).alias("model"), shown.alias("text_chars"), *(c.alias(k) for k, c in usage_columns().items()))
     rows = rows.join(latencies(ev), ["file_key", "line_num"])
     group = F.when(F.col("request_id") == "", F.concat(F.lit("#"), F.col("line_num"))).otherwise(F.concat(F.lit("="), F.col("request_id")))
     identity = F.struct("uuid", "request_id", "ts", "model", "reply_latency_s")
