@@ -40,12 +40,14 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.names.append(name)
         df.write.option("compression", codec).parquet(self.path(name))
         # Shuffle files go when the driver's collector finds their plan unused, which may be long after: now is the time.
         self.spark._jvm.System.gc()

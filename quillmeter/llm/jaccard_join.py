@@ -5,17 +5,22 @@ hold; a tile is sorted by set size, so that only sizes within the threshold's ba
 bound the overlap from above: each element that only one set holds flips one bit, so the sets differ in at least as
 many elements as their bitmaps in bits. Pairs that may still reach the threshold are decided by intersecting the
 sorted arrays of all their shingles.
+
+A tile over a bound is cut into cells of bounded size. First its classes meet block by block, together with a few pivots
+of the tile, which joins families of near copies. Then only classes of different components have to meet: those of the
+tile's largest component stay in their blocks, all others visit every block of their sizes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm import _text
@@ -25,10 +30,10 @@ from quillmeter.llm._store import Store
 #: Words of a shingle, and the threshold in percent.
 WORDS, PERCENT = 5, 75
 #: Smallest hashes by which a class enters tiles. Each of the smallest hashes of a union is shared with a probability of
-#: the similarity, so a pair at 0.75 meets in none with a chance of 0.25 ** 32, and in fewer than two with 97 times that.
+#: the similarity, so a pair at 0.75 meets in none with a chance of 0.25 ** 32.
 SMALLEST = 32
-#: Classes in a tile above which they must share a second hash.
-TILE = 20_000
+#: Classes in a block of a tile, shingles of a block that are intersected together, and pivots by size band of a tile.
+TILE, SETTLED, PIVOTS = 2_000, 1_000_000, 8
 #: Bits of a bitmap by the size of the set; neighbours differ by FOLD.
 WIDTHS, FOLD = (256, 1024, 4096, 16384), 4
 #: Ids up to which a table of them is broadcast (under 100 bytes each); larger ones are joined by shuffle.
@@ -101,8 +106,9 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iter
 
 
 def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a table (tile, id, n, bits, component), sorted by tile and n, whose bitmaps allow a link."""
-    key, n = table.column("tile").to_numpy(), table.column("n").to_numpy()
+    """Row pairs of a table (cell, n, bits, side), sorted by cell and n, of different sides (or without one) whose bitmaps
+    allow a link."""
+    key, n, side = table.column("cell").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy()
     raw = table.column("bits").to_pylist()
     kind = np.searchsorted(WIDTHS, np.minimum(n, WIDTHS[-1]))
     place, maps = np.zeros((len(WIDTHS), len(n)), np.int64), []
@@ -119,16 +125,17 @@ def _candidates(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         active = active[(key[active] == key[active + d]) & (100 * n[active] >= PERCENT * n[active + d])]
         if not len(active):
             return
-        other = active + d
+        first = active[(side[active] == 0) | (side[active] != side[active + d])]
+        other = first + d
         # Linked sets overlap in at least p/(100+p) of their summed sizes.
-        most = n[active] + n[other] - 2 * -(-PERCENT * (n[active] + n[other]) // (100 + PERCENT))
-        near = np.zeros(len(active), bool)
+        most = n[first] + n[other] - 2 * -(-PERCENT * (n[first] + n[other]) // (100 + PERCENT))
+        near = np.zeros(len(first), bool)
         for k in range(len(WIDTHS)):
-            at = np.flatnonzero(kind[active] == k)
+            at = np.flatnonzero(kind[first] == k)
             for part in np.array_split(at, max(1, len(at) * WIDTHS[k] // (1 << 26))):
-                differ = np.bitwise_count(maps[k][place[k, active[part]]] ^ maps[k][place[k, other[part]]])
+                differ = np.bitwise_count(maps[k][place[k, first[part]]] ^ maps[k][place[k, other[part]]])
                 near[part] = differ.sum(axis=1, dtype=np.int64) <= most[part]
-        yield active[near], other[near]
+        yield first[near], other[near]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a tile that have a candidate in another component; with lists of smallest hashes, only if no other
+    """The rows of a cell that have a candidate in another component; with lists of smallest hashes, only if no other
     tile is a better place for the pair, which is that of the smallest hash that both list."""
     for table in _whole_tiles(batches):
         tile, group = table.column("tile").to_numpy(), table.column("component").to_numpy()
@@ -159,37 +166,51 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one, two = lists[a[i : i + 4096]], lists[b[i : i + 4096]]
                 common = (one[:, :, None] == two[:, None, :]).any(axis=2)
                 first = np.where(common, one, np.iinfo(np.int64).max).min(axis=1)
-                here = (first == tile[a[i : i + 4096]]) | ~(one == tile[a[i : i + 4096]][:, None]).any(axis=1)
+                here = first == tile[a[i : i + 4096]]
                 flags[a[i : i + 4096][here]] = flags[b[i : i + 4096][here]] = True
             if lists is None:
                 flags[a] = flags[b] = True
         yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(flags)) for c in ("tile", "id", "component")], names=["tile", "id", "component"])
 
 
+def _overlap(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of a sorted array with others."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    ends = np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))
+    return np.diff(np.concatenate([[0], np.cumsum(one[at] == every)])[np.concatenate([[0], ends])])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the components of each tile (tile, id, component, text): every document is intersected with all
-    of other components in its size band; what is joined already needs no more pairs."""
-    for table in _whole_tiles(batches, 2_000):
-        tile, ids = table.column(0).to_numpy(), table.column("id").to_numpy()
-        sets = shingle_sets([t and t.encode() for t in table.column("text").to_pylist()])
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    """Links between the components of each cell, from rows (cell, id, side, component, text) sorted by cell and side.
+
+    A set is intersected with all of its size band in other components; what is joined already needs no more pairs. The
+    block of a cell is held as sets (SETTLED bounds it), visitors pass one by one, and no text is kept.
+    """
+    cell, held = None, []  # (id, component, set) of the block
+    for batch in batches:
         found: tuple[list[int], list[int]] = [], []
-        for i in range(len(sets)):
-            last = int(np.searchsorted(tile, tile[i], side="right"))
-            other = np.arange(i + 1, last)
-            other = other[(group[other] != group[i]) & (100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i])) & (n[other] > 0)]
-            for part in np.array_split(other, max(1, n[other].sum() >> 20)):
-                if not len(part):
-                    continue
-                every = np.concatenate([sets[j] for j in part.tolist()])
-                at = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
-                both = np.add.reduceat(sets[i][at] == every, np.concatenate([[0], np.cumsum(n[part])[:-1]]), dtype=np.int64)
-                for j in part[100 * both >= PERCENT * (n[i] + n[part] - both)].tolist():
-                    if group[i] != group[j]:
-                        found[0].append(int(max(ids[i], ids[j])))
-                        found[1].append(int(min(ids[i], ids[j])))
-                        group[group == group[j]] = group[i]
+        sets = shingle_sets([t and t.encode() for t in batch.column("text").to_pylist()])
+        for key, i, side, component, s in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "side", "component")), sets, strict=True):
+            if key != cell:
+                cell, held, root = key, [], {}
+
+            def top(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            n, own = len(s), top(component)
+            near = [x for x in held if side != 1 and top(x[1]) != own and 100 * min(n, len(x[2])) >= PERCENT * max(n, len(x[2]))] if n else []
+            if near:
+                both = _overlap(s, [x[2] for x in near])
+                for (j, c, other), k in zip(near, both.tolist(), strict=True):
+                    if 100 * k >= PERCENT * (n + len(other) - k) and top(c) != top(component):
+                        found[0].append(max(i, j))
+                        found[1].append(min(i, j))
+                        root[top(c)] = top(component)
+            if side < 2 and n:
+                held.append((i, component, s))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["x", "y"])
 
 
@@ -216,20 +237,71 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(classes: DataFrame, store: Store) -> DataFrame:
-    """(tile, id): each class in the tiles of its smallest hashes that another class shares. A tile of over TILE classes
-    is split: there, classes meet by that hash and a second one."""
+    """(tile, id): each class in the tiles of its smallest hashes that another class shares."""
     rows = classes.select("id", F.explode("smallest").alias("tile"))
     # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
-    counts = store.table(rows.groupBy("tile").count().where("count > 1"), "counts")
-    shared = store.table(rows.join(counts, "tile"), "shared")
-    cold = shared.where(F.col("count") <= TILE).select("tile", "id")
-    if shared.where(F.col("count") > TILE).limit(1).count():
-        hot = shared.where(F.col("count") > TILE).join(classes.select("id", "smallest"), "id")
-        second = F.explode(F.expr("filter(smallest, h -> h <> tile)")).alias("h")
-        hot = hot.select("id", "tile", second).select("id", F.xxhash64(F.least("tile", "h"), F.greatest("tile", "h")).alias("tile")).distinct()
-        hot = store.table(hot, "hot")
-        cold = cold.union(hot.join(hot.groupBy("tile").count().where("count > 1").select("tile"), "tile").select("tile", "id"))
-    return cold
+    counts = store.table(rows.groupBy("tile").count().where("count > 1").select("tile"), "counts")
+    return rows.join(counts, "tile")
+
+
+def _with(rows: DataFrame, small: DataFrame, store: Store, name: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table by tile, by broadcast while that is small: tiles may be hot."""
+    small = store.table(small, name)
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small, "tile", how)
+
+
+def _near() -> Column:
+    """The size bands that sets of a band can link into."""
+    return F.array(*(F.col("band") + d for d in (-1, 0, 1)))
+
+
+def _blocks(count: Column) -> Column:
+    return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _hot(rows: DataFrame, weight, limit: int, store: Store, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows of tiles under a limit as cells, the other rows with their band or None)."""
+    totals = store.table(rows.groupBy("tile").agg(F.sum(weight).alias("w")).where(F.col("w") > limit).select("tile", F.lit(True).alias("hot")), f"{name}-hot")
+    cold = lambda df: df.withColumns({"cell": F.col("tile"), "side": F.lit(0)})
+    if totals.limit(1).count() == 0:
+        return cold(rows), None
+    both = _with(rows, totals, store, f"{name}-hot-tiles", "left")
+    return cold(both.where("hot is null").drop("hot")), both.where("hot").drop("hot").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
+
+
+def _blocks_with_pivots(rows: DataFrame, store: Store) -> DataFrame:
+    """rows (tile, id, n, bits) with cell and side: a hot tile's size bands in blocks, which its pivots all visit."""
+    cold, hot = _hot(rows, F.lit(1), TILE, store, "stars")
+    if hot is None:
+        return cold
+    count = hot.groupBy("tile", "band").agg(F.ceil(F.count("*") / TILE).alias("k")).groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("k"))  # some sixty bands at most
+    hot = _with(hot, count, store, "stars-sizes")
+    own = hot.select(*rows.columns, F.xxhash64("tile", "band", F.pmod(F.xxhash64("id"), F.try_element_at("k", F.col("band"))).cast("int")).alias("cell"), F.lit(0).alias("side"))
+    pivots = hot.groupBy("tile", "band", F.pmod(F.xxhash64("id"), F.lit(PIVOTS))).agg(F.min_by(F.struct("id", "n", "bits"), "id").alias("p"), F.first("k").alias("k"))
+    cells = F.flatten(F.transform(_near(), lambda b: F.transform(_blocks(F.try_element_at("k", b)), lambda i: F.xxhash64("tile", b, i))))
+    visiting = pivots.select("tile", "p.*", F.explode(cells).alias("cell"), F.lit(0).alias("side"))
+    return cold.select(own.columns).union(own).union(visiting.select(own.columns))
+
+
+def _blocks_of_components(rows: DataFrame, weight, limit: int, store: Store, name: str) -> DataFrame:
+    """rows (tile, id, n, component and more) with cell and side, so that each two of a tile in neighbouring size bands and
+    different components meet in some cell: in a hot tile, blocks of all (side 1) meet blocks of those that aren't in its
+    largest component (side 2)."""
+    cold, hot = _hot(rows, weight, limit, store, name)
+    if hot is None:
+        return cold
+    main = hot.groupBy("tile", "component").agg(F.sum(weight).alias("w")).groupBy("tile").agg(F.max_by("component", F.struct("w", "component")).alias("main"))
+    hot = _with(hot, main, store, f"{name}-main").withColumn("visits", F.col("component") != F.col("main"))
+    sizes = hot.groupBy("tile", "band").agg(F.ceil(F.sum(weight) / limit).alias("k"), F.ceil(F.coalesce(F.sum(F.when(F.col("visits"), weight)), F.lit(0)) / limit).alias("m"))
+    sizes = sizes.groupBy("tile").agg(*(F.map_from_entries(F.collect_list(F.struct("band", c))).alias(c) for c in ("k", "m")))
+    hot = _with(hot, sizes, store, f"{name}-sizes")
+    block = lambda c: F.pmod(F.xxhash64("id"), F.try_element_at(c, F.col("band"))).cast("int")
+    hot = hot.withColumns({"i": block("k"), "j": F.when(F.col("visits"), block("m"))})
+    stays = F.flatten(F.transform(_near(), lambda b: F.transform(_blocks(F.try_element_at("m", b)), lambda j: F.xxhash64("tile", "band", "i", b, j))))
+    goes = F.flatten(F.transform(_near(), lambda b: F.transform(_blocks(F.try_element_at("k", b)), lambda i: F.xxhash64("tile", b, i, "band", "j"))))
+    sides = [df.select(*rows.columns, F.explode(c).alias("cell"), F.lit(k).alias("side")) for k, df, c in ((1, hot, stays), (2, hot.where("visits"), goes))]
+    return cold.select(sides[0].columns).union(sides[0]).union(sides[1])
 
 
 def _texts(docs: DataFrame, ids: DataFrame, store: Store, name: str) -> DataFrame:
@@ -256,8 +328,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows of equal keys count as one document with the links of all of them, and rows with a null key have a null
     component_id. Other columns are ignored.
 
-    First each class is checked against the smallest of its candidates, which joins groups of copies along stars. Then the classes with candidates in other components meet in their tiles with their whole sets, where
-    every pair that is not joined by then is intersected; no list of pairs is written.
+    First each class is checked against the smallest of its candidates, which joins groups of copies along stars. Then the
+    classes with candidates in other components meet with their whole sets, where every pair that is not joined by then
+    is intersected; no list of pairs is written.
     """
     spark = docs.sparkSession
     store = Store(spark, "jaccard")
@@ -268,20 +341,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = with_set.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("smallest").alias("smallest"), F.first("bits").alias("bits"))
     classes = store.table(classes, "classes")
     tiles = store.table(_tiles(classes, store).join(classes.select("id", "n", "bits"), "id").select("tile", "id", "n", "bits"), "tiles")
-    dealt = lambda df: df.repartition("tile").sortWithinPartitions("tile", "n", "id")
-    stars = dealt(tiles).mapInArrow(_stars, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    dealt = lambda df: df.repartition("cell").sortWithinPartitions("cell", "n", "id")
+    columns = ["cell", "side", "tile", "id", "n", "bits"]
+    stars = dealt(_blocks_with_pivots(tiles, store).select(columns)).mapInArrow(_stars, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
     links = _verify(stars, docs, store)
     joined = components(links, store, "star-components")
     labelled = tiles.join(joined, tiles["id"] == joined["node"], "left").select("tile", "id", "n", "bits", F.coalesce("component", "id").alias("component"))
-    flagged = store.table(dealt(labelled).mapInArrow(_flagged, "tile long, id long, component long"), "flagged")
+    labelled = store.table(labelled, "labelled")
+    store.drop("tiles", "pairs", "star-ids", "star-texts")
+    labelled = _blocks_of_components(labelled, F.lit(1), TILE, store, "meet").select(*columns, "component")
+    flagged = store.table(dealt(labelled).mapInArrow(_flagged, "tile long, id long, component long").distinct(), "flagged")
     flagged = flagged.join(classes.select("id", "n", "bits", "smallest"), "id").select("tile", "id", "n", "bits", "component", "smallest")
+    flagged = _blocks_of_components(store.table(flagged, "flagged-sets"), F.lit(1), TILE, store, "place").select(*columns, "component", "smallest")
     placed = store.table(dealt(flagged).mapInArrow(_flagged, "tile long, id long, component long").distinct(), "placed")
-    rest = placed.join(_texts(docs, placed.select("id"), store, "rest"), "id").select("tile", "id", "component", "text")
-    more = rest.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(_settle, "x long, y long")
+    texts = _texts(docs, placed.select("id"), store, "rest")
+    placed = _blocks_of_components(placed.join(classes.select("id", "n"), "id"), F.greatest("n", F.lit(SETTLED // TILE)), SETTLED, store, "settle").select("cell", "side", "id", "component")
+    rest = placed.join(texts, "id").select("cell", "side", "id", "component", "text")
+    more = rest.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_settle, "x long, y long")
     more = store.table(more.distinct(), "more")
     same = with_set.select("id", "cls").join(classes.select("cls", F.col("id").alias("rep")), "cls").where("id <> rep").select("id", "rep")
     smallest = components(links.union(more).union(same), store)
     out = sets.select("id", F.col("n").alias("n_shingles")).join(smallest, sets["id"] == smallest["node"], "left")
     out = store.table(out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id")), "result")
-    store.drop(*"sets classes counts shared hot tiles pairs star-ids star-texts links flagged placed rest-ids rest-texts more".split())
+    store.drop(*(n for n in store.names if n != "result"))
     return out

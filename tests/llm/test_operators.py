@@ -614,6 +614,38 @@ def test_jaccard(spark, docs, corpus, tile, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == jaccard(corpus) and len(out) == len(corpus)
 
 
+def family(rng, size):
+    """Different texts around one template, near the threshold on both sides, so that all meet in the same tiles; and some
+    that belong to none."""
+    base = [f"t{i}" for i in range(300)]
+    out = []
+    for k in range(size):
+        words = list(base)
+        for _ in range(k % 12):
+            at = rng.randrange(300)
+            words[at : at + 1 + k % 3] = [f"x{rng.randrange(10**6)}"]
+        out.append((k, " ".join(words[: 300 - (k % 5) * 3])))
+    return out + [(1000 + i, prose(rng, 50)) for i in range(10)]
+
+
+@pytest.mark.parametrize("tile", [10, 40])
+def test_jaccard_hot_tiles(spark, tile, monkeypatch):
+    rows = family(random.Random(11), 150)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    sizes, whole = [], jaccard_join._blocks_of_components
+
+    def watched(df, weight, limit, store, name):
+        out = whole(df, weight, limit, store, name)
+        sizes.append(max([r["w"] for r in out.groupBy("cell", "side").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).where("n > 1").collect()], default=0) / limit)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_blocks_of_components", watched)
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, EMPTY).repartition(3)).collect()
+    want = jaccard(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert len({c for _, c in want.values()}) > 15 and len(sizes) == 3 and max(sizes) <= 3  # blocks are dealt out by hash
+
+
 def test_jaccard_cases(spark):
     base = " ".join(f"v{i}" for i in range(24))  # 20 shingles
     cut = lambda n: " ".join(f"v{i}" for i in range(n))
