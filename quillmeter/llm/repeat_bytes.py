@@ -6,6 +6,9 @@ their 32-byte strings (the anchor) and its place in the window. Consecutive suff
 record holds some eighty of them, and anchors that occur once end their suffixes at once. The other passes split the
 groups by four digits of 50 bytes each, most significant first, and drop what stands alone. What is left after the
 last is exactly the repeated windows. Digits are compared by 64-bit hash.
+
+Hot anchors' windows are dealt out by finer digits, of which equal ones are merged. Where a finer digit is still hot, its
+windows are dealt out by all their bytes at once and only counted, so that no task holds a group of unbounded size.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ SPAN = WINDOW - ANCHOR + 1
 DIGIT = 50
 #: Bytes of a text handled at once, and of several short texts together.
 PIECE = 1 << 19
-#: Occurrences of an anchor above which its equal records are merged and dealt out by finer digits, of STEP windows each.
-HOT, STEP = 5000, 8
+#: Occurrences of an anchor above which its equal records are merged and dealt out by finer digits, of STEP windows each;
+#: also different records of such a digit above which its windows are counted instead.
+HOT, STEP = 1000, 8
 #: Rows up to which a table of ids is broadcast (under 60 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Begins the names of columns that stand beside those of an input for a while.
@@ -155,6 +159,19 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _STEPS, strict=True)], schema=_STEPS)
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, start, mark, n) of the windows of steps (part, bytes, n); mark is a hash of 128 bits of all bytes."""
+    for batch in batches:
+        rows: tuple[list, ...] = [], [], [], []
+        for part, cover, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(len(cover) - WINDOW + 1):
+                mark = hashlib.blake2b(cover[at : at + WINDOW], digest_size=16).digest()
+                for column, value in zip(rows, (part, at, mark, n), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _MARKS, strict=True)], schema=_MARKS)
+
+
+_MARKS = pa.schema([("part", pa.int64()), ("start", pa.int64()), ("mark", pa.binary()), ("n", pa.int64())])
 _STEPS = pa.schema([("digit", pa.int64()), ("part", pa.int64()), ("rec", pa.int64()), ("shift", pa.int64()), ("first", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64())])
 
 
@@ -283,19 +300,34 @@ def _text_ranges(docs: DataFrame, store: Store, hot: int, piece: int) -> DataFra
     ranges = store.table(_resolved(rare), "ranges").select("tid", F.array("start").alias("starts"), F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("end") - F.col("start")).alias("b"))).alias("parts"))
     once = often.groupBy("rec", "digit", "first").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
     steps = store.table(once.mapInArrow(_steps, "digit long, part long, rec long, shift long, first int, bytes binary, n long"), "steps")
-    parts = steps.groupBy("digit", "part", "first").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
-    parts = store.table(_resolved(parts.select("digit", F.col("part").alias("tid"), F.lit(0).cast("long").alias("start"), "first", "bytes", "n")), "parts")
-    parts = parts.select(F.col("tid").alias("part"), F.struct(F.col("start").alias("a"), F.col("end").alias("b")).alias("p")).join(steps.select("rec", "part", "shift"), "part")
+    parts = _step_ranges(steps, store, hot)
+    parts = parts.select("part", F.struct(F.col("start").alias("a"), F.col("end").alias("b")).alias("p")).join(steps.select("rec", "part", "shift"), "part")
     parts = parts.groupBy("rec").agg(F.collect_list(F.struct((F.col("p.a") + F.col("shift")).alias("a"), (F.col("p.b") + F.col("shift")).alias("b"))).alias("parts"))
     # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
     where = store.table(often.groupBy("rec", "tid").agg(F.collect_list("start").alias("starts")), "where")  # as long as the text at most
     more = where.join(store.table(parts, "hot"), "rec").select("tid", "starts", "parts")
     ranges = ranges.union(more).groupBy("tid").agg(F.collect_list(F.struct("starts", "parts")).alias("found"))
     out = store.table(ranges.join(texts.select("tid", "h"), "tid").select("h", "found"), "found")
-    store.drop("texts", "again", "records", "ranges", "steps", "parts", "where", "hot")
+    store.drop(*(n for n in store.names if n != "found"))
     return out
 
 
+def _step_ranges(steps: DataFrame, store: Store, hot: int) -> DataFrame:
+    """(part, start, end) of the repeated windows of steps."""
+    parts = store.table(steps.groupBy("digit", "part", "first").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n")), "step-parts")
+    over = store.table(parts.groupBy("digit").count().where(F.col("count") > hot).select("digit", F.lit(True).alias("over")), "over")
+    size = over.limit(BROADCAST_ROWS + 1).count()
+    both = parts.join(F.broadcast(over) if size <= BROADCAST_ROWS else over, "digit", "left")
+    few = both.where("over is null").select("digit", F.col("part").alias("tid"), F.lit(0).cast("long").alias("start"), "first", "bytes", "n")
+    out = _resolved(few).select(F.col("tid").alias("part"), "start", "end")
+    if size:
+        marks = store.table(both.where("over").select("part", "bytes", "n").mapInArrow(_marks, "part long, start long, mark binary, n long"), "marks")
+        # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+        again = store.table(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "marked")
+        out = out.union(marks.join(again, "mark").select("part", "start", (F.col("start") + WINDOW).alias("end")))
+    return store.table(out, "parts")
+
+
 def _resolved(records: DataFrame) -> DataFrame:
     return records.repartition("digit").sortWithinPartitions("digit").mapInArrow(_resolve, "tid long, start long, end long")
 

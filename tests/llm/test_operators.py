@@ -596,6 +596,24 @@ def test_repeats(spark, docs, corpus, hot):
     assert repeat_bytes.remove_repeats(twins).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_repeats_of_a_short_passage_everywhere(spark, monkeypatch):
+    """One passage of 203 bytes between different texts: no task gets a group over the bound, and the result is the same."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    passage = noise(203)
+    rows = [(i, noise(150) + passage + noise(150)) for i in range(150)] + [(900, passage[2:] + passage), (901, noise(500))]
+    whole, largest = repeat_bytes._resolved, []
+
+    def watched(records):
+        largest.append(records.groupBy("digit").count().agg(F.max("count")).first()[0] or 0)
+        return whole(records)
+
+    monkeypatch.setattr(repeat_bytes, "_resolved", watched)
+    out = repeat_bytes.remove_repeats(spark.createDataFrame(rows, EMPTY).repartition(3), hot=20).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == repeats(rows)
+    assert max(largest) <= 20
+
+
 def test_long_text(spark):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefghij \n") for _ in range(1_300_000))
