@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ from quillmeter.llm._components import components
 from quillmeter.llm._store import Store
 
 COSINE, RECALL = 0.95, 0.999
-#: Vectors on which codebooks and the stop are fitted at most, vectors in a cell to aim for, and centroids of a half at most.
-SAMPLE, IN_CELL, MOST_CENTROIDS = 20_000, 40, 256
+#: Vectors on which codebooks and the stop are fitted at most, and those of them whose partners are looked up there.
+SAMPLE, QUERIES = 20_000, 2_000
+#: Vectors in a cell to aim for: a copy of each vector goes to every cell it visits, and larger cells are fewer. With it
+#: the centroids of a half grow with the square root of the input, to a tenth of the sample at most.
+IN_CELL, MOST_CENTROIDS = 600, SAMPLE // 10
+#: Cells up to which their sizes are broadcast (under 20 bytes each); larger tables are joined by shuffle.
+BROADCAST_CELLS = 1_000_000
 #: Vectors of a cell compared at once; larger cells are split into blocks.
 BLOCK = 2048
 
@@ -62,16 +68,39 @@ class Codebooks:
     def __init__(self, sample: np.ndarray, k: int, recall: float, cosine: float):
         rng, self.half = np.random.default_rng(11), sample.shape[1] // 2
         self.centroids = [self._fit(x, min(k, len(x)), rng) for x in self.split(sample)]
-        self.between = [np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 1e-30)) for c in self.centroids]
-        # Partners at the threshold's cosine in random directions show how far a query must go to meet its partner's cell.
+        # Partners show how far a query must go to meet their cells: made-up ones at the threshold's cosine in random
+        # directions, and those that queries have in the sample.
         far = rng.normal(size=sample.shape)
         far -= (far * sample).sum(axis=1, keepdims=True) * sample
         length = np.sqrt((far * far).sum(axis=1, keepdims=True))
-        other = unit(cosine * sample + np.sqrt(1 - cosine**2) * far / np.maximum(length, 1e-30))
-        (_, a), (codes, _) = self.borders(sample), self.borders(other)
-        rows = np.arange(len(sample))
-        need = a[0][rows, codes[0]] + a[1][rows, codes[1]]
-        self.stop = float(min(np.quantile(need, recall) if len(need) >= 1000 else np.inf, 2 - 2 * cosine)) + 1e-9
+        made = unit(cosine * sample + np.sqrt(1 - cosine**2) * far / np.maximum(length, 1e-30))
+        asking = rng.choice(len(sample), min(QUERIES, len(sample)), replace=False)
+        needs = [self.need(sample, made), np.zeros(0)]
+        for part in np.array_split(asking, -(-len(asking) // 256)):
+            i, j = np.nonzero(sample[part] @ sample.T >= cosine)
+            needs[1] = np.concatenate([needs[1], self.need(sample[part[i]], sample[j])])
+        stops = [np.quantile(x, recall) if len(x) >= 1000 else x.max(initial=0.0) for x in needs]
+        # No partner is further than that; small tables are searched so far.
+        exact = 2 - 2 * cosine
+        self.stop = float(min(max(stops), exact) if len(sample) >= 1000 else exact) + 1e-9
+
+    def need(self, x: np.ndarray, partners: np.ndarray) -> np.ndarray:
+        """How far queries x must go to visit the cell of their partner."""
+        out = np.zeros(len(x))
+        for k in range(0, len(x), 4096):
+            rows = slice(k, k + 4096)
+            codes, (a, b) = self.borders(partners[rows])[0], self.borders(x[rows])[1]
+            at = np.arange(len(codes[0]))
+            out[rows] = a[at, codes[0]] + b[at, codes[1]]
+        return out
+
+    @cached_property
+    def between(self) -> list[np.ndarray]:
+        """The distances of a half's centroids; made where they are needed."""
+        return [np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T, 1e-30)) for c in self.centroids]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "between"}
 
     def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -80,7 +109,7 @@ class Codebooks:
     def _fit(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         c = x[rng.choice(len(x), k, replace=False)].copy()
         for _ in range(8):
-            own = np.argmin((c * c).sum(axis=1) - 2 * x @ c.T, axis=1)
+            own = np.concatenate([np.argmin((c * c).sum(axis=1) - 2 * part @ c.T, axis=1) for part in np.array_split(x, -(-len(x) // 4096))])
             for j in np.unique(own):
                 c[j] = x[own == j].mean(axis=0)
         return np.unique(c, axis=0)
@@ -219,7 +248,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     Vectors that are null, empty or zero or hold null or non-finite components, and rows with a null key, link with
     nothing; so do vectors of different length. Equal vectors are handled once and counted as often as they occur. Keys
     are integers; rows of equal keys are vectors of their own. Other columns are ignored.
-    Codebooks and the stop are fitted on 20,000 vectors at most; every vector is indexed and is a query.
+    Codebooks and the stop are fitted on 20,000 vectors at most, chosen by hash; every vector is indexed and is a query.
     """
     spark, store = vectors.sparkSession, Store(vectors.sparkSession, "vectors")
     kind = vectors.schema[key].dataType
@@ -239,7 +268,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     ddl = "id long, copies long, vec binary, cell long"
     base = classes.select("id", "copies", "vec")
     own = store.table(base.mapInArrow(_assign(shared, dtype, False), ddl), "own")
-    sizes = own.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = store.table(own.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else sizes
     place = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
     placed = own.join(sizes, "cell").withColumn("block", place)
     visiting = base.mapInArrow(_assign(shared, dtype, True), ddl).join(sizes, "cell")
@@ -261,5 +291,5 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     out = linked.union(unusable).union(odd).toDF("id", "n_links", "component")
     out = out.select(F.col("id").cast(kind).alias(key), "n_links", F.col("component").cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
     out = store.table(out, "result")
-    store.drop("usable", "classes", "own", "found", "each")
+    store.drop(*(n for n in store.names if n != "result"))
     return out
