@@ -33,7 +33,7 @@ WORDS, PERCENT = 5, 75
 #: the similarity, so a pair at 0.75 meets in none with a chance of 0.25 ** 32.
 SMALLEST = 32
 #: Classes in a block of a tile, shingles of a block that are intersected together, and pivots by size band of a tile.
-TILE, SETTLED, PIVOTS = 2_000, 1_000_000, 8
+TILE, SETTLED, PIVOTS = 8_000, 4_000_000, 8
 #: Bits of a bitmap by the size of the set; neighbours differ by FOLD.
 WIDTHS, FOLD = (256, 1024, 4096, 16384), 4
 #: Ids up to which a table of them is broadcast (under 100 bytes each); larger ones are joined by shuffle.

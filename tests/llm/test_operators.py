@@ -464,31 +464,91 @@ def test_pseudo_likelihood(spark, docs, corpus):
     assert pseudo_lm.score_documents(spark.createDataFrame([(1, None)], EMPTY)).first()["log_likelihood"] == 0
 
 
-def test_pseudo_likelihood_is_a_distribution():
-    rng = np.random.default_rng(0)
-    net = pseudo_lm.Network.fresh(rng.integers(0, 50, pseudo_lm.SYMBOLS).astype(float))
-    seq, at = rng.integers(0, pseudo_lm.SYMBOLS, 40), np.array([10, 20])
-    tables = net.tables()
+def naive_log_likelihood(net, voc, spelt, text):
+    """The score of a text by loops over its words and the whole vocabulary."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    known = {h: i for h, i in zip(voc.hashes.tolist(), voc.order.tolist(), strict=True)}
+    symbol = [known.get(int(_text.hashed_words([w], _text.ALNUM)[0][0]), voc.words) for w in words]
+    p, total = net.p, 0.0
+    for i, s in enumerate(symbol):
+        h = p["bias"].astype(float)
+        for j, k in enumerate([-3, -2, -1, 1, 2, 3]):
+            h = h + p["rows"][symbol[i + k] if 0 <= i + k < len(symbol) else voc.words + 1].astype(float) @ p["mix"][j]
+        h = np.tanh(h)
+        c = int(np.searchsorted(net.edges, s, side="right") - 1)
+        z = h @ p["cls"] + p["cls_bias"]
+        total += z[c] - np.log(np.exp(z).sum())
+        a, b = net.edges[c], net.edges[c + 1]
+        z = p["word"][a:b] @ h + p["word_bias"][a:b]
+        total += z[s - a] - np.log(np.exp(z).sum())
+        if s == voc.words:
+            marks = [256, *words[i], 256]
+            total += sum(spelt[x * 257 + y] for x, y in zip(marks, marks[1:], strict=False))
+    return total
+
+
+def ordered_text(rng, words):
+    """Words of which each of a few follows another one."""
+    out, at = [], 0
+    for _ in range(words):
+        at = (at * 3 + rng.choice([1, 2])) % 97
+        out.append(f"w{at}" if rng.random() > 0.02 else f"rare{rng.randrange(10**6)}")
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, ordered_text(rng, 300)) for i in range(120)], EMPTY).repartition(2).cache()
+    voc = pseudo_lm.vocabulary(docs, Store(spark, "lm"))
+    return voc, *pseudo_lm.train(docs, voc, rounds=4, share=0.25), rng
+
+
+def test_pseudo_likelihood_by_loops(trained):
+    voc, net, spelt, rng = trained
+    for text in (ordered_text(rng, 40), "w1", "unseen w5 Unseen", ordered_text(rng, 3)):
+        words, got = pseudo_lm.score_texts(voc, net, spelt, net.tables(), [text.encode()])
+        assert got[0] == pytest.approx(naive_log_likelihood(net, voc, spelt, text.encode()), rel=1e-4) and words[0] == len(text.split())
+
+
+def test_pseudo_likelihood_is_a_distribution(trained):
+    voc, net, spelt, _ = trained
+    seq, at = np.random.default_rng(0).integers(0, voc.words + 1, 40), np.array([10, 20])
     total = np.zeros(2)
-    for s in range(pseudo_lm.SYMBOLS):
+    for s in range(voc.words + 1):
         other = seq.copy()
         other[at] = s
-        total += np.exp(net.log_likelihood(tables, other, at))
+        total += np.exp(net.log_likelihood(net.tables(), other, at))
     assert total == pytest.approx([1, 1], abs=1e-4)
-    assert (pseudo_lm.Network.unpack(net.pack()).p["mix"] == net.p["mix"]).all()
-
-
-def test_pseudo_likelihood_learns():
-    words = [b"alpha beta gamma delta"] * 400
-    h, n = np.unique(_text.hashed_words(words, _text.ALNUM)[0], return_counts=True)
-    voc = pseudo_lm.Vocabulary(h, n.astype(float), np.zeros(64), np.zeros(64))
-    net, state = pseudo_lm.Network.fresh(voc.counts), {}
-    score = lambda t: pseudo_lm.score_texts(voc, net, net.tables(), [t])[1][0]
-    before = score(words[0])
-    for _ in range(60):
-        seq, at, _ = pseudo_lm.sequences(voc, words)
-        net.step(seq, at, state)
-    assert score(words[0]) > before + 1 and score(words[0]) > score(b"delta alpha gamma beta") + 1
+    assert np.exp(spelt).reshape(257, 257).sum(axis=1) == pytest.approx(np.ones(257))
+    assert (pseudo_lm.Network.unpack(net.pack(), net.edges).p["mix"] == net.p["mix"]).all()
+    assert pseudo_lm.class_edges(0).tolist() == [0, 1] and np.diff(pseudo_lm.class_edges(70_000)).max() == 512
+
+
+def test_pseudo_likelihood_knows_order(trained):
+    """On text of a known order: far above the words' frequencies, and natural order above a shuffled one."""
+    voc, net, spelt, rng = trained
+    score = lambda t: pseudo_lm.score_texts(voc, net, spelt, net.tables(), [t.encode()])[1][0] / len(t.split())
+    alone = np.log(voc.counts / voc.counts.sum())
+    better = 0
+    for _ in range(40):
+        text = ordered_text(rng, 60)
+        shuffled = text.split()
+        rng.shuffle(shuffled)
+        better += score(text) > score(" ".join(shuffled))
+    symbols = pseudo_lm.Text(voc, [text.encode()])
+    plain = alone[symbols.seq[symbols.at]].mean()
+    known = net.log_likelihood(net.tables(), symbols.seq, symbols.at).mean()
+    assert better == 40 and known > plain + 1.5
+
+
+def test_pseudo_likelihood_grows(spark):
+    """Every word that occurs often enough is a symbol, however many there are; the others have probabilities of their own."""
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('w', id % 2500, ' w', (id + 1) % 2500, ' w', (id * 7) % 2500) as text")
+    assert pseudo_lm.vocabulary(many, Store(spark, "lm"), least=2).words == 2500
+    few = spark.createDataFrame([(1, "seen once"), (2, "only qqqqqqqq")], EMPTY)
+    scores = {r["doc_id"]: r["score"] for r in pseudo_lm.score_documents(few).collect()}
+    assert scores[1] != scores[2] and all(s < 0 for s in scores.values())
 
 
 # 7: archives
