@@ -49,32 +49,31 @@ def _rates(values: tuple[float, ...]) -> Column:
     return F.struct(*(F.lit(float(v)).alias(p) for p, v in zip(PARTS, values, strict=True)))
 
 
-def _named(name: Column, card: Mapping[str, tuple[float, ...]], dated: Mapping[str, Sequence[tuple[datetime, tuple[float, ...]]]]) -> Column:
-    """The entries of the card that name a model, in order: the key is followed by nothing, a mode in brackets or after @,
-    or a date."""
-    kind = f"array<struct<end:timestamp,rates:struct<{','.join(f'{p}:double' for p in PARTS)}>>>"
-    windows = {k: F.array(*(F.struct(F.lit(end).alias("end"), _rates(v).alias("rates")) for end, v in sorted(dated.get(k, []), key=lambda w: w[0]))) for k in card}
-    entries = F.array(*(F.struct(F.lit(k).alias("key"), _rates(v).alias("rates"), windows[k].cast(kind).alias("windows")) for k, v in card.items()))
-    return F.filter(entries, lambda e: F.startswith(name, e["key"]) & F.substring(name, F.length(e["key"]) + 1, F.length(name)).rlike(r"^$|^[\[@]|^-?\d{6,8}$"))
+def _fits(name: Column, key: str) -> Column:
+    """Whether a key of the card names a model: it is followed by nothing, a mode in brackets or after @, or a date."""
+    return name.startswith(key) & F.substring(name, len(key) + 1, 1000).rlike(r"^$|^[\[@]|^-?\d{6,8}$")
 
 
 def card_key(model: Column, card: Mapping[str, tuple[float, ...]] = CARD) -> Column:
     """The first key of the card that names the model, null if none does."""
-    return F.get(F.transform(F.array(normalised(model)), lambda name: F.get(_named(name, card, {}), F.lit(0))["key"]), F.lit(0))
+    name = normalised(model)
+    return F.coalesce(*(F.when(_fits(name, k), k) for k in card))
 
 
 def resolve(model: Column, ts: Column | None = None, card: Mapping[str, tuple[float, ...]] = CARD, dated: Mapping[str, Sequence[tuple[datetime, tuple[float, ...]]]] = DATED) -> Column:
-    """A struct of key, estimated and rates. The card is a literal of the plan: nothing is joined, so that a model that
-    most rows have is no hot key."""
-
-    def look(name: Column) -> Column:
-        entry, guess = F.get(_named(name, card, dated), F.lit(0)), _rates(card[DEFAULT])
-        for pattern, k in reversed(TIERS):
-            guess = F.when(name.rlike(pattern), _rates(card[k])).otherwise(guess)
-        window = F.get(F.filter(entry["windows"], lambda w: ts < w["end"]), F.lit(0))["rates"] if ts is not None else F.lit(None)
-        return F.struct(entry["key"].alias("key"), entry["key"].isNull().alias("estimated"), F.coalesce(window, entry["rates"], guess).alias("rates"))
-
-    return F.get(F.transform(F.array(normalised(model)), look), F.lit(0))
+    """A struct of key, estimated and rates. The card is a chain of cases in the plan, compiled like any other: nothing is
+    joined, so that a model that most rows have is no hot key, and a pattern is tried only behind a prefix that fits."""
+    name = normalised(model)
+    guess = _rates(card[DEFAULT])
+    for pattern, k in reversed(TIERS):
+        guess = F.when(name.rlike(pattern), _rates(card[k])).otherwise(guess)
+    out = F.struct(F.lit(None).cast("string").alias("key"), F.lit(True).alias("estimated"), guess.alias("rates"))
+    for k, rates in reversed(card.items()):
+        now = _rates(rates)
+        for end, old in sorted(dated.get(k, []), key=lambda w: w[0], reverse=True) if ts is not None else ():
+            now = F.when(ts < F.lit(end), _rates(old)).otherwise(now)
+        out = F.when(_fits(name, k), F.struct(F.lit(k).alias("key"), F.lit(False).alias("estimated"), now.alias("rates"))).otherwise(out)
+    return out
 
 
 def part_costs(rates: Column, fresh: Column, create: Column, create_5m: Column, create_1h: Column, read: Column, output: Column) -> dict[str, Column]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmeter.functions.time import bucket_center, bucket_index
+from quillmeter.functions.time import bucket_center
 
 
 def totals(df: DataFrame, ts: str, width: int, by: Sequence[str], sums: dict[str, Column], name: str = "bucket") -> DataFrame:
@@ -29,15 +31,20 @@ def percentile_bands(df: DataFrame, ts: str, widths: Sequence[int], by: str, val
     return wide.groupBy(F.col("_b.width").alias("bucket_s"), F.col("_b.bucket").alias("bucket"), F.col("_by").alias(by)).agg(F.count("*").alias("n"), *cols)
 
 
-def outliers(df: DataFrame, keys: Sequence[str | Column], value: str, tie: Sequence[str], share: float = 0.01, least: int = 100) -> DataFrame:
-    """The rows in the highest and lowest share of their group, at least one each, with kind; groups under least have none."""
-    group = Window.partitionBy(*keys)
-    n = F.count("*").over(group)
-    most = F.greatest(F.lit(1), F.ceil(n * share))
-    up = F.row_number().over(group.orderBy(F.col(value).desc(), *tie))
-    down = F.row_number().over(group.orderBy(F.col(value).asc(), *tie))
-    out = df.withColumns({"_n": n, "_high": up <= most, "_low": down <= most}).where((F.col("_n") >= least) & (F.col("_high") | F.col("_low")))
-    return out.withColumn("kind", F.when(F.col("_high"), "high").otherwise("low")).drop("_n", "_high", "_low")
+def outliers(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], share: float = 0.01, least: int = 100) -> DataFrame:
+    """The rows in the highest and lowest share of their group, at least one each, with kind; groups under least have none.
+
+    Percentiles just inside the shares leave a few hundredths of a group to be ranked, so hot groups aren't sorted whole.
+    """
+    inside = (least * (1 - share) - 1) / (least - 1)  # at or below the place of the last high row, in groups of any size
+    bounds = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile(F.col(value).cast("double"), F.array(F.lit(1 - inside), F.lit(inside))).alias("_p")).where(F.col("_n") >= least)
+    bounds = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", "_p")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    far = (F.col(value) <= F.col("_p")[0]) | (F.col(value) >= F.col("_p")[1])
+    rows = df.join(bounds, same & far)
+    group, most = Window.partitionBy(*keys), F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
+    rows = rows.withColumns({"_high": F.row_number().over(group.orderBy(F.col(value).desc(), *tie)) <= most, "_low": F.row_number().over(group.orderBy(F.col(value).asc(), *tie)) <= most})
+    return rows.where("_high or _low").withColumn("kind", F.when(F.col("_high"), "high").otherwise("low")).select(*df.columns, "kind")
 
 
 def first_row_only(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -68,7 +75,3 @@ def bins(df: DataFrame, ts: str, start, end, width: int, sums: dict[str, Column]
     out = every.join(rows, "bin", "left").select("bin", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *sums)))
     edge = lambda k: F.timestamp_micros((a + F.col("bin") * width * 1_000_000 + F.lit(k * width * 1_000_000)).cast("long"))
     return out.withColumns({"bin_start": edge(0), "bin_end": F.least(edge(1), F.lit(end).cast("timestamp"))})
-
-
-def index(df: DataFrame, ts: str, width: int) -> DataFrame:
-    return df.withColumn("bucket_index", bucket_index(F.col(ts), width))

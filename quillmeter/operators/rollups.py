@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.operators.buckets import outliers, percentile_bands
 from quillmeter.functions.time import bucket_center
+from quillmeter.operators.buckets import outliers
 
 TOKENS = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "eph5_tokens", "eph1h_tokens")
 #: Bucket widths for which latencies are kept; percentiles of a wider bucket don't follow from those of narrower ones.
@@ -63,6 +63,3 @@ def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS) -> Data
     lists = far.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in ("ts", "latency_s", "file_key", "line_num", "kind")))).alias("outliers"))
     empty = F.array().cast(lists.schema["outliers"].dataType)
     return bands.join(lists, keys, "left").withColumn("outliers", F.coalesce("outliers", empty))
-
-
-__all__ = ["LATENCY_WIDTHS", "TOKENS", "latency", "named_model", "percentile_bands", "tools", "usage", "with_model"]

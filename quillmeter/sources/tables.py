@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterable
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +38,61 @@ def write_by_day(table: DataFrame, path: str, ts: str = "ts") -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def publish(table: DataFrame, root: str, name: str, version: str) -> str:
-    """Writes a version beside the ones readers still use, and returns its path."""
+def publish(table: DataFrame, root: str, name: str, version: str, ts: str | None = None) -> str:
+    """Writes a version beside the ones readers still use, by day if it has a time, and returns its path."""
     path = f"{root}/{name}/v={version}"
-    table.write.mode("overwrite").parquet(path)
+    if ts:
+        write_by_day(table, path, ts)
+        fs, where = _fs(table.sparkSession, path)
+        if not any(x.isDirectory() for x in fs.listStatus(where)):  # no rows: a file that has the columns
+            table.limit(0).withColumn("day", F.lit(None).cast("date")).write.mode("overwrite").parquet(path)
+    else:
+        table.write.mode("overwrite").parquet(path)
     return path
 
 
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def prune(spark: SparkSession, root: str, names: Iterable[str], oldest: int) -> None:
+    """Deletes the versions of tables below a number."""
+    for name in names:
+        fs, where = _fs(spark, f"{root}/{name}")
+        for status in fs.listStatus(where) if fs.exists(where) else ():
+            version = status.getPath().getName()
+            if version.startswith("v=") and int(version[2:]) < oldest:
+                fs.delete(status.getPath(), True)
+
+
+@contextmanager
+def only_one(spark: SparkSession, root: str, stale_s: float = 6 * 3600):
+    """Holds a lock file below a folder while a block runs; a RuntimeError if another holds it. One that is older than
+    stale_s was left by a process that died, and is taken over."""
+    fs, where = _fs(spark, f"{root}/_lock")
+    if fs.exists(where) and time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > stale_s:
+        fs.delete(where, False)
+    try:
+        fs.create(where, False).close()  # fails if it is there
+    except Exception as e:
+        raise RuntimeError(f"another update of {root} is running") from e
+    try:
+        yield
+    finally:
+        fs.delete(where, False)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder; times without zone are read as UTC."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmeter.sources.tables import exists
+
 _LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -23,16 +25,22 @@ def inside(root: str, key: str) -> str:
     return posixpath.join(root.rstrip("/"), key)
 
 
-def objects(spark: SparkSession, root: str) -> DataFrame:
-    """(key, etag, size, last_modified, content) of all files below a folder or bucket; unread content costs nothing.
+def objects(spark: SparkSession, root: str, keys: list[str] | None = None, etags: DataFrame | None = None) -> DataFrame:
+    """(key, etag, size, last_modified, content) of all files below a folder or bucket, or of those with given keys only;
+    unread content costs nothing.
 
-    The etag changes with size and time of modification.
+    The etag changes with size and time of modification; etags (key, etag) are a store's own, which come first.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(_LISTING).load(root)
+    load = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(_LISTING)
+    files = load.load([inside(root, k) for k in keys] if keys else root)
     name = root.split("://")[-1].strip("/")
     key = F.regexp_replace(F.substring_index(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"{name}/", -1), "^/+", "")
     etag = F.sha1(F.concat_ws(":", F.unix_micros("modificationTime"), F.col("length")).cast("binary"))
-    return files.select(key.alias("key"), etag.alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
+    out = files.select(key.alias("key"), etag.alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
+    if etags is None:
+        return out
+    own = etags.groupBy("key").agg(F.max("etag").alias("own"))
+    return out.join(own, "key", "left").withColumn("etag", F.coalesce("own", "etag")).drop("own").select("key", "etag", "size", "last_modified", "content")
 
 
 def transcripts(listing: DataFrame) -> DataFrame:
@@ -75,10 +83,11 @@ def read_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def one_object(spark: SparkSession, root: str, key: str) -> DataFrame:
-    """The object with a key, its plain form before its compressed one, inflated, with its media type."""
-    files = objects(spark, root).where(F.col("key").isin(inside("", key), inside("", key) + ".xz"))
-    found = files.orderBy("key").limit(1)
-    return texts(found.withColumn("file_key", F.col("key"))).withColumn("media_type", media_type(F.col("file_key")))
+    """The object with a key, its plain form before its compressed one, inflated, with its media type; no row if there is
+    neither. Nothing else is listed."""
+    found = [k for k in (key, f"{key}.xz") if exists(spark, inside(root, k))][:1]
+    files = objects(spark, root, found) if found else objects(spark, root).limit(0)
+    return texts(files.withColumn("file_key", F.col("key"))).withColumn("media_type", media_type(F.col("file_key")))
 
 
 def media_type(key: Column) -> Column:

@@ -7,9 +7,12 @@ difference, since derived tables are rebuilt from all rows.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -21,6 +24,8 @@ from quillmeter.sources import tables, transcripts
 
 #: Stored with each file; another version means that every file is parsed again.
 VERSION = "1"
+#: Versions of tables that stay, and attempts at an update.
+KEEP, ATTEMPTS = 3, 2
 
 
 @dataclass(frozen=True)
@@ -32,52 +37,82 @@ class Parsed:
 
 
 def to_do(listing: DataFrame, stored: DataFrame | None, version: str = VERSION) -> DataFrame:
-    """Listed transcripts that aren't stored with this etag and version."""
+    """Listed transcripts that aren't stored (or known as damaged) with this etag and version."""
     found = listing.withColumn("version", F.lit(version))
     return found if stored is None else found.join(stored.select("file_key", "etag", "version"), ["file_key", "etag", "version"], "left_anti")
 
 
-def parse(listing: DataFrame) -> Parsed:
-    """The frames of listed transcripts. A damaged object is reported and doesn't stop the others."""
+def parse(listing: DataFrame, work: str | None = None) -> Parsed:
+    """The frames of listed transcripts. A damaged object is reported and doesn't stop the others. With a work folder the
+    events are written there once, and all frames read them; without one each frame parses the lines anew."""
     lines, damaged = transcripts.read_lines(listing)
     ev = transcript.events(lines)
+    if work:
+        ev.write.mode("overwrite").parquet(f"{work}/events")
+        damaged.write.mode("overwrite").parquet(f"{work}/damaged")
+        ev, damaged = (listing.sparkSession.read.parquet(f"{work}/{k}") for k in ("events", "damaged"))
     recs, asked = transcript.records(ev), transcript.prompts(ev)
     files = transcript.files(listing.drop("content"), asked, transcript.context_turns(recs, asked), transcript.limit_hits(ev))
     good = files.join(damaged.select("file_key"), "file_key", "left_anti")
     return Parsed(good, recs, transcript.tool_uses(ev), damaged)
 
 
-def update(spark: SparkSession, root: str, out: str, version: str = VERSION) -> dict[str, str]:
+def update(spark: SparkSession, root: str, out: str, version: str = VERSION, tell: Callable[[dict], None] | None = None, keep: int = KEEP, attempts: int = ATTEMPTS) -> dict[str, str]:
     """Parses what changed below root and writes a new version of each table below out; returns their paths.
 
-    Readers keep the version they have: paths are new, and the pointer row is written last. Two updates of one out must
-    not overlap.
+    Without new, changed or vanished objects nothing is written. Readers keep the version they have: paths are new, and
+    the pointer row is written last; keep versions stay, older ones go. A second update of one out at the same time is
+    refused (RuntimeError). tell is called after the update. A step that fails is tried again, attempts times in all.
     """
+    with tables.only_one(spark, out):
+        for attempt in range(1, attempts + 1):
+            try:
+                made, changed = _update(spark, root, out, version, keep)
+                break
+            except AnalysisException:  # no attempt makes a missing column or table appear
+                raise
+            except Exception:
+                if attempt == attempts:
+                    raise
+    if tell and changed:
+        tell({"event": "ingest_done", "version": made["files"].rsplit("=", 1)[1], **changed})
+    return made
+
+
+def _update(spark: SparkSession, root: str, out: str, version: str, keep: int) -> tuple[dict[str, str], dict[str, int]]:
     listing = transcripts.transcripts(transcripts.objects(spark, root))
     paths = current(spark, out)
-    old = {k: spark.read.parquet(p) for k, p in paths.items()}
-    new = parse(to_do(listing, old.get("files"), version))
-    number = str(int(paths["files"].rsplit("=", 1)[1]) + 1) if paths else "1"
-    merged = {k: tables.replaced(old[k], getattr(new, k), new.files) if k in old else getattr(new, k) for k in ("files", "records", "tool_uses")}
+    old = {k: spark.read.parquet(p).drop("day") for k, p in paths.items()}
+    seen = [old[k].select("file_key", "etag", "version") for k in ("files", "damaged") if k in old]
+    new = to_do(listing, reduce(DataFrame.union, seen) if seen else None, version)
     kept = listing.select("file_key")
+    parsed = new.count()
+    gone = old["files"].join(kept, "file_key", "left_anti").count() if old and kept.limit(1).count() else 0
+    if paths and not parsed and not gone:
+        return paths, {}
+    number = int(paths["files"].rsplit("=", 1)[1]) + 1 if paths else 1
+    work = f"{out}/_work/{number}"
+    found = parse(new, work)
+    merged = {k: tables.replaced(old[k], getattr(found, k), found.files) if k in old else getattr(found, k) for k in ("files", "records", "tool_uses")}
     rows = {k: tables.without_orphans(df.drop("is_canonical") if k == "records" else df, kept) for k, df in merged.items()}
     rows["records"] = canonical(rows["records"])
-    made = {}
-    for name in ("files", "records", "tool_uses"):
-        made[name] = tables.publish(rows[name], out, name, number)
+    made = {name: tables.publish(rows[name], out, name, str(number), None if name == "files" else "ts") for name in ("files", "records", "tool_uses")}
     files, records, calls = (spark.read.parquet(made[k]) for k in ("files", "records", "tool_uses"))
-    derived = {"projects": tables.projects(old.get("projects"), files), "usage": rollups.usage(records, files), "tools": rollups.tools(calls, records, files), "latency": rollups.latency(records, files), "damaged": new.damaged}
+    damaged = found.damaged.join(new.select("file_key", "etag", "version"), "file_key")
+    if "damaged" in old:  # those that didn't change since aren't read again
+        damaged = tables.without_orphans(tables.replaced(old["damaged"], damaged, new), kept)
+    derived = {"projects": tables.projects(old.get("projects"), files), "usage": rollups.usage(records, files), "tools": rollups.tools(calls, records, files), "latency": rollups.latency(records, files), "damaged": damaged}
     for name, df in derived.items():
-        made[name] = tables.publish(df, out, name, number)
-    rows = [(int(number), k, p) for k, p in made.items()]
-    spark.createDataFrame(rows, "number long, name string, path string").coalesce(1).write.mode("append").parquet(f"{out}/_current")
-    return made
+        made[name] = tables.publish(df, out, name, str(number))
+    spark.createDataFrame([(number, k, p) for k, p in made.items()], "number long, name string, path string").coalesce(1).write.mode("append").parquet(f"{out}/_current")
+    tables.delete(spark, f"{out}/_work")
+    tables.prune(spark, out, made, number - keep + 1)
+    return made, {"parsed": parsed, "vanished": gone}
 
 
 def current(spark: SparkSession, out: str) -> dict[str, str]:
     """The paths of the latest complete version, empty before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_current")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not tables.exists(spark, f"{out}/_current"):
         return {}
     rows = spark.read.parquet(f"{out}/_current")
     last = rows.agg(F.max("number")).first()[0]
@@ -111,6 +146,23 @@ def live_sessions(stream: DataFrame, ts: str, by: list[str], sums: dict, gap: st
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
 
 
+class Mailbox:
+    """A bounded queue for a slow listener: what comes while it is full pushes the oldest message out, and nothing waits."""
+
+    def __init__(self, most: int = 100):
+        self.waiting: deque[dict] = deque(maxlen=most)
+
+    def put(self, message: dict) -> None:
+        self.waiting.append(message)
+
+    def take(self) -> list[dict]:
+        """All messages so far, oldest first."""
+        out = []
+        while self.waiting:
+            out.append(self.waiting.popleft())
+        return out
+
+
 class Notifier(StreamingQueryListener):
     """Calls back after each batch that had rows."""
 

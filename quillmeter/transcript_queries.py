@@ -6,6 +6,8 @@ repeated ids, broken times, limit errors, synthetic models, usage over several c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def lines(t) -> DataFrame:
         F.lit('{"type":"assistant","uuid":"'), name("a", k), F.lit('","requestId":"'), F.when(c % 6 == 5, "").otherwise(name("q", F.floor(k / 4))), F.lit('","timestamp":"'), stamp, F.lit('",'),
         F.when(limited, '"isApiErrorMessage":true,"error":"rate_limit",').otherwise(""), F.lit('"message":{"role":"assistant","model":"'), model, F.lit('","content":'), F.when(limited, limit).otherwise(calls), F.lit(',"usage":'), F.to_json(usage), F.lit("}}"))
     other = F.when(c % 3 == 0, "{bad").when(c % 3 == 1, "[1, 2]").otherwise('{"type":"system","content":"note"}')
-    value = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", reply).otherwise(other)
-    return t("conversations").select(file(), (k + 1).cast("int").alias("line_num"), value.alias("value"))
+    rows, place = t("conversations"), (file(), (k + 1).cast("int").alias("line_num"))
+    shapes = (("role = 'user'", user), ("role = 'assistant'", reply), ("role not in ('user', 'assistant')", other))
+    return reduce(DataFrame.union, (rows.where(only).select(*place, value.alias("value")) for only, value in shapes))
 
 
 _GIVEN = "struct<old_string:string,new_string:string,content:string,command:string>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import lzma
+import os
 from datetime import UTC, datetime
 from decimal import Decimal
 
@@ -184,14 +185,47 @@ def test_updates_and_panels(spark, mirror):
     assert panels.cache_total(costs).first()["requests"] == 3 and panels.latency_outliers(panels.reply_latency(t, year)).count() == 0
 
     # Nothing to do, a changed object, a vanished one.
-    again = ingest.update(spark, source, out)
-    assert spark.read.parquet(again["records"]).count() == 4
+    told, before = [], sorted(str(p) for p in (root / "out").rglob("*"))
+    assert ingest.update(spark, source, out, tell=told.append) == made and told == []
+    assert sorted(str(p) for p in (root / "out").rglob("*")) == before and not (root / "out/_work").exists()
     put("projB/s2/s2.jsonl", [reply("2026-07-15T10:30:09Z", "r3"), reply("2026-07-15T10:31:09Z", "r4"), reply("2026-07-15T10:32:09Z", "r5")])
     (root / "in/projA/s1/agent-aa.jsonl.xz").unlink()
-    later = ingest.update(spark, source, out)
+    later = ingest.update(spark, source, out, tell=told.append)
+    assert told == [{"event": "ingest_done", "version": "2", "parsed": 1, "vanished": 1}]
     assert (spark.read.parquet(later["files"]).count(), spark.read.parquet(later["records"]).count(), spark.read.parquet(later["tool_uses"]).count()) == (2, 5, 0)
 
 
+    # Stored by day; one update at a time; old versions go; a lock of a process that died is taken over.
+    plan = spark.read.parquet(later["records"]).where("day = date'2026-07-15'").select("file_key")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    with tables.only_one(spark, out), pytest.raises(RuntimeError):
+        ingest.update(spark, source, out)
+    put("projB/s3/s3.jsonl", [reply("2026-07-16T10:30:09Z", "r9")])
+    (root / "out/_lock").touch()
+    os.utime(root / "out/_lock", (0, 0))
+    assert ingest.update(spark, source, out, keep=1)["files"].endswith("v=3")
+    assert [p.name for p in (root / "out/records").iterdir()] == ["v=3"] and not (root / "out/_lock").exists()
+
+
+def test_attempts(spark, mirror, monkeypatch):
+    root, _ = mirror
+    calls, whole = [], ingest._update
+    monkeypatch.setattr(ingest, "_update", lambda *a: calls.append(1) or (whole(*a) if len(calls) > 1 else 1 / 0))
+    assert "files" in ingest.update(spark, str(root / "in"), str(root / "out"))
+    calls.clear()
+    monkeypatch.setattr(ingest, "_update", lambda *a: calls.append(1) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.update(spark, str(root / "in"), str(root / "out"))
+    assert len(calls) == ingest.ATTEMPTS
+
+
+def test_mailbox():
+    box = ingest.Mailbox(2)
+    for i in range(3):
+        box.put({"n": i})
+    assert box.take() == [{"n": 1}, {"n": 2}] and box.take() == []
+
+
 def test_follow(spark, mirror):
     root, _ = mirror
     told = []
@@ -207,7 +241,12 @@ def test_sources(spark, mirror):
     root, _ = mirror
     with pytest.raises(ValueError):
         transcripts.inside("/x", "../y")
-    assert transcripts.one_object(spark, str(root / "in"), "projA/s1/agent-aa.jsonl").first()["text"].startswith("{")
+    one = transcripts.one_object(spark, str(root / "in"), "projA/s1/agent-aa.jsonl")
+    assert one.first()["text"].startswith("{") and one.first()["file_key"] == "projA/s1/agent-aa.jsonl.xz" and "projB" not in str(one.inputFiles())
+    assert transcripts.one_object(spark, str(root / "in"), "projA/none.jsonl").count() == 0
+    own = spark.createDataFrame([("projB/s2/s2.jsonl", "etag of the store")], "key string, etag string")
+    found = {r["key"]: r["etag"] for r in transcripts.objects(spark, str(root / "in"), etags=own).select("key", "etag").collect()}
+    assert found["projB/s2/s2.jsonl"] == "etag of the store" and len(found["projA/s1/s1.jsonl"]) == 40
     made = transcripts.made_up(spark, 3, 4)
     assert made.count() == 24 and transcript.records(transcript.events(made)).count() == 12
     shown = transcript.browse(made)
