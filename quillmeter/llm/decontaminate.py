@@ -8,8 +8,9 @@ small. Words are compared by 128-bit hash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmeter.llm import _text
-from quillmeter.llm._store import small_batches
+from quillmeter.llm._store import Store, small_batches
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -235,39 +236,62 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """The kept columns of docs (default: all) with n_words, n_hit, items (ids, sorted as strings), spans (runs of hit
     words as start and end word numbers) and contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
-    One row for each document, nothing is shuffled: the test set goes to the shards, in blocks of 16 MB, each block in
-    a pass of its own whose results are merged. Null and empty texts have no words and items without words no windows.
-    Repeated items and documents are treated alike. Columns of docs with the names added are replaced.
+    One row for each document. The test set goes to the shards in blocks of 16 MB, of which the driver holds one at a
+    time. A test set of one block takes one pass and shuffles nothing; of a larger one each block's hits are written and
+    then grouped by document. Null and empty texts have no words and items without words no windows. Repeated items and
+    documents are treated alike. Columns of docs with the names added are replaced.
     """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     own = ["n_words", "n_hit", "items", "spans", "contaminated"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
 
-    def scan(df: DataFrame, kept: list[str], block: list[tuple[str, str]]) -> DataFrame:
+    def scan(df: DataFrame, kept: list[str], shared) -> DataFrame:
         df = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
         schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, t) for c, t in ADDED)])
-        arrow = to_arrow_schema(schema)
-        return df.mapInArrow(_scan(sc.broadcast(Windows(block, window)), df.columns.index(text), [df.columns.index(c) for c in kept], arrow, shard_symbols), schema)
-
-    def more(df: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-        df = df.withColumnsRenamed({"items": "_items", "spans": "_spans"}).drop("n_words", "n_hit")
-        df = scan(df, [c for c in df.columns], block)
-        return df.withColumns({"items": F.array_sort(F.array_union("items", "_items")), "spans": F.concat("_spans", "spans")}).drop("_items", "_spans")
+        return df.mapInArrow(_scan(shared, df.columns.index(text), [df.columns.index(c) for c in kept], to_arrow_schema(schema), shard_symbols), schema)
 
     blocks = _blocks(benchmark, item, item_text, block_bytes)
-    first = next(blocks)
-    rest = list(blocks)
-    out = reduce(more, rest, scan(docs, keep if not rest else list(dict.fromkeys([*keep, text])), first))
-    if rest:
-        words = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-        starts = F.filter(words, lambda w: ~F.array_contains(words, w - 1))
-        ends = F.filter(words, lambda w: ~F.array_contains(words, w + 1))
-        out = out.withColumns({"n_hit": F.size(words).cast("long"), "spans": F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))})
-        out = out.select(*keep, *own[:4])
+    first, second = next(blocks), next(blocks, None)
+    if not second:
+        out = scan(docs, keep, sc.broadcast(Windows(first, window)))
+    else:
+        out = _by_blocks(docs, keep, text, scan, chain([first, second], blocks), window)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+_ROW = "__decontaminate_row"
+
+
+def _by_blocks(docs: DataFrame, keep: list[str], text: str, scan: Callable, blocks: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
+    """The kept columns with n_words, n_hit, items and spans, from passes of which each writes what it found."""
+    store = Store(docs.sparkSession, "decontaminate")
+    # Stored, so that a row has one number in all passes.
+    rows = store.table(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    counts, hits = None, []
+    for k, block in enumerate(blocks):
+        if not block and k:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
+        found = scan(rows, [_ROW], shared)
+        if counts is None:
+            found = counts = store.table(found, "counts")
+            hits.append(counts.where("n_hit > 0"))
+        else:
+            hits.append(store.table(found.where("n_hit > 0"), f"hits-{k}"))
+        shared.destroy()
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
+    starts = F.filter(words, lambda w: ~F.array_contains(words, w - 1))
+    ends = F.filter(words, lambda w: ~F.array_contains(words, w + 1))
+    one = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    grouped = reduce(DataFrame.union, (h.select(_ROW, "items", "spans") for h in hits)).groupBy(_ROW)  # a row for each block at most
+    grouped = grouped.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    grouped = grouped.select(_ROW, F.size(words).cast("long").alias("n_hit"), "items", one.alias("spans"))
+    out = rows.select(_ROW, *(f"`{c}`" for c in keep)).join(counts.select(F.col(_ROW).alias("_r"), "n_words"), F.col(_ROW) == F.col("_r")).drop("_r").join(grouped, _ROW, "left")
+    empty = {c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)) for c in ("items", "spans")}
+    return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), **empty}).select(*(f"`{c}`" for c in keep), "n_words", "n_hit", "items", "spans")
+
+
 def cut(text: str | None, spans: list) -> str | None:
     """A text without the hit words and what stands between them."""
     if text is None or not len(spans):
