@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Seconds between two collections of the driver's garbage.
+GC_S = 5.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,7 @@ class Store:
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.names: list[str] = []
+        self.collected = 0.0
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -50,7 +54,9 @@ class Store:
         self.names.append(name)
         df.write.option("compression", codec).parquet(self.path(name))
         # Shuffle files go when the driver's collector finds their plan unused, which may be long after: now is the time.
-        self.spark._jvm.System.gc()
+        if time.monotonic() - self.collected > GC_S:
+            self.spark._jvm.System.gc()
+            self.collected = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
