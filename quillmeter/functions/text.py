@@ -46,4 +46,13 @@ def tool_preview(name: Column, argument: Column, length: int = 80) -> Column:
 
 def references(text: Column) -> Column:
     """Names of stored results and agents that a text mentions."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"(tool-results/[\w.-]+)"), 1), F.regexp_extract_all(text, F.lit(r"(agent-[0-9a-f]{12,})"), 1)))
+    stored = F.regexp_extract_all(text, F.lit(r"(?<![\w.-])(tool-results/[A-Za-z0-9._-]+\.[a-zA-Z]+)"), 1)
+    return F.array_distinct(F.concat(stored, F.regexp_extract_all(text, F.lit(r"\b(agent-[0-9a-f]{12,})\b"), 1)))
+
+
+def notifications(text: Column) -> Column:
+    """An array of (task_id, tool_use_id, output_file, event) of the task notifications in a text; missing fields are
+    empty."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), 1)
+    part = lambda b, tag: F.regexp_extract(b, f"<{tag}>([^<]+)</{tag}>", 1).alias(tag.replace("-", "_"))
+    return F.transform(blocks, lambda b: F.struct(*(part(b, tag) for tag in ("task-id", "tool-use-id", "output-file", "event"))))

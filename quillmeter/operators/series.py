@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,27 +15,37 @@ def _ordered(by: Sequence[str], order: Sequence[str]):
 
 
 def ema(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float | Column = 0.15, name: str = "ema") -> DataFrame:
-    """Exponential mean, e[0] = v[0] and e[i] = alpha v[i] + (1 - alpha) e[i-1], over each series.
+    """Exponential mean, e[0] = v[0] and e[i] = alpha v[i] + (1 - alpha) e[i-1], over each series."""
+    return emas(df, by, order, {name: value}, alpha)
 
-    Written as a weighted window sum inside blocks of 64 rows, joined by a fold over the blocks' last values: no series
-    is kept in a row, and the windows sort once by series and order.
+
+def emas(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, str], alpha: float | Column = 0.15) -> DataFrame:
+    """Exponential means (name: column) of several columns at once.
+
+    Written as a weighted window sum inside blocks of 64 rows, joined by a fold over the blocks' last values: no row holds
+    more of a series than a 64th, and the windows sort once by series and order.
     """
     a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    w = _ordered(by, order)
-    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_a": a.cast("double"), "_v": F.col(value).cast("double")}).withColumn("_b", F.floor(F.col("_i") / 64))
+    w, n = _ordered(by, order), range(len(values))
+    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_a": a.cast("double"), **{f"_v{k}": F.col(v).cast("double") for k, v in enumerate(values.values())}}).withColumn("_b", F.floor(F.col("_i") / 64))
     inside = Window.partitionBy(*by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     weight = F.pow(1 - F.col("_a"), -(F.col("_i") % 64).cast("double"))
-    first = F.when(F.col("_i") == 0, F.col("_v")).otherwise(F.col("_a") * F.col("_v"))
-    rows = rows.withColumn("_own", F.sum(first * weight).over(inside) / weight)
-    # What a block hands on: its own last value, and what is left of what came before it.
-    ends = rows.groupBy(*by, "_b").agg(F.max_by("_own", "_i").alias("_last"), F.max_by(F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")), "_i").alias("_left"))
-    fold = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_last", "_left"))).alias("_e"))
-    step = lambda s, x: F.struct((x["_last"] + x["_left"] * s["v"]).alias("v"), F.array_append(s["all"], x["_last"] + x["_left"] * s["v"]).alias("all"))
-    fold = fold.select(*by, F.aggregate("_e", F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("all")), step, lambda s: s["all"]).alias("_carry"))
+    first = lambda k: F.when(F.col("_i") == 0, F.col(f"_v{k}")).otherwise(F.col("_a") * F.col(f"_v{k}"))
+    rows = rows.withColumns({f"_own{k}": F.sum(first(k) * weight).over(inside) / weight for k in n})
+    # What a block hands on: its own last values, and what is left of what came before it.
+    left = F.max_by(F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")), "_i").alias("_left")
+    ends = rows.groupBy(*by, "_b").agg(*(F.max_by(f"_own{k}", "_i").alias(f"_last{k}") for k in n), left)
+    fold = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_left", *(f"_last{k}" for k in n)))).alias("_e"))
+
+    def carried(k: int) -> Column:
+        step = lambda s, x: F.struct((x[f"_last{k}"] + x["_left"] * s["v"]).alias("v"), F.array_append(s["all"], x[f"_last{k}"] + x["_left"] * s["v"]).alias("all"))
+        return F.aggregate("_e", F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("all")), step, lambda s: s["all"])
+
+    fold = fold.select(*by, *(carried(k).alias(f"_carry{k}") for k in n))
     rows = rows.join(fold, list(by)) if by else rows.crossJoin(F.broadcast(fold))  # one row
-    carry = F.when(F.col("_b") == 0, 0.0).otherwise(F.get("_carry", F.col("_b").cast("int") - 1))
-    out = rows.withColumn(name, F.col("_own") + carry * F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")))
-    return out.drop("_i", "_a", "_v", "_b", "_own", "_carry")
+    carry = lambda k: F.when(F.col("_b") == 0, 0.0).otherwise(F.get(f"_carry{k}", F.col("_b").cast("int") - 1))
+    out = rows.withColumns({name: F.col(f"_own{k}") + carry(k) * F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")) for k, name in enumerate(values)})
+    return out.drop("_i", "_a", "_b", *(f"_{c}{k}" for c in ("v", "own", "carry") for k in n))
 
 
 def display_alpha(n: Column) -> Column:
@@ -53,11 +63,31 @@ def _seconds(a: Column, b: Column) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / 1e6
 
 
+def with_previous(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str] = (), name: str = "_p") -> DataFrame:
+    """df with the time of the row before in its series, null for the first.
+
+    A single series of all rows (no by) is read in blocks of an hour, side by side: the first row of a block follows the
+    last time of an earlier one, which a table of one row for each hour tells. The blocks are left as _hour.
+    """
+    if by:
+        return df.withColumn(name, F.lag(ts).over(_ordered(by, [ts, *tie])))
+    rows = df.withColumn("_hour", F.date_trunc("hour", ts))
+    last = rows.groupBy("_hour").agg(F.max(ts).alias("_last"))
+    before = last.select(F.col("_hour").alias("_h"), F.lag("_last").over(Window.orderBy("_hour")).alias("_before"))  # hours: the calendar bounds them
+    rows = rows.join(F.broadcast(before), F.col("_hour").eqNullSafe(F.col("_h")))
+    return rows.withColumn(name, F.coalesce(F.lag(ts).over(_ordered(["_hour"], [ts, *tie])), "_before")).drop("_h", "_before")
+
+
 def with_session(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str] = (), gap_s: int = 1800) -> DataFrame:
     """df with session_no: a gap of more than gap_s begins a new one."""
-    w = _ordered(by, [ts, *tie])
-    new = F.coalesce((_seconds(F.col(ts), F.lag(ts).over(w)) > gap_s).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = with_previous(df, by, ts, tie).withColumn("_new", F.coalesce((_seconds(F.col(ts), F.col("_p")) > gap_s).cast("int"), F.lit(1))).drop("_p")
+    so_far = F.sum("_new").over(_ordered(by or ["_hour"], [ts, *tie]).rowsBetween(Window.unboundedPreceding, 0))
+    if by:
+        return rows.withColumn("session_no", so_far).drop("_new")
+    begun = rows.groupBy("_hour").agg(F.sum("_new").alias("_k"))
+    begun = begun.select(F.col("_hour").alias("_h"), F.coalesce(F.sum("_k").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begun"))
+    rows = rows.join(F.broadcast(begun), F.col("_hour").eqNullSafe(F.col("_h")))  # hours
+    return rows.withColumn("session_no", F.col("_begun") + so_far).drop("_new", "_hour", "_h", "_begun")
 
 
 def sessions(df: DataFrame, by: Sequence[str], ts: str, sums: dict[str, Column], gap_s: int = 1800, least: int = 1) -> DataFrame:
@@ -76,8 +106,7 @@ def hourly_rates(found: DataFrame, columns: Sequence[str], floor_s: float = 60)
 
 def gap_boundaries(df: DataFrame, by: Sequence[str], ts: str, gap_s: int = 18000, middle: bool = False) -> DataFrame:
     """(by, boundary) where a long pause lies: the time after a gap of at least gap_s, or the middle of one that is longer."""
-    w = _ordered(by, [ts])
-    rows = df.select(*by, F.col(ts).alias("_t"), F.lag(ts).over(w).alias("_p"))
+    rows = with_previous(df, by, ts).withColumn("_t", F.col(ts))
     gap = _seconds(F.col("_t"), F.col("_p"))
     at = F.timestamp_micros(((F.unix_micros("_t") + F.unix_micros("_p")) / 2).cast("long")) if middle else F.col("_t")
     return rows.where(gap > gap_s if middle else gap >= gap_s).select(*by, at.alias("boundary"))
@@ -163,8 +192,14 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, points: Sequence[
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.max(F.when(F.col("_i") == at(q), F.col(value))).alias(f"q{round(100 * q)}") for q in points))
 
 
-def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float) -> DataFrame:
-    """A series drawn to its buckets' outer borders: half a bucket before and after, on the line through its end points."""
+def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float, log: bool = False) -> DataFrame:
+    """A series drawn to its buckets' outer borders: half a bucket before and after, on the line through its end points;
+    with log on that of the logarithms, where values of 0 and less count as the smallest positive one of the frame."""
+    if log:
+        least = df.agg(F.min(F.when(F.col(y) > 0, F.col(y))).alias("_least"))
+        scaled = df.crossJoin(F.broadcast(least)).withColumn(y, F.log10(F.greatest(F.col(y), F.col("_least")))).drop("_least")  # one row
+        shifted = scaled.withColumn(y, F.col(y) + 1000)  # edges are cut at 0, logarithms may lie below
+        return edges(shifted, by, x, y, half).withColumn(y, F.pow(F.lit(10.0), F.col(y) - 1000))
     w = _ordered(by, [x])
     after, before = F.lead(y).over(w), F.lag(y).over(w)
     rows = df.select(*by, F.col(x), F.col(y), F.when(before.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(after, F.col(y))).alias("_a"), F.when(after.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(before, F.col(y))).alias("_b"))
@@ -172,6 +207,12 @@ def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float) -> Data
     return rows.select(*by, F.explode(points).alias("p")).select(*by, F.col("p.x").alias(x), F.col("p.y").alias(y))
 
 
+def renormalised(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Shares that sum to one at each place again, as after drawing each series to its borders by itself."""
+    total = F.sum(y).over(Window.partitionBy(x))
+    return df.withColumn(y, F.when(total > 0, F.col(y) / total).otherwise(0.0))
+
+
 def densified(df: DataFrame, by: Sequence[str], x: str, y: str, points: int = 32) -> DataFrame:
     """Points between each two neighbours on a straight line, and the last one."""
     w = _ordered(by, [x])

@@ -195,6 +195,42 @@ def browse(lines: DataFrame) -> DataFrame:
     return rows.select("file_key", "line_num", name.alias("kind"), time.instant(F.col("ts_text")).alias("ts"), F.when(F.col("line_kind") == "parse_error", F.col("value")).otherwise(F.coalesce(shown, F.lit(""))).alias("text"))
 
 
+def notes(lines: DataFrame) -> DataFrame:
+    """(file_key, line_num, kind, ts, name, content) of lines beside the talk: system notes, queue operations, attachments
+    and permission modes; a system note about rate limits gives a row of kind rate_limit as well."""
+    v = lines.select("file_key", "line_num", F.expr("try_parse_json(value)").alias("v")).withColumn("kind", field("v", "$.type"))
+    v = v.where(F.col("kind").isin("system", "queue-operation", "attachment", "permission-mode"))
+    of = lambda path: F.coalesce(field("v", path), F.lit(""))
+    name = F.when(F.col("kind") == "system", of("$.subtype")).when(F.col("kind") == "queue-operation", of("$.operation")).when(F.col("kind") == "attachment", of("$.attachment.type")).otherwise(of("$.permissionMode"))
+    rows = v.select("file_key", "line_num", "kind", time.instant(of("$.timestamp")).alias("ts"), name.alias("name"), of("$.content").alias("content"))
+    said = F.lower(F.concat_ws(" ", "content", "name"))
+    limited = (F.col("kind") == "system") & (said.contains("rate limit") | said.contains("rate_limit") | said.contains("429"))
+    kinds = F.when(limited, F.array(F.col("kind"), F.lit("rate_limit"))).otherwise(F.array("kind"))
+    return rows.withColumn("kind", F.explode(kinds))
+
+
+def preview(name, given: str):
+    """One line that shows what a tool was given; given is a variant column, name the tool's name."""
+    of = lambda path, other="": F.coalesce(field(given, path), F.lit(other))
+    after = lambda path, lead: F.coalesce(F.concat(F.lit(lead), field(given, path)), F.lit(""))
+    flag = F.when(F.coalesce(field(given, "$.run_in_background", "boolean"), F.lit(False)), " [bg]").otherwise("")
+    shapes = {
+        "Bash": F.concat(F.regexp_replace(of("$.command"), r"\s+", " "), after("$.description", " — "), flag),
+        "Read": F.concat(of("$.file_path", "?"), after("$.offset", " :"), after("$.limit", "+")),
+        "Edit": of("$.file_path", "?"), "Write": of("$.file_path", "?"),
+        "Grep": F.concat(F.lit("/"), of("$.pattern"), F.lit("/"), after("$.path", " in "), after("$.glob", " --glob ")),
+        "Glob": F.concat(of("$.pattern"), after("$.path", " in ")),
+        "TodoWrite": F.concat(F.coalesce(F.size(F.expr(f"try_cast(try_variant_get({given}, '$.todos', 'variant') as array<variant>)")), F.lit(0)).cast("string"), F.lit(" todos")),
+        "WebFetch": F.coalesce(field(given, "$.url"), of("$.query")), "WebSearch": F.coalesce(field(given, "$.url"), of("$.query")),
+        "Agent": F.concat(F.coalesce(field(given, "$.subagent_type"), of("$.name", "?")), F.lit(": "), of("$.description")),
+    }
+    shapes["Task"] = shapes["Agent"]
+    out = F.substring(F.to_json(given), 1, 200)
+    for tool, shown in shapes.items():
+        out = F.when(name == tool, shown).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
 def search(shown: DataFrame, kinds: list[str] | None = None, needle: str = "") -> DataFrame:
     """Rows of browse of the given kinds whose text holds the needle in any case."""
     out = shown.where(F.col("kind").isin(kinds)) if kinds else shown

@@ -559,6 +559,20 @@ def drawn_edges(t):
     return series.edges(t("events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 5).select("user_id", F.col("event_id").alias("x"), r("value", 6).alias("y"))
 
 
+@query("""with g as (select user_id, event_id as x, value as y, row_number() over w as i, count(*) over (partition by user_id) as n, lead(value) over w as a, lag(value) over w as b from events window w as (partition by user_id order by event_id))
+    select user_id, x::double as x, round(y, 6) as y from g union all select user_id, x - 5.0, round(pow(10, 1.5 * log10(y) - 0.5 * log10(coalesce(a, y))), 6) from g where i = 1 union all select user_id, x + 5.0, round(pow(10, 1.5 * log10(y) - 0.5 * log10(coalesce(b, y))), 6) from g where i = n""")
+def drawn_log_edges(t):
+    """The same on a logarithmic scale."""
+    return series.edges(t("events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 5, log=True).select("user_id", F.col("event_id").alias("x"), r("value", 6).alias("y"))
+
+
+@query("select event_id, round(value / sum(value) over (partition by event_id % 100), 8) as share from events")
+def drawn_shares(t):
+    """Shares that sum to one at each place."""
+    out = series.renormalised(t("events").select("event_id", (F.col("event_id") % 100).alias("x"), "value"), "x", "value")
+    return out.select("event_id", r("value", 8).alias("share"))
+
+
 @query("""with g as (select user_id, event_id::double as x, value as y, lead(event_id) over w as x2, lead(value) over w as y2 from events where event_id < 2000 window w as (partition by user_id order by event_id))
     select user_id, round(x + coalesce(x2 - x, 0) * k / 4, 6) as x, round(y + coalesce(y2 - y, 0) * k / 4, 6) as y from g, (select unnest(range(0, 4)) as k) where x2 is not null or k = 0""")
 def drawn_densified(t):

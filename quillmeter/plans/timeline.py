@@ -41,13 +41,12 @@ def burn_rates(rows: DataFrame, least: int = 3, alpha: float = ALPHA) -> DataFra
 
     least: events that a session must have; 1 keeps all.
     """
-    numbered = series.with_session(rows.withColumn("one", F.lit(0)), ["one"], "ts", ["file_key", "line_num"])
-    models = numbered.groupBy("one", "session_no", "model").agg(F.count("*").alias("n")).groupBy("one", "session_no").agg(F.max_by("model", F.struct("n", "model")).alias("primary_model"))
-    found = numbered.groupBy("one", "session_no").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events"), *(F.sum(k).alias(k) for k in TOKENS), F.sum("cost_usd").alias("cost")).where(F.col("events") >= least)
-    out = series.hourly_rates(found, [*TOKENS, "cost"]).join(models, ["one", "session_no"])
-    for k in TOKENS:
-        out = series.ema(out, ["one"], ["start", "session_no"], f"{k}_per_h", alpha, f"{k}_ema")
-    return out.withColumn("cost_per_100h", F.col("cost_per_h") * 100).drop("one")
+    numbered = series.with_session(rows, [], "ts", ["file_key", "line_num"])
+    models = numbered.groupBy("session_no", "model").agg(F.count("*").alias("n")).groupBy("session_no").agg(F.max_by("model", F.struct("n", "model")).alias("primary_model"))
+    found = numbered.groupBy("session_no").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events"), *(F.sum(k).alias(k) for k in TOKENS), F.sum("cost_usd").alias("cost")).where(F.col("events") >= least)
+    out = series.hourly_rates(found, [*TOKENS, "cost"]).join(models, "session_no")
+    out = series.emas(out, [], ["start", "session_no"], {f"{k}_ema": f"{k}_per_h" for k in TOKENS}, alpha)  # sessions, not requests
+    return out.withColumn("cost_per_100h", F.col("cost_per_h") * 100)
 
 
 def shifts(rates: DataFrame, column: str = "output_ema") -> DataFrame:
@@ -58,13 +57,13 @@ def shifts(rates: DataFrame, column: str = "output_ema") -> DataFrame:
 
 def slices(rows: DataFrame, minutes: int = 30, alpha: float = SLICE_ALPHA) -> DataFrame:
     """Rates within sessions, in slices from their start, smoothed over time."""
-    out = series.session_slices(rows.withColumn("one", F.lit(0)), ["one"], "ts", list(TOKENS), slice_s=60 * minutes)
-    return series.ema(out, ["one"], ["mid", "session_no", "slice"], "output_per_h", alpha, "output_ema").drop("one")
+    out = series.session_slices(rows, [], "ts", list(TOKENS), slice_s=60 * minutes)
+    return series.ema(out, [], ["mid", "session_no", "slice"], "output_per_h", alpha, "output_ema")
 
 
 def boundaries(rows: DataFrame, middle: bool = False, gap_s: int = 18000) -> DataFrame:
     """Where pauses of five hours lie."""
-    return series.gap_boundaries(rows.withColumn("one", F.lit(0)), ["one"], "ts", gap_s, middle).drop("one")
+    return series.gap_boundaries(rows, [], "ts", gap_s, middle)
 
 
 def limit_hits(t: Tables, start: datetime, end: datetime, apart_s: float = 60) -> DataFrame:

@@ -191,3 +191,49 @@ def human_numbers(t):
     shown = text.human_number(F.col("value") * 1000)
     kinds = t("events").select("event_type", "value", F.regexp_extract(shown, "[BMK]$", 0).alias("unit"))
     return kinds.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.when((F.col("value") >= 100) & (F.col("unit") == "K"), "K")).alias("some"))
+
+
+_NOTE = "o_orderkey % 5"
+
+
+@query(f"""with k as (select o_orderkey as n, ['system', 'queue-operation', 'attachment', 'permission-mode', 'user'][{_NOTE} + 1] as kind, o_orderpriority as p from orders)
+    select n as line_num, kind, case when kind = 'system' and n % 2 = 0 then 'rate_limit' else p end as name, case when kind in ('system', 'queue-operation') then 'c' || n else '' end as content from k where kind <> 'user'
+    union all select n, 'rate_limit', 'rate_limit', 'c' || n from k where kind = 'system' and n % 2 = 0
+    union all select n, 'rate_limit', p, 'c' || n from k where kind = 'system' and n % 2 = 1 and contains('c' || n, '429')""")
+def transcript_notes(t):
+    """Lines beside the talk, with what names them."""
+    n, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    kind = F.element_at(F.array(*map(F.lit, ("system", "queue-operation", "attachment", "permission-mode", "user"))), (n % 5 + 1).cast("int"))
+    only = lambda k, c: F.when(kind == k, c)
+    value = F.to_json(F.struct(
+        kind.alias("type"), F.when(n % 5 < 2, F.concat(F.lit("c"), n)).alias("content"), only("system", F.when(n % 2 == 0, "rate_limit").otherwise(p)).alias("subtype"), only("queue-operation", p).alias("operation"),
+        only("attachment", F.struct(p.alias("type"))).alias("attachment"), only("permission-mode", p).alias("permissionMode")))
+    src = t("orders").select(F.lit("f").alias("file_key"), n.alias("line_num"), value.alias("value"))
+    return transcript.notes(src).select("line_num", "kind", "name", "content")
+
+
+@query("""with k as (select l_orderkey as o, l_linenumber as l, ['Bash', 'Read', 'Edit', 'Grep', 'Glob', 'WebFetch', 'Task', 'Other'][(l_orderkey + l_linenumber) % 8 + 1] as tool, l_returnflag as f, l_orderkey % 2 = 0 as more from lineitem where l_orderkey < 500)
+    select o, l::bigint as l, case tool when 'Bash' then 'run ' || f || case when more then ' — why [bg]' else '' end when 'Read' then 'p' || f || case when more then ' :' || l || '+9' else '' end when 'Edit' then 'p' || f when 'Grep' then '/' || f || '/' || case when more then ' in src --glob *.py' else '' end
+      when 'Glob' then f || case when more then ' in src' else '' end when 'WebFetch' then 'http://' || f when 'Task' then 'kind' || f || ': ' || case when more then 'why' else '' end else '{"x":"' || f || '"}' end as shown from k""")
+def tool_previews(t):
+    """What each tool was given, in one line."""
+    at, line, flag = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag")
+    tool = F.element_at(F.array(*map(F.lit, ("Bash", "Read", "Edit", "Grep", "Glob", "WebFetch", "Task", "Other"))), ((at + line) % 8 + 1).cast("int"))
+    given = lambda *tools, value, more=False: F.when(tool.isin(*tools) & ((at % 2 == 0) if more else F.lit(True)), value)
+    fields = {
+        "command": given("Bash", value=F.concat(F.lit("run \n "), flag)), "description": given("Bash", "Task", value=F.lit("why"), more=True), "run_in_background": given("Bash", value=F.lit(True), more=True), "file_path": given("Read", "Edit", value=F.concat(F.lit("p"), flag)),
+        "offset": given("Read", value=line, more=True), "limit": given("Read", value=F.lit(9), more=True), "pattern": given("Grep", "Glob", value=flag), "path": given("Grep", "Glob", value=F.lit("src"), more=True), "glob": given("Grep", value=F.lit("*.py"), more=True),
+        "url": given("WebFetch", value=F.concat(F.lit("http://"), flag)), "subagent_type": given("Task", value=F.concat(F.lit("kind"), flag)), "x": given("Other", value=flag)}
+    rows = t("lineitem").where("l_orderkey < 500").select(at.alias("o"), line.cast("long").alias("l"), tool.alias("tool"), F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("j"))
+    rows = rows.withColumn("given", F.expr("parse_json(j)"))
+    return rows.select("o", "l", transcript.preview(F.col("tool"), "given").alias("shown"))
+
+
+@query("select c_custkey, 't' || c_custkey as task_id, case when c_custkey % 2 = 0 then 'u' || c_nationkey else '' end as tool_use_id, '' as output_file, 'done' as event, case when c_custkey % 3 = 0 then 'tool-results/r' || c_custkey || '.txt' else '' end as stored from customer where c_custkey % 5 > 0")
+def task_notifications(t):
+    """Notifications of tasks and stored results that a text mentions."""
+    k = F.col("c_custkey")
+    told = F.concat(F.lit("see <task-notification><task-id>t"), k, F.lit("</task-id>"), F.when(k % 2 == 0, F.concat(F.lit("<tool-use-id>u"), F.col("c_nationkey"), F.lit("</tool-use-id>"))).otherwise(""), F.lit("\n<event>done</event></task-notification>"))
+    said = F.concat(F.when(k % 5 > 0, told).otherwise("nothing"), F.when(k % 3 == 0, F.concat(F.lit(" in tool-results/r"), k, F.lit(".txt"))).otherwise(" in my-tool-results/x.txt"))
+    rows = t("customer").select("c_custkey", F.explode(text.notifications(said)).alias("n"), F.array_join(text.references(said), ",").alias("stored"))
+    return rows.select("c_custkey", "n.*", "stored")
