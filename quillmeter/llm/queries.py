@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import decontaminate, html_density, jaccard_join, packing, pseudo_lm, repeat_bytes, toxicity, url_rules, vector_dedup, warc_zstd
+from quillmeter.llm import collocations, decontaminate, html_density, jaccard_join, packing, pseudo_lm, repeat_bytes, source_divergence, swap_packing, toxicity, url_rules, vector_dedup, warc_zstd
 from quillmeter.llm._store import Store
 
 
@@ -60,9 +60,28 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return swap_packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases."""
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the other sources of its language, and its own terms."""
+    return source_divergence.audit(_read(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_repeats, op10_jaccard)
-}
+    f.__name__: f
+    for f in (
+        op1_url_rules, op2_text_density, op3_pack, op4_decontaminate, op5_multi_index, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_repeats, op10_jaccard,
+        op11_swap_packing, op12_collocations, op13_source_divergence,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": r"""
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
@@ -122,4 +141,41 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
         from documents d left join n using (doc_id) left join (select a, min(b) as m from r group by a) on a = d.doc_id
     """,
+    "op12_collocations": r"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x{0A}-\x{0D}]')) as piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\x{20}\x{09}]+') as ws from p),
+        g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase from w, (select unnest([1, 2, 3]) as k), unnest(generate_series(1, len(ws) - k + 1)) as t(i) where len(ws) >= k),
+        f as (select lang, k, phrase, count(*) as n from g group by 1, 2, 3),
+        n as (select lang, sum(n) as n from f where k = 1 group by 1),
+        c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as ws from f where k >= 2 and n >= 10),
+        cut as (select c.lang, phrase, a, j, array_to_string(ws[1 : j], ' ') as x, array_to_string(ws[j + 1 : k], ' ') as y from c, unnest([1, 2]) as t(j) where j < k),
+        s as (select cut.lang, cut.phrase, a, j, x.n as l, y.n as r, cast(cast(1000000 as hugeint) * a * a // (cast(x.n as hugeint) * y.n) as bigint) as score
+            from cut join f x on x.lang = cut.lang and x.phrase = cut.x and x.k < 3 join f y on y.lang = cut.lang and y.phrase = cut.y and y.k < 3),
+        o as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+        longer as (select lang, part, max(a) as b from (select lang, a, ws[1] || ' ' || ws[2] as part from c where k = 3 union all select lang, a, ws[2] || ' ' || ws[3] from c where k = 3) group by 1, 2),
+        kept as (select o.* from o left join longer on longer.lang = o.lang and longer.part = o.phrase where b is null or 100 * b < 50 * a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select ranked.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n.n as bigint) as n, score
+        from ranked join n on n.lang = ranked.lang where rank <= 2000
+    """,
+    "op13_source_divergence": r"""
+        with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        w as (select id, lang, source, unnest(regexp_extract_all(t, '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) as term from d),
+        k as (select lang, term from w group by 1, 2 having count(distinct id) >= 30),
+        v as (select lang, count(*) as v from k group by 1),
+        c as (select w.lang, w.source, w.term, count(*) as c from w join k on k.lang = w.lang and k.term = w.term group by 1, 2, 3),
+        g as (select distinct lang, source from d),
+        gn as (select g.lang, g.source, coalesce(sum(c), 0) as n from g left join c on c.lang = g.lang and c.source = g.source group by 1, 2),
+        p as (select gn.lang, gn.source, k.term, coalesce(c, 0) as c, 1 + cast(cast(1000000000 as hugeint) * (coalesce(c, 0) + 5) // (n + 5 * v) as bigint) as p
+            from gn join k on k.lang = gn.lang join v on v.lang = gn.lang left join c on c.lang = gn.lang and c.source = gn.source and c.term = k.term),
+        lt as (select lang, term, sum(c) as c from c group by 1, 2),
+        ln as (select lang, sum(n) as n from gn group by 1),
+        q as (select lt.lang, lt.term, 1 + cast(cast(1000000000 as hugeint) * (lt.c + 5) // (ln.n + 5 * v) as bigint) as q from lt join ln on ln.lang = lt.lang join v on v.lang = lt.lang),
+        f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+        pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+        terms as (select p.lang, p.source, 'term' as part, p.term as item, p.p - q as value from p join q on q.lang = p.lang and q.term = p.term where p.c > 0 and p.p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+        select lang, source, part, item, value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50
+    """,
 }
