@@ -260,6 +260,13 @@ def test_ids_are_the_librarys():
     for _ in range(4000):
         text = "".join(rng.choices(marks, k=rng.randrange(12)))
         assert np.frombuffer(fast(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    wide = [chr(c) for c in (*range(0x250), *rng.sample(range(0x250, 0x3000), 300), 0x1D400, 0x10FFFF)]
+    for _ in range(4000):
+        text = "".join(rng.choices(wide, k=rng.randrange(1, 9)) + rng.choices("etaoin shrdlu'", k=rng.randrange(12)))
+        assert np.frombuffer(fast(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(20_000):
+        text = "".join(rng.choices("etaoinsrhldcumfpgwybvkxjqzéüß'.-", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 3, 2, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], k=rng.randrange(1, 14)))
+        assert np.frombuffer(fast(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
     text = "The  quick\r\nbrown " * 300 + "x" * 5000
     assert np.frombuffer(fast(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
