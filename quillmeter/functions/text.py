@@ -38,21 +38,33 @@ def human_number(x: Column) -> Column:
     return F.when(size >= 1e9, unit(1e9, "B")).when(size >= 1e6, unit(1e6, "M")).when(size >= 1e3, unit(1e3, "K")).otherwise(F.format_string("%.0f", x.cast("double")))
 
 
-def tool_preview(name: Column, argument: Column, length: int = 80) -> Column:
-    """One line that shows a tool call: its name and the beginning of its argument."""
-    flat = F.regexp_replace(F.coalesce(argument, F.lit("")), r"\s+", " ")
-    return F.concat_ws(" ", name, F.when(F.length(flat) > length, F.concat(F.substring(flat, 1, length - 1), F.lit("…"))).otherwise(flat))
+#: What names a stored result's folder, an agent, and the tag of a notification. Fixed values.
+STORED_IN, AGENT, NOTIFIED = "tool-results/", "agent-", "task-notification"
+#: Tags of a notification's fields. Fixed values.
+NOTIFIED_FIELDS = ("task-id", "tool-use-id", "output-file", "event")
 
 
 def references(text: Column) -> Column:
-    """Names of stored results and agents that a text mentions."""
-    stored = F.regexp_extract_all(text, F.lit(r"(?<![\w.-])(tool-results/[A-Za-z0-9._-]+\.[a-zA-Z]+)"), 1)
-    return F.array_distinct(F.concat(stored, F.regexp_extract_all(text, F.lit(r"\b(agent-[0-9a-f]{12,})\b"), 1)))
+    """Names of stored results (a file with a suffix of letters in their folder) and of agents that a text mentions.
+
+    The text is cut into runs of name characters; a run counts by what it begins with. What follows the last letter of a
+    suffix, like the dot of a sentence, is no part of a name.
+    """
+    runs = F.split(F.regexp_replace(text, r"[^A-Za-z0-9._/-]+", " "), " ")
+    names = F.transform(F.filter(runs, lambda w: w.startswith(STORED_IN)), lambda w: F.regexp_replace(F.element_at(F.split(F.substring(w, len(STORED_IN) + 1, 10_000), "/"), 1), r"[^A-Za-z]+$", ""))
+    suffix = lambda n: F.element_at(F.split(n, r"\."), -1)
+    stored = F.filter(names, lambda n: (F.instr(n, ".") > 1) & (F.regexp_replace(suffix(n), "[A-Za-z]", "") == ""))
+    bare = F.flatten(F.transform(runs, lambda w: F.split(w, "[./_]")))
+    digits = lambda w: F.substring(w, len(AGENT) + 1, 10_000)
+    agents = F.filter(bare, lambda w: w.startswith(AGENT) & (F.length(w) >= len(AGENT) + 12) & (F.translate(digits(w), "0123456789abcdef", "") == ""))
+    return F.array_distinct(F.concat(F.transform(stored, lambda n: F.concat(F.lit(STORED_IN), n)), agents))
 
 
 def notifications(text: Column) -> Column:
     """An array of (task_id, tool_use_id, output_file, event) of the task notifications in a text; missing fields are
-    empty."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), 1)
-    part = lambda b, tag: F.regexp_extract(b, f"<{tag}>([^<]+)</{tag}>", 1).alias(tag.replace("-", "_"))
-    return F.transform(blocks, lambda b: F.struct(*(part(b, tag) for tag in ("task-id", "tool-use-id", "output-file", "event"))))
+    empty. Each notification is cut at its tags into a map from tag to text, of which the named fields are taken."""
+    opening = F.transform(F.split(text, f"<{NOTIFIED}>"), lambda part: F.when(F.instr(part, f"</{NOTIFIED}>") > 0, F.substring_index(part, f"</{NOTIFIED}>", 1)))
+    blocks = F.array_compact(F.slice(opening, 2, F.greatest(F.size(opening) - 1, F.lit(0))))
+    pairs = lambda b: F.filter(F.transform(F.split(b, "<"), lambda p: F.struct(F.substring_index(p, ">", 1).alias("tag"), F.substring(p, F.instr(p, ">") + 1, 1_000_000).alias("said"))), lambda p: p["said"] != "")
+    field = lambda b, tag: F.coalesce(F.try_element_at(F.filter(pairs(b), lambda p: p["tag"] == tag), F.lit(1))["said"], F.lit("")).alias(tag.replace("-", "_"))
+    return F.transform(blocks, lambda b: F.struct(*(field(b, tag) for tag in NOTIFIED_FIELDS)))

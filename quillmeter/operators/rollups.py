@@ -12,17 +12,26 @@ TOKENS = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_
 #: Bucket widths for which latencies are kept; percentiles of a wider bucket don't follow from those of narrower ones.
 LATENCY_WIDTHS = (3600, 21600, 43200, 86400)
 _FILE = ("file_key", "project_id", "session_id", "is_main")
+USAGE_KEYS = ("session_id", "project_id", "hour", "model", "is_main")
+TOOL_KEYS, TOOL_COUNTS = ("hour", "project_id", "model", "tool_name"), ("n_total", "n_rated", "n_error", "lines_added", "lines_deleted")
+LATENCY_KEYS = ("bucket_s", "bucket", "project_id", "model")
 
 
 def named_model(model: str = "model"):
     return F.coalesce(F.nullif(F.col(model), F.lit("")), F.lit("unknown"))
 
 
-def usage(records: DataFrame, files: DataFrame) -> DataFrame:
-    """By session, hour, model and kind of file, of canonical dated requests."""
+def usage_rows(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Canonical dated requests with the keys of their usage group."""
     rows = records.where("is_canonical and ts is not null").join(files.select(*_FILE), "file_key")
-    sums = [F.sum(c).alias(c) for c in (*TOKENS, "cost_usd")]
-    return rows.groupBy("session_id", "project_id", F.date_trunc("hour", "ts").alias("hour"), named_model().alias("model"), "is_main").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("requests"), *sums)
+    return rows.select("session_id", "project_id", F.date_trunc("hour", "ts").alias("hour"), named_model().alias("model"), "is_main", "ts", *TOKENS, "cost_usd")
+
+
+def usage(records: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """By session, hour, model and kind of file, of canonical dated requests; only the groups of a frame of keys, if given."""
+    rows = usage_rows(records, files)
+    rows = rows if only is None else rows.join(only, list(USAGE_KEYS), "left_semi")
+    return rows.groupBy(*USAGE_KEYS).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in (*TOKENS, "cost_usd")))
 
 
 def with_model(tool_uses: DataFrame, records: DataFrame, by_request: bool = True) -> DataFrame:
@@ -46,16 +55,23 @@ def tools(tool_uses: DataFrame, records: DataFrame, files: DataFrame, by_request
         F.count("*").alias("n_total"), F.count_if(rated).alias("n_rated"), F.count_if(rated & F.col("is_error")).alias("n_error"), F.sum("lines_added").alias("lines_added"), F.sum("lines_deleted").alias("lines_deleted"))
 
 
-def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS) -> DataFrame:
-    """(bucket_s, bucket, project_id, model, n, p10, p50, p90, outliers), for each project and, under '', for all.
-
-    Outliers are the slowest and fastest hundredth of a group of at least a hundred, as an array, slowest first.
-    """
+def latency_rows(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS) -> DataFrame:
+    """A row for each reply, width, and its project and all projects, with the keys of their group."""
     rows = records.where("reply_latency_s is not null and ts is not null").join(files.select("file_key", "project_id"), "file_key")
     rows = rows.select("project_id", named_model().alias("model"), "ts", "file_key", "line_num", F.col("reply_latency_s").cast("double").alias("latency_s"))
     wide = rows.select("*", F.explode(F.array(*(F.struct(F.lit(w).alias("bucket_s"), bucket_center(F.col("ts"), w).alias("bucket")) for w in widths))).alias("b")).select("*", "b.*").drop("b")
-    wide = wide.withColumn("project_id", F.explode(F.array("project_id", F.lit(""))))
-    keys = ["bucket_s", "bucket", "project_id", "model"]
+    return wide.withColumn("project_id", F.explode(F.array("project_id", F.lit(""))))
+
+
+def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS, only: DataFrame | None = None) -> DataFrame:
+    """(bucket_s, bucket, project_id, model, n, p10, p50, p90, outliers), for each project and, under '', for all; only the
+    groups of a frame of keys, if given.
+
+    Outliers are the slowest and fastest hundredth of a group of at least a hundred, as an array, slowest first.
+    """
+    keys = list(LATENCY_KEYS)
+    wide = latency_rows(records, files, widths)
+    wide = wide if only is None else wide.join(only, keys, "left_semi")
     points = [F.percentile("latency_s", F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.1, 0.5, 0.9)]
     bands = wide.groupBy(*keys).agg(F.count("*").alias("n"), *points)
     far = outliers(wide, keys, "latency_s", ["file_key", "line_num"])

@@ -6,6 +6,8 @@ from one frame of events, which callers may keep.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,25 +211,64 @@ def notes(lines: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.explode(kinds))
 
 
+#: What is shown of a tool's input. `{a|b}` is the first of the fields that is there, or the text after a `?`; `[...]`
+#: shows only if its field is there; `{a#}` is the length of a list, `{a~}` a text on one line, `{a!}` nothing, but its
+#: brackets show only if the field is true. The texts are output.
+SHOWN = {
+    "Bash": "{command~}[ — {description}][ [bg]{run_in_background!}]",
+    "Read": "{file_path?\\?}[ :{offset}][+{limit}]",
+    "Edit": "{file_path?\\?}",
+    "Write": "{file_path?\\?}",
+    "Grep": "/{pattern}/[ in {path}][ --glob {glob}]",
+    "Glob": "{pattern}[ in {path}]",
+    "TodoWrite": "{todos#} todos",
+    "WebFetch": "{url|query}",
+    "WebSearch": "{url|query}",
+    "Agent": "{subagent_type|name?\\?}: {description}",
+    "Task": "{subagent_type|name?\\?}: {description}",
+}
+
+
+def _shown(template: str, given: str):
+    """A template as a column. Optional parts are outermost brackets; a part without its field is null, then empty."""
+    parts, depth, now = [], 0, ""
+    for c in template:
+        opens, closes = c == "[" and depth >= 0, c == "]"
+        if opens and depth == 0 or closes and depth == 1:
+            parts.append((depth, now))
+            now = ""
+        else:
+            now += c
+        depth += opens - closes
+    parts.append((0, now))
+
+    def filled(text: str, optional: int):
+        out = []
+        for k, piece in enumerate(re.split(r"\{(.*?)\}", text)):
+            if k % 2 == 0:
+                out.append(F.lit(piece))
+                continue
+            names, _, other = piece.partition("?")
+            path = [f"$.{n.rstrip('#~!')}" for n in names.split("|")]
+            if names.endswith("#"):
+                value = F.coalesce(F.size(F.expr(f"try_cast(try_variant_get({given}, '{path[0]}', 'variant') as array<variant>)")), F.lit(0)).cast("string")
+            elif names.endswith("!"):
+                value = F.when(field(given, path[0], "boolean"), "")
+            else:
+                value = F.coalesce(*(field(given, p) for p in path))
+                value = F.regexp_replace(value, r"\s+", " ") if names.endswith("~") else value
+            out.append(value if optional else F.coalesce(value, F.lit(other.removeprefix("\\"))))
+        return F.coalesce(F.concat(*out), F.lit(""))
+
+    return F.concat(*(filled(text, optional) for optional, text in parts if text))
+
+
 def preview(name, given: str):
-    """One line that shows what a tool was given; given is a variant column, name the tool's name."""
-    of = lambda path, other="": F.coalesce(field(given, path), F.lit(other))
-    after = lambda path, lead: F.coalesce(F.concat(F.lit(lead), field(given, path)), F.lit(""))
-    flag = F.when(F.coalesce(field(given, "$.run_in_background", "boolean"), F.lit(False)), " [bg]").otherwise("")
-    shapes = {
-        "Bash": F.concat(F.regexp_replace(of("$.command"), r"\s+", " "), after("$.description", " — "), flag),
-        "Read": F.concat(of("$.file_path", "?"), after("$.offset", " :"), after("$.limit", "+")),
-        "Edit": of("$.file_path", "?"), "Write": of("$.file_path", "?"),
-        "Grep": F.concat(F.lit("/"), of("$.pattern"), F.lit("/"), after("$.path", " in "), after("$.glob", " --glob ")),
-        "Glob": F.concat(of("$.pattern"), after("$.path", " in ")),
-        "TodoWrite": F.concat(F.coalesce(F.size(F.expr(f"try_cast(try_variant_get({given}, '$.todos', 'variant') as array<variant>)")), F.lit(0)).cast("string"), F.lit(" todos")),
-        "WebFetch": F.coalesce(field(given, "$.url"), of("$.query")), "WebSearch": F.coalesce(field(given, "$.url"), of("$.query")),
-        "Agent": F.concat(F.coalesce(field(given, "$.subagent_type"), of("$.name", "?")), F.lit(": "), of("$.description")),
-    }
-    shapes["Task"] = shapes["Agent"]
+    """One line that shows what a tool was given, by its template; other tools show their input's beginning. given is a
+    variant column, name the tool's name."""
     out = F.substring(F.to_json(given), 1, 200)
-    for tool, shown in shapes.items():
-        out = F.when(name == tool, shown).otherwise(out)
+    for template in dict.fromkeys(SHOWN.values()):
+        out = F.when(name.isin([t for t, own in SHOWN.items() if own == template]), _shown(template, given)).otherwise(out)
     return F.coalesce(out, F.lit(""))
 
 

@@ -17,6 +17,8 @@ from quillmeter.operators import buckets, rollups, series, transcript
 from quillmeter.operators.dedup import canonical
 from quillmeter.plans import panels, timeline
 from quillmeter.registry import center, query, r, sec
+from quillmeter.sources import tables, versions
+from quillmeter.streaming import incremental
 
 SINCE = datetime(2024, 1, 9, 5, 30, tzinfo=UTC)
 ROLLED, LIVE = panels.View(SINCE, 21600), panels.View(SINCE, 1800)
@@ -240,7 +242,7 @@ def sessions_by_cost_live(t):
 @query(f"""{STORED}, {_source(PART)} select session_id, coalesce(array_to_string(list_sort(list(distinct model) filter (where model not in ('unknown', '<synthetic>'))), ','), '') as models from src group by 1""")
 def models_used(t):
     """Different real models of each session, as one text."""
-    return panels.sessions(stored(t), PART, 10_000).select("session_id", F.array_join("models_used", ",").alias("models"))
+    return panels.sessions(stored(t), PART, None).select("session_id", F.array_join("models_used", ",").alias("models"))
 
 
 _SCOPE = f"scope as (select * from files where last_modified >= {_SINCE})"
@@ -573,11 +575,11 @@ def drawn_shares(t):
     return out.select("event_id", r("value", 8).alias("share"))
 
 
-@query("""with g as (select user_id, event_id::double as x, value as y, lead(event_id) over w as x2, lead(value) over w as y2 from events where event_id < 2000 window w as (partition by user_id order by event_id))
+@query("""with g as (select user_id, event_id::double as x, value as y, lead(event_id) over w as x2, lead(value) over w as y2 from events window w as (partition by user_id order by event_id))
     select user_id, round(x + coalesce(x2 - x, 0) * k / 4, 6) as x, round(y + coalesce(y2 - y, 0) * k / 4, 6) as y from g, (select unnest(range(0, 4)) as k) where x2 is not null or k = 0""")
 def drawn_densified(t):
     """Points on the straight lines between neighbours."""
-    out = series.densified(t("events").where("event_id < 2000").select("user_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y")), ["user_id"], "x", "y", 4)
+    out = series.densified(t("events").select("user_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y")), ["user_id"], "x", "y", 4)
     return out.select("user_id", r("x", 6).alias("x"), r("y", 6).alias("y"))
 
 
@@ -598,3 +600,40 @@ def drawn_alpha(t):
 def top_or_other(t):
     """The largest keys by themselves, the others as one."""
     return series.top_or_other(t("events"), "event_type", "value", 2).groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
+
+
+def updated(t) -> panels.Tables:
+    """The stored tables after two updates: the first knows some files not yet, others with rows that change, and some that
+    vanish; the second brings what differs, and only that."""
+    now = stored(t)
+    user = F.regexp_extract("file_key", r"/f(\d+)$", 1).cast("int")
+    spark, out = now.files.sparkSession, tables.work_folder(now.files.sparkSession, "updates")
+    late, other = user % 7 == 0, user % 5 == 1
+    renamed = lambda df: df.where(user % 11 == 3).withColumn("file_key", F.concat(F.col("file_key"), F.lit("-old")))
+    early = lambda df, same: df.where(~late).withColumns(same).unionByName(renamed(df))
+    first = (
+        early(now.files, {}),
+        early(now.records.where(~other | (F.col("line_num") % 3 > 0)), {"fresh_tokens": F.when(other, F.col("fresh_tokens") + 1).otherwise(F.col("fresh_tokens")), "ts": F.when(other, F.col("ts") - F.expr("interval 30 hours")).otherwise(F.col("ts"))}),
+        early(now.tool_uses.where(~other | (F.col("line_num") % 2 > 0)), {"lines_added": F.when(other, F.lit(1)).otherwise(F.col("lines_added")).cast(now.tool_uses.schema["lines_added"].dataType)}),
+    )
+    none = now.files.select("file_key").limit(0)
+    incremental.apply(versions.latest(spark, out), *first, none, f"{out}/_work/1").commit()
+    change = [df.where(late | other) for df in (now.files, now.records, now.tool_uses)]
+    made = incremental.apply(versions.latest(spark, out), *change, renamed(now.files).select("file_key"), f"{out}/_work/2").commit()
+    return panels.Tables(*(made.read(k) for k in ("files", "records", "tool_uses", "usage", "tools", "latency")))
+
+
+@query(f"{STORED} select 'usage' as kind, epoch_us(hour) // 1000000 as hour, project_id, session_id || case when is_main then ' main' else '' end as session_id, model, requests as n, fresh_tokens as a, output_tokens as b, round(cost_usd, 4) as c, epoch_us(first_ts) // 1000000 as d from usage union all select 'tools', epoch_us(hour) // 1000000, project_id, tool_name, model, n_total, n_error, lines_added::bigint, lines_deleted::double, n_rated from tools")
+def incremental_usage(t):
+    """Rollups after an update of what changed only: usage by its groups, tool calls by differences."""
+    got = updated(t)
+    who = F.concat(F.col("session_id"), F.when(F.col("is_main"), " main").otherwise(""))
+    one = got.usage.select(F.lit("usage").alias("kind"), sec("hour").alias("hour"), "project_id", who.alias("session_id"), "model", F.col("requests").alias("n"), F.col("fresh_tokens").alias("a"), F.col("output_tokens").alias("b"), r("cost_usd").alias("c"), sec("first_ts").alias("d"))
+    two = got.tools.select(F.lit("tools").alias("kind"), sec("hour").alias("hour"), "project_id", F.col("tool_name").alias("session_id"), "model", F.col("n_total").alias("n"), F.col("n_error").alias("a"), F.col("lines_added").cast("long").alias("b"), F.col("lines_deleted").cast("double").alias("c"), F.col("n_rated").alias("d"))
+    return one.unionByName(two)
+
+
+@query(f"{STORED} select file_key, line_num, coalesce(uuid, '') as uuid, fresh_tokens, coalesce(epoch_us(ts) // 1000000, -1) as at_s, is_canonical from records")
+def incremental_canonical(t):
+    """Requests after an update of what changed only, with the flag of those that count among copies."""
+    return updated(t).records.select("file_key", F.col("line_num").cast("long").alias("line_num"), F.coalesce("uuid", F.lit("")).alias("uuid"), "fresh_tokens", F.coalesce(sec("ts"), F.lit(-1)).alias("at_s"), "is_canonical")

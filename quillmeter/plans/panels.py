@@ -123,7 +123,7 @@ def response_sizes(t: Tables, v: View) -> DataFrame:
     return buckets.percentiles(rows, "ts", v.width, ["model"], "text_chars", (0.5, 0.9))
 
 
-def sessions(t: Tables, v: View, n: int = SESSIONS) -> DataFrame:
+def sessions(t: Tables, v: View, n: int | None = SESSIONS) -> DataFrame:
     """The dearest sessions, with their most used real model, all real models, and the context they ended with."""
     sums = {"requests": "requests", "input_tokens": "fresh_tokens", "output_tokens": "output_tokens", "cache_create_tokens": "cache_creation_tokens", "cache_read_tokens": "cache_read_tokens", "cost_usd": "cost_usd"}
     by_model = usage_source(t, v).groupBy("session_id", "model").agg(*(F.sum(c).alias(k) for k, c in sums.items()), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
@@ -131,7 +131,7 @@ def sessions(t: Tables, v: View, n: int = SESSIONS) -> DataFrame:
     rank = F.struct(real, "requests", F.col("model"))
     found = by_model.groupBy("session_id").agg(
         F.min("first_ts").alias("start"), F.max("last_ts").alias("end"), *(F.sum(k).alias(k) for k in sums), F.max_by("model", rank).alias("model"), F.array_sort(F.collect_set(F.when(real, F.col("model")))).alias("models_used"))
-    found = found.orderBy(F.desc_nulls_last("cost_usd"), "session_id").limit(n)
+    found = found if n is None else found.orderBy(F.desc_nulls_last("cost_usd"), "session_id").limit(n)
     last = t.files.where(F.col("is_main") & (F.size("ctx_turns") > 0)).select("session_id", F.element_at("ctx_turns", -1)["input"].alias("ctx_at_end"))
     return found.join(last.groupBy("session_id").agg(F.max("ctx_at_end").alias("ctx_at_end")), "session_id", "left")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import threading
 import time
-from collections.abc import Iterable
-from contextlib import contextmanager
+import uuid
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +41,6 @@ def write_by_day(table: DataFrame, path: str, ts: str = "ts") -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def publish(table: DataFrame, root: str, name: str, version: str, ts: str | None = None) -> str:
-    """Writes a version beside the ones readers still use, by day if it has a time, and returns its path."""
-    path = f"{root}/{name}/v={version}"
-    if ts:
-        write_by_day(table, path, ts)
-        fs, where = _fs(table.sparkSession, path)
-        if not any(x.isDirectory() for x in fs.listStatus(where)):  # no rows: a file that has the columns
-            table.limit(0).withColumn("day", F.lit(None).cast("date")).write.mode("overwrite").parquet(path)
-    else:
-        table.write.mode("overwrite").parquet(path)
-    return path
-
-
 def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -66,31 +56,90 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def prune(spark: SparkSession, root: str, names: Iterable[str], oldest: int) -> None:
-    """Deletes the versions of tables below a number."""
-    for name in names:
-        fs, where = _fs(spark, f"{root}/{name}")
-        for status in fs.listStatus(where) if fs.exists(where) else ():
-            version = status.getPath().getName()
-            if version.startswith("v=") and int(version[2:]) < oldest:
-                fs.delete(status.getPath(), True)
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder that hold data (name=value), none if it isn't there."""
+    fs, where = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in (fs.listStatus(where) if fs.exists(where) else ()) if s.isDirectory() and "=" in s.getPath().getName())
 
 
 @contextmanager
-def only_one(spark: SparkSession, root: str, stale_s: float = 6 * 3600):
-    """Holds a lock file below a folder while a block runs; a RuntimeError if another holds it. One that is older than
-    stale_s was left by a process that died, and is taken over."""
+def only_one(spark: SparkSession, root: str, stale_s: float = 600, beat_s: float = 60):
+    """Holds a lock file below a folder while a block runs; a RuntimeError if another holds it.
+
+    The holder writes the file anew every beat_s, so one that is older than stale_s was left by a process that died, and is
+    taken over, while a long update keeps its own. Stores without an atomic create let two in at once: each reads back who
+    wrote last, and gives up if it was the other. The block gets a function that raises unless the lock is still its own.
+    """
     fs, where = _fs(spark, f"{root}/_lock")
+    me, stop, mine = uuid.uuid4().hex, threading.Event(), threading.Lock()
+
+    def write(overwrite: bool) -> None:
+        out = fs.create(where, overwrite)
+        out.write(bytearray(me.encode()))
+        out.close()
+
+    def held() -> str:
+        words = spark._jvm.java.util.Scanner(fs.open(where))
+        return words.nextLine() if words.hasNextLine() else ""
+
+    def owned() -> None:
+        with mine:
+            if not fs.exists(where) or held() != me:
+                raise RuntimeError(f"another update of {root} took the lock")
+
+    def beat() -> None:
+        while not stop.wait(beat_s):
+            with suppress(Exception), mine:  # a beat that fails is made up for by the next
+                if held() == me:
+                    write(True)
+
     if fs.exists(where) and time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > stale_s:
         fs.delete(where, False)
     try:
-        fs.create(where, False).close()  # fails if it is there
+        write(False)  # fails if it is there
     except Exception as e:
         raise RuntimeError(f"another update of {root} is running") from e
+    owned()
+    thread = threading.Thread(target=beat, daemon=True)
+    thread.start()
     try:
-        yield
+        yield owned
     finally:
-        fs.delete(where, False)
+        stop.set()
+        thread.join()
+        with suppress(RuntimeError):
+            owned()
+            fs.delete(where, False)
+
+
+_own: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir (or the context's checkpoint folder), which driver and executors share; on a
+    local master without either, below a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quillmeter-"))
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # at exit the JVM may be gone; the folder is then left to its owner
+        delete(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read again from a folder of its own: what follows neither computes it again nor inlines its
+    expressions."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

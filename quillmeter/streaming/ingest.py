@@ -1,8 +1,7 @@
 """Bringing stored tables up to date: in batches by etag, or as a stream of new files.
 
-A batch parses the objects that are new or changed, replaces their rows, drops those of vanished objects and rebuilds
-what is derived, in this order: duplicates, usage, tool calls, latencies. The order in which objects arrive makes no
-difference, since derived tables are rebuilt from all rows.
+A batch parses the objects that are new or changed, replaces their rows, drops those of vanished objects and brings what
+is derived up to date: duplicates, usage, tool calls, latencies. The order in which objects arrive makes no difference.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from quillmeter.operators import rollups, transcript
-from quillmeter.operators.dedup import canonical
+from quillmeter.operators import transcript
 from quillmeter.plans.panels import Tables
-from quillmeter.sources import tables, transcripts
+from quillmeter.sources import tables, transcripts, versions
+from quillmeter.streaming import incremental
 
 #: Stored with each file; another version means that every file is parsed again.
 VERSION = "1"
@@ -57,17 +56,20 @@ def parse(listing: DataFrame, work: str | None = None) -> Parsed:
     return Parsed(good, recs, transcript.tool_uses(ev), damaged)
 
 
-def update(spark: SparkSession, root: str, out: str, version: str = VERSION, tell: Callable[[dict], None] | None = None, keep: int = KEEP, attempts: int = ATTEMPTS) -> dict[str, str]:
-    """Parses what changed below root and writes a new version of each table below out; returns their paths.
+def update(
+    spark: SparkSession, root: str, out: str, version: str = VERSION, tell: Callable[[dict], None] | None = None, keep: int = KEEP, attempts: int = ATTEMPTS, etags: DataFrame | None = None
+) -> versions.Version:
+    """Parses what changed below root and makes a new version of the tables below out; returns it.
 
-    Without new, changed or vanished objects nothing is written. Readers keep the version they have: paths are new, and
-    the pointer row is written last; keep versions stay, older ones go. A second update of one out at the same time is
-    refused (RuntimeError). tell is called after the update. A step that fails is tried again, attempts times in all.
+    Only the parts that a change touches are written (see incremental.apply); without new, changed or vanished objects
+    nothing is. Readers keep the version they have: parts are written beside the old ones, and the manifest last; keep
+    versions stay, older ones go. A second update of one out at the same time is refused (RuntimeError). tell is called
+    after the update. A step that fails is tried again, attempts times in all. etags (key, etag) are the store's own.
     """
-    with tables.only_one(spark, out):
+    with tables.only_one(spark, out) as owned:
         for attempt in range(1, attempts + 1):
             try:
-                made, changed = _update(spark, root, out, version, keep)
+                made, changed = _update(spark, root, out, version, keep, etags, owned)
                 break
             except AnalysisException:  # no attempt makes a missing column or table appear
                 raise
@@ -75,54 +77,39 @@ def update(spark: SparkSession, root: str, out: str, version: str = VERSION, tel
                 if attempt == attempts:
                     raise
     if tell and changed:
-        tell({"event": "ingest_done", "version": made["files"].rsplit("=", 1)[1], **changed})
+        tell({"event": "ingest_done", "version": str(made.number), **changed})
     return made
 
 
-def _update(spark: SparkSession, root: str, out: str, version: str, keep: int) -> tuple[dict[str, str], dict[str, int]]:
-    listing = transcripts.transcripts(transcripts.objects(spark, root))
-    paths = current(spark, out)
-    old = {k: spark.read.parquet(p).drop("day") for k, p in paths.items()}
-    seen = [old[k].select("file_key", "etag", "version") for k in ("files", "damaged") if k in old]
+def _update(spark: SparkSession, root: str, out: str, version: str, keep: int, etags: DataFrame | None, owned: Callable[[], None]) -> tuple[versions.Version, dict[str, int]]:
+    listing = transcripts.transcripts(transcripts.objects(spark, root, etags=etags))
+    old = versions.latest(spark, out)
+    seen = [old.read(k).select("file_key", "etag", "version") for k in ("files", "damaged") if k in old]
     new = to_do(listing, reduce(DataFrame.union, seen) if seen else None, version)
     kept = listing.select("file_key")
     parsed = new.count()
-    gone = old["files"].join(kept, "file_key", "left_anti").count() if old and kept.limit(1).count() else 0
-    if paths and not parsed and not gone:
-        return paths, {}
-    number = int(paths["files"].rsplit("=", 1)[1]) + 1 if paths else 1
-    work = f"{out}/_work/{number}"
+    listed = kept.limit(1).count() > 0  # an empty listing is more likely a failed one, and removes nothing
+    gone = old.read("files").select("file_key").join(kept, "file_key", "left_anti") if old.number and listed else spark.createDataFrame([], "file_key string")
+    vanished = gone.count()
+    if old.number and not parsed and not vanished:
+        return old, {}
+    work = f"{out}/_work/{old.number + 1}"
     found = parse(new, work)
-    merged = {k: tables.replaced(old[k], getattr(found, k), found.files) if k in old else getattr(found, k) for k in ("files", "records", "tool_uses")}
-    rows = {k: tables.without_orphans(df.drop("is_canonical") if k == "records" else df, kept) for k, df in merged.items()}
-    rows["records"] = canonical(rows["records"])
-    made = {name: tables.publish(rows[name], out, name, str(number), None if name == "files" else "ts") for name in ("files", "records", "tool_uses")}
-    files, records, calls = (spark.read.parquet(made[k]) for k in ("files", "records", "tool_uses"))
     damaged = found.damaged.join(new.select("file_key", "etag", "version"), "file_key")
     if "damaged" in old:  # those that didn't change since aren't read again
-        damaged = tables.without_orphans(tables.replaced(old["damaged"], damaged, new), kept)
-    derived = {"projects": tables.projects(old.get("projects"), files), "usage": rollups.usage(records, files), "tools": rollups.tools(calls, records, files), "latency": rollups.latency(records, files), "damaged": damaged}
-    for name, df in derived.items():
-        made[name] = tables.publish(df, out, name, str(number))
-    spark.createDataFrame([(number, k, p) for k, p in made.items()], "number long, name string, path string").coalesce(1).write.mode("append").parquet(f"{out}/_current")
+        damaged = tables.without_orphans(tables.replaced(old.read("damaged"), damaged, new), kept)
+    change = incremental.apply(old, found.files, found.records, found.tool_uses, gone, work, lambda c: c.put("damaged", damaged))
+    owned()
+    made = change.commit()
     tables.delete(spark, f"{out}/_work")
-    tables.prune(spark, out, made, number - keep + 1)
-    return made, {"parsed": parsed, "vanished": gone}
-
-
-def current(spark: SparkSession, out: str) -> dict[str, str]:
-    """The paths of the latest complete version, empty before the first."""
-    if not tables.exists(spark, f"{out}/_current"):
-        return {}
-    rows = spark.read.parquet(f"{out}/_current")
-    last = rows.agg(F.max("number")).first()[0]
-    return {r["name"]: r["path"] for r in rows.where(F.col("number") == last).collect()}
+    versions.prune(spark, out, keep)
+    return made, {"parsed": parsed, "vanished": vanished}
 
 
 def load(spark: SparkSession, out: str) -> Tables:
-    """The stored tables for panels."""
-    paths = current(spark, out)
-    return Tables(*(spark.read.parquet(paths[k]) for k in ("files", "records", "tool_uses", "usage", "tools", "latency")))
+    """The stored tables of the latest version, for panels."""
+    v = versions.latest(spark, out)
+    return Tables(*(v.read(k).drop("bucket", "generation", "days") if k in ("files", "records", "tool_uses") else v.read(k).drop("day") for k in ("files", "records", "tool_uses", "usage", "tools", "latency")))
 
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -147,20 +134,39 @@ def live_sessions(stream: DataFrame, ts: str, by: list[str], sums: dict, gap: st
 
 
 class Mailbox:
-    """A bounded queue for a slow listener: what comes while it is full pushes the oldest message out, and nothing waits."""
+    """A bounded queue for a slow listener: what comes while it is full is dropped, and nothing waits."""
 
-    def __init__(self, most: int = 100):
-        self.waiting: deque[dict] = deque(maxlen=most)
+    def __init__(self, most: int = 16):
+        self.waiting: deque[dict] = deque()
+        self.most, self.dropped = most, 0
 
     def put(self, message: dict) -> None:
-        self.waiting.append(message)
+        if len(self.waiting) < self.most:
+            self.waiting.append(message)
+        else:
+            self.dropped += 1
 
     def take(self) -> list[dict]:
         """All messages so far, oldest first."""
-        out = []
-        while self.waiting:
-            out.append(self.waiting.popleft())
-        return out
+        return [self.waiting.popleft() for _ in range(len(self.waiting))]
+
+
+class Hub:
+    """Hands each message to the mailboxes of all who listen: update(tell=hub.tell), Notifier(hub.tell)."""
+
+    def __init__(self):
+        self.boxes: list[Mailbox] = []
+
+    def listen(self, most: int = 16) -> Mailbox:
+        self.boxes.append(Mailbox(most))
+        return self.boxes[-1]
+
+    def leave(self, box: Mailbox) -> None:
+        self.boxes.remove(box)
+
+    def tell(self, message: dict) -> None:
+        for box in list(self.boxes):
+            box.put(message)
 
 
 class Notifier(StreamingQueryListener):

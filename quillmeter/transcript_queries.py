@@ -15,6 +15,7 @@ from quillmeter.functions import churn, text
 from quillmeter.operators import transcript
 from quillmeter.plans import timeline
 from quillmeter.registry import query, r, sec
+from quillmeter.sources import tables
 
 BASE = 1_767_225_600
 
@@ -59,7 +60,9 @@ def file() -> Column:
 
 
 def events(t) -> DataFrame:
-    return transcript.events(lines(t))
+    """The parsed lines, written before and after parsing: as in an update, where lines come from objects, the parser's
+    expressions stand alone and are compiled, and frames of events parse nothing again."""
+    return tables.written(transcript.events(tables.written(lines(t), "lines")), "events")
 
 
 #: The lines in SQL, with what the shape of each follows from.
@@ -156,20 +159,20 @@ _SHOWN = f"""{LINES}, shown as (select file_key, line_num, case when role = 'use
 @query(f"{_SHOWN} select file_key, kind, count(*) as n, sum(line_num)::bigint as lines from shown group by 1, 2")
 def transcript_browse(t):
     """Lines as a reader sees them: a row for each block, and lines that are no JSON objects."""
-    return transcript.browse(lines(t)).groupBy("file_key", "kind").agg(F.count("*").alias("n"), F.sum("line_num").alias("lines"))
+    return transcript.browse(tables.written(lines(t), "lines")).groupBy("file_key", "kind").agg(F.count("*").alias("n"), F.sum("line_num").alias("lines"))
 
 
 @query(f"{LINES} select file_key, line_num from l where role = 'assistant' and not limited and contains(lower(text), 'the') ")
 def transcript_search(t):
     """Replies that hold a word in any case."""
-    return transcript.search(transcript.browse(lines(t)), ["assistant"], "THE").select("file_key", F.col("line_num").cast("long").alias("line_num"))
+    return transcript.search(transcript.browse(tables.written(lines(t), "lines")), ["assistant"], "THE").select("file_key", F.col("line_num").cast("long").alias("line_num"))
 
 
 @query(f"""{_SHOWN}, s as (select file_key, string_agg(kind || '=' || n, ',' order by kind) as kinds from (select file_key, kind, count(*) as n from shown group by 1, 2) group by 1), u as (select file_key, string_agg(tool || '=' || n, ',' order by tool) as tools from (select file_key, tool, count(*) as n from l where role = 'assistant' and not limited group by 1, 2) group by 1),
     q as (select file_key, sum(i)::bigint as input, sum(o)::bigint as output, round(100.0 * sum(seen) / sum(i + made + seen), 4) as hit_rate from records group by 1) select file_key, kinds, tools, coalesce(input, -1) as input, coalesce(output, -1) as output, case when input is not null then hit_rate else 0.0 end as hit_rate from s left join u using (file_key) left join q using (file_key)""")
 def transcript_stats(t):
     """By file: rows by kind, calls by tool, tokens and hit rate."""
-    src = lines(t)
+    src = tables.written(lines(t), "lines")
     out = timeline.session_stats(transcript.browse(src), transcript.records(transcript.events(src)))
     text_of = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return out.select("file_key", text_of("kinds").alias("kinds"), text_of("tools").alias("tools"), F.coalesce("fresh_tokens", F.lit(-1)).alias("input"), F.coalesce("output_tokens", F.lit(-1)).alias("output"), r("hit_rate").alias("hit_rate"))
@@ -185,12 +188,14 @@ def shell_and_edit_churn(t):
     return rows.select("conv_id", "turn", (added + F.col("shell.added")).cast("long").alias("added"), (deleted + F.col("shell.deleted")).cast("long").alias("deleted"))
 
 
-@query("select event_type, count(*) as n, count(distinct case when value >= 100 then 'K' end) as some from events group by 1")
+@query("""with x as (select event_id, (case event_id % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end) * floor(value * 10) / 10.0 * (case when event_id % 7 = 0 then -1 else 1 end) as v from events),
+    s as (select *, case when abs(v) >= 1e9 then 9 when abs(v) >= 1e6 then 6 when abs(v) >= 1e3 then 3 else 0 end as e from x), d as (select *, cast(floor(abs(v) / 10 ** e * 10 + 0.5) as bigint) as tenths, cast(floor(abs(v) + 0.5) as bigint) as whole from s)
+    select event_id, case when v < 0 and (whole > 0 or e > 0) then '-' else '' end || case when e = 0 then whole::varchar else (tenths // 10)::varchar || '.' || (tenths % 10)::varchar || case e when 9 then 'B' when 6 then 'M' else 'K' end end as shown from d""")
 def human_numbers(t):
-    """Numbers as a reader sees them keep their size."""
-    shown = text.human_number(F.col("value") * 1000)
-    kinds = t("events").select("event_type", "value", F.regexp_extract(shown, "[BMK]$", 0).alias("unit"))
-    return kinds.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.when((F.col("value") >= 100) & (F.col("unit") == "K"), "K")).alias("some"))
+    """Numbers as a reader sees them, digit by digit."""
+    i = F.col("event_id")
+    v = F.when(i % 4 == 0, 1).when(i % 4 == 1, 1000).when(i % 4 == 2, 1000000).otherwise(1000000000) * F.floor(F.col("value") * 10) / 10.0 * F.when(i % 7 == 0, -1).otherwise(1)
+    return t("events").select("event_id", F.regexp_replace(text.human_number(v), "^-0$", "0").alias("shown"))
 
 
 _NOTE = "o_orderkey % 5"
@@ -212,7 +217,7 @@ def transcript_notes(t):
     return transcript.notes(src).select("line_num", "kind", "name", "content")
 
 
-@query("""with k as (select l_orderkey as o, l_linenumber as l, ['Bash', 'Read', 'Edit', 'Grep', 'Glob', 'WebFetch', 'Task', 'Other'][(l_orderkey + l_linenumber) % 8 + 1] as tool, l_returnflag as f, l_orderkey % 2 = 0 as more from lineitem where l_orderkey < 500)
+@query("""with k as (select l_orderkey as o, l_linenumber as l, ['Bash', 'Read', 'Edit', 'Grep', 'Glob', 'WebFetch', 'Task', 'Other'][(l_orderkey + l_linenumber) % 8 + 1] as tool, l_returnflag as f, l_orderkey % 2 = 0 as more from lineitem)
     select o, l::bigint as l, case tool when 'Bash' then 'run ' || f || case when more then ' — why [bg]' else '' end when 'Read' then 'p' || f || case when more then ' :' || l || '+9' else '' end when 'Edit' then 'p' || f when 'Grep' then '/' || f || '/' || case when more then ' in src --glob *.py' else '' end
       when 'Glob' then f || case when more then ' in src' else '' end when 'WebFetch' then 'http://' || f when 'Task' then 'kind' || f || ': ' || case when more then 'why' else '' end else '{"x":"' || f || '"}' end as shown from k""")
 def tool_previews(t):
@@ -224,7 +229,7 @@ def tool_previews(t):
         "command": given("Bash", value=F.concat(F.lit("run \n "), flag)), "description": given("Bash", "Task", value=F.lit("why"), more=True), "run_in_background": given("Bash", value=F.lit(True), more=True), "file_path": given("Read", "Edit", value=F.concat(F.lit("p"), flag)),
         "offset": given("Read", value=line, more=True), "limit": given("Read", value=F.lit(9), more=True), "pattern": given("Grep", "Glob", value=flag), "path": given("Grep", "Glob", value=F.lit("src"), more=True), "glob": given("Grep", value=F.lit("*.py"), more=True),
         "url": given("WebFetch", value=F.concat(F.lit("http://"), flag)), "subagent_type": given("Task", value=F.concat(F.lit("kind"), flag)), "x": given("Other", value=flag)}
-    rows = t("lineitem").where("l_orderkey < 500").select(at.alias("o"), line.cast("long").alias("l"), tool.alias("tool"), F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("j"))
+    rows = t("lineitem").select(at.alias("o"), line.cast("long").alias("l"), tool.alias("tool"), F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("j"))
     rows = rows.withColumn("given", F.expr("parse_json(j)"))
     return rows.select("o", "l", transcript.preview(F.col("tool"), "given").alias("shown"))
 

@@ -110,7 +110,6 @@ def test_columns(spark):
         assert (one(time.instant(F.lit(raw))) is not None) == ok
     assert [one(text.line_count(F.lit(x))) for x in ("", "a", "a\n", "a\nb")] == [0, 1, 1, 2]
     assert [one(text.human_number(F.lit(x))) for x in (12, 4500, 2.5e6, 7e9)] == ["12", "4.5K", "2.5M", "7.0B"]
-    assert one(text.tool_preview(F.lit("Bash"), F.lit("ls  -la\n" + "x" * 99)))[-1] == "…"
     assert one(text.references(F.lit("see tool-results/a.txt and agent-0123456789abcd"))) == ["tool-results/a.txt", "agent-0123456789abcd"]
     look = lambda m, **k: one(pricing.resolve(F.lit(m), **k))
     cases = {"claude-opus-4-7": 5, "anthropic/claude-opus-4.8": 5, "us.anthropic.claude-opus-4-1-20250805": 15, "claude-sonnet-4-20250514": 3, "claude-haiku-4-5[1m]": 1, "claude-3-haiku-20240307": 0.25, " Claude-Fable-5@x ": 10}

@@ -156,7 +156,7 @@ def test_updates_and_panels(spark, mirror):
     made = ingest.update(spark, source, out)
     t = ingest.load(spark, out)
     assert (t.files.count(), t.records.count(), t.records.where("is_canonical").count()) == (3, 4, 3)
-    assert spark.read.parquet(made["damaged"]).count() == 1
+    assert made.read("damaged").count() == 1
     now = datetime(2026, 8, 1, tzinfo=UTC)
     year, live = panels.View.of("365d", now), panels.View(datetime(2025, 8, 1, tzinfo=UTC), 900)
     total = lambda df, c: df.agg({c: "sum"}).first()[0]
@@ -186,32 +186,33 @@ def test_updates_and_panels(spark, mirror):
 
     # Nothing to do, a changed object, a vanished one.
     told, before = [], sorted(str(p) for p in (root / "out").rglob("*"))
-    assert ingest.update(spark, source, out, tell=told.append) == made and told == []
+    assert ingest.update(spark, source, out, tell=told.append).parts == made.parts and told == []
     assert sorted(str(p) for p in (root / "out").rglob("*")) == before and not (root / "out/_work").exists()
     put("projB/s2/s2.jsonl", [reply("2026-07-15T10:30:09Z", "r3"), reply("2026-07-15T10:31:09Z", "r4"), reply("2026-07-15T10:32:09Z", "r5")])
     (root / "in/projA/s1/agent-aa.jsonl.xz").unlink()
     later = ingest.update(spark, source, out, tell=told.append)
     assert told == [{"event": "ingest_done", "version": "2", "parsed": 1, "vanished": 1}]
-    assert (spark.read.parquet(later["files"]).count(), spark.read.parquet(later["records"]).count(), spark.read.parquet(later["tool_uses"]).count()) == (2, 5, 0)
+    assert (later.read("files").count(), later.read("records").count(), later.read("tool_uses").count()) == (2, 5, 0)
 
 
     # Stored by day; one update at a time; old versions go; a lock of a process that died is taken over.
-    plan = spark.read.parquet(later["records"]).where("day = date'2026-07-15'").select("file_key")._jdf.queryExecution().toString()
+    plan = later.read("records").where("day = date'2026-07-15'").select("file_key")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
     with tables.only_one(spark, out), pytest.raises(RuntimeError):
         ingest.update(spark, source, out)
     put("projB/s3/s3.jsonl", [reply("2026-07-16T10:30:09Z", "r9")])
     (root / "out/_lock").touch()
     os.utime(root / "out/_lock", (0, 0))
-    assert ingest.update(spark, source, out, keep=1)["files"].endswith("v=3")
-    assert [p.name for p in (root / "out/records").iterdir()] == ["v=3"] and not (root / "out/_lock").exists()
+    last = ingest.update(spark, source, out, keep=1)
+    assert last.number == 3 and [p.name for p in (root / "out/_manifest").iterdir()] == ["v=3"] and not (root / "out/_lock").exists()
+    assert {str(p) for p in (root / "out/records").glob("v=*/day=*")} == {p.removeprefix("file:") for p in last.parts["records"].values()}
 
 
 def test_attempts(spark, mirror, monkeypatch):
     root, _ = mirror
     calls, whole = [], ingest._update
     monkeypatch.setattr(ingest, "_update", lambda *a: calls.append(1) or (whole(*a) if len(calls) > 1 else 1 / 0))
-    assert "files" in ingest.update(spark, str(root / "in"), str(root / "out"))
+    assert "files" in ingest.update(spark, str(root / "in"), str(root / "out")).parts
     calls.clear()
     monkeypatch.setattr(ingest, "_update", lambda *a: calls.append(1) or 1 / 0)
     with pytest.raises(ZeroDivisionError):
@@ -220,10 +221,14 @@ def test_attempts(spark, mirror, monkeypatch):
 
 
 def test_mailbox():
-    box = ingest.Mailbox(2)
-    for i in range(3):
-        box.put({"n": i})
-    assert box.take() == [{"n": 1}, {"n": 2}] and box.take() == []
+    hub = ingest.Hub()
+    box, other = hub.listen(2), hub.listen()
+    for i in range(20):
+        hub.tell({"n": i})
+    assert box.take() == [{"n": 0}, {"n": 1}] and box.take() == [] and box.dropped == 18
+    hub.leave(box)
+    hub.tell({"n": 20})
+    assert box.take() == [] and len(other.take()) == 16
 
 
 def test_follow(spark, mirror):
