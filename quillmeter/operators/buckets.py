@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions.time import bucket_center
+from quillmeter.operators import quantiles
 
 
 def totals(df: DataFrame, ts: str, width: int, by: Sequence[str], sums: dict[str, Column], name: str = "bucket") -> DataFrame:
@@ -19,16 +20,15 @@ def totals(df: DataFrame, ts: str, width: int, by: Sequence[str], sums: dict[str
 
 def percentiles(df: DataFrame, ts: str, width: int, by: Sequence[str], value: str, points: Sequence[float], name: str = "bucket") -> DataFrame:
     """Exact interpolated percentiles p10, p50 and so on, by bucket and further keys."""
-    cols = [F.percentile(F.col(value).cast("double"), F.lit(p)).alias(f"p{round(100 * p)}") for p in points]
-    return df.groupBy(bucket_center(F.col(ts), width).alias(name), *by).agg(F.count("*").alias("n"), *cols)
+    rows = df.select(bucket_center(F.col(ts), width).alias(name), *by, F.col(value).alias("_value"))
+    return quantiles.interpolated(rows, [name, *by], "_value", {f"p{round(100 * p)}": p for p in points})
 
 
 def percentile_bands(df: DataFrame, ts: str, widths: Sequence[int], by: str, value: str, points: Sequence[float] = (0.1, 0.5, 0.9), every: str = "") -> DataFrame:
     """Percentiles for several widths, by a key and over all its values (key every), from one shuffle of the rows."""
     wide = df.where(F.col(value).isNotNull()).select("*", F.explode(F.array(*(F.struct(F.lit(w).alias("width"), bucket_center(F.col(ts), w).alias("bucket")) for w in widths))).alias("_b"))
-    wide = wide.withColumn("_by", F.explode(F.array(F.col(by), F.lit(every))))
-    cols = [F.percentile(F.col(value).cast("double"), F.lit(p)).alias(f"p{round(100 * p)}") for p in points]
-    return wide.groupBy(F.col("_b.width").alias("bucket_s"), F.col("_b.bucket").alias("bucket"), F.col("_by").alias(by)).agg(F.count("*").alias("n"), *cols)
+    wide = wide.select(F.col("_b.width").alias("bucket_s"), F.col("_b.bucket").alias("bucket"), F.explode(F.array(F.col(by), F.lit(every))).alias(by), F.col(value).alias("_value"))
+    return quantiles.interpolated(wide, ["bucket_s", "bucket", by], "_value", {f"p{round(100 * p)}": p for p in points})
 
 
 def outliers(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], share: float = 0.01, least: int = 100) -> DataFrame:
@@ -37,10 +37,10 @@ def outliers(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str],
     Percentiles just inside the shares leave a few hundredths of a group to be ranked, so hot groups aren't sorted whole.
     """
     inside = (least * (1 - share) - 1) / (least - 1)  # at or below the place of the last high row, in groups of any size
-    bounds = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile(F.col(value).cast("double"), F.array(F.lit(1 - inside), F.lit(inside))).alias("_p")).where(F.col("_n") >= least)
-    bounds = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n", "_p")
+    bounds = quantiles.interpolated(df.where(F.col(value).isNotNull()).select(*keys, value), keys, value, {"_low_end": 1 - inside, "_high_end": inside}).where(F.col("n") >= least)
+    bounds = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("n").alias("_n"), "_low_end", "_high_end")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
-    far = (F.col(value) <= F.col("_p")[0]) | (F.col(value) >= F.col("_p")[1])
+    far = (F.col(value) <= F.col("_low_end")) | (F.col(value) >= F.col("_high_end"))
     rows = df.join(bounds, same & far)
     group, most = Window.partitionBy(*keys), F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
     rows = rows.withColumns({"_high": F.row_number().over(group.orderBy(F.col(value).desc(), *tie)) <= most, "_low": F.row_number().over(group.orderBy(F.col(value).asc(), *tie)) <= most})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.functions.time import bucket_center
+from quillmeter.operators import quantiles
 from quillmeter.operators.buckets import outliers
 
 TOKENS = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "eph5_tokens", "eph1h_tokens")
@@ -72,8 +73,7 @@ def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS, only: D
     keys = list(LATENCY_KEYS)
     wide = latency_rows(records, files, widths)
     wide = wide if only is None else wide.join(only, keys, "left_semi")
-    points = [F.percentile("latency_s", F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.1, 0.5, 0.9)]
-    bands = wide.groupBy(*keys).agg(F.count("*").alias("n"), *points)
+    bands = quantiles.interpolated(wide, keys, "latency_s", {f"p{round(100 * p)}": p for p in (0.1, 0.5, 0.9)})
     far = outliers(wide, keys, "latency_s", ["file_key", "line_num"])
     item = F.struct((-F.col("latency_s")).alias("_o"), "ts", "latency_s", "file_key", "line_num", "kind")
     lists = far.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in ("ts", "latency_s", "file_key", "line_num", "kind")))).alias("outliers"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmeter.operators import quantiles, scans
+
 DAY = 86400
 
 
@@ -20,32 +22,8 @@ def ema(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alph
 
 
 def emas(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, str], alpha: float | Column = 0.15) -> DataFrame:
-    """Exponential means (name: column) of several columns at once.
-
-    Written as a weighted window sum inside blocks of 64 rows, joined by a fold over the blocks' last values: no row holds
-    more of a series than a 64th, and the windows sort once by series and order.
-    """
-    a = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    w, n = _ordered(by, order), range(len(values))
-    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_a": a.cast("double"), **{f"_v{k}": F.col(v).cast("double") for k, v in enumerate(values.values())}}).withColumn("_b", F.floor(F.col("_i") / 64))
-    inside = Window.partitionBy(*by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.pow(1 - F.col("_a"), -(F.col("_i") % 64).cast("double"))
-    first = lambda k: F.when(F.col("_i") == 0, F.col(f"_v{k}")).otherwise(F.col("_a") * F.col(f"_v{k}"))
-    rows = rows.withColumns({f"_own{k}": F.sum(first(k) * weight).over(inside) / weight for k in n})
-    # What a block hands on: its own last values, and what is left of what came before it.
-    left = F.max_by(F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")), "_i").alias("_left")
-    ends = rows.groupBy(*by, "_b").agg(*(F.max_by(f"_own{k}", "_i").alias(f"_last{k}") for k in n), left)
-    fold = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_left", *(f"_last{k}" for k in n)))).alias("_e"))
-
-    def carried(k: int) -> Column:
-        step = lambda s, x: F.struct((x[f"_last{k}"] + x["_left"] * s["v"]).alias("v"), F.array_append(s["all"], x[f"_last{k}"] + x["_left"] * s["v"]).alias("all"))
-        return F.aggregate("_e", F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("all")), step, lambda s: s["all"])
-
-    fold = fold.select(*by, *(carried(k).alias(f"_carry{k}") for k in n))
-    rows = rows.join(fold, list(by)) if by else rows.crossJoin(F.broadcast(fold))  # one row
-    carry = lambda k: F.when(F.col("_b") == 0, 0.0).otherwise(F.get(f"_carry{k}", F.col("_b").cast("int") - 1))
-    out = rows.withColumns({name: F.col(f"_own{k}") + carry(k) * F.pow(1 - F.col("_a"), (F.col("_i") % 64 + 1).cast("double")) for k, name in enumerate(values)})
-    return out.drop("_i", "_a", "_b", *(f"_{c}{k}" for c in ("v", "own", "carry") for k in n))
+    """Exponential means (name: column) of several columns at once, by a prefix scan (see scans.emas)."""
+    return scans.emas(df, by, order, dict(values), F.lit(alpha) if isinstance(alpha, (int, float)) else alpha)
 
 
 def display_alpha(n: Column) -> Column:
@@ -125,18 +103,6 @@ def session_slices(df: DataFrame, by: Sequence[str], ts: str, columns: Sequence[
     return out.select(*by, "session_no", "slice", mid.alias("mid"), *((F.col(c) / (F.greatest(length, F.lit(60.0)) / 3600)).alias(f"{c}_per_h") for c in columns))
 
 
-def kept_apart(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], gap_s: float) -> DataFrame:
-    """The rows that lie more than gap_s after the last row that was kept, from the first one on.
-
-    What is kept depends on what was kept, so each group is folded in order; where groups are long, fold what is rare.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), *tie)))
-    grouped = df.where(F.col(ts).isNotNull()).groupBy(*by).agg(rows.alias("_r"))
-    kind = grouped.schema["_r"].dataType.simpleString()
-    kept = F.aggregate("_r", F.array().cast(kind), lambda s, x: F.when(F.coalesce(F.try_element_at(s, F.lit(-1))["t"] + int(gap_s * 1_000_000) < x["t"], F.lit(True)), F.array_append(s, x)).otherwise(s))
-    return grouped.select(*by, F.explode(kept).alias("_k")).select(*by, F.timestamp_micros("_k.t").alias(ts), *(F.col(f"_k.{c}").alias(c) for c in tie))
-
-
 def shifts(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], value: str, back: int = 10, factor: float = 2.0) -> DataFrame:
     """(by, ts, tie, ratio, direction) where a value reaches factor times, or falls to its inverse of, the mean of the
     rows before it; only with back rows before it and a positive mean."""
@@ -149,7 +115,7 @@ def shifts(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], value:
 
 def shift_clusters(found: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], apart_s: float = DAY) -> DataFrame:
     """The first shift of each cluster."""
-    return kept_apart(found, by, ts, [*tie, "ratio", "direction"], apart_s)
+    return scans.kept_apart(found, by, ts, [*tie, "ratio", "direction"], apart_s)
 
 
 def parallel_batches(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], gap_s: float = 2.0) -> DataFrame:
@@ -186,10 +152,7 @@ def error_rates(df: DataFrame, bucket: str, key: str, total: str, errors: str, t
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """Percentiles as members of the sorted group: the one at place floor(n q), the last at most."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.max(F.when(F.col("_i") == at(q), F.col(value))).alias(f"q{round(100 * q)}") for q in points))
+    return quantiles.nearest(df, by, value, {f"q{round(100 * q)}": q for q in points})
 
 
 def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float, log: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions import text, time
-from quillmeter.operators import buckets, series
+from quillmeter.operators import buckets, scans, series
 from quillmeter.operators.dedup import distinct_requests
 from quillmeter.plans.panels import Tables, hit_rate
 
@@ -69,7 +69,7 @@ def boundaries(rows: DataFrame, middle: bool = False, gap_s: int = 18000) -> Dat
 def limit_hits(t: Tables, start: datetime, end: datetime, apart_s: float = 60) -> DataFrame:
     """Limit hits in a range that lie more than a minute after the last one that was kept."""
     hits = t.files.select(F.explode("rate_limit_hits").alias("h")).select(F.lit(0).alias("one"), time.instant(F.col("h.ts")).alias("ts"), F.col("h.content").alias("content"))
-    return series.kept_apart(hits.where(F.col("ts").between(F.lit(start), F.lit(end))), ["one"], "ts", ["content"], apart_s).drop("one")
+    return scans.kept_apart(hits.where(F.col("ts").between(F.lit(start), F.lit(end))), ["one"], "ts", ["content"], apart_s).drop("one")
 
 
 def short_cache_share(hourly: DataFrame) -> DataFrame:

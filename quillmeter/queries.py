@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmeter.functions import pricing, text, time
-from quillmeter.operators import buckets, dedup, series
+from quillmeter.operators import buckets, dedup, quantiles, scans, series
 from quillmeter.plans.panels import folded
 from quillmeter.registry import ORACLE_SQL, QUERIES, center, query, r, sec
 from quillmeter.sources import tables
@@ -162,7 +162,7 @@ _GREEDY = "list_reduce(list_prepend([]::bigint[], list_transform(l, lambda x: [x
 @query(f"with s as (select user_id, list(epoch_us(ts) order by ts, event_id) as l from events group by 1) select user_id, unnest({_GREEDY.format(gap=36000000000)}) // 1000000 as kept from s")
 def greedy_hit_dedup(t):
     """What lies ten hours or more after the last that was kept."""
-    return series.kept_apart(t("events"), ["user_id"], "ts", ["event_id"], 36000).select("user_id", sec("ts").alias("kept"))
+    return scans.kept_apart(t("events"), ["user_id"], "ts", ["event_id"], 36000).select("user_id", sec("ts").alias("kept"))
 
 
 @query(f"""with x as (select *, avg(value) over w as m, count(*) over w as n from events window w as (partition by user_id order by ts, event_id rows between 10 preceding and 1 preceding)),
@@ -353,3 +353,31 @@ def short_names(t):
 
 
 from quillmeter import panel_queries, transcript_queries  # noqa: E402, F401  they add theirs
+
+
+@query("""with o as (select row_number() over (order by ts, event_id) as rn, event_id, value from events), l as (select list(value order by rn) as vs, list(event_id order by rn) as ids from o),
+    e as (select ids, list_reduce(list_transform(vs, lambda v, i: struct_pack(s := cast(v as double), i := i)), lambda a, x: struct_pack(s := 0.15 * x.s + 0.85 * a.s, i := x.i)) as last, vs from l)
+    select len(ids) as n, round(last.s, 6) as last from e""")
+def ema_all(t):
+    """One series of all events: the number of its rows and where its mean ends."""
+    out = series.ema(t("events").select("event_id", "ts", "value"), [], ["ts", "event_id"], "value")
+    return out.agg(F.count("*").alias("n"), F.round(F.max_by("ema", F.struct("ts", "event_id")), 6).alias("last"))
+
+
+@query("""with recursive s as (select epoch_us(min(ts)) as t from events union all select (select min(epoch_us(ts)) from events where epoch_us(ts) > s.t + 3600000000) from s where exists (select 1 from events where epoch_us(ts) > s.t + 3600000000))
+    select t // 1000000 as kept_s from s""")
+def greedy_all(t):
+    """One group of all events, by pointer doubling: those more than an hour after the last that was kept."""
+    rows = t("events").select("ts").distinct()
+    times = rows.select(F.lit("").alias("_key"), F.unix_micros("ts").alias("_t"))
+    return scans.doubled(times, 3_600_000_000).select(F.floor(F.col("_t") / 1_000_000).alias("kept_s"))
+
+
+@query("""select case when event_id % 3 = 0 then null else event_id % 2 end as k, count(*) as n, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.999), 6) as p999 from events group by 1""")
+def quantiles_selected(t):
+    """Percentiles of three groups of all events, by selection."""
+    rows = t("events").select(F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 2).alias("k"), "value")
+    sizes = rows.where("value is not null").groupBy("k").agg(F.count("*").alias("n"))
+    points = {"p10": 0.1, "p50": 0.5, "p999": 0.999}
+    out = quantiles.selected(rows, ["k"], "value", sizes, points)
+    return out.select("k", "n", *(F.round(c, 6).alias(c) for c in points))
