@@ -263,6 +263,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 _ROW = "__decontaminate_row"
 
 
+def _merge_spans(schema: pa.Schema):
+    """(row, items, spans) with spans that overlap or touch made one, and the number of their words: sorted by row and start,
+    a span begins anew where it lies beyond all ends before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans")
+            pairs = spans.flatten()
+            start, end = (pairs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+            row = np.repeat(np.arange(len(batch)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((start, row))
+            start, row = start[order], row[order]
+            shift = row * (int(end.max(initial=0)) + 2)  # rows lie apart on one line
+            reach = np.maximum.accumulate(end[order] + shift) if len(order) else shift
+            new = np.ones(len(order), bool)
+            new[1:] = start[1:] + shift[1:] > reach[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(order)) - 1 if len(first) else first
+            start, end, row = start[first], reach[last] - shift[last], row[first]
+            n_hit = np.bincount(row, end - start, len(batch)).astype(np.int64)
+            offsets = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            kind = schema.field("spans").type.value_type
+            merged = pa.StructArray.from_arrays([pa.array(start).cast(kind.field(0).type), pa.array(end).cast(kind.field(1).type)], fields=[kind.field(0), kind.field(1)])
+            columns = [batch.column(0), pa.array(n_hit), batch.column("items"), pa.ListArray.from_arrays(pa.array(offsets), merged)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _by_blocks(docs: DataFrame, keep: list[str], text: str, scan: Callable, blocks: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
     """The kept columns with n_words, n_hit, items and spans, from passes of which each writes what it found."""
     store = Store(docs.sparkSession, "decontaminate")
@@ -280,13 +309,10 @@ def _by_blocks(docs: DataFrame, keep: list[str], text: str, scan: Callable, bloc
         else:
             hits.append(store.table(found.where("n_hit > 0"), f"hits-{k}"))
         shared.destroy()
-    words = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-    starts = F.filter(words, lambda w: ~F.array_contains(words, w - 1))
-    ends = F.filter(words, lambda w: ~F.array_contains(words, w + 1))
-    one = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
     grouped = reduce(DataFrame.union, (h.select(_ROW, "items", "spans") for h in hits)).groupBy(_ROW)  # a row for each block at most
     grouped = grouped.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    grouped = grouped.select(_ROW, F.size(words).cast("long").alias("n_hit"), "items", one.alias("spans"))
+    schema = T.StructType([grouped.schema[_ROW], T.StructField("n_hit", T.LongType()), *(grouped.schema[c] for c in ("items", "spans"))])
+    grouped = grouped.mapInArrow(_merge_spans(to_arrow_schema(schema)), schema)
     out = rows.select(_ROW, *(f"`{c}`" for c in keep)).join(counts.select(F.col(_ROW).alias("_r"), "n_words"), F.col(_ROW) == F.col("_r")).drop("_r").join(grouped, _ROW, "left")
     empty = {c: F.coalesce(c, F.array().cast(grouped.schema[c].dataType)) for c in ("items", "spans")}
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), **empty}).select(*(f"`{c}`" for c in keep), "n_words", "n_hit", "items", "spans")

@@ -40,12 +40,15 @@ ENDS = {
 }
 #: Whole names in class, id or role that leave no doubt.
 CERTAIN = set(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot ad-banner banner-ad sponsor sponsored sponsors comment comments comment-list commentlist comments-area disqus disqus_thread respond "
-    "cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices site-header site-footer page-header page-footer masthead contentinfo navigation navbar nav breadcrumb breadcrumbs "
-    "sidebar sidebars sidenav complementary newsletter subscribe pagination pager share-buttons social-share skip-link".split()
+    "ad ads advert adverts advertisement advertising adsense adbox adslot ad-banner banner-ad sponsored comment comments comment-list commentlist comments-area disqus disqus_thread "
+    "cookie-notice cookie-banner cookie-consent site-header site-footer page-header page-footer contentinfo navigation navbar nav breadcrumb breadcrumbs "
+    "sidebar sidebars sidenav complementary pagination pager share-buttons social-share skip-link".split()
 )
+#: Whole names that mostly mark what isn't the article, but are words of headings too: text with a heading of its own, or a
+#: dense paragraph, stays under such a name.
+LIKELY = set("cookie cookies consent gdpr notice notices masthead newsletter subscribe respond sponsor sponsors".split())
 #: Words in names that often mark what is not the article.
-DOUBTFUL = CERTAIN | set(
+DOUBTFUL = CERTAIN | LIKELY | set(
     "banner banners commentary footer foot footnav header menu menus navi aside share sharing social related recommended recommendations promo promos promotion promoted popup modal overlay subscription signup "
     "login widget widgets skip toolbar topbar discussion replies reactions search alert disclaimer".split()
 )
@@ -57,9 +60,10 @@ HEADINGS = set("h1 h2 h3 hgroup".split())
 KIN, HEADED, OUTWEIGHS = 0.25, 0.1, 4.0
 #: Shares of the threshold that text beside the path needs, and below which a block of a doubtful name is cut.
 LOOSE, THIN = 0.5, 0.25
-#: A comment, a declaration, or a tag, of which quoted values may hold >; where a quote isn't closed, the next > ends it.
-_ATTRS = r"""(?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+'){0,64}+(?=>)|[^>]*+"""
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)({_ATTRS})>", re.S)
+#: A comment, a declaration, or the beginning of a tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+#: In a tag: its end, or the quote that begins a value.
+_VALUE = re.compile(r"""=\s*+(["'])|>""")
 _OPEN = re.compile(r"<[/A-Za-z!?]")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -84,7 +88,8 @@ class Node:
 
 
 def _marks(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether a tag is hidden, and how sure its names are that it isn't the article: 0, 1 (doubtful) or 2 (certain)."""
+    """Whether a tag is hidden, and how sure its names are that it isn't the article: 0, 1 (doubtful), 2 (likely) or 4
+    (certain)."""
     hidden, named = False, 0
     if attrs and tag not in ("body", "html", "article", "main"):
         for name, a, b, c in _MARK.findall(attrs):
@@ -94,14 +99,38 @@ def _marks(tag: str, attrs: str) -> tuple[bool, int]:
             elif name in ("class", "id", "role") and tag not in HEADINGS:
                 for token in value.split():
                     parts = set(_WORD.findall(token))
-                    if token in CERTAIN:
-                        named = 2
+                    if token in CERTAIN or token in LIKELY:
+                        named = max(named, 4 if token in CERTAIN else 2)
                     # article-header is a part of the article, and has-sidebar wraps it.
                     elif parts & DOUBTFUL and not _ARTICLE >= parts - DOUBTFUL > set() and not parts & _WRAPPER:
                         named = max(named, 1)
     return hidden, named
 
 
+class _Ends:
+    """Where tags end: at the first > outside of quoted values, which begin after a = and may be of any length.
+
+    Where a value's quote is never closed, the next > ends the tag, and from there on quotes are closed or not by the last
+    place of each that was looked for once, so that all tags together take one walk over the page.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.last, self.open_from = text, {q: text.rfind(q) for q in ("'", '"')}, len(text)
+
+    def find(self, pos: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at pos, -1 without any."""
+        at = pos
+        while at < self.open_from and (m := _VALUE.search(self.text, at)):
+            if not m[1]:
+                return m.start()
+            if m.end() > self.last[m[1]]:
+                at = m.end()  # an open quote is a part of the value
+                continue
+            at = self.text.find(m[1], m.end()) + 1
+        self.open_from = min(self.open_from, pos)  # quotes are out of step: no later tag is read past them either
+        return self.text.find(">", pos)
+
+
 class _Stack:
     """The open tags, with the places of each tag name and of blocks, so that no step walks the stack."""
 
@@ -129,7 +158,7 @@ def parse(text: str) -> Node:
     """The DOM of a page, tolerant of missing and stray end tags; children are nodes and strings in page order. Takes
     time in proportion to the page, however deep it is nested. The root's named has the bits of all names in it."""
     root = Node("html", None)
-    stack, pos, n, final = _Stack(root), 0, len(text), text.rfind(">")
+    stack, pos, n, final, ends_at = _Stack(root), 0, len(text), text.rfind(">"), _Ends(text)
     while pos < n:
         m = _TAG.search(text, pos) if pos <= final or text.startswith("<!--", pos) else None
         at = stack.nodes[-1]
@@ -142,7 +171,8 @@ def parse(text: str) -> Node:
         pos, tag = m.end(), m[2]
         if tag is None:
             continue
-        tag = tag.lower()
+        end = ends_at.find(pos)
+        attrs, pos, tag = text[pos:end], end + 1, tag.lower()
         if m[1]:
             place = stack.last(tag)
             # An inline end tag closes nothing outside its table cell.
@@ -162,7 +192,7 @@ def parse(text: str) -> Node:
         if tag == "body" and (place := stack.last("head")):
             stack.close(place)
         at = stack.nodes[-1]
-        hidden, named = _marks(tag, m[3])
+        hidden, named = _marks(tag, attrs)
         own_header = tag == "header" and stack.last("article") > 0
         node = Node(tag, at, at.skip or hidden or tag in SKIP and not own_header, named)
         at.kids.append(node)
@@ -176,7 +206,7 @@ def parse(text: str) -> Node:
             node.kids.append(text[pos : end.start() if end else n])
             pos = end.end() if end else n
             continue
-        if not m[3].endswith("/") or tag not in ("svg", "math"):
+        if not attrs.endswith("/") or tag not in ("svg", "math"):
             stack.push(node)
     return root
 
@@ -313,11 +343,13 @@ def extract(page: str | None) -> str:
     while todo:
         x = todo.pop()
         if id(x) not in known and not x.skip:
-            if _cut(x, 2):
+            if _cut(x, 4):
                 x.skip = True
-            else:  # a doubtful name stays unless its density says so too
+            else:  # a doubtful name stays unless its density says so too, a likely one goes unless its text is an article's
                 measure(x, 2, ratio)
                 x.skip = 2 * x.link_chars >= x.chars or x.density < THIN * threshold
+                if _cut(x, 2) and not x.headed and not (x.tag in TEXT and x.density >= LOOSE * threshold):
+                    x.skip = True
             continue
         if top.tag in ("body", "html") and x is not top and x.tag in BLOCK and x.link_tags >= 3 and x.link_chars >= 0.8 * x.chars and x.density < threshold:
             x.skip = True  # a list of links beside loose paragraphs is a menu

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -762,3 +763,45 @@ def test_bitmaps_bound_the_difference():
         x, y = (np.frombuffer(jaccard_join.bitmap(s), np.uint8) for s in (a, b))
         if len(x) == len(y):
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def page_with(inside):
+    text = "<p>" + "Patients were treated over several weeks in two groups of equal size. " * 4 + "</p>"
+    return f"<body><article><h1>Study</h1>{text}{inside}{text}</article></body>"
+
+
+CONSENT = "Patients gave informed consent before they took part in it, and all of them were told that they could leave at any time without giving reasons."
+
+
+@pytest.mark.parametrize("inside, want", [
+    (f'<section id="consent"><h2>Consent</h2><p>{CONSENT}</p></section>', ["Consent", CONSENT]),
+    (f'<section class="notice"><h2>Notice</h2><p>{CONSENT}</p></section>', ["Notice", CONSENT]),
+    (f'<p class="subscribe">{CONSENT}</p>', [CONSENT]),
+    ('<div class="notice">We use cookies.</div>', []),
+    (f'<div class="comments"><h2>Comments</h2><p>{CONSENT}</p></div>', []),
+    (f"""<div data-x="{'a>b ' * 4000}"><p>{CONSENT}</p></div>""", [CONSENT]),
+    ("<div " + " ".join(f"a{i}='x>{i}'" for i in range(80)) + f"><p>{CONSENT}</p></div>", [CONSENT]),
+])
+def test_names_and_long_attributes(inside, want):
+    text = "Patients were treated over several weeks in two groups of equal size. " * 4
+    assert html_density.extract(page_with(inside)) == "\n\n".join(["Study", text.strip(), *want, text.strip()])
+
+
+@pytest.mark.parametrize("page", ['<a b="' * 10**6, "<a b='" * 10**5 + ">", '<a "' * 10**6, "= " * 10**6, "<a =" + " " * 10**6, """<p x="'>""" * 20_000, """<p x='">""" * 20_000])
+def test_open_quotes_take_linear_time(page):
+    began = time.process_time()
+    html_density.extract(page)
+    assert time.process_time() - began < 5
+
+
+def test_many_hits_in_blocks(spark):
+    """A document that is hit whole, by a test set in many blocks, as by one."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(50_000)]
+    items = [(f"i{k:03d}", " ".join(words[a : a + 700])) for k, a in enumerate(range(0, 50_000, 690))]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:40], *["x"] * 30, *words[100:130]])), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    began = time.time()
+    found = [{r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["spans"], r["contaminated"]) for r in decontaminate.find_contamination(docs, bench, block_bytes=size).collect()} for size in (1 << 24, 40_000)]
+    assert found[0] == found[1] and found[0][1][1] == 50_000 and len(found[0][2][3]) == 2
+    assert time.time() - began < 90
