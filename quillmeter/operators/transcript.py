@@ -15,7 +15,7 @@ from quillmeter.functions import pricing, text, time
 from quillmeter.functions.churn import edit_churn, shell_churn
 
 _COUNTERS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
-_CALL = "struct<" + ",".join(f"{c}:bigint" for c in _COUNTERS) + ",cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>"
+_CALL = "struct<" + ",".join(f"{c}:bigint" for c in _COUNTERS) + ",cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>,server_tool_use:map<string,bigint>>"
 
 
 def field(variant: str, path: str, kind: str = "string"):
@@ -54,6 +54,11 @@ def _calls(usage: str = "usage"):
     return F.expr(f"from_json(to_json(try_variant_get({usage}, '$.iterations', 'variant')), 'array<{_CALL}>')")
 
 
+def _summed(a, b):
+    """Two maps of counts as one, equal keys added."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
 def usage_columns(usage: str = "usage", listed: str = "_calls") -> dict:
     """Token counts of one line: over all calls if the line lists several, and the largest context of a single call.
 
@@ -68,6 +73,9 @@ def usage_columns(usage: str = "usage", listed: str = "_calls") -> dict:
     out = {c: F.when(several, total(lambda x, c=c: x[c])).otherwise(v) for c, v in top.items()}
     out |= {f"eph{k}": F.when(split, total(f)).otherwise(F.coalesce(field(usage, f"$.cache_creation.ephemeral_{k}_input_tokens", "bigint"), F.lit(0))) for k, f in kept.items()}
     context = lambda x: sum(F.coalesce(x[c], F.lit(0)) for c in _COUNTERS if c != "output_tokens")
+    none = F.create_map().cast("map<string,bigint>")
+    served = F.aggregate(calls, none, lambda a, x: _summed(a, F.coalesce(x["server_tool_use"], none)))
+    out["server_tool_use"] = F.when(several & F.exists(calls, lambda x: x["server_tool_use"].isNotNull()), served).otherwise(F.coalesce(field(usage, "$.server_tool_use", "map<string,bigint>"), none))
     out["calls"] = F.when(calls.isNotNull(), F.size(calls))
     out["peak"] = F.when(F.size(calls) > 1, F.array_max(F.transform(calls, context)))
     return out
@@ -112,12 +120,14 @@ def records(ev: DataFrame, dated=pricing.DATED) -> DataFrame:
     identity = F.struct("uuid", "request_id", "ts", "model", "reply_latency_s")
     merged = rows.groupBy("file_key", group.alias("request")).agg(
         F.min("line_num").alias("line_num"), F.min_by(identity, "line_num").alias("one"), F.max("text_chars").alias("text_chars"), *(F.max(c).alias(c) for c in (*_COUNTERS, "eph5m", "eph1h")),
-        F.expr("min_by(struct(peak), line_num) filter (where calls is not null)").alias("peak"),
+        F.expr("min_by(struct(peak), line_num) filter (where calls is not null)").alias("peak"), F.collect_list("server_tool_use").alias("served"),  # a request's lines
     )
+    largest = F.aggregate("served", F.create_map().cast("map<string,bigint>"), lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.greatest(x, y)))
     read = F.col("cache_read_input_tokens")
     named = merged.select(
         "file_key", "line_num", "one.*", F.col("input_tokens").alias("fresh_tokens"), "output_tokens", F.col("cache_creation_input_tokens").alias("cache_creation_tokens"), read.alias("cache_read_tokens"),
         F.col("eph5m").alias("eph5_tokens"), F.col("eph1h").alias("eph1h_tokens"), "text_chars", F.coalesce("peak.peak", F.col("input_tokens") + F.col("cache_creation_input_tokens") + read).alias("ctx_input"),
+        largest.alias("server_tool_use"),
     )
     found = pricing.resolve(F.col("model"), F.col("ts"), dated=dated)
     usd = pricing.cost(F.col("rate.rates"), *(F.col(c) for c in ("fresh_tokens", "cache_creation_tokens", "eph5_tokens", "eph1h_tokens", "cache_read_tokens", "output_tokens")))

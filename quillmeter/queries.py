@@ -16,7 +16,7 @@ from quillmeter.functions import pricing, text, time
 from quillmeter.operators import buckets, dedup, quantiles, scans, series
 from quillmeter.plans.panels import folded
 from quillmeter.registry import ORACLE_SQL, QUERIES, center, query, r, sec
-from quillmeter.sources import tables
+from quillmeter.sources import stores, tables
 
 
 def _percentiles(width: int):
@@ -381,3 +381,26 @@ def quantiles_selected(t):
     points = {"p10": 0.1, "p50": 0.5, "p999": 0.999}
     out = quantiles.selected(rows, ["k"], "value", sizes, points)
     return out.select("k", "n", *(F.round(c, 6).alias(c) for c in points))
+
+
+def _objects(t) -> tuple[DataFrame, str]:
+    """The customers' keys as text objects, one for each nation."""
+    rows = t("customer").select(F.col("c_custkey").cast("string").alias("value"), F.col("c_nationkey").alias("nation"))
+    root = tables.work_folder(rows.sparkSession, "objects")
+    rows.repartition("nation").write.partitionBy("nation").text(root)
+    listed = stores.listing(rows.sparkSession, root)
+    return listed.where(F.col("key").endswith(".txt")).withColumn("folder", F.substring_index("key", "/", 1)), root
+
+
+@query("select 'nation=' || c_nationkey as folder, sum(length(c_custkey::varchar) + 1)::bigint as size, 40 as etag from customer group by 1")
+def object_listing(t):
+    """Objects by the listing data source, with their sizes and the length of their etags."""
+    return _objects(t)[0].select("folder", "size", F.length("etag").alias("etag"))
+
+
+@query("select 'nation=' || c_nationkey as folder, count(*) as lines, count(*) as last, sum(c_custkey)::bigint as total from customer group by 1")
+def streamed_lines(t):
+    """Lines of objects, streamed where they are read."""
+    found, root = _objects(t)
+    lines = stores.stream_objects(found, stores.store_of(root), "key").where("error is null")
+    return lines.groupBy(F.substring_index("file_key", "/", 1).alias("folder")).agg(F.count("*").alias("lines"), F.max("line_num").cast("long").alias("last"), F.sum(F.col("value").cast("long")).alias("total"))

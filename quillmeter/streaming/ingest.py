@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quillmeter.operators import transcript
 from quillmeter.plans.panels import Tables
-from quillmeter.sources import tables, transcripts, versions
+from quillmeter.sources import stores, tables, transcripts, versions
 from quillmeter.streaming import incremental
 
 #: Stored with each file; another version means that every file is parsed again.
@@ -41,10 +41,17 @@ def to_do(listing: DataFrame, stored: DataFrame | None, version: str = VERSION)
     return found if stored is None else found.join(stored.select("file_key", "etag", "version"), ["file_key", "etag", "version"], "left_anti")
 
 
-def parse(listing: DataFrame, work: str | None = None) -> Parsed:
+def parse(listing: DataFrame, work: str | None = None, store=None) -> Parsed:
     """The frames of listed transcripts. A damaged object is reported and doesn't stop the others. With a work folder the
-    events are written there once, and all frames read them; without one each frame parses the lines anew."""
-    lines, damaged = transcripts.read_lines(listing)
+    events are written there once, and all frames read them; without one each frame parses the lines anew. With a store
+    (and a work folder) objects are streamed line by line, with attempts for each."""
+    if store:
+        stores.stream_objects(listing, store).write.mode("overwrite").parquet(f"{work}/lines")
+        found = listing.sparkSession.read.parquet(f"{work}/lines")
+        damaged = found.where("error is not null").select("file_key", "error")
+        lines = found.where("error is null").join(damaged, "file_key", "left_anti").drop("error")
+    else:
+        lines, damaged = transcripts.read_lines(listing)
     ev = transcript.events(lines)
     if work:
         ev.write.mode("overwrite").parquet(f"{work}/events")
@@ -57,19 +64,20 @@ def parse(listing: DataFrame, work: str | None = None) -> Parsed:
 
 
 def update(
-    spark: SparkSession, root: str, out: str, version: str = VERSION, tell: Callable[[dict], None] | None = None, keep: int = KEEP, attempts: int = ATTEMPTS, etags: DataFrame | None = None
+    spark: SparkSession, root: str, out: str, version: str = VERSION, tell: Callable[[dict], None] | None = None, keep: int = KEEP, attempts: int = ATTEMPTS, etags: DataFrame | None = None, streamed: bool = False
 ) -> versions.Version:
     """Parses what changed below root and makes a new version of the tables below out; returns it.
 
     Only the parts that a change touches are written (see incremental.apply); without new, changed or vanished objects
     nothing is. Readers keep the version they have: parts are written beside the old ones, and the manifest last; keep
     versions stay, older ones go. A second update of one out at the same time is refused (RuntimeError). tell is called
-    after the update. A step that fails is tried again, attempts times in all. etags (key, etag) are the store's own.
+    after the update. A step that fails is tried again, attempts times in all. etags (key, etag) are the store's own; with
+    streamed objects are listed by the store itself, and read line by line with attempts of their own.
     """
     with tables.only_one(spark, out) as owned:
         for attempt in range(1, attempts + 1):
             try:
-                made, changed = _update(spark, root, out, version, keep, etags, owned)
+                made, changed = _update(spark, root, out, version, keep, etags, streamed, owned)
                 break
             except AnalysisException:  # no attempt makes a missing column or table appear
                 raise
@@ -81,8 +89,8 @@ def update(
     return made
 
 
-def _update(spark: SparkSession, root: str, out: str, version: str, keep: int, etags: DataFrame | None, owned: Callable[[], None]) -> tuple[versions.Version, dict[str, int]]:
-    listing = transcripts.transcripts(transcripts.objects(spark, root, etags=etags))
+def _update(spark: SparkSession, root: str, out: str, version: str, keep: int, etags: DataFrame | None, streamed: bool, owned: Callable[[], None]) -> tuple[versions.Version, dict[str, int]]:
+    listing = transcripts.transcripts(stores.listing(spark, root) if streamed else transcripts.objects(spark, root, etags=etags))
     old = versions.latest(spark, out)
     seen = [old.read(k).select("file_key", "etag", "version") for k in ("files", "damaged") if k in old]
     new = to_do(listing, reduce(DataFrame.union, seen) if seen else None, version)
@@ -94,7 +102,7 @@ def _update(spark: SparkSession, root: str, out: str, version: str, keep: int, e
     if old.number and not parsed and not vanished:
         return old, {}
     work = f"{out}/_work/{old.number + 1}"
-    found = parse(new, work)
+    found = parse(new, work, stores.store_of(root) if streamed else None)
     damaged = found.damaged.join(new.select("file_key", "etag", "version"), "file_key")
     if "damaged" in old:  # those that didn't change since aren't read again
         damaged = tables.without_orphans(tables.replaced(old.read("damaged"), damaged, new), kept)

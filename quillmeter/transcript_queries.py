@@ -35,8 +35,9 @@ def lines(t) -> DataFrame:
     size = F.length(said).cast("long")
     usage = block(
         input_tokens=size, output_tokens=10 * k + c % 10, cache_creation_input_tokens=c % 100, cache_read_input_tokens=2 * size,
+        server_tool_use=F.when(c % 2 == 1, block(web_search_requests=k, web_fetch_requests=F.lit(1))),
         cache_creation=F.when(c % 3 == 0, block(ephemeral_5m_input_tokens=F.lit(0), ephemeral_1h_input_tokens=c % 50)),
-        iterations=F.when(c % 4 == 1, F.array(block(input_tokens=size, output_tokens=F.lit(1), cache_read_input_tokens=k), block(input_tokens=size + 3, output_tokens=F.lit(2), cache_read_input_tokens=F.lit(5)))))
+        iterations=F.when(c % 4 == 1, F.array(block(input_tokens=size, output_tokens=F.lit(1), cache_read_input_tokens=k, server_tool_use=F.when(k % 2 == 1, block(web_search_requests=k + 1))), block(input_tokens=size + 3, output_tokens=F.lit(2), cache_read_input_tokens=F.lit(5), server_tool_use=F.when(k % 3 == 1, block(web_search_requests=F.lit(10).cast("int")))))))
     tool = F.element_at(F.array(*map(F.lit, ("Edit", "Write", "Bash"))), (k % 3 + 1).cast("int"))
     given = block(old_string=F.when(tool == "Edit", F.lit("a\nb")), new_string=F.when(tool == "Edit", said), content=F.when(tool == "Write", said), command=F.when(tool == "Bash", F.concat(F.lit("cat > f <<'E'\n"), said, F.lit("\nE\n"))))
     calls = F.to_json(F.array(block(type=F.lit("text"), text=said, id=F.lit(None).cast("string"), name=F.lit(None).cast("string"), input=F.lit(None).cast(_GIVEN)), block(type=F.lit("tool_use"), text=F.lit(None).cast("string"), id=name("t", k), name=tool, input=given)))
@@ -93,6 +94,15 @@ def transcript_requests(t):
     return out.select("file_key", F.col("line_num").cast("long").alias("line_num"), "uuid", F.coalesce(sec("ts"), F.lit(-1)).alias("at_s"), "model", *counts, r("reply_latency_s", 3).alias("wait"), r("cost_usd").alias("cost"), "estimated")
 
 
+@query(f"""{LINES}, x as (select file_key, request, line_num, c % 4 = 1 and (k % 2 = 1 or k % 3 = 1) as listed, case when c % 4 = 1 and (k % 2 = 1 or k % 3 = 1) then case when k % 2 = 1 then k + 1 else 0 end + case when k % 3 = 1 then 10 else 0 end when c % 2 = 1 then k end as searches, case when c % 2 = 1 and not (c % 4 = 1 and (k % 2 = 1 or k % 3 = 1)) then 1 end as fetches from usable)
+    select file_key, min(line_num) as line_num, coalesce(max(searches), -1)::bigint as searches, coalesce(max(fetches), -1)::bigint as fetches from x group by file_key, request""")
+def transcript_server_tools(t):
+    """What requests let the server look up: summed by name over a line's calls, the largest of a request's lines."""
+    out = transcript.records(events(t))
+    of = lambda name: F.coalesce(F.try_element_at("server_tool_use", F.lit(name)), F.lit(-1))
+    return out.select("file_key", F.col("line_num").cast("long").alias("line_num"), of("web_search_requests").alias("searches"), of("web_fetch_requests").alias("fetches"))
+
+
 @query(f"{LINES} select file_key, count(*) as n, sum(line_num)::bigint as lines from asked group by 1")
 def transcript_prompts(t):
     """Prompts by file; interruptions and what tools write are none."""
