@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: USD for a million tokens: fresh input, cache writes kept 5 minutes and 1 hour, cache reads, output. Order of matching.
@@ -95,3 +95,63 @@ def rate_epoch(ts: Column, dated: Mapping[str, Sequence[tuple[datetime, tuple[fl
     """How many times rates have changed before a time: sums over an epoch can be priced as one."""
     ends = sorted({end for windows in dated.values() for end, _ in windows})
     return sum((F.when(ts >= F.lit(e), 1).otherwise(0) for e in ends), F.lit(0))
+
+
+#: A stored rate table: position in the order of matching, key, validity (null: open), USD for a million tokens by part.
+RATE_TABLE = "position int, key string, valid_from timestamp, valid_to timestamp, " + ", ".join(f"{p} double" for p in PARTS)
+#: Segments of a rate table, and distinct models, up to which they are broadcast.
+BROADCAST_SEGMENTS = 50_000
+
+
+def segments(rates: DataFrame) -> DataFrame:
+    """(key, seg_from, seg_to, rates): a rate table cut into spans of time of which each has one rate.
+
+    Where several rows of a key hold, the one that ends first counts, then the one that began last, then the first position;
+    a row without validity counts where no other does. Spans without any rate are left out.
+    """
+    far_from, far_to = F.lit("0001-01-01").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")
+    rows = rates.withColumns({"_a": F.coalesce("valid_from", far_from), "_b": F.coalesce("valid_to", far_to)}).where("_a < _b")
+    marks = rows.select("key", F.explode(F.array("_a", "_b")).alias("seg_from")).distinct()
+    spans = marks.withColumn("seg_to", F.lead("seg_from").over(Window.partitionBy("key").orderBy("seg_from"))).where("seg_to is not null")
+    held = spans.join(rows, "key").where("_a <= seg_from and seg_to <= _b")
+    best = F.struct(F.col("_b"), -F.unix_micros("_a"), F.col("position"))
+    return held.groupBy("key", "seg_from", "seg_to").agg(F.min_by(F.struct(*PARTS), best).alias("rates"))
+
+
+def key_of_models(models: DataFrame, keys: DataFrame) -> DataFrame:
+    """(model, key, estimated) of distinct models: the first key of a rate table (position, key) that names a model, by an
+    equality join on the beginnings of its name; else the key of its tier, estimated."""
+    names = models.select("model").distinct().withColumn("_name", normalised(F.col("model")))
+    begun = names.select("model", "_name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))).alias("_n")).select("model", "_name", F.expr("substring(_name, 1, _n)").alias("key"))
+    fits = begun.join(keys.groupBy("key").agg(F.min("position").alias("position")), "key").where(F.expr("substring(_name, length(key) + 1)").rlike(r"^$|^[\[@]|^-?\d{6,8}$"))
+    exact = fits.groupBy("model").agg(F.min_by("key", "position").alias("key"))
+    guess = F.lit(DEFAULT)
+    for pattern, k in reversed(TIERS):
+        guess = F.when(F.col("_name").rlike(pattern), k).otherwise(guess)
+    out = names.alias("n").join(exact.alias("e"), F.col("n.model").eqNullSafe(F.col("e.model")), "left")
+    return out.select("n.model", F.coalesce("e.key", guess).alias("key"), F.col("e.key").isNull().alias("estimated"))
+
+
+def with_rates(df: DataFrame, rates: DataFrame, model: str = "model", ts: str = "ts") -> DataFrame:
+    """df with rate_key, estimated and rates from a stored rate table: an interval join of (key, time) with its segments.
+
+    Models are resolved once each. Segments are laid into months, clipped to the months of df, and rows find theirs by key
+    and month, so that a key with thousands of windows costs a row a month's worth. Guessed models and rows without a time
+    have the rates without validity; rows in a gap have none. Segments are broadcast behind a count.
+    """
+    found = key_of_models(df.select(F.col(model).alias("model")), rates.select("position", "key"))
+    month = lambda c: F.date_trunc("month", c)
+    ends = df.agg(month(F.min(ts)).alias("_first"), month(F.max(ts)).alias("_last"))
+    lists = rates.where("valid_from is null and valid_to is null").groupBy("key").agg(F.min_by(F.struct(*PARTS), "position").alias("_list")).withColumnRenamed("key", "rate_key")
+    segs = segments(rates).crossJoin(F.broadcast(ends))  # one row
+    first, last = F.greatest(month("seg_from"), F.col("_first")), F.least(F.col("seg_to"), F.col("_last"))
+    binned = segs.where(first <= last).select(F.col("key").alias("rate_key"), "seg_from", "seg_to", "rates", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("_month"))
+    few = binned.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
+    found = found.select(F.col("model").alias("_fm"), F.col("key").alias("rate_key"), "estimated")
+    known = found.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
+    rows = df.withColumn("_m", F.col(model)).join(F.broadcast(found) if known else found, F.col("_m").eqNullSafe(F.col("_fm"))).drop("_m", "_fm")
+    rows = rows.withColumn("_month", F.when(~F.col("estimated"), month(ts)))
+    binned = binned.select(F.col("rate_key").alias("_k"), F.col("_month").alias("_bm"), "seg_from", "seg_to", F.col("rates").alias("_dated"))
+    inside = (F.col("rate_key") == F.col("_k")) & (F.col("_month") == F.col("_bm")) & (F.col(ts) >= F.col("seg_from")) & (F.col(ts) < F.col("seg_to"))
+    out = rows.join(F.broadcast(binned) if few else binned, inside, "left").join(lists, "rate_key", "left")  # a row for each key of the card
+    return out.withColumn("rates", F.when(F.col("_month").isNull(), F.col("_list")).otherwise(F.col("_dated"))).select(*df.columns, "rate_key", "estimated", "rates")

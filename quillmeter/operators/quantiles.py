@@ -66,8 +66,10 @@ def select_ranks(rows: DataFrame, by: Sequence[str], value: str, sizes: DataFram
 def _split(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame | None]:
     """df without its hot groups, and these groups' sizes (by, n), or None if there are none."""
     hot = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    if not hot.limit(1).count():
+        return df, None
     hot = written(hot, "hot")
-    return (_joined(df, hot, by, "left_anti"), hot) if hot.limit(1).count() else (df, None)
+    return _joined(df, hot, by, "left_anti"), hot
 
 
 def selected(df: DataFrame, by: Sequence[str], value: str, sizes: DataFrame, points: Mapping[str, float]) -> DataFrame:

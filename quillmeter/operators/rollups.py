@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.functions.time import bucket_center
-from quillmeter.operators import quantiles
+from quillmeter.operators import quantiles, scans
 from quillmeter.operators.buckets import outliers
 
 TOKENS = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "eph5_tokens", "eph1h_tokens")
@@ -79,3 +79,25 @@ def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS, only: D
     lists = far.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in ("ts", "latency_s", "file_key", "line_num", "kind")))).alias("outliers"))
     empty = F.array().cast(lists.schema["outliers"].dataType)
     return bands.join(lists, keys, "left").withColumn("outliers", F.coalesce("outliers", empty))
+
+
+def session_numbers(usage_rollup: DataFrame) -> DataFrame:
+    """(session_id, number): dense numbers of the sessions of a usage rollup, for their bitmaps."""
+    return scans.numbered(usage_rollup.select("session_id").distinct(), ["session_id"])
+
+
+def session_bitmaps(usage_rollup: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(hour, project_id, model, part, sessions): which sessions have requests in a group, as bitmaps of 32,768 numbers each.
+
+    Distinct counts can't be added up, bitmaps can be merged: those of any hours, projects and models give the exact count
+    by sessions_in, without the session ids.
+    """
+    rows = usage_rollup.select("hour", "project_id", "model", "session_id").join(numbers, "session_id")
+    return rows.groupBy("hour", "project_id", "model", F.bitmap_bucket_number("number").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("sessions"))
+
+
+def sessions_in(bitmaps: DataFrame, by: list) -> DataFrame:
+    """(by, session_count): exact numbers of different sessions, from bitmaps alone."""
+    merged = bitmaps.groupBy(*by, "part").agg(F.bitmap_or_agg("sessions").alias("_all"))
+    names = [c for c in merged.columns if c not in ("part", "_all")]
+    return merged.groupBy(*names).agg(F.sum(F.bitmap_count("_all")).alias("session_count"))

@@ -181,3 +181,13 @@ def kept_apart(df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], ga
         far = first.join(long, "_key", "left_semi")
         out = walked(first.join(long, "_key", "left_anti")).unionByName(far.join(doubled(far.select("_key", "_t"), gap), ["_key", "_t"], "left_semi"))
     return out.select(*(F.col(f"_r.{c}").alias(c) for c in by), F.timestamp_micros("_t").alias(ts), *(F.col(f"_r.{c}").alias(c) for c in tie))
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """df with dense numbers from 0 in an order: parts are numbered side by side, and the counts of the parts before each
+    (a row for each partition) are added. No task sorts all rows."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "numbers")
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return rows.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.col("_before")).select(*df.columns, name)

@@ -637,3 +637,14 @@ def incremental_usage(t):
 def incremental_canonical(t):
     """Requests after an update of what changed only, with the flag of those that count among copies."""
     return updated(t).records.select("file_key", F.col("line_num").cast("long").alias("line_num"), F.coalesce("uuid", F.lit("")).alias("uuid"), "fresh_tokens", F.coalesce(sec("ts"), F.lit(-1)).alias("at_s"), "is_canonical")
+
+
+@query(f"""{STORED}, u as (select *, hour < timestamp '2024-01-16' as early from usage) select 'day' as view, date_trunc('day', hour)::date::varchar as k, count(distinct session_id) as session_count from u group by 1, 2
+    union all select 'model', model, count(distinct session_id) from u where early group by 1, 2 union all select 'all', '', count(distinct session_id) from u""")
+def sessions_from_bitmaps(t):
+    """Different sessions by day, by model of a range, and of all, from bitmaps of the rollup alone."""
+    usage = stored(t).usage
+    maps = tables.written(rollups.session_bitmaps(usage, rollups.session_numbers(usage)), "bitmaps")
+    views = ("day", F.to_date("hour").cast("string"), maps), ("model", F.col("model"), maps.where("hour < timestamp '2024-01-16'")), ("all", F.lit(""), maps)
+    out = [rollups.sessions_in(rows, [k.alias("k")]).select(F.lit(name).alias("view"), "k", "session_count") for name, k, rows in views]
+    return out[0].unionByName(out[1]).unionByName(out[2])

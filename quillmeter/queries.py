@@ -404,3 +404,23 @@ def streamed_lines(t):
     found, root = _objects(t)
     lines = stores.stream_objects(found, stores.store_of(root), "key").where("error is null")
     return lines.groupBy(F.substring_index("file_key", "/", 1).alias("folder")).agg(F.count("*").alias("lines"), F.max("line_num").cast("long").alias("last"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+@query("""with w as (select o_orderkey as position, 'claude-' || ['opus-4-7', 'sonnet-4-5', 'haiku-4-5'][o_orderkey % 3 + 1] as key, timestamp '2024-01-01' + to_minutes(cast((o_orderkey * 37) % 43200 as bigint)) as a,
+      timestamp '2024-01-01' + to_minutes(cast((o_orderkey * 37) % 43200 + o_custkey % 600 as bigint)) as b, o_orderkey % 97 + 1.0 as fresh from orders),
+    e as (select event_id, ts, 'claude-' || ['opus-4-7', 'sonnet-4-5', 'haiku-4-5', 'opus-9'][event_id % 4 + 1] as key from events),
+    j as (select e.event_id, w.fresh, row_number() over (partition by e.event_id order by b, a desc, position) as rn from e join w on e.key = w.key and e.ts >= w.a and e.ts < w.b)
+    select e.event_id, coalesce(j.fresh, case when e.key = 'claude-haiku-4-5' then -1.0 when e.key = 'claude-sonnet-4-5' then 3.0 else 5.0 end) as fresh, e.key = 'claude-opus-9' as estimated from e left join (select * from j where rn = 1) j on j.event_id = e.event_id""")
+def rates_from_a_table(t):
+    """Rates of events by a stored table with thousands of windows that overlap and leave gaps; one model has list prices
+    nowhere else, one is guessed."""
+    k = F.col("o_orderkey")
+    begun = F.timestamp_seconds(1_704_067_200 + 60 * ((k * 37) % 43200))
+    dated = t("orders").select(
+        k.cast("int").alias("position"), F.concat(F.lit("claude-"), F.element_at(F.array(*map(F.lit, ("opus-4-7", "sonnet-4-5", "haiku-4-5"))), (k % 3 + 1).cast("int"))).alias("key"), begun.alias("valid_from"),
+        F.timestamp_seconds(F.unix_seconds(begun) + 60 * (F.col("o_custkey") % 600)).alias("valid_to"), (k % 97 + 1).cast("double").alias("fresh"), *(F.lit(1.0).alias(p) for p in pricing.PARTS[1:]))
+    card = [(-9 + i, key, None, None, *pricing.CARD[key]) for i, key in enumerate(("claude-opus-4-8", "claude-opus-4-7", "claude-sonnet-4-5"))]
+    rates = dated.unionByName(dated.sparkSession.createDataFrame(card, pricing.RATE_TABLE))
+    model = F.concat(F.lit("claude-"), F.element_at(F.array(*map(F.lit, ("opus-4-7", "sonnet-4-5", "haiku-4-5", "opus-9"))), (F.col("event_id") % 4 + 1).cast("int")))
+    out = pricing.with_rates(t("events").select("event_id", "ts", model.alias("model")), rates)
+    return out.select("event_id", F.coalesce("rates.fresh", F.lit(-1.0)).alias("fresh"), "estimated")

@@ -41,6 +41,20 @@ def write_by_day(table: DataFrame, path: str, ts: str = "ts") -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, key: str = "file_key", buckets: int = 64, blooms: tuple[str, ...] = ()) -> DataFrame:
+    """Saves a table of the session's catalog in buckets by a key, sorted by it in each, and reads it.
+
+    Tables in as many buckets of one key are joined and grouped by it without a shuffle; for joins on further keys as well,
+    set spark.sql.requireAllClusterKeysForCoPartition to false in the session that reads them. Columns of blooms get Parquet
+    Bloom filters, so that a look for one value (a session, a request) skips the row groups without it.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+    for column in blooms:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", "100000")
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
