@@ -7,6 +7,7 @@ from one frame of events, which callers may keep.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,15 @@ def _is(variant: str, kind: str):
     return F.coalesce(F.expr(f"schema_of_variant({variant})").startswith(kind), F.lit(False))
 
 
-def events(lines: DataFrame) -> DataFrame:
-    """User and assistant lines with typed fields; lines that are no JSON object or of another type are left out.
+def events(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """User and assistant lines with typed fields; lines that are no JSON object or of another type are left out. Columns
+    of keep stay.
 
     usable: an assistant line with usage that isn't a stub, a limit error or of the synthetic model.
     """
-    parsed = lines.select("file_key", "line_num", F.expr("try_parse_json(value)").alias("v")).where(_is("v", "OBJECT"))
+    parsed = lines.select("file_key", "line_num", *keep, F.expr("try_parse_json(value)").alias("v")).where(_is("v", "OBJECT"))
     out = parsed.select(
-        "file_key", "line_num", field("v", "$.type").alias("type"), F.nullif(field("v", "$.uuid"), F.lit("")).alias("uuid"),
+        *keep, "file_key", "line_num", field("v", "$.type").alias("type"), F.nullif(field("v", "$.uuid"), F.lit("")).alias("uuid"),
         F.coalesce(field("v", "$.requestId"), F.lit("")).alias("request_id"), F.coalesce(field("v", "$.timestamp"), F.lit("")).alias("ts_text"),
         (_is("try_variant_get(v, '$.isApiErrorMessage', 'variant')", "BOOLEAN") & F.coalesce(field("v", "$.isApiErrorMessage", "boolean"), F.lit(False)) & (F.coalesce(field("v", "$.error"), F.lit("")) == "rate_limit")).alias("limited"),
         F.coalesce(field("v", "$.message.model"), F.lit("")).alias("model"), field("v", "$.message.content", "variant").alias("content"), field("v", "$.message.usage", "variant").alias("usage"),
