@@ -202,9 +202,12 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 1
     cuts = "struct(1 as cut, 'l' as side, w[0] as part), struct(1 as cut, 'r' as side, array_join(slice(w, 2, 2), ' ') as part)"
     more = "struct(2 as cut, 'l' as side, array_join(slice(w, 1, 2), ' ') as part), struct(2 as cut, 'r' as side, w[2] as part)"
     asked = found.select("lang", "phrase", "words", "a", F.explode(F.expr(f"if(words = 2, array({cuts}), array({cuts}, {more}))")).alias("c")).select("lang", "phrase", "words", "a", "c.*")
-    # Frequent words are parts of many phrases: their counts come in copies, and a phrase asks one of them.
-    known = counts.where("words in (1, 2)").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    told = asked.withColumn("salt", F.pmod(F.hash("phrase", "cut", "side"), F.lit(SALTS))).join(known, ["lang", "part", "salt"])
+    # Frequent words are parts of many phrases: their counts come in copies, and a phrase asks one of them. Pairs of words
+    # are parts of far fewer, and come once.
+    copies = F.when(F.col("words") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = counts.where("words in (1, 2)").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"), F.explode(copies).alias("salt"))
+    salt = F.when(F.instr("part", " ") > 0, 0).otherwise(F.pmod(F.hash("phrase", "cut", "side"), F.lit(SALTS)))
+    told = asked.withColumn("salt", salt).join(known, ["lang", "part", "salt"])
     f = lambda cut, side: F.max(F.when((F.col("cut") == cut) & (F.col("side") == side), F.col("f")))
     cut = told.groupBy("lang", "phrase", "words", "a").agg(f(1, "l").alias("l1"), f(1, "r").alias("r1"), f(2, "l").alias("l2"), f(2, "r").alias("r2"))
     cut = cut.withColumns({"s1": _score("l1", "r1"), "s2": _score("l2", "r2")}).withColumn("second", F.coalesce(F.col("s2") < F.col("s1"), F.lit(False)))
