@@ -805,3 +805,38 @@ def test_many_hits_in_blocks(spark):
     found = [{r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["spans"], r["contaminated"]) for r in decontaminate.find_contamination(docs, bench, block_bytes=size).collect()} for size in (1 << 24, 40_000)]
     assert found[0] == found[1] and found[0][1][1] == 50_000 and len(found[0][2][3]) == 2
     assert time.time() - began < 90
+
+
+def score_by_loops(net, text):
+    """A text's score, word by word and step by step: gated units from both sides, attention, the most toxic window."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" else c for c in text or "")
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    p, hidden = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    inputs = [p["rows"][toxicity.words([w.encode()])[0][0]].mean(axis=0) for w in found]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    best, start = None, 0
+    while found:
+        window = inputs[start : start + toxicity.WINDOW]
+        states = np.zeros((len(window), 2 * hidden))
+        for d, at, order in (("f", 0, range(len(window))), ("b", hidden, reversed(range(len(window))))):
+            h = np.zeros(hidden)
+            for t in order:
+                g, s = window[t] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                z, r = sigmoid(g[:hidden] + s[:hidden]), sigmoid(g[hidden : 2 * hidden] + s[hidden : 2 * hidden])
+                c = np.tanh(g[2 * hidden :] + r * s[2 * hidden :])
+                h = states[t, at : at + hidden] = (1 - z) * c + z * h
+        weights = np.exp(states @ p["att"])
+        logit = float((weights / weights.sum()) @ states @ p["out"] + p["bias"][0])
+        best = logit if best is None else max(best, logit)
+        if start + toxicity.WINDOW >= len(found):
+            break
+        start += toxicity.STRIDE
+    return sigmoid(float(p["bias"][0]) if best is None else best)
+
+
+def test_scores_by_loops():
+    rng = random.Random(12)
+    texts = [prose(rng, 30) + " vile thing" * (k % 2) for k in range(200)]
+    net = toxicity.fit(texts, np.array([k % 2 == 1 for k in range(200)]))
+    odd = [None, "", " ... ", "ÀÉ vile", "vile", prose(rng, toxicity.WINDOW), prose(rng, toxicity.WINDOW + 1), prose(rng, 500) + " vile thing", "x" * 5000, "日本 vile 日本", *texts[:6]]
+    assert toxicity.score_texts(net, odd) == pytest.approx([score_by_loops(net, t) for t in odd], abs=1e-4)
