@@ -216,7 +216,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 1
     scored = cut.join(longer, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {covered} * a")
     scored = scored.select("lang", "phrase", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score"))
     order = F.desc("score"), F.desc("a"), F.col("phrase")
-    # A language's best are among the best of its parts, so that no task sorts a whole language.
+    # A language's best are among the best of its 64 parts, so that no task sorts a whole language: the last ranking reads
+    # 64 * top rows at most.
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(64))).orderBy(*order))).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return best.join(counts.where("words = 0").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
