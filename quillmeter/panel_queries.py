@@ -333,6 +333,12 @@ def topk_output(t):
     return panels.top_requests(stored(t), ROLLED, "output_tokens").select("file_key", F.col("line_num").cast("long").alias("line_num"), "session_id", F.col("output_tokens").alias("tokens"))
 
 
+@query(_top("cache_creation_tokens", " and cache_creation_tokens > 0"))
+def topk_cache_writes(t):
+    """The requests that wrote most to the cache."""
+    return panels.top_requests(stored(t), ROLLED, "cache_creation_tokens").select("file_key", F.col("line_num").cast("long").alias("line_num"), "session_id", F.col("cache_creation_tokens").alias("tokens"))
+
+
 @query(_top("cache_read_tokens", " and cache_read_tokens > 0"))
 def topk_cache_reads(t):
     """The requests that read most from the cache."""

@@ -198,6 +198,28 @@ def shell_and_edit_churn(t):
     return rows.select("conv_id", "turn", (added + F.col("shell.added")).cast("long").alias("added"), (deleted + F.col("shell.deleted")).cast("long").alias("deleted"))
 
 
+@query("select o_orderkey, case when o_orderkey % 7 = 0 then 0 else o_orderkey % 4 end::bigint as added, case when o_orderkey % 7 = 0 then 0 else o_orderkey % 3 end::bigint as deleted from orders")
+def patch_churn(t):
+    """Lines of patches that commands are given; the names of files and what only shows a patch don't count."""
+    k = F.col("o_orderkey")
+    lines = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    run = F.when(k % 7 == 0, "cat").when(k % 2 == 0, "patch -p1").otherwise("git apply --index")
+    command = F.concat(run, F.lit(" <<'D'\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n same\n"), lines("-old line\n", k % 3), lines("+new line\n", k % 4), F.lit("D\n"))
+    rows = t("orders").select("o_orderkey", churn.shell_churn(command).alias("c"))
+    return rows.select("o_orderkey", F.col("c.added").cast("long").alias("added"), F.col("c.deleted").cast("long").alias("deleted"))
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then 0 else o_orderkey % 4 + 1 end::bigint as added, case when o_orderkey % 5 in (0, 1) then 0 else o_orderkey % 3 + 1 end::bigint as deleted from orders")
+def script_churn(t):
+    """Lines that scripts put in place of others, or write; scripts that only print change none."""
+    k = F.col("o_orderkey")
+    literal = lambda text, n: F.concat(F.lit("'"), F.repeat(F.lit(text), n.cast("int")), F.lit("'\n"))
+    ends = F.when(k % 5 == 0, "print(s.replace(old, new))").when(k % 5 == 1, "p.write_text(new)").otherwise("p.write_text(s.replace(old, new))")
+    command = F.concat(F.lit("python3 - <<'P'\nold = "), literal("a\\n", k % 3 + 1), F.lit("new = "), literal("b\\n", k % 4 + 1), ends, F.lit("\nP\n"))
+    rows = t("orders").select("o_orderkey", churn.shell_churn(command).alias("c"))
+    return rows.select("o_orderkey", F.col("c.added").cast("long").alias("added"), F.col("c.deleted").cast("long").alias("deleted"))
+
+
 @query("""with x as (select event_id, (case event_id % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end) * floor(value * 10) / 10.0 * (case when event_id % 7 = 0 then -1 else 1 end) as v from events),
     s as (select *, case when abs(v) >= 1e9 then 9 when abs(v) >= 1e6 then 6 when abs(v) >= 1e3 then 3 else 0 end as e from x), d as (select *, cast(floor(abs(v) / 10 ** e * 10 + 0.5) as bigint) as tenths, cast(floor(abs(v) + 0.5) as bigint) as whole from s)
     select event_id, case when v < 0 and (whole > 0 or e > 0) then '-' else '' end || case when e = 0 then whole::varchar else (tenths // 10)::varchar || '.' || (tenths % 10)::varchar || case e when 9 then 'B' when 6 then 'M' else 'K' end end as shown from d""")
