@@ -1,21 +1,24 @@
 """Document scores by masked pseudo-likelihood.
 
-A network reads three words to either side of a masked word and predicts it: first its class, then the word in its
-class. A document's score sums the logarithms of the conditional probabilities of all its words.
+A network reads three words to either side of a masked word and predicts it by a walk from the root of a tree of all
+symbols down to the word: a step's direction is a logistic function of the hidden layer. The tree is Huffman's, so a walk
+has about as many steps as the word has bits of surprise by its frequency, and cost grows with the logarithm of the
+symbols. A document's score sums the logarithms of the conditional probabilities of all its words.
 
-Symbols are the words that occur LEAST times in the corpus, up to MOST of them, by falling frequency; classes are small
-for frequent words and larger for rarer ones. All other words are one symbol for the network and are then spelt byte by
-byte, each given the one before, by a model counted over all such words. So every word has a probability of its own, and
-both vocabulary and spelling grow with what the corpus holds; the most frequent symbols alone are a bounded table.
+Symbols are the words that occur LEAST times in the corpus, of which only those above a frequency where there are more
+than a bound that grows with the corpus (see room). All other words are one symbol for the network and are then spelt
+byte by byte, each given the one before, by a model counted over all such words. So every word has a probability of its
+own, and both vocabulary and spelling grow with what the corpus holds.
 
 Training is data-parallel: every task starts from the shared parameters, learns from a share of its documents' words,
-another one in each round, and the parameters are averaged by the number of words learned from. All documents take part
-in each round. MOST and SHARE follow from a budget: a task hands on about a megabyte of parameters, and training takes
-some 250 CPU seconds a GB of text.
+another one in each round, and hands on only the rows of parameters that its words touched. A row's new value is the mean
+of the tasks that touched it, weighted by how often they did. All documents take part in each round, and over the rounds
+every word is masked once.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,28 +32,73 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from quillmeter.llm import _text
 from quillmeter.llm._store import Store
 
-#: Occurrences from which a word is a symbol, and symbols at most.
-LEAST, MOST = 5, 1 << 13
-#: Words of a class: a part of the words before it, within bounds.
-SMALLEST_CLASS, LARGEST_CLASS, CLASS_PART = 16, 512, 16
-REACH, DIM, HIDDEN = 3, 12, 16
+#: Occurrences from which a word is a symbol; symbols are at most ROOM times the corpus' words to the power of GROWTH.
+LEAST, ROOM, GROWTH = 5, 1250, 0.25
+REACH, DIM, HIDDEN = 3, 16, 24
 #: Rounds of training, the share of words masked in each, and words in a step.
-ROUNDS, SHARE, BATCH = 2, 0.06, 4096
-#: Floats of a block of parameters, groups in which blocks are summed before the last sum, and the block of spellings.
-CHUNK, SLOTS, SPELLING = 8192, 16, -1
+ROUNDS, SHARE, BATCH = 2, 0.5, 4096
+#: Nodes next to the root that a step treats densely.
+TOP = 128
+#: Rows of a block of parameters, tasks whose blocks are summed in one group, and the blocks of what all words share.
+CHUNK, FAN_IN, DENSE, SPELLING = 1024, 64, -1, -2
 _F = np.float32
 _OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 #: Stands for a word's border in spellings.
 _EDGE = 256
 
 
-def class_edges(words: int) -> np.ndarray:
-    """Where each class begins, with the end added: those of so many words by falling frequency, then that of the symbol of
-    all other words alone."""
-    edges = [0]
-    while edges[-1] < words:
-        edges.append(min(words, edges[-1] + min(LARGEST_CLASS, max(SMALLEST_CLASS, edges[-1] // CLASS_PART))))
-    return np.array([*edges, words + 1])
+def room(words: float) -> int:
+    """Symbols at most in a corpus of so many words: 56,000 for four million, 395,000 for ten billion, 2.5 million (400 MB of
+    parameters) for the 16 trillion of 100 TB."""
+    return int(ROOM * max(words, 1.0) ** GROWTH)
+
+
+class Tree:
+    """Huffman's tree over symbols by their counts; inner nodes are numbered from the root, which is 0.
+
+    The walk to symbol s takes the steps first[s] up to first[s + 1]: at node[k] to the side right[k] (1 or 0).
+    """
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        leaves = deque(sorted(range(n), key=lambda i: (counts[i], -i)))
+        inner: deque[int] = deque()
+        weight = [*counts.tolist(), *[0.0] * (n - 1)]
+        above, side = np.full(max(2 * n - 1, 1), -1, np.int64), np.zeros(max(2 * n - 1, 1), np.int8)
+
+        def lightest() -> int:
+            return leaves.popleft() if not inner or (leaves and weight[leaves[0]] <= weight[inner[0]]) else inner.popleft()
+
+        for new in range(n, 2 * n - 1):
+            left, right = lightest(), lightest()
+            above[left] = above[right] = new
+            side[right], weight[new] = 1, weight[left] + weight[right]
+            inner.append(new)
+        owner, node, turn = [], [], []
+        at, symbol = np.arange(n), np.arange(n)
+        while len(live := np.flatnonzero(above[at] >= 0)):
+            at, symbol = at[live], symbol[live]
+            owner.append(symbol)
+            node.append(2 * n - 2 - above[at])
+            turn.append(side[at])
+            at = above[at]
+        none = [np.zeros(0, np.int64)]
+        owner = np.concatenate(owner or none)
+        order = np.argsort(owner, kind="stable")
+        self.node = np.concatenate(node or none)[order].astype(np.int32)
+        self.right = np.concatenate(turn or none)[order].astype(_F)
+        self.first = np.searchsorted(owner[order], np.arange(n + 1))
+        self.sides = np.zeros((max(n - 1, 1), 2))
+        children = np.flatnonzero(above >= 0)
+        self.sides[2 * n - 2 - above[children], side[children]] = np.array(weight)[children]
+
+    def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in symbols, node, side) of all steps to the symbols, by place."""
+        steps = self.first[symbols + 1] - self.first[symbols]
+        begins = np.cumsum(steps) - steps
+        owner = np.repeat(np.arange(len(symbols)), steps)
+        k = np.arange(len(owner)) + np.repeat(self.first[symbols] - begins, steps)
+        return owner, self.node[k], self.right[k]
 
 
 class Vocabulary:
@@ -60,8 +108,8 @@ class Vocabulary:
         """counts: of the words in their order; others: how often all other words occur."""
         self.words, self.order = len(hashes), np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.edges = class_edges(self.words)
         self.counts = np.append(counts, others).astype(np.float64)
+        self.tree = Tree(self.counts + 0.5)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not self.words:
@@ -71,97 +119,79 @@ class Vocabulary:
 
 
 class Network:
-    """rows: what symbols enter as (the last is for places beyond a text); mix: from each offset to the hidden layer; cls
-    and word: from there to classes and symbols."""
+    """rows: what symbols enter as (the last is for places beyond a text); mix: from each offset to the hidden layer;
+    node: from there to the steps of the tree, with a bias as the last column."""
 
-    def __init__(self, p: dict[str, np.ndarray], edges: np.ndarray):
-        self.p, self.edges = p, edges
-        self.of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    SHARED = {"mix": (2 * REACH, DIM, HIDDEN), "bias": (HIDDEN,)}
+    BY_ROW = ("rows", "node")
 
-    @staticmethod
-    def shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
-        n, c = int(edges[-1]), len(edges) - 1
-        return {"rows": (n + 1, DIM), "mix": (2 * REACH, DIM, HIDDEN), "bias": (HIDDEN,), "cls": (HIDDEN, c), "cls_bias": (c,), "word": (n, HIDDEN), "word_bias": (n,)}
+    def __init__(self, p: dict[str, np.ndarray], tree: Tree):
+        self.p, self.tree = p, tree
 
     @classmethod
-    def fresh(cls, counts: np.ndarray, edges: np.ndarray, seed: int = 3) -> Network:
+    def fresh(cls, tree: Tree, seed: int = 3) -> Network:
         """Small random weights; the biases are the symbols' frequencies."""
-        rng = np.random.default_rng(seed)
-        p = {k: (rng.normal(size=s) * 0.1).astype(_F) for k, s in cls.shapes(edges).items()}
-        counts = counts + 0.5
-        whole = np.add.reduceat(counts, edges[:-1])
-        p |= {"bias": np.zeros(HIDDEN, _F), "cls_bias": np.log(whole / whole.sum()).astype(_F), "word_bias": np.log(counts / np.repeat(whole, np.diff(edges))).astype(_F)}
-        return cls(p, edges)
+        rng, n = np.random.default_rng(seed), len(tree.first) - 1
+        draw = lambda *shape: (rng.standard_normal(shape, _F) * _F(0.1))
+        node = draw(len(tree.sides), HIDDEN + 1)
+        node[:, -1] = np.log(np.maximum(tree.sides[:, 1], 0.5) / np.maximum(tree.sides[:, 0], 0.5))
+        return cls({"rows": draw(n + 1, DIM), "node": node, "mix": draw(*cls.SHARED["mix"]), "bias": np.zeros(HIDDEN, _F)}, tree)
 
-    @classmethod
-    def unpack(cls, flat: np.ndarray, edges: np.ndarray) -> Network:
-        p, at = {}, 0
-        for k, s in cls.shapes(edges).items():
-            p[k] = flat[at : at + int(np.prod(s))].reshape(s).copy()
-            at += p[k].size
-        return cls(p, edges)
-
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.shapes(self.edges)])
+    def copy(self) -> Network:
+        return Network({k: v.copy() for k, v in self.p.items()}, self.tree)
 
     def tables(self) -> list[np.ndarray]:
         """What each symbol adds to the hidden layer at each offset."""
         return [self.p["rows"] @ m for m in self.p["mix"]]
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, rows whose target is in it)."""
-        cls = self.of[target]
-        order = np.argsort(cls, kind="stable")
-        edges = np.flatnonzero(np.diff(cls[order], prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-            yield int(cls[order[a]]), order[a:b]
-
     def log_likelihood(self, tables: list[np.ndarray], seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The logarithm of each position's symbol's probability between its neighbours."""
-        out = np.zeros(len(at))
-        for i in range(0, len(at), 1 << 15):
-            where = at[i : i + (1 << 15)]
+        out, node = np.zeros(len(at)), self.p["node"]
+        for i in range(0, len(at), 1 << 13):
+            where = at[i : i + (1 << 13)]
             h = np.repeat(self.p["bias"][None], len(where), axis=0)
             for k, t in zip(_OFFSETS, tables, strict=True):
                 h += t[seq[where + k]]
             np.tanh(h, out=h)
-            target = seq[where]
-            lp = _pick(h @ self.p["cls"] + self.p["cls_bias"], self.of[target])
-            for c, rows in self._by_class(target):
-                a, b = self.edges[c], self.edges[c + 1]
-                if b - a > 1:
-                    lp[rows] += _pick(h[rows] @ self.p["word"][a:b].T + self.p["word_bias"][a:b], target[rows] - a)
-            out[i : i + len(where)] = lp
+            h = np.concatenate([h, np.ones((len(h), 1), _F)], axis=1)
+            owner, step, right = self.tree.walk(seq[where])
+            z = np.einsum("ij,ij->i", node.take(step, axis=0), h.take(owner, axis=0)) * (1 - 2 * right)
+            out[i : i + len(where)] = -np.bincount(owner, np.log(1 + np.exp(-np.abs(z))) + np.maximum(z, 0), len(where))
         return out
 
     def step(self, seq: np.ndarray, at: np.ndarray, state: dict, rate: float = 0.01) -> None:
         """One step on the mean negative log-likelihood of the positions: Adam for what all words share, AdaGrad by row for
-        what belongs to symbols, of which only those that take part are touched."""
+        rows and nodes, of which only those that take part are touched; state counts how often."""
         p, n = self.p, len(at)
         near = np.stack([seq[at + k] for k in _OFFSETS])
         x = p["rows"][near]
-        h = np.tanh(np.einsum("kbd,kdh->bh", x, p["mix"], optimize=True) + p["bias"])
-        target = seq[at]
-        g = _softmax(h @ p["cls"] + p["cls_bias"])
-        g[np.arange(n), self.of[target]] -= 1
-        grad = {"cls": h.T @ g, "cls_bias": g.sum(axis=0)}
-        dh = g @ p["cls"].T
-        for c, rows in self._by_class(target):
-            a, b = self.edges[c], self.edges[c + 1]
-            if b - a > 1:
-                g = _softmax(h[rows] @ p["word"][a:b].T + p["word_bias"][a:b])
-                g[np.arange(len(rows)), target[rows] - a] -= 1
-                dh[rows] += g @ p["word"][a:b]
-                _adagrad(p["word"][a:b], g.T @ h[rows] / _F(n), state.setdefault(("word", c), np.full(b - a, 1e-8, _F)), rate)
-                _adagrad(p["word_bias"][a:b][:, None], g.sum(axis=0)[:, None] / _F(n), state.setdefault(("bias", c), np.full(b - a, 1e-8, _F)), rate)
-        d = dh * (1 - h * h)
-        grad |= {"bias": d.sum(axis=0), "mix": np.einsum("kbd,bh->kdh", x, d, optimize=True)}
-        back = np.einsum("bh,kdh->kbd", d, p["mix"], optimize=True).reshape(-1, DIM)
-        touched, first, order = _groups(near.ravel())
-        slow = state.setdefault("rows", np.full(len(p["rows"]), 1e-8, _F))
-        own, part = slow[touched], p["rows"][touched]
-        _adagrad(part, np.add.reduceat(back[order], first, axis=0) / _F(n), own, rate)
-        slow[touched], p["rows"][touched] = own, part
+        h = np.ones((n, HIDDEN + 1), _F)  # the last column meets the biases
+        h[:, :-1] = p["bias"]
+        for xk, m in zip(x, p["mix"], strict=True):
+            h[:, :-1] += xk @ m
+        np.tanh(h[:, :-1], out=h[:, :-1])
+        owner, node, right = self.tree.walk(seq[at])
+        # Most steps are at few nodes, which all positions are multiplied with; the others are gathered.
+        top = min(TOP, len(p["node"]))
+        often = node < top
+        turn = np.zeros((n, top), _F)
+        turn[owner[often], node[often]] = 2 * right[often] - 1
+        w = p["node"][:top]
+        g = -turn / (1 + np.exp(np.minimum(turn * (h @ w.T), _F(80))))
+        dh, total = g @ w, g.T @ h / _F(n)
+        rare = ~often
+        owner, node, right = owner[rare], node[rare], right[rare]
+        if len(node):
+            w, own = p["node"].take(node, axis=0), h.take(owner, axis=0)
+            g = (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", w, own), -80, 80))) - right).astype(_F)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            dh[owner[first]] += np.add.reduceat(w * g[:, None], first, axis=0)
+            self._descend("node", *_summed(node, own * (g / _F(n))[:, None]), state, rate)
+        self._descend("node", np.arange(top), total, np.count_nonzero(turn, axis=0), state, rate)
+        d = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+        back = np.stack([d @ m.T for m in p["mix"]]).reshape(-1, DIM) / _F(n)
+        grad = {"bias": d.sum(axis=0), "mix": np.stack([xk.T @ d for xk in x])}
+        self._descend("rows", *_summed(near.ravel(), back), state, rate)
         state["t"] = t = state.get("t", 0) + 1
         for k, g in grad.items():
             m, v = state.setdefault(k, [np.zeros_like(p[k]), np.zeros_like(p[k])])
@@ -170,27 +200,23 @@ class Network:
             v += _F(0.01) * (g * g - v)
             p[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(_F)
 
-
-def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values, where each begins in order, order)."""
-    order = np.argsort(x, kind="stable")
-    first = np.flatnonzero(np.diff(x[order], prepend=-1))
-    return x[order[first]], first, order
-
-
-def _adagrad(p: np.ndarray, g: np.ndarray, slow: np.ndarray, rate: float) -> None:
-    slow += (g * g).mean(axis=1)
-    p -= _F(5 * rate) * g / np.sqrt(slow)[:, None]
+    def _descend(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray, state: dict, rate: float) -> None:
+        """AdaGrad on the rows at, with one learning rate for each."""
+        p = self.p[name]
+        slow, seen = state.setdefault(name, (np.full(len(p), 1e-8, _F), np.zeros(len(p), np.int64)))
+        now = slow[at] + (grad * grad).mean(axis=1)
+        slow[at] = now
+        seen[at] += times
+        p[at] -= grad * (_F(5 * rate) / np.sqrt(now))[:, None]
 
 
-def _pick(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return (x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))).astype(np.float64)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct numbers, sum of the rows of each, how many)."""
+    bits = len(at).bit_length()
+    ranked = np.sort((at.astype(np.int64) << bits) | np.arange(len(at)))  # far faster than sorting places
+    order, ranked = ranked & ((1 << bits) - 1), ranked >> bits
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    return ranked[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0), np.diff(first, append=len(order))
 
 
 class Text:
@@ -245,20 +271,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(held)
 
 
-def vocabulary(docs: DataFrame, store: Store, text: str = "text", least: int = LEAST, most: int = MOST) -> Vocabulary:
-    """Counted over all documents; the driver gets the most frequent words, and one sum for all others."""
+def vocabulary(docs: DataFrame, store: Store, text: str = "text", least: int = LEAST) -> Vocabulary:
+    """Counted over all documents; the driver gets the words that are symbols, and one sum for all others.
+
+    Where more words than there is room for reach least, the frequency from which on they fit takes its place: no word is
+    preferred to another one of its frequency, and none is sorted.
+    """
     counts = store.table(docs.select(text).mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).collect()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # By the frequency's power of two first: at most 64 rows; then by the frequencies of the power in which room ends.
+    most, above, frequent = room(total), 0, counts.where(F.col("n") >= least)
+    power = F.floor(F.log2(F.col("n"))).cast("int")
+    for r in sorted(frequent.groupBy(power.alias("p")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["p"]):
+        if above + r["words"] > most:
+            low = max(1 << r["p"], least)
+            part = 1 + (low >> 10)  # steps of frequency: at most 1024 rows
+            cells = frequent.where(power == r["p"]).groupBy(F.expr(f"(n - {low}) div {part}").alias("c")).agg(F.count("*").alias("words"))
+            least = 2 << r["p"]
+            for c in sorted(cells.collect(), key=lambda c: -c["c"]):
+                above += c["words"]
+                if above > most:
+                    break
+                least = low + c["c"] * part
+            break
+        above += r["words"]
+    top = sorted(((r["n"], r["hash"]) for r in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[0], r[1]))
     store.drop("counts")
-    n = np.array([r["n"] for r in top], np.float64)
-    return Vocabulary(np.array([r["hash"] for r in top], np.int64).view(np.uint64), n, total - n.sum())
+    n = np.array([r[0] for r in top], np.float64)
+    return Vocabulary(np.array([r[1] for r in top], np.int64).view(np.uint64), n, total - n.sum())
 
 
 def _learn(shared, number: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = shared.value
-        net, state, learned, pairs = Network.unpack(flat, voc.edges), {}, 0, np.zeros((_EDGE + 1) ** 2)
+        voc, start = shared.value
+        net, state, learned, pairs = start.copy(), {}, 0, np.zeros((_EDGE + 1) ** 2)
         for batch in batches:
             texts = [t and t.encode() for t in batch.column(0).to_pylist()]
             for i, j in _text.chunks(texts):
@@ -272,41 +318,74 @@ def _learn(shared, number: int, share: float):
                 learned += len(masked)
                 if number == 0:
                     pairs += np.bincount(x.pair, minlength=len(pairs))
-        slot = TaskContext.get().partitionId() % SLOTS
-        row = lambda block, n, p: pa.RecordBatch.from_pydict({"block": block, "slot": [slot] * len(block), "n": [float(n)] * len(block), "p": [v.tobytes() for v in p]}, schema=_BLOCKS)
-        if learned:
-            flat = net.pack()
-            parts = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
-            yield row(list(range(len(parts))), learned, parts)
+        slot = TaskContext.get().partitionId()
         if pairs.any():
-            yield row([SPELLING], 1, [pairs.astype(_F)])
+            yield _row("spelling", SPELLING, slot, [0], [1], pairs)
+        if learned:
+            yield _row("shared", DENSE, slot, [0], [learned], np.concatenate([net.p[k].ravel() for k in net.SHARED]))
+            for name in net.BY_ROW:
+                if name in state:
+                    seen = state[name][1]
+                    for k in range(0, len(seen), CHUNK):
+                        at = np.flatnonzero(seen[k : k + CHUNK])
+                        if len(at):
+                            yield _row(name, k // CHUNK, slot, at, seen[k + at], net.p[name][k + at])
 
     return run
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("slot", pa.int64()), ("n", pa.float64()), ("p", pa.binary())])
+#: A block of parameters: the numbers of its rows, by what each is weighted, and the rows.
+_DDL = "name string, block long, slot long, at binary, n binary, p binary"
+_BLOCKS = pa.schema([("name", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("p", pa.binary())])
+
+
+def _row(name: str, block: int, slot: int, at, n, p: np.ndarray) -> pa.RecordBatch:
+    packed = np.asarray(at, np.int32).tobytes(), np.asarray(n, np.float64).tobytes(), p.astype(_F).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((name, block, slot, *packed), _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+def _unrow(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.frombuffer(r["at"], np.int32)
+    return at, np.frombuffer(r["n"], np.float64), np.frombuffer(r["p"], _F).reshape(len(at), -1)
 
 
 def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The mean of the blocks, weighted by the words they were learned from."""
-    total = sum(n * np.frombuffer(p, _F).astype(np.float64) for n, p in zip(pdf["n"], pdf["p"], strict=True)) / pdf["n"].sum()
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "slot": pdf["slot"].iloc[:1], "n": [pdf["n"].sum()], "p": [total.astype(_F).tobytes()]})
+    """The mean of each row of a block, weighted by how often tasks touched it."""
+    weight = total = None
+    for r in pdf.to_dict("records"):
+        at, n, p = _unrow(r)
+        if total is None:
+            weight, total = np.zeros(CHUNK), np.zeros((CHUNK if r["block"] >= 0 else 1, p.shape[1]))
+        weight[at] += n
+        total[at] += n[:, None] * p
+    at = np.flatnonzero(weight)
+    out = _row(pdf["name"].iloc[0], int(pdf["block"].iloc[0]), int(pdf["slot"].iloc[0]) // FAN_IN, at, weight[at], total[at] / weight[at][:, None])
+    return out.to_pandas()
 
 
 def train(docs: DataFrame, voc: Vocabulary, text: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> tuple[Network, np.ndarray]:
-    """(network, spelling) after the rounds; parameters are averaged in two steps of groupings, the driver gets one copy."""
-    spark, net, ddl = docs.sparkSession, Network.fresh(voc.counts, voc.edges), "block long, slot long, n double, p binary"
+    """(network, spelling) after the rounds. Blocks are averaged in groups of at most FAN_IN tasks, and these in groups
+    of FAN_IN groups, until one is left; the driver gets one copy."""
+    spark, net = docs.sparkSession, Network.fresh(voc.tree)
     pairs = np.zeros((_EDGE + 1) ** 2)
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((voc, net.pack()))
-        learned = docs.select(text).mapInArrow(_learn(shared, k, share), ddl)
-        mean = learned.groupBy("block", "slot").applyInPandas(_mean, ddl).groupBy("block").applyInPandas(_mean, ddl)
-        blocks = sorted(mean.collect(), key=lambda r: r["block"])
-        if blocks and blocks[0]["block"] == SPELLING:  # a mean of counts times the number of tasks is their sum
-            first = blocks.pop(0)
-            pairs = first["n"] * np.frombuffer(bytes(first["p"]), _F).astype(np.float64)
-        if blocks:
-            net = Network.unpack(np.concatenate([np.frombuffer(bytes(r["p"]), _F) for r in blocks]), voc.edges)
+        shared = spark.sparkContext.broadcast((voc, net))
+        found = docs.select(text).mapInArrow(_learn(shared, k, share), _DDL)
+        tasks = found.rdd.getNumPartitions()  # of the plan; nothing runs
+        while tasks > FAN_IN:
+            tasks = -(-tasks // FAN_IN)
+            found = found.groupBy("name", "block", F.expr(f"slot div {FAN_IN}")).applyInPandas(lambda key, pdf: _mean(pdf), _DDL)
+        found = found.groupBy("name", "block").applyInPandas(_mean, _DDL)
+        net = net.copy()
+        for r in found.collect():
+            at, n, p = _unrow(r)
+            if r["block"] == SPELLING:  # a mean of counts times the number of tasks is their sum
+                pairs = n[0] * p[0].astype(np.float64)
+            elif r["block"] == DENSE:
+                edge = int(np.prod(net.SHARED["mix"]))
+                net.p["mix"], net.p["bias"] = p[0, :edge].reshape(net.SHARED["mix"]).copy(), p[0, edge:].copy()
+            else:
+                net.p[r["name"]][r["block"] * CHUNK + at] = p
     return net, spelling(pairs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import components, contamination, jaccard, repeats
 from pyspark.sql import functions as F
@@ -476,12 +478,10 @@ def naive_log_likelihood(net, voc, spelt, text):
         for j, k in enumerate([-3, -2, -1, 1, 2, 3]):
             h = h + p["rows"][symbol[i + k] if 0 <= i + k < len(symbol) else voc.words + 1].astype(float) @ p["mix"][j]
         h = np.tanh(h)
-        c = int(np.searchsorted(net.edges, s, side="right") - 1)
-        z = h @ p["cls"] + p["cls_bias"]
-        total += z[c] - np.log(np.exp(z).sum())
-        a, b = net.edges[c], net.edges[c + 1]
-        z = p["word"][a:b] @ h + p["word_bias"][a:b]
-        total += z[s - a] - np.log(np.exp(z).sum())
+        for step in range(voc.tree.first[s], voc.tree.first[s + 1]):
+            *w, bias = p["node"][voc.tree.node[step]].astype(float)
+            z = h @ w + bias
+            total -= np.log(1 + np.exp(-z if voc.tree.right[step] else z))
         if s == voc.words:
             marks = [256, *words[i], 256]
             total += sum(spelt[x * 257 + y] for x, y in zip(marks, marks[1:], strict=False))
@@ -522,8 +522,57 @@ def test_pseudo_likelihood_is_a_distribution(trained):
         total += np.exp(net.log_likelihood(net.tables(), other, at))
     assert total == pytest.approx([1, 1], abs=1e-4)
     assert np.exp(spelt).reshape(257, 257).sum(axis=1) == pytest.approx(np.ones(257))
-    assert (pseudo_lm.Network.unpack(net.pack(), net.edges).p["mix"] == net.p["mix"]).all()
-    assert pseudo_lm.class_edges(0).tolist() == [0, 1] and np.diff(pseudo_lm.class_edges(70_000)).max() == 512
+
+
+def test_pseudo_likelihood_walks(trained):
+    """The tree is one of least cost, also for one symbol; an untrained network without context gives frequencies."""
+    counts = np.array([50.0, 20, 10, 10, 5, 3, 1, 0.5])
+    tree, heap = pseudo_lm.Tree(counts), counts.tolist()
+    heapq.heapify(heap)
+    cost = 0.0
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += both
+        heapq.heappush(heap, both)
+    assert (np.diff(tree.first) * counts).sum() == pytest.approx(cost)
+    net = pseudo_lm.Network.fresh(tree)
+    net.p["node"][:, :-1] = 0
+    seq = np.concatenate([[8] * 3, np.arange(8), [8] * 3])
+    assert np.exp(net.log_likelihood(net.tables(), seq, np.arange(3, 11))) == pytest.approx(counts / counts.sum(), rel=1e-4)
+    one = pseudo_lm.Network.fresh(pseudo_lm.Tree(np.array([3.0])))
+    one.step(np.array([1, 1, 1, 0, 1, 1, 1]), np.array([3]), {})
+    assert one.log_likelihood(one.tables(), np.array([1, 1, 1, 0, 1, 1, 1]), np.array([3])).tolist() == [0]
+
+
+def test_pseudo_likelihood_gradients():
+    """One step moves every parameter against the gradient that finite differences give; others stay."""
+    rng = np.random.default_rng(4)
+    tree = pseudo_lm.Tree(1000 / np.arange(1, 301))
+    seq, at = rng.integers(0, 300, 60), np.arange(10, 50)
+    for name in ("rows", "node", "mix", "bias"):
+        net = pseudo_lm.Network.fresh(tree)
+        net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+        moved, state = net.copy(), {}
+        moved.step(seq, at, state)
+        change = moved.p[name] - net.p[name]
+        assert name in ("mix", "bias") or ((np.abs(change).max(axis=1) > 0) == (state[name][1] > 0)).all()
+        large = np.argwhere(np.abs(change) >= np.quantile(np.abs(change), 0.9))
+        for place in map(tuple, large[rng.integers(len(large), size=12)]):
+            both = []
+            for e in (1e-3, -1e-3):
+                other = net.copy()
+                other.p[name][place] += e
+                both.append(other.log_likelihood(other.tables(), seq, at).mean())
+            assert np.sign(both[0] - both[1]) == np.sign(change[place])
+
+
+def test_pseudo_likelihood_means():
+    """Rows are averaged by how often tasks touched them, in groups as at once."""
+    one = pseudo_lm._row("node", 2, 0, [1, 3], [1, 2], np.array([[1.0, 2], [3, 4]])).to_pandas()
+    two = pseudo_lm._row("node", 2, 65, [3], [6], np.array([[7.0, 8]])).to_pandas()
+    out = pseudo_lm._mean(pd.concat([pseudo_lm._mean(one), pseudo_lm._mean(two)]))
+    at, n, p = pseudo_lm._unrow(out.to_dict("records")[0])
+    assert at.tolist() == [1, 3] and n.tolist() == [1, 8] and p.tolist() == [[1, 2], [6, 7]]
 
 
 def test_pseudo_likelihood_knows_order(trained):
@@ -547,11 +596,23 @@ def test_pseudo_likelihood_grows(spark):
     """Every word that occurs often enough is a symbol, however many there are; the others have probabilities of their own."""
     many = spark.range(3000).selectExpr("id as doc_id", "concat('w', id % 2500, ' w', (id + 1) % 2500, ' w', (id * 7) % 2500) as text")
     assert pseudo_lm.vocabulary(many, Store(spark, "lm"), least=2).words == 2500
+    assert pseudo_lm.room(16e12) > 5 * pseudo_lm.room(10e9) > 25 * pseudo_lm.room(4e6)
     few = spark.createDataFrame([(1, "seen once"), (2, "only qqqqqqqq")], EMPTY)
     scores = {r["doc_id"]: r["score"] for r in pseudo_lm.score_documents(few).collect()}
     assert scores[1] != scores[2] and all(s < 0 for s in scores.values())
 
 
+def test_pseudo_likelihood_room(spark, monkeypatch):
+    """Beyond the room the frequency rises: words of one frequency are symbols together or not at all."""
+    docs = spark.range(1, 200).selectExpr("id as doc_id", "array_join(array_repeat(concat('w', id div 2), cast(id div 2 as int)), ' ') as text")
+    count = {k: 2 * k for k in range(1, 100)}
+    for most in (0, 1, 7, 60, 98, 1000):
+        monkeypatch.setattr(pseudo_lm, "room", lambda words, most=most: most)
+        voc = pseudo_lm.vocabulary(docs, Store(spark, "lm"), least=5)
+        assert sorted(voc.counts[:-1].tolist()) == sorted(sorted((n for n in count.values() if n >= 5), reverse=True)[:most])
+        assert voc.counts.sum() == sum(count.values())
+
+
 # 7: archives
 
 
