@@ -11,8 +11,8 @@ byte by byte, each given the one before, by a model counted over all such words.
 own, and both vocabulary and spelling grow with what the corpus holds.
 
 Training is data-parallel: every task starts from the shared parameters, learns from a share of its documents' words,
-another one in each round, and hands on only the rows of parameters that its words touched. A row's new value is the mean
-of the tasks that touched it, weighted by how often they did. All documents take part in each round, and over the rounds
+another one in each round, and hands on how far the rows of parameters moved that its words touched, in half precision. A
+row moves by the mean of the tasks that touched it, weighted by how often they did. All documents take part in each round, and over the rounds
 every word is masked once.
 """
 
@@ -34,11 +34,14 @@ from quillmeter.llm._store import Store
 
 #: Occurrences from which a word is a symbol; symbols are at most ROOM times the corpus' words to the power of GROWTH.
 LEAST, ROOM, GROWTH = 5, 1250, 0.25
-REACH, DIM, HIDDEN = 3, 16, 24
-#: Rounds of training, the share of words masked in each, and words in a step.
-ROUNDS, SHARE, BATCH = 2, 0.5, 4096
+REACH, DIM, HIDDEN = 3, 12, 16
+#: Rounds of training, the share of words masked in each, and words in a step: fewer where texts are so few that there
+#: would be less than STEPS steps.
+ROUNDS, SHARE, BATCH, SMALLEST_BATCH, STEPS = 2, 0.5, 4096, 256, 16
 #: Nodes next to the root that a step treats densely.
 TOP = 128
+#: Words of a task at least, unless cores would idle: each task hands on a copy of what it touched.
+TASK_WORDS = 2_000_000
 #: Rows of a block of parameters, tasks whose blocks are summed in one group, and the blocks of what all words share.
 CHUNK, FAN_IN, DENSE, SPELLING = 1024, 64, -1, -2
 _F = np.float32
@@ -213,7 +216,7 @@ class Network:
 def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct numbers, sum of the rows of each, how many)."""
     bits = len(at).bit_length()
-    ranked = np.sort((at.astype(np.int64) << bits) | np.arange(len(at)))  # far faster than sorting places
+    ranked = np.sort((at.astype(np.int64) << bits) | np.arange(len(at)))  # with their places: far faster than argsort
     order, ranked = ranked & ((1 << bits) - 1), ranked >> bits
     first = np.flatnonzero(np.diff(ranked, prepend=-1))
     return ranked[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0), np.diff(first, append=len(order))
@@ -313,8 +316,9 @@ def _learn(shared, number: int, share: float):
                 rng = np.random.default_rng([len(x.at), int(x.seq.sum() % (1 << 31))])
                 draw = rng.random(len(x.at))
                 masked = rng.permutation(x.at[(draw >= share * number) & (draw < share * (number + 1))])
-                for k in range(0, len(masked), BATCH):
-                    net.step(x.seq, masked[k : k + BATCH], state)
+                size = min(BATCH, max(SMALLEST_BATCH, len(masked) // STEPS))
+                for k in range(0, len(masked), size):
+                    net.step(x.seq, masked[k : k + size], state)
                 learned += len(masked)
                 if number == 0:
                     pairs += np.bincount(x.pair, minlength=len(pairs))
@@ -322,35 +326,39 @@ def _learn(shared, number: int, share: float):
         if pairs.any():
             yield _row("spelling", SPELLING, slot, [0], [1], pairs)
         if learned:
-            yield _row("shared", DENSE, slot, [0], [learned], np.concatenate([net.p[k].ravel() for k in net.SHARED]))
+            yield _row("shared", DENSE, slot, [0], [learned], np.concatenate([(net.p[k] - start.p[k]).ravel() for k in net.SHARED]))
             for name in net.BY_ROW:
                 if name in state:
                     seen = state[name][1]
                     for k in range(0, len(seen), CHUNK):
                         at = np.flatnonzero(seen[k : k + CHUNK])
                         if len(at):
-                            yield _row(name, k // CHUNK, slot, at, seen[k + at], net.p[name][k + at])
+                            yield _row(name, k // CHUNK, slot, at, seen[k + at], net.p[name][k + at] - start.p[name][k + at])
 
     return run
 
 
-#: A block of parameters: the numbers of its rows, by what each is weighted, and the rows.
+#: A block of parameters: the numbers of its rows, by what each is weighted, and how far each moved.
 _DDL = "name string, block long, slot long, at binary, n binary, p binary"
 _BLOCKS = pa.schema([("name", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("p", pa.binary())])
 
 
+def _kind(name: str) -> type:
+    return np.float16 if name in Network.BY_ROW else _F
+
+
 def _row(name: str, block: int, slot: int, at, n, p: np.ndarray) -> pa.RecordBatch:
-    packed = np.asarray(at, np.int32).tobytes(), np.asarray(n, np.float64).tobytes(), p.astype(_F).tobytes()
+    packed = np.asarray(at, np.int32).tobytes(), np.asarray(n, _F).tobytes(), p.astype(_kind(name)).tobytes()
     return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((name, block, slot, *packed), _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
 def _unrow(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.frombuffer(r["at"], np.int32)
-    return at, np.frombuffer(r["n"], np.float64), np.frombuffer(r["p"], _F).reshape(len(at), -1)
+    return at, np.frombuffer(r["n"], _F), np.frombuffer(r["p"], _kind(r["name"])).reshape(len(at), -1).astype(_F)
 
 
 def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The mean of each row of a block, weighted by how often tasks touched it."""
+    """The mean move of each row of a block, weighted by how often tasks touched it."""
     weight = total = None
     for r in pdf.to_dict("records"):
         at, n, p = _unrow(r)
@@ -367,11 +375,10 @@ def train(docs: DataFrame, voc: Vocabulary, text: str = "text", rounds: int = RO
     """(network, spelling) after the rounds. Blocks are averaged in groups of at most FAN_IN tasks, and these in groups
     of FAN_IN groups, until one is left; the driver gets one copy."""
     spark, net = docs.sparkSession, Network.fresh(voc.tree)
-    pairs = np.zeros((_EDGE + 1) ** 2)
+    pairs, most = np.zeros((_EDGE + 1) ** 2), max(spark.sparkContext.defaultParallelism, int(voc.counts.sum() / TASK_WORDS))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((voc, net))
-        found = docs.select(text).mapInArrow(_learn(shared, k, share), _DDL)
-        tasks = found.rdd.getNumPartitions()  # of the plan; nothing runs
+        found, tasks = docs.select(text).coalesce(most).mapInArrow(_learn(shared, k, share), _DDL), most
         while tasks > FAN_IN:
             tasks = -(-tasks // FAN_IN)
             found = found.groupBy("name", "block", F.expr(f"slot div {FAN_IN}")).applyInPandas(lambda key, pdf: _mean(pdf), _DDL)
@@ -383,9 +390,10 @@ def train(docs: DataFrame, voc: Vocabulary, text: str = "text", rounds: int = RO
                 pairs = n[0] * p[0].astype(np.float64)
             elif r["block"] == DENSE:
                 edge = int(np.prod(net.SHARED["mix"]))
-                net.p["mix"], net.p["bias"] = p[0, :edge].reshape(net.SHARED["mix"]).copy(), p[0, edge:].copy()
+                net.p["mix"] += p[0, :edge].reshape(net.SHARED["mix"])
+                net.p["bias"] += p[0, edge:]
             else:
-                net.p[r["name"]][r["block"] * CHUNK + at] = p
+                net.p[r["name"]][r["block"] * CHUNK + at] += p
     return net, spelling(pairs)
 
 
@@ -406,6 +414,8 @@ def score_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
     often as they occur. Columns of docs with the names added are replaced.
     """
     store = Store(docs.sparkSession, "lm")
+    # Tasks fill the cores: threads of numpy's own would only wait for each other, at twice the CPU time.
+    docs.sparkSession.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
     own = ["n_words", "log_likelihood", "score"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     voc = vocabulary(docs, store, text, least)
