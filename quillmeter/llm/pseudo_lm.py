@@ -414,8 +414,6 @@ def score_documents(docs: DataFrame, text: str = "text", keep: list[str] | None
     often as they occur. Columns of docs with the names added are replaced.
     """
     store = Store(docs.sparkSession, "lm")
-    # Tasks fill the cores: threads of numpy's own would only wait for each other, at twice the CPU time.
-    docs.sparkSession.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
     own = ["n_words", "log_likelihood", "score"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     voc = vocabulary(docs, store, text, least)
