@@ -189,6 +189,23 @@ def test_listed_verdicts_teach(spark):
     assert {r["page_id"]: r["verdict"] for r in out.where("rule is null").collect()} == {1000 + i: "block" if i % 2 else "allow" for i in range(10)}
 
 
+def test_url_rules_held_out(spark):
+    """Rules from one half of planted pages find the blocked ones of the other half, and few others."""
+    rng, rows = random.Random(5), []
+    for i in range(4000):
+        bad = rng.random() < 0.2
+        both = bad or rng.random() < 0.02
+        lone = rng.choice([["p0:shop"], ["p1:sale"], []])
+        rows.append((i % 2, [f"h0:{rng.choice(['org', 'net'])}", *(["p0:shop", "p1:sale"] if both else lone), f"p2:{rng.randrange(50)}"], bad != (rng.random() < 0.03)))
+    pages = spark.createDataFrame(rows, "half int, tokens array<string>, blocked boolean").cache()
+    found = url_rules.measure(pages.where("half = 0"), pages.where("half = 1"))
+    asked = [(t, b) for h, t, b in rows if h == 1]
+    fired = [b for t, b in asked if {"p0:shop", "p1:sale"} <= set(t)]
+    assert found["pages"] == len(asked) and found["blocked"] == sum(b for _, b in asked) and found["rules"] >= 1
+    assert found["fired"] >= len(fired) and found["both"] >= 0.8 * found["blocked"] and found["both"] >= 0.8 * found["fired"]
+    assert url_rules.measure(pages.where("half = 2"), pages.where("half = 1"))["fired"] == 0
+
+
 # 2: text density
 
 PAGES = {
