@@ -16,32 +16,39 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL: the longest listed rule's, else that of mined rules."""
     out = url_rules.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), _read(spark, sf_dir, "labels"), rules=url_rules.RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_density.extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), special=True)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document occurs in benchmark items, and in which."""
     out = decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of 0.95 or more, and its component."""
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's summed log-probability of its words, each given its neighbours."""
     return pseudo_lm.score_documents(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the written archives."""
     pages = _read(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     records = warc_zstd.read_archives(warc_zstd.write_archives(pages, Store(spark, "warc")))
@@ -49,14 +56,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of the held-out quarter are never learned from."""
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 200-byte strings, as a digest."""
     return repeat_bytes.remove_repeats(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of near duplicates."""
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
