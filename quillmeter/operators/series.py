@@ -156,17 +156,19 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, points: Sequence[
 
 
 def edges(df: DataFrame, by: Sequence[str], x: str, y: str, half: float, log: bool = False) -> DataFrame:
-    """A series drawn to its buckets' outer borders: half a bucket before and after, on the line through its end points;
-    with log on that of the logarithms, where values of 0 and less count as the smallest positive one of the frame."""
+    """A series drawn to its buckets' outer borders: half a bucket before and after, on the line through its end points,
+    cut at 0; with log on that of the logarithms, for which values of 0 and less count as the smallest positive one of the
+    frame. The points themselves stay as they are."""
+    rows, level, drawn = df, F.col(y), lambda c: F.greatest(F.lit(0.0), c)
     if log:
-        least = df.agg(F.min(F.when(F.col(y) > 0, F.col(y))).alias("_least"))
-        scaled = df.crossJoin(F.broadcast(least)).withColumn(y, F.log10(F.greatest(F.col(y), F.col("_least")))).drop("_least")  # one row
-        shifted = scaled.withColumn(y, F.col(y) + 1000)  # edges are cut at 0, logarithms may lie below
-        return edges(shifted, by, x, y, half).withColumn(y, F.pow(F.lit(10.0), F.col(y) - 1000))
-    w = _ordered(by, [x])
-    after, before = F.lead(y).over(w), F.lag(y).over(w)
-    rows = df.select(*by, F.col(x), F.col(y), F.when(before.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(after, F.col(y))).alias("_a"), F.when(after.isNull(), 1.5 * F.col(y) - 0.5 * F.coalesce(before, F.col(y))).alias("_b"))
-    points = F.filter(F.array(F.struct((F.col(x) - half).alias("x"), F.when(F.col("_a").isNotNull(), F.greatest(F.lit(0.0), F.col("_a"))).alias("y")), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), F.struct((F.col(x) + half).alias("x"), F.when(F.col("_b").isNotNull(), F.greatest(F.lit(0.0), F.col("_b"))).alias("y"))), lambda p: p["y"].isNotNull())
+        rows = df.crossJoin(F.broadcast(df.agg(F.min(F.when(F.col(y) > 0, F.col(y))).alias("_least"))))  # one row
+        level, drawn = F.log10(F.when(F.col(y) > 0, F.col(y)).when(F.col(y).isNotNull(), F.col("_least"))), lambda c: F.pow(F.lit(10.0), c)
+    rows, w = rows.withColumn("_v", level), _ordered(by, [x])
+    after, before = F.lead("_v").over(w), F.lag("_v").over(w)
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    end = lambda other: drawn(1.5 * F.col("_v") - 0.5 * F.coalesce(other, F.col("_v")))
+    rows = rows.select(*by, F.col(x), F.col(y), F.when(first & F.col("_v").isNotNull(), end(after)).alias("_a"), F.when(last & F.col("_v").isNotNull(), end(before)).alias("_b"))
+    points = F.filter(F.array(F.struct((F.col(x) - half).alias("x"), F.col("_a").alias("y")), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), F.struct((F.col(x) + half).alias("x"), F.col("_b").alias("y"))), lambda p: p["y"].isNotNull())
     return rows.select(*by, F.explode(points).alias("p")).select(*by, F.col("p.x").alias(x), F.col("p.y").alias(y))
 
 

@@ -128,3 +128,12 @@ def test_drawing(spark):
     assert [tuple(r) for r in dense] == [(0.0, 1.0), (2.5, 1.5), (5.0, 2.0), (7.5, 2.5), (10.0, 3.0)]
     turns = spark.createDataFrame([("f", 1, 5)], "file_key string, idx int, input long")
     assert {tuple(r) for r in series.traces(turns, ["file_key"], ["input"]).collect()} == {("f", 0, 0), ("f", 1, 5)}
+
+
+def test_drawing_on_logs(spark):
+    """Points stay as they are, zeros too; edges lie on the line of the logarithms, to the last digits."""
+    line = spark.createDataFrame([("a", 0, 0.3), ("a", 10, 0.0), ("a", 20, 560.21), ("b", 0, 0.0), ("b", 10, None)], "k string, x int, y double")
+    got = {(r["k"], r["x"]): r["y"] for r in series.edges(line, ["k"], "x", "y", 5, log=True).collect()}
+    assert {k: v for k, v in got.items() if k[1] % 10 == 0} == {("a", 0.0): 0.3, ("a", 10.0): 0.0, ("a", 20.0): 560.21, ("b", 0.0): 0.0}
+    edges = {k: v for k, v in got.items() if k[1] % 10}
+    assert edges == pytest.approx({("a", -5.0): 0.3, ("a", 25.0): 560.21**1.5 / 0.3**0.5, ("b", -5.0): 0.3}, rel=1e-14)
