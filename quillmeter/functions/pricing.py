@@ -8,6 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmeter.operators import scans
+from quillmeter.sources.tables import written
+
 #: USD for a million tokens: fresh input, cache writes kept 5 minutes and 1 hour, cache reads, output. Order of matching.
 #: Fixed values.
 CARD = {
@@ -101,21 +104,39 @@ def rate_epoch(ts: Column, dated: Mapping[str, Sequence[tuple[datetime, tuple[fl
 RATE_TABLE = "position int, key string, valid_from timestamp, valid_to timestamp, " + ", ".join(f"{p} double" for p in PARTS)
 #: Segments of a rate table, and distinct models, up to which they are broadcast.
 BROADCAST_SEGMENTS = 50_000
+#: Segments of a key and month up to which each is compared with the key's rows of the month.
+CROWDED = 64
+
+
+def _blocks(lo: str, hi: str) -> Column:
+    """The numbers from lo up to hi as few blocks (level, place) of 2^level numbers from place * 2^level on."""
+    cut = f"struct(l as level, shiftright({lo} + shiftleft(1L, l) - 1, l) as a, shiftright({hi}, l) as b)"
+    cuts = f"filter(transform(sequence(0, cast(log2({hi} - {lo}) as int) + 1), l -> {cut}), c -> c.a < c.b)"
+    ends = "filter(array(if(c.a % 2 = 1, struct(c.level, c.a as place), null), if(c.b % 2 = 1, struct(c.level, c.b - 1 as place), null)), e -> e is not null)"
+    return F.expr(f"flatten(transform({cuts}, c -> {ends}))")
 
 
 def segments(rates: DataFrame) -> DataFrame:
     """(key, seg_from, seg_to, rates): a rate table cut into spans of time of which each has one rate.
 
     Where several rows of a key hold, the one that ends first counts, then the one that began last, then the first position;
-    a row without validity counts where no other does. Spans without any rate are left out.
+    a row without validity counts where no other does. Spans without any rate are left out. Spans are numbered, a row is laid
+    into the few blocks of powers of two that make up its numbers, and a span looks into the blocks above it: work grows
+    with rows and spans times their logarithm, also where a key's rows all overlap.
     """
     far_from, far_to = F.lit("0001-01-01").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")
     rows = rates.withColumns({"_a": F.coalesce("valid_from", far_from), "_b": F.coalesce("valid_to", far_to)}).where("_a < _b")
-    marks = rows.select("key", F.explode(F.array("_a", "_b")).alias("seg_from")).distinct()
-    spans = marks.withColumn("seg_to", F.lead("seg_from").over(Window.partitionBy("key").orderBy("seg_from"))).where("seg_to is not null")
-    held = spans.join(rows, "key").where("_a <= seg_from and seg_to <= _b")
-    best = F.struct(F.col("_b"), -F.unix_micros("_a"), F.col("position"))
-    return held.groupBy("key", "seg_from", "seg_to").agg(F.min_by(F.struct(*PARTS), best).alias("rates"))
+    rows = rows.groupBy("key", "_a", "_b").agg(F.min_by(F.struct("position", *PARTS), "position").alias("_r"))
+    marks = scans.numbered(rows.select("key", F.explode(F.array("_a", "_b")).alias("seg_from")).distinct(), ["key", "seg_from"], "_n")
+    numbers = lambda c, n: marks.select("key", F.col("seg_from").alias(c), F.col("_n").alias(n))
+    best = F.struct(F.col("_b"), -F.unix_micros("_a"), F.col("_r.position"))
+    blocks = rows.join(numbers("_a", "_lo"), ["key", "_a"]).join(numbers("_b", "_hi"), ["key", "_b"]).withColumn("_at", F.explode(_blocks("_lo", "_hi")))
+    blocks = written(blocks.groupBy("_at.level", "_at.place").agg(F.min(F.struct(best.alias("best"), F.col("_r").alias("r"))).alias("_one")), "rates")
+    ends = marks.select("key", (F.col("_n") - 1).alias("_n"), F.col("seg_from").alias("seg_to"))
+    spans = marks.join(ends, ["key", "_n"]).crossJoin(F.broadcast(blocks.agg(F.max("level").alias("_top"))))  # one row
+    above = spans.select("key", "seg_from", "seg_to", F.explode(F.expr("transform(sequence(0, _top), l -> struct(l as level, shiftright(_n, l) as place))")).alias("_at"))
+    held = above.select("key", "seg_from", "seg_to", "_at.*").join(blocks, ["level", "place"])
+    return held.groupBy("key", "seg_from", "seg_to").agg(F.min("_one").alias("_one")).select("key", "seg_from", "seg_to", F.struct(*(F.col(f"_one.r.{p}").alias(p) for p in PARTS)).alias("rates"))
 
 
 def key_of_models(models: DataFrame, keys: DataFrame) -> DataFrame:
@@ -136,21 +157,35 @@ def with_rates(df: DataFrame, rates: DataFrame, model: str = "model", ts: str =
     """df with rate_key, estimated and rates from a stored rate table: an interval join of (key, time) with its segments.
 
     Models are resolved once each. Segments are laid into months, clipped to the months of df, and rows find theirs by key
-    and month, so that a key with thousands of windows costs a row a month's worth. Guessed models and rows without a time
-    have the rates without validity; rows in a gap have none. Segments are broadcast behind a count.
+    and month; where a month of a key has over CROWDED segments, rows are sorted among the segments of their hour instead
+    and take the last one that began. Guessed models and rows without a time have the rates without validity; rows in a gap
+    have none. Segments are broadcast behind a count.
     """
     found = key_of_models(df.select(F.col(model).alias("model")), rates.select("position", "key"))
-    month = lambda c: F.date_trunc("month", c)
-    ends = df.agg(month(F.min(ts)).alias("_first"), month(F.max(ts)).alias("_last"))
+    month, hour = lambda c: F.date_trunc("month", c), lambda c: F.floor(F.unix_seconds(c) / 3600)
+    ends = df.agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     lists = rates.where("valid_from is null and valid_to is null").groupBy("key").agg(F.min_by(F.struct(*PARTS), "position").alias("_list")).withColumnRenamed("key", "rate_key")
-    segs = segments(rates).crossJoin(F.broadcast(ends))  # one row
-    first, last = F.greatest(month("seg_from"), F.col("_first")), F.least(F.col("seg_to"), F.col("_last"))
-    binned = segs.where(first <= last).select(F.col("key").alias("rate_key"), "seg_from", "seg_to", "rates", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("_month"))
+    segs = written(segments(rates), "segments").crossJoin(F.broadcast(ends))  # one row
+    first, last = F.greatest(month("seg_from"), month("_first")), F.least(F.col("seg_to"), month("_last"))
+    binned = segs.where(first <= last).select(F.col("key").alias("rate_key"), "seg_from", "seg_to", "rates", "_first", "_last", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("_month"))
+    crowded = binned.groupBy("rate_key", "_month").count().where(F.col("count") > CROWDED).limit(1).count() > 0
     few = binned.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
     found = found.select(F.col("model").alias("_fm"), F.col("key").alias("rate_key"), "estimated")
     known = found.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
     rows = df.withColumn("_m", F.col(model)).join(F.broadcast(found) if known else found, F.col("_m").eqNullSafe(F.col("_fm"))).drop("_m", "_fm")
     rows = rows.withColumn("_month", F.when(~F.col("estimated"), month(ts)))
+    if crowded:
+        dated, rest = rows.where("_month is not null"), rows.where("_month is null")
+        binned = binned.join(dated.select("rate_key", "_month").distinct(), ["rate_key", "_month"], "left_semi").withColumn("_to", F.expr("least(seg_to, _month + interval 1 month, _last + interval 1 microsecond)"))
+        begun = binned.withColumn("_from", F.greatest("seg_from", "_month", "_first")).where("_from < _to")
+        begun = begun.select("rate_key", "_from", "_to", F.struct("seg_to", "rates").alias("_seg"), F.explode(F.sequence(hour("_from"), hour(F.col("_to") - F.expr("interval 1 microsecond")))).alias("_hour"))
+        begun = begun.select("rate_key", "_hour", F.greatest("_from", F.timestamp_seconds(F.col("_hour") * 3600)).alias("_at"), F.lit(False).alias("_row"), "_seg")
+        both = dated.withColumns({"_hour": hour(ts), "_at": F.col(ts), "_row": F.lit(True)}).unionByName(begun, allowMissingColumns=True)
+        seg = F.last("_seg", ignorenulls=True).over(Window.partitionBy("rate_key", "_hour").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+        dated = both.withColumn("_seg", seg).where("_row").withColumn("_dated", F.when(F.col("_at") < F.col("_seg.seg_to"), F.col("_seg.rates")))
+        dated = dated.select(*df.columns, "rate_key", "estimated", F.col("_dated").alias("rates"))
+        rest = rest.join(lists, "rate_key", "left").select(*df.columns, "rate_key", "estimated", F.col("_list").alias("rates"))
+        return dated.unionByName(rest)
     binned = binned.select(F.col("rate_key").alias("_k"), F.col("_month").alias("_bm"), "seg_from", "seg_to", F.col("rates").alias("_dated"))
     inside = (F.col("rate_key") == F.col("_k")) & (F.col("_month") == F.col("_bm")) & (F.col(ts) >= F.col("seg_from")) & (F.col(ts) < F.col("seg_to"))
     out = rows.join(F.broadcast(binned) if few else binned, inside, "left").join(lists, "rate_key", "left")  # a row for each key of the card

@@ -69,3 +69,33 @@ def test_rates(spark):
         held = [w for w in own if (w[2] is None and w[3] is None if not key or ts is None else (w[2] is None or w[2] <= ts) and (w[3] is None or ts < w[3]))]
         best = min(held, key=lambda w: (w[3] or datetime.max.replace(tzinfo=UTC), -(w[2] or datetime.min.replace(tzinfo=UTC)).timestamp(), w[0]), default=None)
         assert (got[i]["rates"] and got[i]["rates"]["fresh"]) == (best and float(best[0])), (i, model, ts, best)
+
+
+def test_rates_of_crowded_months(spark):
+    """Thousands of overlapping windows of one key: an hour's rows find their segments by sorting, at work that doesn't grow
+    with rows times segments."""
+    rng = random.Random(5)
+    at = lambda m: START + timedelta(minutes=m)
+    windows = [(k, "claude-opus-4-7", at(a), at(a + rng.choice([0, 1, 7, 300, 5000]))) for k, a in enumerate(rng.randrange(3000) for _ in range(400))]
+    windows += [(500, "claude-sonnet-4-5", None, at(90)), (501, "claude-sonnet-4-5", at(2000), None), (502, "claude-opus-4-8", None, None), (503, "claude-sonnet-4-5", None, None)]
+    rates = spark.createDataFrame([(k, key, a, b, *[float(k)] * 5) for k, key, a, b in windows], pricing.RATE_TABLE)
+    rows = [(i, rng.choice(["claude-opus-4-7", "claude-sonnet-4-5", "claude-opus-9"]), rng.choice([None, *[at(rng.randrange(-100, 9000)) + timedelta(seconds=rng.choice([0, 0, 17]))] * 9])) for i in range(600)]
+    priced = pricing.with_rates(spark.createDataFrame(rows, "i int, model string, ts timestamp"), rates)
+    assert priced.columns == ["i", "model", "ts", "rate_key", "estimated", "rates"]
+    got = {r["i"]: r["rates"] and r["rates"]["fresh"] for r in priced.collect()}
+    assert len(got) == len(rows)
+    far = datetime.max.replace(tzinfo=UTC), datetime.min.replace(tzinfo=UTC)
+    for i, model, ts in rows:
+        guessed = model == "claude-opus-9"
+        own = [w for w in windows if w[1] == ("claude-opus-4-8" if guessed else model)]
+        held = [w for w in own if (w[2] is None and w[3] is None if guessed or ts is None else (w[2] is None or w[2] <= ts) and (w[3] is None or ts < w[3]))]
+        best = min(held, key=lambda w: (w[3] or far[0], -(w[2] or far[1]).timestamp(), w[0]), default=None)
+        assert got[i] == (best and float(best[0])), (i, model, ts, best)
+
+
+def test_rates_find_blocks(spark):
+    """A window's numbers are cut into blocks that lie beside each other, two of a size at most."""
+    pairs = [(a, b) for a in range(0, 40, 3) for b in range(a + 1, 70, 2)] + [(3, 1 << 40)]
+    for r in spark.createDataFrame(pairs, "a long, b long").withColumn("blocks", pricing._blocks("a", "b")).collect():
+        spans = sorted((x["place"] << x["level"], (x["place"] + 1) << x["level"]) for x in r["blocks"])
+        assert spans[0][0] == r["a"] and spans[-1][1] == r["b"] and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and len(spans) <= 2 * (r["b"] - r["a"]).bit_length()
