@@ -172,6 +172,21 @@ def test_all_rules_by_counting(spark, seed):
     assert {(k, round(c, 9), n) for k, c, n in got} == want and len(want) >= 2 and any(len(k) > 1 for k, _, _ in want)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.6, 1.0])
+def test_rules_of_long_pages(spark, share):
+    """Pages with up to thirty frequent tokens, among which telling ones are many: all sets of all their tokens count, also
+    those of two that only together tell."""
+    rng, rows = random.Random(int(10 * share)), []
+    for _ in range(900):
+        bad, long = rng.random() < 0.3, rng.random() < share
+        telling = [f"t{i}" for i in range(20) if rng.random() < (0.75 if bad else 0.55)] if long else [t for t in ("t0", "t1") if bad]
+        pair = rng.choice([["x", "y"], []]) if bad else rng.choice([["x"], ["y"]])
+        rows.append(([*telling, *pair, *(f"z{i}" for i in range(8) if long and rng.random() < 0.5)] or ["none"], bad))
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_count=30, min_support=0.0)
+    want = naive_rules(rows, 30, 0.95 * 900, url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT, url_rules.ACCIDENT)
+    assert {(k, round(c, 9), n) for k, c, n in got} == want and frozenset("xy") in {k for k, _, _ in want}
+
+
 def test_many_shared_parameters(spark):
     """Sets of tokens that always come together, and of many that mostly do, end in seconds."""
     rng = random.Random(4)
