@@ -31,13 +31,21 @@ def percentile_bands(df: DataFrame, ts: str, widths: Sequence[int], by: str, val
     return quantiles.interpolated(wide, ["bucket_s", "bucket", by], "_value", {f"p{round(100 * p)}": p for p in points})
 
 
-def outliers(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], share: float = 0.01, least: int = 100) -> DataFrame:
+def outlier_ends(share: float = 0.01, least: int = 100) -> dict[str, float]:
+    """Percentiles just inside the shares, by name: at or within the last outlying row, in groups of least or more."""
+    inside = (least * (1 - share) - 1) / (least - 1)
+    return {"_low_end": 1 - inside, "_high_end": inside}
+
+
+def outliers(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], share: float = 0.01, least: int = 100, ends: DataFrame | None = None) -> DataFrame:
     """The rows in the highest and lowest share of their group, at least one each, with kind; groups under least have none.
 
     Percentiles just inside the shares leave a few hundredths of a group to be ranked, so hot groups aren't sorted whole.
+    ends has them (keys, n of values, and the names of outlier_ends) where a caller knows them already.
     """
-    inside = (least * (1 - share) - 1) / (least - 1)  # at or below the place of the last high row, in groups of any size
-    bounds = quantiles.interpolated(df.where(F.col(value).isNotNull()).select(*keys, value), keys, value, {"_low_end": 1 - inside, "_high_end": inside}).where(F.col("n") >= least)
+    if ends is None:
+        ends = quantiles.interpolated(df.where(F.col(value).isNotNull()).select(*keys, value), keys, value, outlier_ends(share, least))
+    bounds = ends.where(F.col("n") >= least)
     bounds = bounds.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("n").alias("_n"), "_low_end", "_high_end")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
     far = (F.col(value) <= F.col("_low_end")) | (F.col(value) >= F.col("_high_end"))

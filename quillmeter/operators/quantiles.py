@@ -85,9 +85,11 @@ def selected(df: DataFrame, by: Sequence[str], value: str, sizes: DataFrame, poi
 
 
 def interpolated(df: DataFrame, by: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
-    """(by, n, points): exact percentiles between members, as `percentile` gives them; n counts all rows of a group."""
+    """(by, n, points): exact percentiles between members, as `percentile` gives them; n counts all rows of a group. All
+    points come from one count of a group's values."""
     rest, hot = _split(df, by, value)
-    out = rest.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(F.col(value).cast("double"), F.lit(p)).alias(k) for k, p in points.items()))
+    found = F.percentile(F.col(value).cast("double"), F.array(*(F.lit(float(p)) for p in points.values())))
+    out = rest.groupBy(*by).agg(F.count("*").alias("n"), found.alias("_p")).select(*by, "n", *(F.col("_p")[i].alias(k) for i, k in enumerate(points)))
     if hot is None:
         return out
     found = selected(df, by, value, hot, points)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmeter.functions.time import bucket_center
 from quillmeter.operators import quantiles, scans
-from quillmeter.operators.buckets import outliers
+from quillmeter.operators.buckets import outlier_ends, outliers
 
 TOKENS = ("fresh_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "eph5_tokens", "eph1h_tokens")
 #: Bucket widths for which latencies are kept; percentiles of a wider bucket don't follow from those of narrower ones.
@@ -73,8 +73,9 @@ def latency(records: DataFrame, files: DataFrame, widths=LATENCY_WIDTHS, only: D
     keys = list(LATENCY_KEYS)
     wide = latency_rows(records, files, widths)
     wide = wide if only is None else wide.join(only, keys, "left_semi")
-    bands = quantiles.interpolated(wide, keys, "latency_s", {f"p{round(100 * p)}": p for p in (0.1, 0.5, 0.9)})
-    far = outliers(wide, keys, "latency_s", ["file_key", "line_num"])
+    points = {f"p{round(100 * p)}": p for p in (0.1, 0.5, 0.9)}
+    ends = quantiles.interpolated(wide, keys, "latency_s", points | outlier_ends())
+    bands, far = ends.select(*keys, "n", *points), outliers(wide, keys, "latency_s", ["file_key", "line_num"], ends=ends)
     item = F.struct((-F.col("latency_s")).alias("_o"), "ts", "latency_s", "file_key", "line_num", "kind")
     lists = far.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in ("ts", "latency_s", "file_key", "line_num", "kind")))).alias("outliers"))
     empty = F.array().cast(lists.schema["outliers"].dataType)

@@ -29,6 +29,11 @@ WIDE = 30 * 86400
 
 
 def stored(t) -> panels.Tables:
+    return panels.Tables.build(*parsed(t))
+
+
+def parsed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, records, tool_uses) without rollups."""
     ev = t("events")
     i, user = F.col("event_id"), F.col("user_id")
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
@@ -53,7 +58,7 @@ def stored(t) -> panels.Tables:
     calls = ev.where("event_type in ('click', 'purchase')").select(
         "file_key", i.cast("int").alias("line_num"), F.lit(0).alias("idx"), F.concat(F.when(F.col("event_type") == "purchase", "r").otherwise("x"), i).alias("request_id"), F.col("at").alias("ts"), pick(TOOLS).alias("tool_name"),
         F.when(i % 3 > 0, i % 2 == 0).alias("is_error"), (i % 30).alias("lines_added"), (i % 7).alias("lines_deleted"))
-    return panels.Tables.build(files.withColumn("turn_count", F.size("ctx_turns")), canonical(records), calls)
+    return files.withColumn("turn_count", F.size("ctx_turns")), canonical(records), calls
 
 
 def _case(names: tuple[str, ...]) -> str:
@@ -611,21 +616,22 @@ def top_or_other(t):
 def updated(t) -> panels.Tables:
     """The stored tables after two updates: the first knows some files not yet, others with rows that change, and some that
     vanish; the second brings what differs, and only that."""
-    now = stored(t)
+    files, records, tool_uses = parsed(t)
+    files = tables.written(files, "files")  # both updates read it
     user = F.regexp_extract("file_key", r"/f(\d+)$", 1).cast("int")
-    spark, out = now.files.sparkSession, tables.work_folder(now.files.sparkSession, "updates")
+    spark, out = files.sparkSession, tables.work_folder(files.sparkSession, "updates")
     late, other = user % 7 == 0, user % 5 == 1
     renamed = lambda df: df.where(user % 11 == 3).withColumn("file_key", F.concat(F.col("file_key"), F.lit("-old")))
     early = lambda df, same: df.where(~late).withColumns(same).unionByName(renamed(df))
     first = (
-        early(now.files, {}),
-        early(now.records.where(~other | (F.col("line_num") % 3 > 0)), {"fresh_tokens": F.when(other, F.col("fresh_tokens") + 1).otherwise(F.col("fresh_tokens")), "ts": F.when(other, F.col("ts") - F.expr("interval 30 hours")).otherwise(F.col("ts"))}),
-        early(now.tool_uses.where(~other | (F.col("line_num") % 2 > 0)), {"lines_added": F.when(other, F.lit(1)).otherwise(F.col("lines_added")).cast(now.tool_uses.schema["lines_added"].dataType)}),
+        early(files, {}),
+        early(records.where(~other | (F.col("line_num") % 3 > 0)), {"fresh_tokens": F.when(other, F.col("fresh_tokens") + 1).otherwise(F.col("fresh_tokens")), "ts": F.when(other, F.col("ts") - F.expr("interval 30 hours")).otherwise(F.col("ts"))}),
+        early(tool_uses.where(~other | (F.col("line_num") % 2 > 0)), {"lines_added": F.when(other, F.lit(1)).otherwise(F.col("lines_added")).cast(tool_uses.schema["lines_added"].dataType)}),
     )
-    none = now.files.select("file_key").limit(0)
+    none = files.select("file_key").limit(0)
     incremental.apply(versions.latest(spark, out), *first, none, f"{out}/_work/1").commit()
-    change = [df.where(late | other) for df in (now.files, now.records, now.tool_uses)]
-    made = incremental.apply(versions.latest(spark, out), *change, renamed(now.files).select("file_key"), f"{out}/_work/2").commit()
+    change = [df.where(late | other) for df in (files, records, tool_uses)]
+    made = incremental.apply(versions.latest(spark, out), *change, renamed(files).select("file_key"), f"{out}/_work/2").commit()
     return panels.Tables(*(made.read(k) for k in ("files", "records", "tool_uses", "usage", "tools", "latency")))
 
 
