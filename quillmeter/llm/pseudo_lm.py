@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,14 +39,14 @@ REACH, DIM, HIDDEN = 3, 12, 16
 #: Rounds of training, the share of words masked in each, and words in a step: fewer where texts are so few that there
 #: would be less than STEPS steps.
 ROUNDS, SHARE, BATCH, SMALLEST_BATCH, STEPS = 2, 0.5, 4096, 256, 16
-#: Nodes next to the root that a step treats densely.
-TOP = 128
+#: Nodes next to the root that training and scoring take one by one, and words that scoring sorts at once.
+TOP, SPLIT, BLOCK = 32, 1024, 1 << 18
 #: Words of a task at least, unless cores would idle: each task hands on a copy of what it touched.
 TASK_WORDS = 2_000_000
 #: Rows of a block of parameters, tasks whose blocks are summed in one group, and the blocks of what all words share.
 CHUNK, FAN_IN, DENSE, SPELLING = 1024, 64, -1, -2
 _F = np.float32
-_OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
+_OFFSETS = np.array([k for k in range(-REACH, REACH + 1) if k])
 #: Stands for a word's border in spellings.
 _EDGE = 256
 
@@ -59,7 +60,11 @@ def room(words: float) -> int:
 class Tree:
     """Huffman's tree over symbols by their counts; inner nodes are numbered from the root, which is 0.
 
-    The walk to symbol s takes the steps first[s] up to first[s + 1]: at node[k] to the side right[k] (1 or 0).
+    The walk to symbol s takes the steps first[s] up to first[s + 1]: at node[k] to the side right[k] (1 or 0). Steps go
+    from the symbol to the root, so those at nodes from TOP on, deep[s] of them, come first.
+
+    rank numbers the symbols from left to right. Those below node v < SPLIT have the ranks from spans[v, 0] to spans[v, 2],
+    to its right from spans[v, 1] on.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -68,6 +73,7 @@ class Tree:
         inner: deque[int] = deque()
         weight = [*counts.tolist(), *[0.0] * (n - 1)]
         above, side = np.full(max(2 * n - 1, 1), -1, np.int64), np.zeros(max(2 * n - 1, 1), np.int8)
+        below, leaves_of = [], [1] * n
 
         def lightest() -> int:
             return leaves.popleft() if not inner or (leaves and weight[leaves[0]] <= weight[inner[0]]) else inner.popleft()
@@ -77,6 +83,15 @@ class Tree:
             above[left] = above[right] = new
             side[right], weight[new] = 1, weight[left] + weight[right]
             inner.append(new)
+            below.append((left, right))
+            leaves_of.append(leaves_of[left] + leaves_of[right])
+        begin, spans = [0] * max(2 * n - 1, 1), []
+        for new in range(2 * n - 2, n - 1, -1):
+            left, right = below[new - n]
+            begin[left], begin[right] = begin[new], begin[new] + leaves_of[left]
+            if len(spans) < SPLIT:
+                spans.append((begin[new], begin[right], begin[new] + leaves_of[new]))
+        self.rank, self.spans = np.array(begin[:n], np.int32), np.array(spans, np.int32).reshape(-1, 3)
         owner, node, turn = [], [], []
         at, symbol = np.arange(n), np.arange(n)
         while len(live := np.flatnonzero(above[at] >= 0)):
@@ -91,17 +106,24 @@ class Tree:
         self.node = np.concatenate(node or none)[order].astype(np.int32)
         self.right = np.concatenate(turn or none)[order].astype(_F)
         self.first = np.searchsorted(owner[order], np.arange(n + 1))
+        self.deep, self.deeper = (np.bincount(owner[order][self.node >= edge], minlength=n).astype(np.int16) for edge in (TOP, SPLIT))
         self.sides = np.zeros((max(n - 1, 1), 2))
         children = np.flatnonzero(above >= 0)
         self.sides[2 * n - 2 - above[children], side[children]] = np.array(weight)[children]
 
-    def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in symbols, node, side) of all steps to the symbols, by place."""
-        steps = self.first[symbols + 1] - self.first[symbols]
-        begins = np.cumsum(steps) - steps
-        owner = np.repeat(np.arange(len(symbols)), steps)
-        k = np.arange(len(owner)) + np.repeat(self.first[symbols] - begins, steps)
-        return owner, self.node[k], self.right[k]
+    def deepest_first(self, symbols: np.ndarray) -> np.ndarray:
+        """The order of symbols in which far() takes them."""
+        return np.argsort(-self.deep[symbols], kind="stable")
+
+    def far(self, symbols: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """(levels, node, side) of the steps at nodes from TOP on: the first one of every symbol, then the second one of those
+        that have one, and so on. A level (size, begin, end) has the steps from begin to end, of the first size symbols."""
+        begins, levels, at = self.first[symbols], [], 0
+        for size in (len(symbols) - np.cumsum(np.bincount(self.deep[symbols]))[:-1]).tolist():
+            levels.append((size, at, at + size))
+            at += size
+        k = np.concatenate([begins[:size] + i for i, (size, _, _) in enumerate(levels)] or [begins[:0]])
+        return levels, self.node.take(k), self.right.take(k)
 
 
 class Vocabulary:
@@ -114,11 +136,25 @@ class Vocabulary:
         self.counts = np.append(counts, others).astype(np.float64)
         self.tree = Tree(self.counts + 0.5)
 
+    @cached_property
+    def _begins(self) -> tuple[np.uint64, np.ndarray]:
+        """(shift, where hashes begin that are at least i << shift), two to four times as many as hashes; made in tasks."""
+        bits = self.words.bit_length() + 1
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not self.words:
             return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.words - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], self.words)
+        # Hashes are spread evenly, so the place is next to where their first bits begin.
+        shift, begins = self._begins
+        at, last = begins.take((hashes >> shift).astype(np.intp)), self.words - 1
+        live = np.flatnonzero((at < last) & (self.hashes.take(at, mode="clip") < hashes))
+        while len(live):
+            at[live] += 1
+            live = live[(at[live] < last) & (self.hashes.take(at[live], mode="clip") < hashes[live])]
+        np.minimum(at, last, out=at)
+        return np.where(self.hashes.take(at) == hashes, self.order.take(at), self.words)
 
 
 class Network:
@@ -143,58 +179,89 @@ class Network:
     def copy(self) -> Network:
         return Network({k: v.copy() for k, v in self.p.items()}, self.tree)
 
-    def tables(self) -> list[np.ndarray]:
-        """What each symbol adds to the hidden layer at each offset."""
-        return [self.p["rows"] @ m for m in self.p["mix"]]
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What neighbours enter the hidden layer by: the rows, and the mix of all offsets one below the other."""
+        return self.p["rows"], self.p["mix"].reshape(-1, HIDDEN)
 
-    def log_likelihood(self, tables: list[np.ndarray], seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def log_likelihood(self, tables: tuple[np.ndarray, np.ndarray], seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The logarithm of each position's symbol's probability between its neighbours."""
-        out, node = np.zeros(len(at)), self.p["node"]
-        for i in range(0, len(at), 1 << 13):
-            where = at[i : i + (1 << 13)]
-            h = np.repeat(self.p["bias"][None], len(where), axis=0)
-            for k, t in zip(_OFFSETS, tables, strict=True):
-                h += t[seq[where + k]]
-            np.tanh(h, out=h)
-            h = np.concatenate([h, np.ones((len(h), 1), _F)], axis=1)
-            owner, step, right = self.tree.walk(seq[where])
-            z = np.einsum("ij,ij->i", node.take(step, axis=0), h.take(owner, axis=0)) * (1 - 2 * right)
-            out[i : i + len(where)] = -np.bincount(owner, np.log(1 + np.exp(-np.abs(z))) + np.maximum(z, 0), len(where))
+        out, node, tree = np.zeros(len(at)), self.p["node"], self.tree
+        rows, mix = tables
+        for i in range(0, len(at), BLOCK):
+            where = at[i : i + BLOCK]
+            h = np.ones((len(where), HIDDEN + 1), node.dtype)
+            for k in range(0, len(where), 1 << 12):
+                near = seq.take(where[k : k + (1 << 12), None] + _OFFSETS)
+                np.tanh(rows.take(near, axis=0).reshape(len(near), -1) @ mix + self.p["bias"], out=h[k : k + (1 << 12), :-1])
+            rank, order = _ranked(tree.rank.take(seq.take(where)))
+            where = where.take(order)
+            symbols = seq.take(where)
+            h = h.take(order, axis=0)
+            # Sorted like the leaves, all words below a node stand together.
+            total, edges = np.zeros(len(where)), np.searchsorted(rank, tree.spans)
+            for v in np.flatnonzero(edges[:, 2] > edges[:, 0]).tolist():
+                left, right, end = edges[v].tolist()
+                z = h[left:end] @ node[v]
+                np.negative(z[right - left :], out=z[right - left :])
+                total[left:end] += _surprise(z)
+            begins = tree.first.take(symbols)
+            owner, k = _ranges(begins, tree.deeper.take(symbols))
+            for j in range(0, len(k), 1 << 14):
+                own, step = owner[j : j + (1 << 14)], k[j : j + (1 << 14)]
+                z = np.einsum("ij,ij->i", node.take(tree.node.take(step), axis=0), h.take(own, axis=0))
+                first = own[0]
+                cost = np.bincount(own - first, _surprise(z * (1 - 2 * tree.right.take(step))))
+                total[first : first + len(cost)] += cost
+            out[i + order] = -total
         return out
 
     def step(self, seq: np.ndarray, at: np.ndarray, state: dict, rate: float = 0.01) -> None:
         """One step on the mean negative log-likelihood of the positions: Adam for what all words share, AdaGrad by row for
         rows and nodes, of which only those that take part are touched; state counts how often."""
         p, n = self.p, len(at)
-        near = np.stack([seq[at + k] for k in _OFFSETS])
-        x = p["rows"][near]
-        h = np.ones((n, HIDDEN + 1), _F)  # the last column meets the biases
-        h[:, :-1] = p["bias"]
-        for xk, m in zip(x, p["mix"], strict=True):
-            h[:, :-1] += xk @ m
-        np.tanh(h[:, :-1], out=h[:, :-1])
-        owner, node, right = self.tree.walk(seq[at])
-        # Most steps are at few nodes, which all positions are multiplied with; the others are gathered.
-        top = min(TOP, len(p["node"]))
-        often = node < top
-        turn = np.zeros((n, top), _F)
-        turn[owner[often], node[often]] = 2 * right[often] - 1
-        w = p["node"][:top]
-        g = -turn / (1 + np.exp(np.minimum(turn * (h @ w.T), _F(80))))
-        dh, total = g @ w, g.T @ h / _F(n)
-        rare = ~often
-        owner, node, right = owner[rare], node[rare], right[rare]
+        rank, order = _ranked(self.tree.rank.take(seq.take(at)))
+        at = at.take(order)
+        near = seq.take(at + _OFFSETS[:, None])
+        x = p["rows"].take(near.T, axis=0).reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), p["node"].dtype)  # the last column meets the biases
+        np.tanh(x @ p["mix"].reshape(-1, HIDDEN) + p["bias"], out=h[:, :-1])
+        dh, symbols = np.zeros_like(h), seq.take(at)
+        order = self.tree.deepest_first(symbols)
+        levels, node, right = self.tree.far(symbols[order])
         if len(node):
-            w, own = p["node"].take(node, axis=0), h.take(owner, axis=0)
-            g = (1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", w, own), -80, 80))) - right).astype(_F)
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            dh[owner[first]] += np.add.reduceat(w * g[:, None], first, axis=0)
-            self._descend("node", *_summed(node, own * (g / _F(n))[:, None]), state, rate)
-        self._descend("node", np.arange(top), total, np.count_nonzero(turn, axis=0), state, rate)
+            own = h.take(order, axis=0)
+            w, z = p["node"].take(node, axis=0), np.empty(len(node), h.dtype)
+            for size, begin, end in levels:
+                np.einsum("ij,ij->i", w[begin:end], own[:size], out=z[begin:end])
+            g = _chance(z) - right
+            w *= g[:, None]
+            g /= _F(n)
+            back, across, moves = np.empty((HIDDEN + 1, len(node)), h.dtype), np.ascontiguousarray(own.T), np.zeros_like(h)
+            for size, begin, end in levels:
+                moves[:size] += w[begin:end]
+                np.multiply(across[:, :size], g[begin:end], out=back[:, begin:end])
+            _whole(dh)[order] = _whole(moves)
+        # Most steps are at few nodes. The words below one stand together, as they are sorted like the leaves.
+        spans = self.tree.spans[:TOP]
+        w, edges = p["node"][: len(spans)], np.searchsorted(rank, spans)
+        times = edges[:, 2] - edges[:, 0]
+        ends = np.cumsum(times)
+        g, places = np.empty(times.sum(), h.dtype), list(zip(*edges.T.tolist(), (ends - times).tolist(), ends.tolist(), strict=True))
+        for v, (left, _, right, begin, end) in enumerate(places):
+            np.dot(h[left:right], w[v], out=g[begin:end])
+        g, by_node = _chance(g), np.zeros((len(w), n), h.dtype)
+        for v, (left, middle, right, begin, end) in enumerate(places):
+            g[begin + middle - left : end] -= 1
+            by_node[v, left:right] = g[begin:end]
+        dh += by_node.T @ w
+        total = by_node @ h / _F(n)
+        if len(node):
+            self._descend("node", *_summed(node, back, self._held("node", state)[2]), state, rate)
+        self._descend("node", np.arange(len(w)), total, times, state, rate)
         d = dh[:, :-1] * (1 - h[:, :-1] ** 2)
-        back = np.stack([d @ m.T for m in p["mix"]]).reshape(-1, DIM) / _F(n)
-        grad = {"bias": d.sum(axis=0), "mix": np.stack([xk.T @ d for xk in x])}
-        self._descend("rows", *_summed(near.ravel(), back), state, rate)
+        back = p["mix"].transpose(1, 0, 2).reshape(-1, HIDDEN) @ (d.T / _F(n))
+        grad = {"bias": np.ones(n, d.dtype) @ d, "mix": (x.T @ d).reshape(p["mix"].shape)}
+        self._descend("rows", *_summed(near.ravel(), back.reshape(DIM, -1), self._held("rows", state)[2]), state, rate)
         state["t"] = t = state.get("t", 0) + 1
         for k, g in grad.items():
             m, v = state.setdefault(k, [np.zeros_like(p[k]), np.zeros_like(p[k])])
@@ -203,23 +270,65 @@ class Network:
             v += _F(0.01) * (g * g - v)
             p[k] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(_F)
 
+    def _held(self, name: str, state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What state holds for each row: the sum of its squared gradients, how often it took part, and room for _summed."""
+        if name not in state:
+            n = len(self.p[name])
+            state[name] = np.full(n, 1e-8, _F), np.zeros(n, np.int64), np.zeros(n, np.intp)
+        return state[name]
+
     def _descend(self, name: str, at: np.ndarray, grad: np.ndarray, times: np.ndarray, state: dict, rate: float) -> None:
         """AdaGrad on the rows at, with one learning rate for each."""
         p = self.p[name]
-        slow, seen = state.setdefault(name, (np.full(len(p), 1e-8, _F), np.zeros(len(p), np.int64)))
-        now = slow[at] + (grad * grad).mean(axis=1)
+        slow, seen, _ = self._held(name, state)
+        now = slow.take(at) + np.einsum("ij,ij->i", grad, grad) / _F(grad.shape[1])
         slow[at] = now
         seen[at] += times
-        p[at] -= grad * (_F(5 * rate) / np.sqrt(now))[:, None]
+        moved = p.take(at, axis=0)
+        moved -= grad * (_F(5 * rate) / np.sqrt(now))[:, None]
+        _whole(p)[at] = _whole(moved)
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Each row as one value, which is written several times as fast."""
+    return rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel()
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    """The logistic function."""
+    return 1 / (1 + np.exp(-np.clip(z, -80, 80)))
 
 
-def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct numbers, sum of the rows of each, how many)."""
-    bits = len(at).bit_length()
-    ranked = np.sort((at.astype(np.int64) << bits) | np.arange(len(at)))  # with their places: far faster than argsort
-    order, ranked = ranked & ((1 << bits) - 1), ranked >> bits
-    first = np.flatnonzero(np.diff(ranked, prepend=-1))
-    return ranked[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0), np.diff(first, append=len(order))
+def _surprise(z: np.ndarray) -> np.ndarray:
+    """The negative logarithm of the chance that a step isn't taken to the right."""
+    return np.log(1 + np.exp(-np.abs(z))) + np.maximum(z, 0)
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values in order, their places)."""
+    bits = len(values).bit_length()
+    both = np.sort((values.astype(np.int64) << bits) | np.arange(len(values)))  # far faster than argsort
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(its number, value) of all values of ranges, one after the other."""
+    total = np.cumsum(sizes)
+    return np.repeat(np.arange(len(sizes)), sizes), np.arange(total[-1] if len(total) else 0) + np.repeat(begins + sizes - total, sizes)
+
+
+def _summed(at: np.ndarray, columns: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct numbers, sum of the values of each as a row, how many); columns has the values' components one by one, and
+    place is room for a value of each number. The values themselves aren't sorted."""
+    turn = np.arange(len(at))
+    place[at] = turn  # one of each number's stays
+    distinct = np.sort(at[place.take(at) == turn])  # for rows next to each other in memory
+    place[distinct] = turn[: len(distinct)]
+    where = place.take(at)
+    out = np.zeros((len(columns), len(distinct)), columns.dtype)
+    for total, values in zip(out, columns, strict=True):
+        np.add.at(total, where, values)
+    return distinct, np.ascontiguousarray(out.T), np.bincount(where, minlength=len(distinct))
 
 
 class Text:
@@ -236,14 +345,23 @@ class Text:
         self.seq = np.full(len(starts) + REACH * (len(texts) + 1), voc.words + 1, np.int64)
         self.seq[self.at] = symbols
         self.spelt = np.flatnonzero(symbols == voc.words)
-        sizes = ends[self.spelt] - starts[self.spelt] + 1  # the border behind each word is spelt as well
-        self.owner = np.repeat(np.arange(len(self.spelt)), sizes)
+        self._words = buf, starts[self.spelt], ends[self.spelt]
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        _, starts, ends = self._words  # the border behind each word is spelt as well
+        return np.repeat(np.arange(len(self.spelt)), ends - starts + 1)
+
+    @cached_property
+    def pair(self) -> np.ndarray:
+        buf, starts, ends = self._words
+        sizes = ends - starts + 1
         step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = starts[self.spelt][self.owner] + step
+        place = starts[self.owner] + step
         byte = buf[np.minimum(place, len(buf) - 1)].astype(np.int64)  # a batch ends with a NUL at least
         byte[step == sizes[self.owner] - 1] = _EDGE
         before = np.where(step == 0, _EDGE, np.concatenate([[_EDGE], byte[:-1]]))
-        self.pair = before * (_EDGE + 1) + byte
+        return before * (_EDGE + 1) + byte
 
 
 def spelling(counts: np.ndarray) -> np.ndarray:

@@ -598,6 +598,57 @@ def test_pseudo_likelihood_gradients():
             assert np.sign(both[0] - both[1]) == np.sign(change[place])
 
 
+def test_pseudo_likelihood_step_by_loops():
+    """A step moves all rows as loops over positions and steps of their walks do."""
+    rng = np.random.default_rng(8)
+    tree, state = pseudo_lm.Tree(3000 / np.arange(1, 2001)), {}
+    net = pseudo_lm.Network.fresh(tree)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    seq, at, p = np.minimum(rng.zipf(1.3, 400), 2000) - 1, np.arange(10, 390), net.copy().p
+    net.step(seq, at, state)
+    grad, seen = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros(len(p[k]), int) for k in net.BY_ROW}
+    for i in at:
+        near = [seq[i + k] for k in (-3, -2, -1, 1, 2, 3)]
+        h = np.append(np.tanh(p["bias"] + sum(p["rows"][s] @ m for s, m in zip(near, p["mix"], strict=True))), 1)
+        back = np.zeros(len(h))
+        for k in range(tree.first[seq[i]], tree.first[seq[i] + 1]):
+            v = tree.node[k]
+            g = (1 / (1 + np.exp(-h @ p["node"][v])) - tree.right[k]) / len(at)
+            grad["node"][v] += g * h
+            back += g * p["node"][v]
+            seen["node"][v] += 1
+        back = back[:-1] * (1 - h[:-1] ** 2)
+        for s, m in zip(near, p["mix"], strict=True):
+            grad["rows"][s] += m @ back
+            seen["rows"][s] += 1
+    for name in net.BY_ROW:
+        want = p[name] - 0.05 * grad[name] / np.sqrt(1e-8 + (grad[name] ** 2).mean(axis=1))[:, None]
+        assert net.p[name] == pytest.approx(want, abs=1e-6) and state[name][1].tolist() == seen[name].tolist()
+
+
+def test_pseudo_likelihood_work(monkeypatch):
+    """A step and a score take one exponential for each step of the words' walks, none for other nodes."""
+
+    class Counted:
+        found = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x):
+            self.found += np.size(x)
+            return np.exp(x)
+
+    tree, rng, counted = pseudo_lm.Tree(9000 / np.arange(1, 3001)), np.random.default_rng(5), Counted()
+    net, seq, at = pseudo_lm.Network.fresh(tree), rng.integers(0, 3000, 600), np.arange(3, 597)
+    walks = int((tree.first[seq[at] + 1] - tree.first[seq[at]]).sum())
+    monkeypatch.setattr(pseudo_lm, "np", counted)
+    net.step(seq, at, {})
+    assert counted.found == walks
+    net.log_likelihood(net.tables(), seq, at)
+    assert counted.found == 2 * walks
+
+
 def test_pseudo_likelihood_means():
     """Rows are averaged by how often tasks touched them, in groups as at once."""
     one = pseudo_lm._row("node", 2, 0, [1, 3], [1, 2], np.array([[1.0, 2], [3, 4]])).to_pandas()
